@@ -1,0 +1,189 @@
+"""Operator 3: secret scans by sliding-window Shannon entropy.
+
+``scan`` reports three base patterns (fixed values below) and the spans that the
+entropy method adds.  A *candidate* is a maximal run of token characters of at
+least ``WINDOW`` characters.  Its character class is the narrowest that holds
+all of it (digits, hex, one-case letters and digits, mixed), and each class has
+its own threshold in bits a character.  A window slides over the candidate with
+counts that change by one in and one out, and so does the sum of c*log2(c), from
+which the entropy follows; windows at the threshold or above merge into spans.
+Allow-listed shapes (UUIDs, words in letters alone, paths, repeated or running
+alphabets, documented example keys) give no entropy span; base spans always stay.
+
+Null and empty texts have no spans.  Equal rows give equal results.  Only the
+text column is read, so nulls in others and extra columns do not matter.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+# The patterns and least lengths of the base kinds, in this order.
+ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]+"
+LEAST = {"assign": 12, "access": 18, "hex": 16}
+KINDS = ("assign", "access", "hex", "entropy")
+
+WINDOW = 20
+#: Bits a character that a window must reach, by class: random text of the class
+#: over 20 characters stays above, words and identifiers below.
+THRESHOLDS = {"hex": 3.0, "lower": 3.6, "upper": 3.6, "mixed": 3.9}
+
+_assign = re.compile(ASSIGN, re.I | re.A)
+_access = re.compile(r"AKIA[A-Z0-9]{%d,}" % (LEAST["access"] - 4))
+_hex = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
+_candidate = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
+_CLASSES = (
+    ("hex", re.compile(r"[0-9a-fA-F]+")),
+    ("lower", re.compile(r"[a-z0-9_=-]+")),
+    ("upper", re.compile(r"[A-Z0-9_=-]+")),
+    ("mixed", re.compile(r".+", re.S)),
+)
+#: Shapes that carry entropy and are no secret.
+ALLOW = tuple(
+    re.compile(p)
+    for p in (
+        r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
+        r"[A-Za-z]+",  # letters alone: a word
+        r"[A-Z]?[a-z]*(?:[-_/+=][A-Z]?[a-z]*)+",  # joined words, paths
+        r"[A-Z]+(?:[-_/+=][A-Z]+)+",
+        r"[0-9_=+/-]+",  # numbers and rules
+        r"(?i:.*example.*|.*abcdefghij.*|.*0123456789.*)",  # documented examples
+    )
+)
+_CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+
+
+def entropy_windows(s: str, window: int = WINDOW) -> list[float]:
+    """The Shannon entropy of each window of s, by incremental counts."""
+    if len(s) < window:
+        return []
+    counts: dict[str, int] = {}
+    total, out = 0.0, []
+    clog = _CLOG if window <= WINDOW else [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    top = math.log2(window)
+    for i, ch in enumerate(s):
+        c = counts.get(ch, 0)
+        total += clog[c + 1] - clog[c]
+        counts[ch] = c + 1
+        if i >= window:
+            old = s[i - window]
+            c = counts[old]
+            total += clog[c - 1] - clog[c]
+            counts[old] = c - 1
+        if i >= window - 1:
+            out.append(top - total / window)
+    return out
+
+
+def entropy_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of candidates whose windows reach their class's threshold."""
+    spans = []
+    for m in _candidate.finditer(text):
+        s = m.group()
+        if any(a.fullmatch(s) for a in ALLOW):
+            continue
+        least = THRESHOLDS[next(name for name, p in _CLASSES if p.fullmatch(s))]
+        begin = end = None
+        for i, h in enumerate(entropy_windows(s)):
+            if h + 1e-9 >= least:
+                if begin is not None and i <= end:
+                    end = i + WINDOW
+                else:
+                    if begin is not None:
+                        spans.append((m.start() + begin, m.start() + end))
+                    begin, end = i, i + WINDOW
+        if begin is not None:
+            spans.append((m.start() + begin, m.start() + end))
+    return spans
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, number of the kind, end) of the base matches that pass."""
+    found = []
+    low = text.lower()  # keywords are ASCII, so lower-casing more letters hides none
+    if any(w in low for w in ("password", "passwd", "secret", "token", "apikey", "api_key")):
+        found += [(m.start(), 0, m.end()) for m in _assign.finditer(text) if len(m.group(2)) >= LEAST["assign"]]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end()) for m in _access.finditer(text)]
+    found += [(m.start(), 2, m.end()) for m in _hex.finditer(text)]
+    return found
+
+
+def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """The base spans, and those with the method's, each by start and kind."""
+    base = sorted(base_spans(text))
+    return base, sorted(base + [(a, 3, b) for a, b in entropy_spans(text)])
+
+
+def render(spans) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def redact_text(text: str, spans) -> str:
+    """The text with each stretch covered by spans replaced by a mark with its first kind."""
+    out, at, merged = [], 0, []
+    for a, k, b in spans:
+        if merged and a <= merged[-1][2]:
+            merged[-1][2] = max(merged[-1][2], b)
+        else:
+            merged.append([a, k, b])
+    for a, k, b in merged:
+        out += [text[at:a], f"[{KINDS[k].upper()}]"]
+        at = b
+    return "".join(out) + text[at:]
+
+
+_SCAN = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+
+
+def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per document: key, counts of base spans, their digest, all spans."""
+    fields = docs.select(key).schema
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t in b.column(1).cast(pa.large_string()):
+                base, every = all_spans(t.as_py() or "")
+                kinds = [k for _, k, _ in base]
+                rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(render(base).encode()).hexdigest(), render(every)))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            types = [pa.int64()] * 3 + [pa.string()] * 2
+            names = [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, t) for c, t in zip(cols, types)], names)
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + _SCAN
+    return docs.select(key, "text").mapInArrow(run, ddl)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents with all spans of their texts replaced; n_chars follows where there is one.
+
+    Rows, columns and their order stay; a null text stays null.
+    """
+    i = docs.columns.index("text")
+    j = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for b in batches:
+            new, sizes = [], []
+            for t in b.column(i).cast(pa.large_string()):
+                t = t.as_py()
+                spans = all_spans(t)[1] if t else []
+                new.append(redact_text(t, spans) if spans else t)
+                sizes.append(bool(spans))
+            cols = list(b.columns)
+            cols[i] = pa.array(new, pa.large_string()).cast(b.column(i).type)
+            if j is not None:
+                old = cols[j].to_pylist()
+                cols[j] = pa.array([len(x) if changed else n for x, changed, n in zip(new, sizes, old)], cols[j].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)
