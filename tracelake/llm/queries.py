@@ -4,19 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import secrets
+from tracelake.llm import labelled, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = labelled.remainder("doc_id", 3) == 1
+    scorer = quality.train(docs, labels, usable=~held_out)
+    return toxicity.predictions(quality.score(docs, scorer), held_out)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = labelled.remainder("doc_id", 5) == 0
+    model = toxicity.train(docs, labels, usable=~held_out)
+    return toxicity.predictions(toxicity.score(docs, model), held_out)
+
+
 QUERIES = {
+    "op1_quality_compression": op1_quality_compression,
     "op3_secret_scan": op3_secret_scan,
+    "op7_toxicity_fm": op7_toxicity_fm,
 }
 
 ORACLES: dict[str, str] = {}
