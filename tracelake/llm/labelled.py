@@ -35,7 +35,7 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
-def logistic(features, y, ridge: float = 1e-3, steps: int = 50):
+def logistic(features, y, ridge: float = 1.0, steps: int = 50):
     """Weights of a ridge logistic regression by Newton steps, both classes weighing the same."""
     import numpy as np
 

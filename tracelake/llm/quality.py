@@ -9,7 +9,7 @@ neither dictionary has seen, turns it into a probability.  The ratio of
 compressed to raw size enters the calibration too, as a text that repeats itself
 compresses as well with either dictionary.
 
-Null and empty texts have difference, ratio and length 0 and get the
+Null and empty texts have difference and ratio 0 and get the
 calibration's value there.  Only the text enters a score; equal texts score
 alike.  With too few labels for both dictionaries every score is the share of
 label 1 among the usable labels (0.5 if there are none).
@@ -38,9 +38,9 @@ def blocks(data: bytes) -> list[bytes]:
 
 
 def features(x: np.ndarray) -> np.ndarray:
-    """Calibration terms from rows of (difference, ratio, log of length)."""
-    d, ratio, size = x.T
-    return np.stack([np.ones(len(d)), 10 * d, 5 * ratio, 25 * ratio * ratio, 20 * d * ratio, size], axis=1)
+    """Calibration terms from rows of (difference, ratio)."""
+    d, ratio = x.T
+    return np.stack([np.ones(len(d)), 10 * d, 5 * ratio, 25 * ratio * ratio, 20 * d * ratio], axis=1)
 
 
 class Scorer:
@@ -53,22 +53,22 @@ class Scorer:
     def __getstate__(self):
         return self.__dict__ | {"_pair": None}
 
-    def measure(self, data: bytes) -> tuple[float, float, float]:
+    def measure(self, data: bytes) -> tuple[float, float]:
         if self._pair is None:
             made = [zstandard.ZstdCompressionDict(x) for x in (self.good, self.bad)]
             for x in made:
                 x.precompute_compress(level=LEVEL)
             self._pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=x, write_content_size=False, write_dict_id=False) for x in made]
         if not data:
-            return 0.0, 0.0, 0.0
+            return 0.0, 0.0
         parts = blocks(data)
         good, bad = (sum(len(c.compress(p)) for p in parts) for c in self._pair)
-        return (bad - good) / (bad + good), min(good, bad) / len(data), float(np.log1p(len(data)))
+        return (bad - good) / (bad + good), min(good, bad) / len(data)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.weights is None:
             return np.full(len(column), self.constant)
-        rows = np.array([self.measure(t) for t in texts(column)]).reshape(-1, 3)
+        rows = np.array([self.measure(t) for t in texts(column)]).reshape(-1, 2)
         return labelled.sigmoid(features(rows) @ self.weights)
 
 
