@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import labelled, quality, secrets, toxicity
+from tracelake.llm import labelled, mixing, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(quality.score(docs, scorer), held_out)
 
 
+def op2_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_compression": op1_quality_compression,
+    "op2_mix_pivotal": op2_mix_pivotal,
     "op3_secret_scan": op3_secret_scan,
     "op7_toxicity_fm": op7_toxicity_fm,
 }
