@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracelake.llm import labelled, mixing, quality, secrets, toxicity
+from tracelake.llm import fingerprints, labelled, minhash, mixing, pieces, quality, secrets, substrings, toxicity, vptrees, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,7 @@ def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = labelled.remainder("doc_id", 3) == 1
     scorer = quality.train(docs, labels, usable=~held_out)
-    return toxicity.predictions(quality.score(docs, scorer), held_out)
+    return labelled.predictions(quality.score(docs, scorer), held_out)
 
 
 def op2_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,18 +28,67 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(_table(spark, sf_dir, "pages")))
+
+
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, threshold=0.85)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = labelled.remainder("doc_id", 5) == 0
     model = toxicity.train(docs, labels, usable=~held_out)
-    return toxicity.predictions(toxicity.score(docs, model), held_out)
-
-
-QUERIES = {
-    "op1_quality_compression": op1_quality_compression,
-    "op2_mix_pivotal": op2_mix_pivotal,
-    "op3_secret_scan": op3_secret_scan,
-    "op7_toxicity_fm": op7_toxicity_fm,
+    return labelled.predictions(toxicity.score(docs, model), held_out)
+
+
+def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
+def op10_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptrees.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_mix_pivotal, op3_secret_scan, op4_warc_dictionary, op5_hyperminhash, op6_sentencepiece, op7_toxicity_fm, op8_weighted_fingerprints, op9_substring_dedup, op10_vantage_points)}
+
+ORACLES = {
+    "op4_warc_dictionary": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+""",
+    "op5_hyperminhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS x FROM w),
+n AS (SELECT w.doc_id, count(x) AS n_shingles FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT n.doc_id, n.n_shingles, m.component_id, n.doc_id = m.component_id AS kept
+FROM n JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) m ON n.doc_id = m.doc_id
+""",
+    "op9_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: sha256(array_to_string(w[i:i + 49], ' ')))) AS x FROM d WHERE len(w) >= 50),
+f AS (SELECT x, min(doc_id) AS first FROM s GROUP BY x),
+g AS (SELECT doc_id, unnest(range(i, i + 50)) AS i FROM s JOIN f ON s.x = f.x WHERE first < doc_id),
+r AS (SELECT doc_id, list(DISTINCT i) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+""",
 }
-
-ORACLES: dict[str, str] = {}

@@ -19,7 +19,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from tracelake.llm import labelled
 from tracelake.llm.textkit import Hasher, texts, word_bounds
@@ -139,8 +138,3 @@ def drop_toxic(docs: DataFrame, model: Machine, threshold: float = 0.5) -> DataF
             yield b.filter(pa.array([m.score(t) < threshold for t in texts(b.column(i))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def predictions(scored: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
