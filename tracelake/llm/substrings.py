@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.textkit import U64, Hasher, mix, partitions, settle, shingle_hashes, texts, word_bounds
@@ -221,7 +221,11 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = _matched(buckets, window)
     each = _windows(packed.where("crowd"), window)
     first = each.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("hi").alias("most")).where("lo < most").drop("most")
-    crowded = each.join(first, ["one", "two"]).where("lo < hi").select("mini", "string", F.col("place").alias("begin"), (F.col("place") + 1).alias("finish"), "lo")
+    crowded = each.join(first, ["one", "two"]).where("lo < hi").select("mini", "string", "place", "lo")
+    # places that follow one another with the same lo are one run
+    gap = F.col("place") - F.row_number().over(Window.partitionBy("mini", "string", "lo").orderBy("place"))
+    crowded = crowded.withColumn("gap", gap).groupBy("mini", "string", "lo", "gap").agg(F.min("place").alias("begin"), (F.max("place") + 1).alias("finish"))
+    crowded = crowded.select("mini", "string", "begin", "finish", "lo")
     found = found.unionByName(crowded)
     met = several.drop("lo").join(found, ["mini", "string"]).where("lo < doc_id")
     met = met.select("doc_id", "h", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("finish") + window - 1).alias("finish"))
