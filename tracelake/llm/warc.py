@@ -122,6 +122,7 @@ def plan(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     known = pages.select("*", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2(F.encode("html", "utf-8"), 256).alias("payload_digest"))
     first = known.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = settle(first, "warc-first")  # its size is known then: where it is small, the join moves no page
     met = known.join(first, "payload_digest", "left")
     again = (F.col("page_id") > F.col("first")) & (F.col("payload_bytes") >= LEAST)
     return met.withColumn("refers_to", F.when(again, F.col("first"))).withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html"))).drop("first")
