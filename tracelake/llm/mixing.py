@@ -25,7 +25,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,24 +100,20 @@ def pivot(sizes: np.ndarray, parts: np.ndarray, seed: int) -> tuple[np.ndarray,
 def _level(open_: DataFrame, level: int, seed: int) -> DataFrame:
     """Settle all but one document in each node."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "row"], ascending=[False, True], kind="stable")
-        source, node = pdf["source"].iloc[0], pdf["node"].iloc[0]
-        draw = zlib.crc32(f"{seed}|{level}|{node}|{source!r}".encode())
-        parts, left = pivot(pdf["size"].to_numpy(float), pdf["part"].to_numpy(float), draw)
-        pdf["part"] = parts
-        pdf["settled"] = True
-        if left >= 0:
-            pdf.iloc[left, pdf.columns.get_loc("settled")] = False
-        return pdf
+    def run(key, table):
+        table = table.sort_by([("size", "descending"), ("row", "ascending")])
+        draw = zlib.crc32(f"{seed}|{level}|{key[1].as_py()}|{key[0].as_py()!r}".encode())
+        parts, left = pivot(table["size"].to_numpy().astype(float), table["part"].to_numpy(), draw)
+        settled = np.arange(len(parts)) != left
+        return table.set_column(table.column_names.index("part"), "part", pa.array(parts)).append_column("settled", pa.array(settled))
 
     schema = T.StructType([*open_.schema.fields, T.StructField("settled", T.BooleanType())])
-    return open_.groupBy("source", "node").applyInPandas(run, schema)
+    return open_.groupBy("source", "node").applyInArrow(run, schema)
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 2024, node: int = NODE) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document."""
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("row"))
+def copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 2024, node: int = NODE) -> DataFrame:
+    """(doc_id, source, size, source_size, target, row, copies) of every document; row is a hash of all its columns."""
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), F.xxhash64(*docs.columns).alias("row"))
     sized = settle(sized, "mix-sizes")  # texts are read once
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(per.select("source", "source_size"), share, cap, weights)
@@ -148,4 +144,17 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.withColumn("taken", (F.col("size") * (F.col("whole") + F.round("part"))).cast("long"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "row", (F.col("whole") + F.round("part")).cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source) of every document; settings are those of copies."""
+    return copies(docs.select("doc_id", "source", "text"), **settings).withColumn("taken", F.col("size") * F.col("copies")).drop("row", "copies")
+
+
+def draw(docs: DataFrame, **settings) -> DataFrame:
+    """Each document as often as the mix takes it; equal rows are taken as often as all of them together."""
+    taken = copies(docs, **settings).groupBy("doc_id", "row").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    one = docs.withColumn("row", F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", "row"])
+    met = one.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.row") == F.col("t.row")))
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])

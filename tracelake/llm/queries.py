@@ -20,8 +20,7 @@ def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
