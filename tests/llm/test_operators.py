@@ -1,0 +1,450 @@
+"""Each corpus operator against a brute-force version, on small tables with awkward rows."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracelake.llm import fingerprints, labelled, minhash, mixing, pieces, quality, secrets, substrings, toxicity, vptrees, warc
+from tracelake.llm.textkit import Hasher, shingle_hashes, word_bounds, word_hashes
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(n=60, seed=1):
+    """Rows with copies, near copies, shared passages, nulls, empty and long texts, repeated rows and a null id."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdefgéü", k=rng.randint(2, 7))) for _ in range(400)]
+    text = lambda k: " ".join(rng.choices(vocabulary, k=k))
+    passage, texts = text(70), []
+    for i in range(n):
+        t = text(rng.choice([1, 2, 5, 40, 80, 200]))
+        if i % 5 == 0:
+            t = f"{text(10)} {passage}\n{text(9)}"
+        if i % 7 == 1 and texts:
+            words = rng.choice([x for x in texts if x]).split(" ")
+            words[rng.randrange(len(words))] = "changed"
+            t = " ".join(words)
+        if i % 11 == 2 and texts:
+            t = texts[-1]
+        texts.append(t)
+    texts[3], texts[4], texts[6] = None, "", " \t\n "
+    texts[8] = text(6000)
+    rows = [(i, t, None if i % 9 == 0 else "en", None if i % 10 == 0 else f"s{i % 4}", None if t is None else len(t)) for i, t in enumerate(texts)]
+    return [*rows, rows[12], (None, texts[12], "en", "s1", 5)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).withColumns({"h": F.lit(1), "size": F.lit("x"), "words": F.lit(2.0)}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_word_hashes():
+    data = "  ab\tcd ab\x0bé \n".encode()
+    start, end = word_bounds(data)
+    assert [data[a:b].decode() for a, b in zip(start, end)] == WORD.findall(data.decode())
+    h = word_hashes(data)
+    assert h[0] == h[2] and len(set(h.tolist())) == 3
+    assert len(word_hashes(b"")) == 0 and len(shingle_hashes(h, 9)) == 1
+    assert Hasher(b"abcabc").of(np.array([0]), np.array([3])) == Hasher(b"abcabc").of(np.array([3]), np.array([6]))
+
+
+# Operators 1 and 7.
+
+
+def labelled_corpus(spark, bad, good):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(900):
+        y = int(i % 3 == 0)
+        rows.append((i, (good if y else bad)(rng), "en", "s", 1))
+        labels.append((i, y, y))
+    rows += [(1000, None, None, None, None), (1001, "", "en", "s", 0)]
+    labels += [(1000, None, None), (5, 1, 1), (None, 1, 0), (99999, 1, 1)]
+    return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_holds_out(spark):
+    words = ["".join(random.Random(i).choices("abcdefghij", k=6)) for i in range(300)]
+    docs, labels = labelled_corpus(spark, lambda r: " ".join("".join(r.choices("xyz$#", k=6)) for _ in range(60)), lambda r: " ".join(r.choices(words, k=60)))
+    held = labelled.remainder("doc_id", 3) == 1
+    got = labelled.predictions(quality.score(docs, quality.train(docs, labels, ~held)), held).toPandas()
+    assert len(got) == docs.count() and got.score.between(0, 1).all() and got.score.notna().all()
+    assert ((got.score >= 0.5) == (got.predicted == 1)).all()
+    out = got[got.held_out & (got.doc_id < 900)]
+    assert (out.predicted == (out.doc_id % 3 == 0)).mean() > 0.95
+    assert set(got[got.held_out].doc_id) == {int(i) for i in got.doc_id if zlib.crc32(str(i).encode()) % 3 == 1}
+
+
+def test_toxicity_learns_a_pair(spark):
+    filler = ["w%d" % i for i in range(200)]
+
+    def text(r, toxic):
+        parts = r.choices(filler, k=30) + (["insult", "group"] if toxic else [r.choice(["insult", "group", "w1"])])
+        r.shuffle(parts)
+        return " ".join(parts)
+
+    docs, labels = labelled_corpus(spark, lambda r: text(r, False), lambda r: text(r, True))
+    held = labelled.remainder("doc_id", 5) == 0
+    model = toxicity.train(docs, labels, ~held)
+    got = labelled.predictions(toxicity.score(docs, model), held).toPandas()
+    out = got[got.held_out & (got.doc_id < 900)]
+    assert len(got) == docs.count() and (out.predicted == (out.doc_id % 3 == 0)).mean() > 0.97
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}
+    assert kept == set(got[got.score < 0.5].doc_id)
+
+
+def test_classifiers_without_labels(spark, docs, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for got in (quality.score(docs, quality.train(docs, labels, F.lit(True))), toxicity.score(docs, toxicity.train(docs, labels, F.lit(True)))):
+        assert got.count() == docs.count() and got.where("score is null").count() == 0
+    assert quality.score(none, quality.train(none, labels, F.lit(True))).count() == 0
+
+
+# Operator 2.
+
+
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    total, capped = 1.5 * sum(sizes.values()), {}
+    while True:
+        rest = [s for s in order if s not in capped]
+        unit = (total - sum(capped.values())) / max(1, sum(weight[s] for s in rest))
+        over = [s for s in rest if weight[s] * unit > 2 * sizes[s] + 1e-9]
+        if not over:
+            return capped | {s: weight[s] * unit for s in rest}
+        capped |= {s: 2.0 * sizes[s] for s in over}
+
+
+def test_mix_meets_targets(spark, docs, rows, none):
+    got = mixing.mix(docs, node=8).toPandas()
+    again = mixing.mix(docs.repartition(5), node=8).toPandas()
+    key = ["doc_id", "size", "taken"]
+    assert got[key].fillna(-1).sort_values(key).values.tolist() == again[key].fillna(-1).sort_values(key).values.tolist()
+    assert len(got) == len(rows)
+    sizes = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
+    want = brute_targets(sizes)
+    for s, target in want.items():
+        part = got[got.source.isna()] if s is None else got[got.source == s]
+        assert part.target.iloc[0] == pytest.approx(target) and part.source_size.iloc[0] == sizes[s]
+        assert abs(part.taken.sum() - target) <= part["size"].max() / 2 + 1
+    assert (got.taken <= 2 * got["size"]).all() and (got[got["size"] > 0].taken % got[got["size"] > 0]["size"] == 0).all()
+    assert mixing.mix(none).count() == 0
+
+
+def test_pivot_keeps_expectations():
+    sizes, parts = np.array([5.0, 9, 2, 7, 4, 3]), np.array([0.3, 0.7, 0.5, 0.2, 0.9, 0.4])
+    total = np.zeros(6)
+    for seed in range(4000):
+        out, left = mixing.pivot(sizes, parts, seed)
+        assert (sizes * out).sum() == pytest.approx((sizes * parts).sum())
+        assert all(x in (0.0, 1.0) for i, x in enumerate(out) if i != left)
+        total += out
+    assert np.abs(total / 4000 - parts).max() < 0.03
+
+
+def test_draw_takes_copies(spark, docs):
+    drawn = mixing.draw(docs)
+    assert drawn.columns == docs.columns
+    words = F.sum(mixing.words(F.col("text")))
+    assert drawn.agg(words).first()[0] == mixing.mix(docs).agg(F.sum("taken")).first()[0] or abs(drawn.agg(words).first()[0] - mixing.mix(docs).agg(F.sum("taken")).first()[0]) < 6100
+
+
+# Operator 3.
+
+
+def brute_secrets(text):
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m.group(2)) >= 12:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    return sorted(found)
+
+
+def brute_entropy(s):
+    return -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
+
+
+TRICKY = [
+    None, "", "é password = 'abcdefghijkl' tail", "Token:short", 'API_KEY="' + "a1" * 20 + '"', "AKIA" + "B" * 13, "AKIA" + "B2" * 9, "deadbeef" * 4, "x" * 300,
+    "key zQ8vK2pL9xW4tY7bN3mD6fH1jR5sC0gA end", "123e4567-e89b-12d3-a456-426614174000", "aKIA password password=secret=abcdefghijklmnop",
+    "/usr/local/share/some-long-path-here/and-more", "secret:token:password: 0123456789ab", "Kpassword=aaaaaaaaaaaaa",
+]
+
+
+def test_secret_scan(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY)], "doc_id long, text string").withColumn("spans", F.lit(0))
+    for r in secrets.scan(docs).collect():
+        base = brute_secrets(TRICKY[r.doc_id] or "")
+        names = ("assign", "access", "hex")
+        text = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert "entropy" in spans[9] and "entropy" not in spans[10] and "entropy" not in spans[12]
+    done = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert done[0] is None and done[1] == "" and "deadbeef" not in done[7] and done[12] == TRICKY[12]
+
+
+def test_entropy_windows_by_counts():
+    rng = random.Random(2)
+    s = "".join(rng.choices("abcdef0123", k=90))
+    assert secrets.entropy_windows(s) == pytest.approx([brute_entropy(s[i : i + secrets.WINDOW]) for i in range(90 - secrets.WINDOW + 1)])
+
+
+# Operator 4.
+
+
+def test_warc_round_trip(spark):
+    long = "<p>" + "long page " * 4000
+    pages = [(5, "http://a/\r\nx", long), (2, "http://b", long), (9, None, long), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (6, "u", ""), (7, "ü", "é" * 60), (8, "w", "é" * 60), (None, "n", long), (2, "http://b", long)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("first", F.lit("clash"))
+    archives = warc.write(df, archive_bytes=20_000)
+    assert archives.count() > 1
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(archives).collect()), key=str)
+    first = {}
+    for i, _, h in pages:
+        if i is not None and len((h or "").encode()) >= 100:
+            first[h] = min(i, first.get(h, i))
+    want = []
+    for i, _, h in pages:
+        to = first.get(h) if i is not None and first.get(h, i) != i else None
+        data = (h or "").encode()
+        want.append((i, len(data), hashlib.sha256(data).hexdigest(), "response" if to is None else "revisit", to))
+    assert got == sorted(want, key=str)
+    assert warc.read(warc.write(df.limit(0))).count() == 0
+
+
+def test_warc_dictionary_is_embedded():
+    records = [warc.record(i, f"http://x/{i}", (f"<html><title>{i}</title>" + "common boilerplate of pages " * 8).encode(), 9, "d", None) for i in range(300)]
+    data = warc.archive(records)
+    assert data[:4] == (0x184D2A5D).to_bytes(4, "little") and int.from_bytes(data[4:8], "little") > 0
+    assert list(warc.records(data)) == records
+    assert list(warc.records(warc.archive(records[:1]))) == records[:1]
+
+
+# Operator 5.
+
+
+def brute_near(rows, k, percent):
+    sets = {}
+    for i, t, *_ in rows:
+        words = WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+        if i is not None:
+            sets.setdefault(i, []).append({tuple(words[j : j + k]) for j in range(max(1, len(words) - k + 1))} if words else set())
+    label = {i: i for i in sets}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return {(i, len(s), label[i]) for i, x in sets.items() for s in x}
+
+
+@pytest.mark.parametrize("k,threshold", [(3, 0.85), (5, 0.8)])
+def test_near_duplicates(docs, rows, k, threshold):
+    got = minhash.near_duplicates(docs, k, threshold).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == brute_near(rows, k, 100 * threshold)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+
+
+def test_near_duplicates_hot_group(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        words[rng.randrange(300)] = f"n{i}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+    rows += [(1000 + i, rows[0][1], "en", "s", 1) for i in range(300)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 5, 0.8).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_near_duplicates_empty(none):
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_hyperminhash_estimate():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.8, 0.95):
+        common, a, b = (np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (int(4000 * share), int(2000 * (1 - share)), int(2000 * (1 - share))))
+        x, y = np.union1d(common, a), np.union1d(common, b)
+        true = len(common) / (len(common) + len(a) + len(b))
+        got = minhash.estimate(minhash.registers(x)[None], minhash.registers(y)[None])[0, 0]
+        assert abs(got - true) < 0.1
+
+
+# Operator 6.
+
+TEXTS = [None, "", " ", "  two  spaces ", "a\n\nb\tc", "日本語 😀 é", "<s> <0x0A> </s>", "▁mark", "word " * 3000, "x" * 5000, "\x00nul"]
+
+
+def test_pieces_parity_and_round_trip(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    coded = pieces.encode(docs, verify=1)
+    got = {r.doc_id: r for r in pieces.decode(coded).collect()}
+    assert all(r.parity for r in got.values() if r.text is not None)
+    assert all(r.decoded == r.text for r in got.values() if r.text is None or "▁" not in r.text)
+    assert got[0].ids is None and got[1].ids == []
+    out = {r.doc_id: r for r in pieces.round_trip(docs).collect()}
+    assert all(out[i].n_tokens == len(got[i].ids or []) and out[i].round_trip == ("▁" not in (TEXTS[i] or "")) for i in out)
+    assert out[5].ids_sha256 == hashlib.sha256(np.array(got[5].ids, dtype="<i4").tobytes()).hexdigest()
+
+
+def test_unigram_model_is_rebuilt():
+    piece = lambda p, s, kind=1: (1, p.encode(), s, kind)
+
+    def message(entries):
+        out = b""
+        for _, p, s, kind in entries:
+            body = b"\x0a" + bytes([len(p)]) + p + b"\x15" + np.float32(s).tobytes() + b"\x18" + bytes([kind])
+            out += b"\x0a" + bytes([len(body)]) + body
+        return out + b"\x12\x02\x18\x01" + b"\x1a\x04\x18\x01\x20\x00"
+
+    entries = [piece("<unk>", 0, 2), piece("▁ab", -1), piece("▁a", -2), piece("b", -2.5), piece("c", -3), piece("bc", -3.2), piece("▁", -4)]
+    model = pieces.Model(message(entries))
+    assert model.kind == pieces.UNIGRAM and model.dummy_prefix and not model.squeeze
+    assert model.tokenizer().encode("abc ab", add_special_tokens=False).tokens == ["▁ab", "c", "▁ab"]
+
+
+# Operator 8.
+
+
+def test_fingerprints(spark, docs, rows, none):
+    got = fingerprints.fingerprint_edits(docs, 32).collect()
+    kept = sorted({(i, t or "") for i, t, *_ in rows}, key=lambda x: (x[0] is None, -(x[0] or 0)))
+    assert len(got) == len(kept)
+    by = {r.doc_id: r for r in got}
+    prints = {}
+    for j, (i, t) in enumerate(kept):
+        ahead = kept[(j + 1) % len(kept)][1]
+        m = len(t) // 3
+        new = t[: len(t) - m] + ahead[:m]
+        r = by[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert prints.setdefault(t, r.fingerprint) == r.fingerprint and prints.setdefault(new, r.edited_fingerprint) == r.edited_fingerprint
+        assert 0 <= r.near_edited <= 1 and (r.near_next == 1.0) >= (t == ahead)
+    assert fingerprints.fingerprint_edits(none, 8).count() == 0
+
+
+def test_collision_rate_is_generalised_jaccard(spark):
+    rng = random.Random(4)
+    rows, want = [], []
+    for pair in range(12):
+        a = {t: rng.choice([1, 1, 2, 5, 9]) for t in range(60)}
+        b = {t + rng.choice([0, 0, 0, 100]): w + rng.choice([0, 0, 3]) for t, w in a.items()}
+        keys = a.keys() | b.keys()
+        want.append(sum(min(a.get(k, 0), b.get(k, 0)) for k in keys) / sum(max(a.get(k, 0), b.get(k, 0)) for k in keys))
+        rows += [(pair * 2 + side, pair * 1000 + t, w) for side, x in enumerate((a, b)) for t, w in x.items()]
+    terms = spark.createDataFrame(rows, "d int, term long, weight long").repartition(2, "d")
+    drawn = {r.d: r.drawn for r in fingerprints.least_samples(terms, ["d"], 96).collect()}
+    got = [np.mean([x == y for x, y in zip(drawn[2 * p], drawn[2 * p + 1])]) for p in range(12)]
+    assert np.abs(np.array(got) - want).max() < 0.2 and abs(np.mean(got) - np.mean(want)) < 0.04
+
+
+# Operator 9.
+
+
+def brute_substrings(rows, window):
+    first = {}
+    words = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            words[i] = WORD.findall(t or "")
+            for j in range(len(words[i]) - window + 1):
+                w = tuple(words[i][j : j + window])
+                first[w] = min(i, first.get(w, i))
+    out = set()
+    for i, ws in words.items():
+        gone = {j + d for j in range(len(ws) - window + 1) if first[tuple(ws[j : j + window])] < i for d in range(window)}
+        kept = " ".join(w for j, w in enumerate(ws) if j not in gone)
+        out.add((i, len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [substrings.CROWD, 60])
+def test_substrings(docs, rows, crowd, monkeypatch):
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    got = substrings.dedup_substrings(docs).collect()
+    assert len(got) == len(rows)
+    found = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got if r.doc_id is not None}
+    assert found == brute_substrings(rows, 50) and sum(r.n_removed for r in got) > 500
+    assert [r.n_removed for r in got if r.doc_id is None] == [0]
+
+
+def test_substrings_of_repeating_text(spark, none):
+    rows = [(i, " ".join(["la"] * n), "en", "s", 1) for i, n in enumerate((400, 49, 50, 700))]
+    got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_substrings(rows, 50)
+    assert substrings.dedup_substrings(none).count() == 0
+
+
+# Operator 10.
+
+
+def vectors(n=900, dim=12, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(9, dim))
+    x = centres[rng.integers(0, 9, n)] + 0.4 * rng.normal(size=(n, dim))
+    x[100:160] = x[100]
+    return [[float(v) for v in row] for row in x]
+
+
+def brute_nearest(rows, k):
+    ok = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(np.array(v) != 0)]
+    out = {}
+    for q, x in ok:
+        if q % 20 == 0:
+            scored = sorted((-float((y * x).sum()), i) for i, y in ok if i != q and len(y) == len(x))[:k]
+            out[q] = [(i, -s) for s, i in scored]
+    return out
+
+
+def test_vantage_points_exact_and_relaxed(spark):
+    rows = list(enumerate(vectors()))
+    rows += [(2000, None), (2020, [0.0] * 12), (2040, [float("nan")] * 12), (2060, [None] + [1.0] * 11), (None, [1.0] * 12), (2080, [1.0, 2.0]), (2081, [2.0, 2.0]), (2100, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("shard", F.lit("clash"))
+    want = brute_nearest(rows, 20)
+    for factor, least in ((1.0, 1.0), (vptrees.FACTOR, 0.9)):
+        got = {}
+        for r in sorted(vptrees.nearest(df, F.col("vec_id") % 20 == 0, factor=factor, shard=300).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got.keys() == want.keys() and all(len(got[q]) == len(want[q]) for q in want)
+        if factor == 1.0:
+            assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
+            assert all(a == pytest.approx(b) for q in want for (_, a), (_, b) in zip(got[q], want[q]))
+        recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want])
+        assert recall >= least
+    assert vptrees.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_tree_prunes_on_easy_points():
+    points = np.random.default_rng(1).normal(size=(5000, 2))
+    tree = vptrees.Tree(points, leaf=32)
+    d, rows = tree.search(points, points[:40], 5, 1.0)
+    for i in range(40):
+        assert d[i] == pytest.approx(np.sort(np.linalg.norm(points - points[i], axis=1))[:5], abs=1e-6)
