@@ -1,0 +1,170 @@
+"""Reads, the ledger, graphs and drift on small tables."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracelake.functions.canonical import canonical_json
+from tracelake.operators import drift, graph, ledger, reading, redaction, scanning
+from tracelake.sources import tables
+
+TURNS = [(c, t, r, f"text {c} {t}") for c in (1, 2, 3) for t, r in enumerate(["system", "user", "assistant", "user"])]
+
+
+@pytest.fixture(scope="module")
+def chat(spark):
+    return tables.finalize(tables.chat(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string"))).cache()
+
+
+def ids(df):
+    return sorted(r.id for r in df.select("id").collect())
+
+
+def test_filters(chat):
+    assert reading.where(chat, conversation="chat:1").count() == 4
+    assert reading.where(chat, model="model-2").count() == 1
+    assert reading.where(chat, source="other").count() == 0
+    one = chat.first().id
+    assert ids(reading.by_prefix(chat, one[4:20])) == [one] and ids(reading.by_prefix(chat, one[:20])) == [one]
+    with pytest.raises(ValueError):
+        reading.by_prefix(chat, "ev1-")
+
+
+def test_scope(chat):
+    held = chat.withColumn("anchor", F.when(F.col("conversation.seq") < 3, F.concat(F.lit("a"), F.col("conversation.seq"))))
+    view = held.select("anchor").where("anchor = 'a1'")
+    assert reading.in_scope(held, None).count() == 12
+    assert reading.in_scope(held, view).count() == 6
+    assert reading.in_scope(held, view.limit(0)).count() == 3
+
+
+def test_collapse_prefers_the_redacted_copy(chat):
+    one = F.array(F.struct(*[F.lit(x).alias(x) for x in ("rule", "ruleset", "fingerprint", "path")]))
+    both = chat.unionByName(chat.withColumn("redactions", one)).unionByName(chat.withColumn("recorded_at", F.lit("0")))
+    got = reading.collapse(both)
+    assert got.count() == 12 and got.where("size(redactions) = 1").count() == 12
+
+
+def test_order_and_positions(spark):
+    rows = [("b", 1, "2026-01-01"), ("a", 2, "2026-01-01"), ("a", 1, "2026-02-01"), ("a", 1, "2026-01-01"), (None, None, "2026-03-01")]
+    df = spark.createDataFrame(rows, "c string, seq long, occurred_at string").select(F.struct(F.col("c").alias("id"), "seq").alias("conversation"), "occurred_at", F.concat(F.coalesce("c", F.lit("")), "occurred_at").alias("id"))
+    got = [(r.conversation.id, r.conversation.seq, r.occurred_at) for r in reading.sort(df).collect()]
+    assert got == [rows[4], rows[3], rows[2], rows[1], rows[0]]
+    at = {(r.conversation.id, r.conversation.seq): r.position for r in reading.with_position(df).collect()}
+    assert at == {("a", 1): 1, ("a", 2): 2, ("b", 1): 1, (None, None): None}
+
+
+def test_display(spark):
+    df = spark.createDataFrame([("reasoning", "agent"), ("activity", "system"), ("activity", "human"), ("document", "system")], "kind string, who string").select("kind", F.struct(F.col("who").alias("type")).alias("actor"))
+    assert df.where(reading.displayed()).count() == 2
+    assert df.where(reading.displayed(with_machinery=True)).count() == 3
+    assert df.where(reading.displayed(kinds=("activity", "reasoning"))).count() == 4
+
+
+def test_append_is_idempotent(spark, chat, tmp_path):
+    path, held = str(tmp_path / "ledger"), chat.withColumn("anchor", F.lit("a"))
+    first = held.where("conversation.seq < 2")
+    assert ledger.append(first.unionByName(first), path) == {"appended": 6, "deduped": 6}
+    assert ledger.append(held, path) == {"appended": 6, "deduped": 6}
+    assert ledger.append(held, path) == {"appended": 0, "deduped": 12}
+    assert ledger.append(held.withColumn("anchor", F.lit("b")), path)["appended"] == 12
+    assert ledger.append(held.withColumn("anchor", F.lit("c")), path, enabled=False) == {"appended": 0, "deduped": 0}
+    assert ids(spark.read.parquet(path).where("anchor = 'a'")) == ids(chat)
+
+
+def test_pending_is_drained(chat):
+    mixed = chat.withColumn("anchor", F.when(F.col("conversation.seq") > 1, F.lit("a")))
+    extra = chat.where("conversation.seq = 2").withColumn("anchor", F.lit(None).cast("string"))
+    done = ledger.drain(mixed.unionByName(extra), "a")
+    assert done.where("anchor is null").isEmpty() and ids(done) == ids(chat)
+
+
+def test_union_laws(chat):
+    a, b, c = (chat.where(F.col("conversation.seq") != i) for i in range(3))
+    want = ids(chat)
+    assert ids(ledger.union(a, b, c)) == ids(ledger.union(c, a, b)) == ids(ledger.union(ledger.union(a, b), ledger.union(b, c))) == want
+    assert ids(ledger.union(a, a)) == ids(a)
+
+
+def test_gate(spark, chat):
+    text = F.to_json(F.struct(F.lit("user").alias("role"), F.concat(F.lit("password=abcdefgh"), F.col("conversation.seq").cast("string")).alias("text")))
+    rows = chat.withColumn("content_json", text).withColumn("anchor", F.col("conversation.id"))
+    remote = rows.where("conversation.seq = 0")
+    scope = rows.where("anchor = 'chat:1'").select("anchor")
+    none = spark.createDataFrame([], "fingerprint string")
+    found = ledger.gate(rows, remote, scope, none)
+    assert found.count() == 3 and {r.path for r in found.collect()} == {"content/text"}
+    assert ledger.gate(rows, remote, scope, found.select("fingerprint")).isEmpty()
+
+
+def test_redacting_stored_events(spark, chat):
+    one = chat.where("conversation.id = 'chat:1' and conversation.seq = 1").select("id")
+    none = chat.limit(0)
+    after, notes = redaction.redact_stored(chat, one, none, pattern="text [0-9]")
+    assert after.count() == 13 and notes.count() == 1 and notes.first().links[0].target == one.first().id
+    changed = after.join(one, "id").first()
+    assert "[REDACTED:manual:" in changed.content_json and len(changed.redactions) == 1
+    whole, _ = redaction.redact_stored(chat, one, none)
+    assert whole.join(one, "id").first().content_json.startswith('{"text":"[REDACTED:manual:')
+    with pytest.raises(ValueError):
+        redaction.redact_stored(chat, one, chat)
+    with pytest.raises(ValueError):
+        redaction.redact_stored(chat, one, none, pattern="absent")
+
+
+def test_sealed_reasoning_is_exempt(chat):
+    sealed = chat.limit(1).withColumns({"kind": F.lit("reasoning"), "content_json": F.lit('{"encrypted_content":"password=abcdefghijk","other":["password=abcdefghijk"]}')})
+    assert [r.path for r in scanning.scan_events(sealed).collect()] == ["content/other/0"]
+
+
+def test_torn_lines_and_cursors(spark):
+    rows = [("a", 0, "{}", False), ("a", 1, "{bad", False), ("a", 2, "{torn", False), ("b", 0, "{}", True), ("b", 1, "{bad", True)]
+    states = ledger.parsed(spark.createDataFrame(rows, "file string, seq long, value string, closed boolean"))
+    assert [r.state for r in states.orderBy("file", "seq").collect()] == ["sound", "bad", "torn", "sound", "bad"]
+    assert {r.file: r["count"] for r in ledger.cursors(states).collect()} == {"a": 2, "b": 2}
+    files, seen = (spark.createDataFrame(x, "file string, size long") for x in ([("a", 5), ("b", 5), ("c", 9)], [("a", 5), ("b", 3)]))
+    assert [r.file for r in ledger.stale(files, seen).collect()] == ["b"]
+
+
+def commits(spark, parents):
+    sha = lambda x: (x * 40)[:40]
+    return spark.createDataFrame([(sha(k), [sha(p) for p in ps]) for k, ps in parents.items()], "sha string, parents array<string>"), sha
+
+
+def test_reachability_over_a_diamond(spark):
+    df, sha = commits(spark, {"a": "", "b": "a", "c": "a", "d": "bc", "e": "d", "f": "e"})
+    tips = df.where(F.col("sha") == sha("d")).select("sha")
+    assert {r.sha[0] for r in graph.ancestors(df, tips).collect()} == set("abcd")
+    base = df.where(F.col("sha") == sha("b")).select("sha")
+    top = df.where(F.col("sha") == sha("f")).select("sha")
+    assert {r.sha[0] for r in graph.branch_commits(df, base, top).collect()} == set("def")
+
+
+def test_mappings_reach_a_fixpoint(spark):
+    df, sha = commits(spark, {"a": "", "b": "a", "c": "", "d": "c", "e": ""})
+    rows = [(sha("a"), [sha("d")], sha("b")), (sha("d"), [sha("e")], sha("d")), (sha("a"), [sha("f")], sha("9")), (sha("a"), ["xyz"], sha("a")), (sha("a"), [], sha("a"))]
+    maps = spark.createDataFrame(rows, "anchor string, superseded array<string>, successor string")
+    view = graph.ancestors(df, df.where(F.col("sha") == sha("b")).select("sha"))
+    assert {r.sha[0] for r in graph.reanchor(view, maps).collect()} == set("abde")  # c is an ancestor only
+
+
+def test_rewrites(spark):
+    branches = spark.createDataFrame([("x", "t1", "p1"), ("y", "t9", "p2"), ("z", "t9", "p3"), ("w", "t8", None)], "branch string, tree string, patch_id string")
+    candidates = spark.createDataFrame([("s1", "t1", "p2"), ("s2", "t2", "p1"), ("s3", "t3", "p3"), ("s4", "t4", "p3")], "sha string, tree string, patch_id string")
+    got = {r.branch: (r.successor, r.method, r.outcome) for r in graph.detect_squash(branches, candidates).collect()}
+    assert got == {"x": ("s1", "tree", "detected"), "y": ("s1", "patch-id", "detected"), "z": (None, None, "ambiguous"), "w": (None, None, "unmatched")}
+
+
+def test_drift(spark, chat):
+    lost = chat.withColumns({"kind": F.lit("unrecognized"), "content_json": F.concat(F.lit('{"unrecognized_type":"t'), (F.col("conversation.seq") % 2).cast("string"), F.lit('"}'))})
+    assert {(r.type, r.n) for r in drift.counts(lost).collect()} == {("t0", 6), ("t1", 6)}
+
+    def convert(df):
+        known = df.where("get_json_object(content_json, '$.unrecognized_type') = 't1'")
+        return known.select(F.col("id").alias("replaces"), "*").withColumns({"kind": F.lit("activity"), "content_json": canonical_json(F.lit('{"activity_type":"t1"}'))})
+
+    made, notes = drift.renormalize(lost, convert)
+    assert made.count() == 6 and notes.count() == 6
+    after = lost.unionByName(made).unionByName(notes)
+    assert drift.superseded(after).count() == 6
+    again = drift.renormalize(after, convert)
+    assert again[0].isEmpty() and again[1].isEmpty()
