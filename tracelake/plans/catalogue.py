@@ -355,3 +355,6 @@ def annotation_links(spark, sf_dir):
     rows = tables.annotation(_read(spark, sf_dir, "labels"), _read(spark, sf_dir, "documents"))
     get = lambda name: F.get_json_object("content_json", f"$.{name}").cast("int").alias(name)
     return rows.select("doc_id", F.col("links")[0]["target"].alias("target"), get("quality"), get("toxic"))
+
+
+from tracelake.plans import captures  # noqa: E402, F401  it registers more queries here
