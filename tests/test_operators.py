@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions.canonical import canonical_json
-from tracelake.operators import drift, graph, ledger, reading, redaction, scanning
+from tracelake.operators import drift, graph, ledger, reading, redaction, scanning, settings
 from tracelake.sources import tables
 
 TURNS = [(c, t, r, f"text {c} {t}") for c in (1, 2, 3) for t, r in enumerate(["system", "user", "assistant", "user"])]
@@ -168,3 +168,26 @@ def test_drift(spark, chat):
     assert drift.superseded(after).count() == 6
     again = drift.renormalize(after, convert)
     assert again[0].isEmpty() and again[1].isEmpty()
+
+
+def test_settings(spark, tmp_path):
+    with pytest.warns(UserWarning):
+        assert settings.read("{bad") == {}
+    user = {"scan": {"tier": "standard", "allowFingerprints": ["a", "b"]}, "enabled": True}
+    both = settings.merge(user, {"scan": {"tier": "off", "allowFingerprints": ["b", "c"]}, "redact": {"patterns": [{"pattern": "x+"}, {"pattern": "("}, {"id": "own", "pattern": "y"}, {}]}})
+    assert both["scan"] == {"tier": "off", "allowFingerprints": ["a", "b", "c"]} and both["enabled"]
+    assert [r.id for r in settings.capture_rules(both)][13:] == ["user-pattern-0", "own"]
+    assert settings.capture_rules({"redact": {"capture": False}}) == []
+    named = settings.dotenv("# c\nA=\"quoted value\"\nB=short\n\nC=/usr/local/bin\nSOME_DIR=longenough1\nnot a line\nE='longenough2'")
+    assert settings.secret_values(named) == ["longenough2", "quoted value"]
+    rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "fingerprint string")
+    assert [settings.remember(rows, str(tmp_path / "set")) for _ in range(2)] == [2, 0]
+    assert settings.remember(spark.createDataFrame([("c",), ("a",)], "fingerprint string"), str(tmp_path / "set")) == 1
+
+
+def test_reports_show_no_content(chat):
+    loud = chat.withColumn("content_json", F.lit('{"text":"password=abcdefghijk"}'))
+    found = scanning.scan_events(loud)
+    text = scanning.report(found).first().text
+    assert "12 sites in 12 events" in text and "and 9 more" in text and "abcdefghijk" not in text
+    assert "keyword-assignment  content/text@0" in found.select(scanning.finding_line().alias("l")).first().l

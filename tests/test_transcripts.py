@@ -147,6 +147,14 @@ def test_opencode(spark, tmp_path):
     assert got[0].conversation.parent == "opencode:up" and got[5].kind == "unrecognized" and got[1].kind == "activity"
 
 
+def test_opencode_numbers_from_ids(spark, tmp_path):
+    texts = [{"id": f"prt_{t:012x}abc", "type": "text", "text": "x"} for t in (67580218395, 67580218396, 67580218400)]
+    for name, parts, want in (("a", texts, [67580218395, 67580218396, 67580218400]), ("b", [*texts[:2], texts[0]], [0, 1, 2]), ("c", [*texts[:2], {"id": "odd", "type": "text", "text": "y"}], [0, 1, 2])):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps({"info": {"id": "o"}, "messages": [{"info": {"role": "user"}, "parts": parts}]}))
+        assert sorted(r.conversation.seq for r in transcripts.opencode(spark, str(path)).collect()) == want
+
+
 def test_split_capture_is_the_same(spark, tmp_path):
     rows = [{"type": "user", "sessionId": "s", "timestamp": T % i, "message": {"role": "user", "content": f"m{i}"}} for i in range(9)]
     lines = transcripts.lines(spark, write(tmp_path, "s.jsonl", rows))

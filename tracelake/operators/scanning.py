@@ -95,3 +95,20 @@ def context(text: Column, start: Column, end: Column, around: int = 400, mark: s
     """The text around a span, with the span itself covered by a mark."""
     begin = F.greatest(start - around, F.lit(0))
     return F.concat(F.substring(text, begin + 1, start - begin), F.lit(mark), F.substring(text, end + 1, F.lit(around)))
+
+
+def finding_line() -> Column:
+    """A finding as a line for people: where it is and what it is called, never what it says."""
+    place = F.concat("path", F.lit("@"), "start")
+    return F.concat_ws("  ", F.substring("event_id", 1, 16), F.coalesce("conversation", F.lit("-")), "occurred_at", "rule", place, F.concat(F.lit("["), "fingerprint", F.lit("]")))
+
+
+def report(findings: DataFrame) -> DataFrame:
+    """(fingerprint, sites, text): a paragraph for each group of findings, with its first site and up to three events."""
+    order = F.struct("occurred_at", "event_id", "path", "start", "rule")
+    first = F.min(F.struct(order.alias("o"), finding_line().alias("line")))
+    events = F.array_sort(F.collect_set(F.substring("event_id", 1, 16)))
+    rows = findings.groupBy("fingerprint").agg(first.alias("first"), F.count("*").alias("sites"), F.count_distinct("event_id").alias("events"), F.slice(events, 1, 3).alias("shown"))
+    more = F.when(F.col("events") > 3, F.format_string(" and %d more", F.col("events") - 3)).otherwise("")
+    text = F.format_string("[%s] %s: %d sites in %d events\n  first %s\n  events %s%s", "fingerprint", F.col("first.o.rule"), "sites", "events", F.col("first.line"), F.array_join("shown", ", "), more)
+    return rows.select("fingerprint", "sites", text.alias("text"))

@@ -371,14 +371,19 @@ def opencode(spark: SparkSession, *paths: str, human: str | None = None, base_ti
     """Drafts from exports, one JSON document a session: a draft a part, numbered through the session.
 
     A part whose call still runs waits; a blank text makes nothing.  A part's number
-    is its place in the session, and its time its own, its call's or its message's.
+    is the time in its id, where all ids of the session have one and no two the same,
+    else its place; its time is its own, its call's or its message's.
     """
     docs = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
     head = F.struct(_get("info.id", "doc").alias("session"), _get("info.parentID", "doc").alias("above"))
     rows = docs.select("file", head.alias("h"), F.posexplode(F.from_json(_get("messages", "doc"), ARRAY)).alias("m", "message")).select("file", "h", "m", F.to_json("message").alias("message"))
     rows = rows.select("file", "h", "m", "message", F.posexplode(F.from_json(_get("parts", "message"), ARRAY)).alias("p", "part"))
     rows = rows.select("file", "h.*", "message", "m", "p", F.to_json("part").alias("value"))
-    rows = rows.withColumn("seq", (F.row_number().over(Window.partitionBy("file").orderBy("m", "p")) - 1).cast("long"))
+    session = Window.partitionBy("file")
+    stamped = F.conv(F.nullif(F.regexp_extract(F.coalesce(_get("id"), F.lit("")), "^prt_([0-9a-f]{12})", 1), F.lit("")), 16, 10).cast("long")
+    rows = rows.withColumns({"stamped": stamped, "place": (F.row_number().over(session.orderBy("m", "p")) - 1).cast("long")})
+    usable = F.size(F.collect_set("stamped").over(session)) == F.count("*").over(session)
+    rows = rows.withColumn("seq", F.when(usable, F.col("stamped")).otherwise(F.col("place")))
     kind, status, role = _get("type"), _get("state.status"), _get("info.role", "message")
     rows = rows.where(~((kind == "tool") & ~F.coalesce(status.isin("completed", "error"), F.lit(False)))).where(~(kind.isin("text", "reasoning") & (F.trim(F.coalesce(_get("text"), F.lit(""))) == "")))
     stamp = lambda x: F.date_format(F.timestamp_millis(x.cast("long")).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
