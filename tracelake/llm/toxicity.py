@@ -24,8 +24,8 @@ from tracelake.llm import labelled
 from tracelake.llm.textkit import Hasher, texts, word_bounds
 
 SPACE = 1 << 20
-MOST_TERMS, LEAST_Z, LEAST_DOCS = 8192, 4.0, 3
-FACTORS, STEPS, RATE, DECAY = 8, 200, 0.05, 1e-3
+MOST_TERMS, LEAST_Z, LEAST_DOCS = 8192, 6.0, 3
+FACTORS, STEPS, RATE, DECAY = 8, 200, 0.05, 1e-2
 #: Labelled documents of each class that the fit may use.
 PER_CLASS = 6000
 
