@@ -191,3 +191,43 @@ def test_reports_show_no_content(chat):
     text = scanning.report(found).first().text
     assert "12 sites in 12 events" in text and "and 9 more" in text and "abcdefghijk" not in text
     assert "keyword-assignment  content/text@0" in found.select(scanning.finding_line().alias("l")).first().l
+
+
+def test_merge_base_and_ancestry(spark):
+    df, sha = commits(spark, {"a": "", "b": "a", "c": "b", "d": "b", "e": "d"})
+    tip = lambda k: df.where(F.col("sha") == sha(k)).select("sha")
+    assert [r.sha[0] for r in graph.merge_bases(df, tip("c"), tip("e")).collect()] == ["b"]
+    assert graph.is_ancestor(df, tip("b"), tip("e")) and not graph.is_ancestor(df, tip("c"), tip("e"))
+
+
+def test_suggestions(spark):
+    rows = [("x", "s1", 3, 0.9, 0), ("x", "s2", 2, 0.5, 1), ("x", "s2", 3, 1.0, 1), ("x", "s3", 2, 0.5, 2), ("x", "s4", 3, 0.1, 3), ("y", "s1", 1, 1.0, 0)]
+    got = graph.suggest(spark.createDataFrame(rows, "branch string, sha string, tier int, score double, place int"))
+    assert [(r.branch, r.sha, r["rank"]) for r in got.orderBy("branch", "rank").collect()] == [("x", "s2", 1), ("x", "s3", 2), ("x", "s1", 3), ("y", "s1", 1)]
+    some, cut = graph.newest(spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "sha string, committed_at int"), most=2)
+    assert cut and [r.sha for r in some.collect()] == ["b", "c"]
+    found = spark.createDataFrame([("x", "s2", "n", "tree"), ("x", "s1", "n", "tree")], "branch string, sha string, successor string, method string")
+    draft = graph.mapping_drafts(found, spark.createDataFrame([("n", "2026-01-01")], "sha string, committed_at string")).first()
+    assert draft.content_json == '{"branch":"x","method":"tree","successor":"n","superseded":["s1","s2"]}' and draft.occurred_at == "2026-01-01"
+
+
+def test_export_is_lossless(spark, chat, tmp_path):
+    path = str(tmp_path / "out")
+    reading.export(chat, path)
+    back = reading.imported(spark.read.text(path), chat.schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, chat.collect()))
+
+
+def test_pushed_refs_and_tallies(spark):
+    lines = spark.createDataFrame([("refs/x " + "a" * 40 + " refs/y " + "0" * 40,), ("refs/z " + "0" * 40,), ("refs/w",), ("",)], "value string")
+    assert [tuple(r) for r in ledger.pushed_refs(lines).collect()] == [("refs/x", "a" * 40)]
+    part = spark.createDataFrame([("appended", 2), ("deduped", 1)], "name string, n long")
+    assert {tuple(r) for r in ledger.tallies(part, part).collect()} == {("appended", 4), ("deduped", 2)}
+
+
+def test_maintenance_before_a_read(spark, chat):
+    df, sha = commits(spark, {"a": "", "b": "a"})
+    maps = spark.createDataFrame([(sha("a"), [sha("9")], sha("b"))], "anchor string, superseded array<string>, successor string")
+    held = chat.withColumn("anchor", F.lit(sha("9")))
+    merged, view = ledger.maintain(held.where("conversation.seq = 0"), held, df, df.where(F.col("sha") == sha("b")).select("sha"), maps)
+    assert reading.in_scope(merged, view).count() == 12 and {r.anchor[0] for r in view.collect()} == set("ab9")

@@ -161,3 +161,17 @@ def test_split_capture_is_the_same(spark, tmp_path):
     ids = lambda df: sorted(r.id for r in tables.finalize(transcripts.claude(df)).collect())
     assert ids(lines) == sorted(ids(lines.where("seq < 4")) + ids(lines.where("seq >= 4")))
     assert pytest.approx(len(ids(lines))) == 9
+
+
+def test_files_are_listed_newest_first(spark, tmp_path):
+    import hashlib
+    import os
+
+    for i, name in enumerate(("a.jsonl", "b.jsonl", "c.jsonl")):
+        (tmp_path / name).write_text("x" * (i + 1))
+        os.utime(tmp_path / name, (1_700_000_000 + i, 1_700_000_000 + i))
+    got = transcripts.files(spark, str(tmp_path), newest=2).collect()
+    assert [(r.file[-7:], r.size) for r in got] == [("c.jsonl", 3), ("b.jsonl", 2)]
+    digests = {r.backup_file: (r.sha256, r.bytes) for r in transcripts.backup_digests(spark, str(tmp_path)).collect()}
+    assert digests["b.jsonl"] == (hashlib.sha256(b"xx").hexdigest(), 2)
+    assert transcripts.project_folder("/home/me/a.b") == "-home-me-a-b"

@@ -133,3 +133,45 @@ def pull_request(subject: str = "subject"):
     """The pull request number that a subject ends with, as (#N)."""
     n = F.regexp_extract(subject, r"\(#(\d+)\)\s*$", 1)
     return F.when(n != "", n.cast("int"))
+
+
+def merge_bases(commits: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(sha) of the best common ancestors of two sets of tips: those that no other common ancestor descends from."""
+    common = _cut(ancestors(commits, left).join(ancestors(commits, right), "sha", "left_semi"))
+    below = parent_edges(commits).join(common.select(F.col("sha").alias("src")), "src", "left_semi").select(F.col("dst").alias("sha"))
+    return common.join(below, "sha", "left_anti")
+
+
+def is_ancestor(commits: DataFrame, old: DataFrame, new: DataFrame) -> bool:
+    """Whether every commit of old (sha) is reached from new (sha)."""
+    return old.join(ancestors(commits, new), "sha", "left_anti").isEmpty()
+
+
+def suggest(evidence: DataFrame, top: int = 3) -> DataFrame:
+    """(branch, sha, tier, score, rank): the best successors of each branch by evidence (branch, sha, tier, score, place).
+
+    Lower tiers are stronger (a pull request, listed subjects, equal files); within a
+    tier the higher score counts, then the candidate's place.  Of several kinds of
+    evidence for a pair the strongest stays.
+    """
+    pair = Window.partitionBy("branch", "sha").orderBy("tier", F.col("score").desc(), "place")
+    one = evidence.withColumn("_n", F.row_number().over(pair)).where("_n = 1").drop("_n")
+    rank = F.row_number().over(Window.partitionBy("branch").orderBy("tier", F.col("score").desc(), "place", "sha"))
+    return one.withColumn("rank", rank).where(F.col("rank") <= top).select("branch", "sha", "tier", "score", "rank")
+
+
+def newest(candidates: DataFrame, at: str = "committed_at", most: int = 200) -> tuple[DataFrame, bool]:
+    """The newest candidates, at most so many, and whether some were left out, which a caller should say."""
+    found = candidates.orderBy(F.col(at).desc(), "sha").limit(most + 1)
+    cut = found.count() > most
+    return candidates.orderBy(F.col(at).desc(), "sha").limit(most), cut
+
+
+def mapping_drafts(found: DataFrame, commits: DataFrame) -> DataFrame:
+    """Re-anchor mappings as content: detected rewrites (branch, sha, successor, method) by successor, superseded sorted.
+
+    The time is the successor's commit time, so that two replicas make the same event.
+    """
+    rows = found.join(commits.select(F.col("sha").alias("successor"), "committed_at"), "successor")
+    grouped = rows.groupBy("successor", "method", "branch", "committed_at").agg(F.array_sort(F.collect_set("sha")).alias("superseded"))
+    return grouped.select(F.lit("re_anchor").alias("kind"), F.col("committed_at").alias("occurred_at"), F.to_json(F.struct("branch", "method", "successor", "superseded")).alias("content_json"), F.col("successor").alias("anchor"))

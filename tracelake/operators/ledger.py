@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators import scanning
+from tracelake.operators import graph, scanning
 
 
 def new_rows(batch: DataFrame, existing: DataFrame) -> DataFrame:
@@ -106,3 +106,29 @@ def settled(calls: Column) -> Column:
     """Whether every tool call (result, status) has a result or a status that is final."""
     final = ("success", "completed", "error", "cancelled", "canceled")
     return F.forall(calls, lambda c: c["result"].isNotNull() | c["status"].isin(*final))
+
+
+def pushed_refs(lines: DataFrame) -> DataFrame:
+    """(ref, sha) from a push's lines (value) of ref and commit: those with a commit that is not all zeros."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = lines.select(F.get(parts, F.lit(0)).alias("ref"), F.get(parts, F.lit(1)).alias("sha"))
+    return rows.where(F.col("sha").rlike("^[0-9a-f]{40,64}$") & ~F.col("sha").rlike("^0+$"))
+
+
+def tallies(*parts: DataFrame) -> DataFrame:
+    """Capture tallies (name, n) of several runs added up."""
+    return union_all(*parts).groupBy("name").agg(F.sum("n").alias("n"))
+
+
+def union_all(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def maintain(local: DataFrame, staged: DataFrame | None, commits: DataFrame, tips: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ledger, anchors in view): what a read does first, a staged replica absorbed and mappings followed from the tips."""
+    merged = local if staged is None else union(local, staged.select(local.columns))
+    view = graph.reanchor(graph.ancestors(commits, tips), mappings)
+    return merged, view.select(F.col("sha").alias("anchor"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.canonical import canonical_json
+from tracelake.operators.graph import _cut
+
 #: Kinds that record how a session ran rather than what was said.
 MACHINERY = ("session_state", "activity", "context_injection", "file_snapshot")
 
@@ -102,12 +105,12 @@ def conversations(events: DataFrame) -> DataFrame:
 def tree(events: DataFrame) -> DataFrame:
     """(conversation, parent, events) with the root of each, following parents level by level; a cycle has no root."""
     own = events.where(F.col("conversation.id").isNotNull()).groupBy(F.col("conversation.id").alias("conversation")).agg(F.max("conversation.parent").alias("parent"), F.count("*").alias("events"))
-    rooted, frontier = own.where("parent is null").withColumns({"root": F.col("conversation"), "level": F.lit(0)}), None
+    rooted = own.where("parent is null").withColumns({"root": F.col("conversation"), "level": F.lit(0)})
     frontier, level = rooted, 0
     while True:
         level += 1
         below = own.alias("o").join(frontier.alias("f"), F.col("o.parent") == F.col("f.conversation")).select("o.*", "f.root", F.lit(level).alias("level"))
-        below = below.checkpoint() if below.sparkSession.sparkContext.getCheckpointDir() else below.persist()
+        below = _cut(below)
         if below.isEmpty():
             return rooted
         rooted, frontier = rooted.unionByName(below), below
@@ -119,3 +122,21 @@ def carry_forward(rows: DataFrame, keys: list[str], order: list[str], value: str
     before = F.last(value, ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(value, ignorenulls=True).over(base.rowsBetween(0, Window.unboundedFollowing))
     return rows.withColumn(f"{value}_in_force", F.coalesce(before, after))
+
+
+def export_line(columns: list[str]) -> Column:
+    """An event as one line of canonical JSON, without fields that are null."""
+    parts = {c: F.from_json("content_json", "variant") if c == "content_json" else F.col(c) for c in columns}
+    return canonical_json(F.to_json(F.struct(*[v.alias("content" if c == "content_json" else c) for c, v in parts.items()])))
+
+
+def export(events: DataFrame, path: str) -> None:
+    """Write events as text files of one line each, in no order of their own; sort first where order matters."""
+    events.select(export_line(events.columns).alias("value")).write.text(path)
+
+
+def imported(lines: DataFrame, schema) -> DataFrame:
+    """Events back from exported lines (value); a line that is no event is an error."""
+    shape = ", ".join(f"{'content variant' if f.name == 'content_json' else f'`{f.name}` {f.dataType.simpleString()}'}" for f in schema)
+    rows = lines.select(F.from_json("value", shape, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+    return rows.withColumn("content_json", canonical_json(F.to_json("content"))).select(schema.names)

@@ -46,6 +46,25 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.where(F.trim("value") != "").select("file", F.col("seq").cast("long").alias("seq"), "value", "closed")
 
 
+def files(spark: SparkSession, *paths: str, newest: int | None = None) -> DataFrame:
+    """(file, modified, size) of files, newest first, at most so many; their contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    found = found.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    found = found.orderBy(F.col("modified").desc(), "file")
+    return found if newest is None else found.limit(newest)
+
+
+def backup_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(backup_file, sha256, bytes) of the files of a backup cache."""
+    found = spark.read.format("binaryFile").load(folder)
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("backup_file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
+def project_folder(cwd: str) -> str:
+    """The name under which a project's transcripts are kept: its path with slashes and dots as dashes."""
+    return cwd.replace("/", "-").replace(".", "-")
+
+
 def _get(path: str, value: str = "value") -> Column:
     return F.get_json_object(F.col(value), f"$.{path}")
 
