@@ -65,43 +65,41 @@ def fit(found: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
     if not n1 or not n0:
         share = n1 / max(1, n0 + n1)
         return Machine(index, 40.0 * (2 * share - 1), np.zeros(1), np.zeros((1, FACTORS)))
-    sizes = np.array([len(x) for x in found])
-    doc, term = np.repeat(np.arange(len(found)), sizes), np.concatenate(found)
-    one = np.bincount(term[y[doc] == 1], minlength=SPACE)
-    two = np.bincount(term[y[doc] == 0], minlength=SPACE)
+    one, two = np.zeros(SPACE, dtype=np.int64), np.zeros(SPACE, dtype=np.int64)
+    for label, counts in ((1, one), (0, two)):
+        own = [x for x, i in zip(found, y) if i == label]
+        for at in range(0, len(own), 500):  # some documents at a time: their terms are many
+            counts += np.bincount(np.concatenate(own[at : at + 500]), minlength=SPACE)
     p = (one + two) / (n0 + n1)
     z = (one / n1 - two / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     z[one + two < LEAST_DOCS] = 0
     kept = np.argsort(-np.abs(z), kind="stable")[:MOST_TERMS]
     kept = kept[np.abs(z[kept]) >= LEAST_Z]
+    del one, two, p, z
     index[kept] = np.arange(len(kept))
-    use = index[term] >= 0
-    doc, row = doc[use], index[term[use]]
+    rows = [index[x] for x in found]
+    rows = [x[x >= 0] for x in rows]
+    n, m = len(rows), max(1, len(kept))
+    doc, row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in rows]), np.concatenate(rows)
     rng = np.random.default_rng(seed)
-    w0, w, v = np.zeros(1), np.zeros(max(1, len(kept))), rng.normal(0, 0.01, (max(1, len(kept)), FACTORS))
+    w0, w, v = np.zeros(1), np.zeros(m), rng.normal(0, 0.01, (m, FACTORS)).T.copy()
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     params, moments = [w0, w, v], [[np.zeros_like(x), np.zeros_like(x)] for x in (w0, w, v)]
-    n = len(found)
-
-    def sums(values, by, size):
-        return np.stack([np.bincount(by, values[:, f], size) for f in range(values.shape[1])], axis=1)
-
     for step in range(1, STEPS + 1):
-        vr = v[row]
-        total = sums(vr, doc, n)
-        logit = w0[0] + np.bincount(doc, w[row], n) + 0.5 * ((total * total).sum(1) - np.bincount(doc, (vr * vr).sum(1), n))
-        g = weight * (labelled.sigmoid(logit) - y)
+        totals, pair = np.empty((FACTORS, n)), np.zeros(n)
+        for f in range(FACTORS):  # a factor at a time, so that memory holds a few numbers a term
+            vf = v[f][row]
+            totals[f] = np.bincount(doc, vf, n)
+            pair += totals[f] * totals[f] - np.bincount(doc, vf * vf, n)
+        g = weight * (labelled.sigmoid(w0[0] + np.bincount(doc, w[row], n) + 0.5 * pair) - y)
         gr = g[doc]
-        grads = [
-            np.array([g.sum()]),
-            np.bincount(row, gr, len(w)) + DECAY / len(w) * w,
-            sums(gr[:, None] * (total[doc] - vr), row, len(w)) + DECAY / len(w) * v,
-        ]
-        for x, (m, s), dx in zip(params, moments, grads):
-            m += 0.1 * (dx - m)
+        dv = np.stack([np.bincount(row, gr * (totals[f][doc] - v[f][row]), m) for f in range(FACTORS)])
+        grads = [np.array([g.sum()]), np.bincount(row, gr, m) + DECAY / m * w, dv + DECAY / m * v]
+        for x, (a, s), dx in zip(params, moments, grads):
+            a += 0.1 * (dx - a)
             s += 0.001 * (dx * dx - s)
-            x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return Machine(index, float(w0[0]), w, v)
+            x -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+    return Machine(index, float(w0[0]), w, v.T.copy())
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Machine:
@@ -112,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([terms(t) for t in texts(b.column(1))], pa.list_(pa.int32()))], ["y", "terms"])
 
     rows = labelled.sample(docs, labels, label, per_class, usable).select("y", "text").mapInArrow(run, "y int, terms array<int>").toArrow()
-    return fit([np.array(x.values) for x in rows["terms"]], np.array(rows["y"], dtype=np.int64))
+    return fit([x.values.to_numpy() for x in rows["terms"]], np.array(rows["y"], dtype=np.int64))
 
 
 def score(docs: DataFrame, model: Machine, key: str = "doc_id") -> DataFrame:
