@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.textkit import settle
 
-SHARD, LEAF, QUERIES, BLOCKS = 8192, 48, 512, 8
+SHARD, LEAF, QUERIES, BLOCKS = 8192, 512, 512, 8
 FACTOR = 1.6
 
 
