@@ -50,7 +50,7 @@ def test_canonical_is_stable():
 def test_ids_ignore_what_copies_may_change(spark):
     rows = spark.createDataFrame([(1, 0, "user", 'say "hi"\n'), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
     events = tables.finalize(tables.chat(rows)).collect()
-    identity = '{"actor":{"type":"human"},"content":{"role":"user","text":"say \\"hi\\"\\n"},"conversation":{"id":"chat:1","seq":0},"kind":"conversation_turn","occurred_at":"2026-01-01T01:00:00.000Z","schema":"conversation-ledger/v1","source":"chat"}'
+    identity = '{"actor":{"type":"human"},"content":{"role":"user","text":"say \\"hi\\"\\n"},"conversation":{"id":"chat:1","seq":0},"kind":"conversation_turn","occurred_at":"2026-01-01T01:00:00.000Z","schema":"tracelake/v1","source":"chat"}'
     assert events[0].id == "ev1-" + hashlib.sha256(identity.encode()).hexdigest()
     other = tables.finalize(tables.chat(rows).withColumn("recorded_at", F.lit("later")).withColumn("anchor", F.lit("a"))).collect()
     assert [e.id for e in other] == [e.id for e in events] and len({e.id for e in events}) == 2

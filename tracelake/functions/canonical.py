@@ -15,7 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-SCHEMA = "conversation-ledger/v1"
+#: The schema that new events name; it is part of their identity, so events of another ledger keep theirs.
+SCHEMA = "tracelake/v1"
 ID_PREFIX = "ev1-"
 
 
@@ -116,7 +117,7 @@ def identity_json(content: str = "content_json") -> Column:
             ("links", F.when(F.size("links") > 0, F.concat(F.lit("["), F.array_join(links, ","), F.lit("]")))),
             ("media_type", quoted(c("media_type"))),
             ("occurred_at", quoted(c("occurred_at"))),
-            ("schema", F.lit(f'"{SCHEMA}"')),
+            ("schema", quoted(c("schema"))),
             ("session_id", quoted(c("producer.session_id"))),
             ("source", quoted(c("producer.source"))),
         ]

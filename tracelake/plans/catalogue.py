@@ -44,7 +44,7 @@ chat0 AS (SELECT conv_id, turn AS seq, role, text, 'chat:' || conv_id AS convers
   CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'agent' ELSE 'system' END AS actor,
   CASE WHEN role = 'assistant' THEN 'model-' || (conv_id % 3) END AS model FROM conversations),
 chat AS (SELECT *, 'conversation_turn' AS kind, 'chat' AS source, 'ev1-' || sha256('{"actor":{"type":"' || actor || '"},"content":{"role":"' || role || '","text":' || to_json(text) || '},"conversation":{"id":"' || conversation
-  || '","seq":' || seq || '},"kind":"conversation_turn","occurred_at":"' || occurred_at || '","schema":"conversation-ledger/v1","source":"chat"}') AS id FROM chat0)
+  || '","seq":' || seq || '},"kind":"conversation_turn","occurred_at":"' || occurred_at || '","schema":"tracelake/v1","source":"chat"}') AS id FROM chat0)
 """
 ACTIVITY = r"""
 activity AS (SELECT event_id, 'app:' || user_id AS conversation, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, 'activity' AS kind,
@@ -349,7 +349,7 @@ def log_lines(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, strftime(TIMESTAMP '2026-01-01' + doc_id * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S.%gZ') AS occurred_at, text, lang, source FROM documents),
-i AS (SELECT doc_id, 'ev1-' || sha256('{"actor":{"type":"system"},"content":{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","text":' || to_json(text) || '},"kind":"document","occurred_at":"' || occurred_at || '","schema":"conversation-ledger/v1","source":"documents"}') AS target FROM d)
+i AS (SELECT doc_id, 'ev1-' || sha256('{"actor":{"type":"system"},"content":{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","text":' || to_json(text) || '},"kind":"document","occurred_at":"' || occurred_at || '","schema":"tracelake/v1","source":"documents"}') AS target FROM d)
 SELECT l.doc_id, target, quality, toxic FROM labels l JOIN i ON l.doc_id = i.doc_id""")
 def annotation_links(spark, sf_dir):
     rows = tables.annotation(_read(spark, sf_dir, "labels"), _read(spark, sf_dir, "documents"))

@@ -60,7 +60,7 @@ def problems() -> Column:
     sound = F.coalesce(c("occurred_at").try_cast("timestamp").isNotNull(), F.lit(False))
     checks = [
         (F.coalesce(c("id"), F.lit("")).rlike("^ev1-[0-9a-f]{64}$"), "id"),
-        (c("schema") == SCHEMA, "schema"),
+        (F.length("schema") > 0, "schema"),
         (F.length("kind") > 0, "kind"),
         (sound, "occurred_at"),
         (F.length("actor.type") > 0, "actor"),
