@@ -111,6 +111,20 @@ def test_toxicity_learns_a_pair(spark):
     assert kept == set(got[got.score < 0.5].doc_id)
 
 
+def test_toxicity_keeps_weak_terms():
+    """Insults of which each is too rare to stand out alone."""
+    r = random.Random(4)
+    filler = ["filler%d" % i for i in range(300)]
+    rare = ["".join(r.choices("qwrtyx", k=5)) + "bad" for _ in range(60)]
+    y = np.arange(1800) % 2
+    found = [toxicity.terms(" ".join(r.choices(filler, k=30) + [r.choice(rare if i else filler)]).encode()) for i in y]
+    model = toxicity.fit(found[:1200], y[:1200])
+    assert all((model.index[x] >= 0).all() for x in found[:1200])
+    assert np.mean([(model.logit(x) >= 0) == i for x, i in zip(found[1200:], y[1200:])]) > 0.9
+    empty = [np.zeros(0, dtype=np.int32)] * 4
+    assert toxicity.fit(empty, np.array([0, 1, 1, 0])).logit(empty[0]) == pytest.approx(0)
+
+
 def test_classifiers_without_labels(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for got in (quality.score(docs, quality.train(docs, labels, F.lit(True))), toxicity.score(docs, toxicity.train(docs, labels, F.lit(True)))):

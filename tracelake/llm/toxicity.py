@@ -2,14 +2,16 @@
 
 Terms are a text's distinct words with ASCII letters lower-cased, and their first
 4, 5 and 6 bytes (inflected forms share a stem), hashed into ``SPACE`` places.
-Fitting keeps the places whose document frequencies differ between the classes
-by ``LEAST_Z`` standard errors, at most ``MOST_TERMS`` of them, and learns
+Fitting keeps every place that a labelled text has, and learns
 
     logit = w0 + sum_i w_i + sum_{i<j} <v_i, v_j>
 
-over the kept terms present in a text, so that pairs of terms (an insult with a
-mention of a group) add what neither adds alone.  The pair sum is computed as
-half of |sum v|^2 - sum |v|^2.  Null and empty texts have no terms and score
+over the known terms present in a text, so that pairs of terms (an insult with a
+mention of a group) add what neither adds alone.  The weights of a term are held
+to zero the more, the fewer standard errors (``SURE_Z`` at most, ``FAINT`` of that
+at least) its document frequencies differ by between the classes: a weak term needs
+more texts that ask for it, alone or in a pair, and none is left out.  The pair sum
+is computed as half of |sum v|^2 - sum |v|^2.  Null and empty texts have no terms and score
 sigmoid(w0).  Only the text enters a score; equal texts score alike.  With no
 usable labels of both classes every score is the share of label 1 (0 if none).
 """
@@ -24,8 +26,8 @@ from tracelake.llm import labelled
 from tracelake.llm.textkit import Hasher, texts, word_bounds
 
 SPACE = 1 << 20
-MOST_TERMS, LEAST_Z, LEAST_DOCS = 8192, 6.0, 3
-FACTORS, STEPS, RATE, DECAY = 8, 200, 0.05, 1e-2
+SURE_Z, FAINT = 6.0, 0.03
+FACTORS, STEPS, RATE, DECAY = 8, 60, 0.05, 3e-3
 #: Labelled documents of each class that the fit may use.
 PER_CLASS = 6000
 
@@ -65,41 +67,52 @@ def fit(found: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
     if not n1 or not n0:
         share = n1 / max(1, n0 + n1)
         return Machine(index, 40.0 * (2 * share - 1), np.zeros(1), np.zeros((1, FACTORS)))
-    one, two = np.zeros(SPACE, dtype=np.int64), np.zeros(SPACE, dtype=np.int64)
-    for label, counts in ((1, one), (0, two)):
-        own = [x for x, i in zip(found, y) if i == label]
-        for at in range(0, len(own), 500):  # some documents at a time: their terms are many
-            counts += np.bincount(np.concatenate(own[at : at + 500]), minlength=SPACE)
-    p = (one + two) / (n0 + n1)
-    z = (one / n1 - two / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    z[one + two < LEAST_DOCS] = 0
-    kept = np.argsort(-np.abs(z), kind="stable")[:MOST_TERMS]
-    kept = kept[np.abs(z[kept]) >= LEAST_Z]
-    del one, two, p, z
-    index[kept] = np.arange(len(kept))
-    rows = [index[x] for x in found]
-    rows = [x[x >= 0] for x in rows]
-    n, m = len(rows), max(1, len(kept))
-    doc, row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in rows]), np.concatenate(rows)
-    rng = np.random.default_rng(seed)
-    w0, w, v = np.zeros(1), np.zeros(m), rng.normal(0, 0.01, (m, FACTORS)).T.copy()
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    params, moments = [w0, w, v], [[np.zeros_like(x), np.zeros_like(x)] for x in (w0, w, v)]
-    for step in range(1, STEPS + 1):
-        totals, pair = np.empty((FACTORS, n)), np.zeros(n)
-        for f in range(FACTORS):  # a factor at a time, so that memory holds a few numbers a term
-            vf = v[f][row]
-            totals[f] = np.bincount(doc, vf, n)
-            pair += totals[f] * totals[f] - np.bincount(doc, vf * vf, n)
-        g = weight * (labelled.sigmoid(w0[0] + np.bincount(doc, w[row], n) + 0.5 * pair) - y)
-        gr = g[doc]
-        dv = np.stack([np.bincount(row, gr * (totals[f][doc] - v[f][row]), m) for f in range(FACTORS)])
-        grads = [np.array([g.sum()]), np.bincount(row, gr, m) + DECAY / m * w, dv + DECAY / m * v]
-        for x, (a, s), dx in zip(params, moments, grads):
-            a += 0.1 * (dx - a)
-            s += 0.001 * (dx * dx - s)
-            x -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return Machine(index, float(w0[0]), w, v.T.copy())
+    places = np.flatnonzero(np.bincount(np.concatenate(found), minlength=SPACE)) if sum(map(len, found)) else np.zeros(1, dtype=np.int64)
+    index[places] = np.arange(len(places))
+    live = np.flatnonzero([len(x) > 0 for x in found])  # a sum of each run needs one term at least
+    n, m = len(found), len(places)
+    row = index[np.concatenate([found[i] for i in live])] if len(live) else np.zeros(0, dtype=np.int32)
+    doc = np.repeat(live.astype(np.int32), [len(found[i]) for i in live])
+    docs = np.flatnonzero(np.diff(doc, prepend=-1))  # where the terms of each text begin
+    order = np.argsort(row, kind="stable")
+    cols = np.flatnonzero(np.diff(row[order], prepend=-1))  # and the texts of each term
+    doc = doc[order]
+    del order
+    one, every = np.bincount(row, (y[live] == 1).repeat(np.diff(docs, append=len(row))), m), np.bincount(row, minlength=m)
+    p = every / n
+    z = (one / n1 - (every - one) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    trust = np.clip(np.abs(z) / SURE_Z, FAINT, 1).astype(np.float32)
+    del one, every, p, z
+    # column 0 of the tables is w, the others are v; what enters the sum is weights times trust
+    weights = np.random.default_rng(seed).normal(0, 0.01, (FACTORS + 1, m)).astype(np.float32)
+    weights[0] = 0
+    w0, grad, mean, square = 0.0, np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(weights)
+    mean0 = square0 = 0.0
+    balance = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    total = np.zeros((FACTORS + 1, n), dtype=np.float32)
+    for step in range(1, STEPS + 1 if len(row) else 1):
+        pair, own = np.zeros(n), np.zeros(m, dtype=np.float32)
+        for f in range(FACTORS + 1):  # a factor at a time, so that memory holds a few numbers a term
+            part = weights[f] * trust
+            total[f, live] = np.add.reduceat(part[row], docs)
+            if f:
+                pair += total[f].astype(np.float64) ** 2
+                own += part * part
+        pair[live] -= np.add.reduceat(own[row], docs)
+        g = balance * (labelled.sigmoid(w0 + total[0] + 0.5 * pair) - y)
+        gr = g.astype(np.float32)
+        each = np.add.reduceat(gr[doc], cols)
+        for f in range(FACTORS + 1):
+            asked = np.add.reduceat((gr * total[f])[doc], cols) - weights[f] * trust * each if f else each
+            grad[f] = asked * trust + DECAY * weights[f]
+        mean += 0.1 * (grad - mean)
+        square += 0.001 * (grad * grad - square)
+        weights -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        mean0 += 0.1 * (g.sum() - mean0)
+        square0 += 0.001 * (g.sum() ** 2 - square0)
+        w0 -= RATE * (mean0 / (1 - 0.9**step)) / (np.sqrt(square0 / (1 - 0.999**step)) + 1e-8)
+    weights *= trust
+    return Machine(index, float(w0), weights[0].copy(), weights[1:].T.copy())
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Machine:
