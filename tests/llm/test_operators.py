@@ -472,6 +472,26 @@ def test_vantage_points_exact_and_relaxed(spark):
     assert vptrees.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vantage_points_keep_the_smaller_ids_of_ties(spark):
+    rng = np.random.default_rng(8)
+    for low, high, dim in ((0, 2, 10), (-1, 2, 8)):
+        rows = list(zip(rng.permutation(900).tolist(), rng.integers(low, high, (900, dim)).astype(float).tolist()))
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {}
+        for r in sorted(vptrees.nearest(df, F.col("vec_id") % 20 == 0, k=7, factor=1.0, shard=300).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == brute_nearest(rows, 7)
+
+
+def test_tree_finds_ties_in_small_leaves():
+    points = np.random.default_rng(9).integers(0, 3, (3000, 6)).astype(float)
+    points = np.unique(points, axis=0)
+    q, rows, _ = vptrees.Tree(points, leaf=16).within(points, points[:30], 9, 1.0)
+    for i in range(30):
+        d = ((points - points[i]) ** 2).sum(axis=1)
+        assert set(rows[q == i]) == set(np.flatnonzero(d <= np.sort(d)[8]))
+
+
 def test_tree_prunes_on_easy_points():
     points = np.random.default_rng(1).normal(size=(5000, 2))
     tree = vptrees.Tree(points, leaf=32)

@@ -55,7 +55,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vptrees.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return vptrees.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, factor=1.0)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_mix_pivotal, op3_secret_scan, op4_warc_dictionary, op5_hyperminhash, op6_sentencepiece, op7_toxicity_fm, op8_weighted_fingerprints, op9_substring_dedup, op10_vantage_points)}

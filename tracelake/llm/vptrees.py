@@ -20,7 +20,8 @@ given, summed in double precision.
 Vectors that are null, empty or zero, or hold null or non-finite components, and
 rows with a null vec_id take no part.  A query meets candidates of its own length.
 Rows that share a vec_id count once, by their smallest vector.  Ties go to the
-smaller vec_id.  Equal vectors of a shard are one point of its tree.
+smaller vec_id: a shard keeps every point that ties with the last place within
+rounding, and cuts by exact score and id.  Equal vectors of a shard are one point of its tree.
 """
 
 from __future__ import annotations
@@ -66,25 +67,27 @@ class Tree:
             self.nodes.append((a, b, vantage, [0, 0], ((d[0], d[m - 1]), (d[m], d[-1]))))
             todo += [(a, a + m, me, 0), (a + m, b, me, 1)]
 
-    def search(self, points: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distance, row) of the k nearest points found for each query; row -1 where there are fewer."""
-        dist, found = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1)
+    def within(self, points: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, squared distance), by query and distance, of the k nearest points found and of all that tie with the k-th.
+
+        Points tie when their squared distances differ by no more than rounding may.
+        """
+        dist, kept = np.full((len(queries), k), np.inf), []
         norms, own = (points * points).sum(1), (queries * queries).sum(1)
+        scale = max(norms.max(initial=0.0), own.max(initial=0.0))
+        slack = 8 * (points.shape[1] + 8) * np.finfo(np.float64).eps * scale
 
         def visit(i: int, active: np.ndarray) -> None:
             a, b, vantage, children, reach = self.nodes[i]
             if children is None:
                 rows = self.order[a:b]
-                d = np.sqrt(np.maximum(own[active, None] + norms[rows] - 2 * queries[active] @ points[rows].T, 0))
-                better = np.flatnonzero((d < dist[active, -1:]).any(axis=1))
-                if len(better):
-                    at = active[better]
-                    every = np.concatenate([dist[at], d[better]], axis=1)
-                    names = np.concatenate([found[at], np.broadcast_to(rows, (len(at), len(rows)))], axis=1)
-                    best = np.argpartition(every, k - 1, axis=1)[:, :k]
-                    every, names = np.take_along_axis(every, best, 1), np.take_along_axis(names, best, 1)
-                    rank = np.argsort(every, axis=1)
-                    dist[at], found[at] = np.take_along_axis(every, rank, 1), np.take_along_axis(names, rank, 1)
+                d = np.maximum(own[active, None] + norms[rows] - 2 * queries[active] @ points[rows].T, 0)
+                some = np.flatnonzero((d <= dist[active, -1:] + slack).any(axis=1))
+                if len(some):
+                    at, d = active[some], d[some]
+                    dist[at] = np.partition(np.concatenate([dist[at], d], axis=1), k - 1, axis=1)[:, :k]
+                    q, r = np.nonzero(d <= dist[at, -1:] + slack)
+                    kept.append((at[q], rows[r], d[q, r]))
                 return
             d = np.linalg.norm(queries[active] - points[vantage], axis=1)
             first = (d > 0.5 * (reach[0][1] + reach[1][0])).astype(int)  # the likelier child
@@ -93,12 +96,26 @@ class Tree:
                     use = (first == side) == (turn == 0)
                     lo, hi = reach[side]
                     gap = np.maximum(np.maximum(d - hi, lo - d), 0.0)
-                    use &= factor * gap <= dist[active, -1] + 1e-9
+                    use &= factor * gap <= np.sqrt(dist[active, -1] + slack) + slack / max(np.sqrt(scale), 1e-300)
                     if use.any():
                         visit(children[side], active[use])
 
-        if len(points):
+        if len(points) and len(queries):
             visit(0, np.arange(len(queries)))
+        if not kept:
+            return np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
+        q, rows, d = (np.concatenate(x) for x in zip(*kept))
+        near = np.flatnonzero(d <= dist[q, -1] + slack)
+        near = near[np.lexsort((d[near], q[near]))]
+        return q[near], rows[near], d[near]
+
+    def search(self, points: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(distance, row) of the k nearest points found for each query; row -1 where there are fewer."""
+        dist, found = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1)
+        q, rows, d = self.within(points, queries, k, factor)
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        use = place < k
+        dist[q[use], place[use]], found[q[use], place[use]] = np.sqrt(d[use]), rows[use]
         return dist, found
 
 
@@ -133,13 +150,16 @@ class Shard:
         """(query_id, vec_id, score) of the k best of each query, without itself."""
         norms = np.linalg.norm(queries, axis=1, keepdims=True)
         lifted = np.concatenate([queries * (self.top / norms), np.zeros((len(queries), 1))], axis=1)
-        _, found = self.tree.search(self.points(), lifted, min(k + 1, len(self.vectors)), factor)
-        for q, own, rows in zip(queries, ids.tolist(), found):
-            rows = rows[rows >= 0]
-            scores = (self.vectors[rows] * q).sum(axis=1)
-            hits = [(-s, i) for s, r in zip(scores.tolist(), rows.tolist()) for i in self.ids[r].tolist() if i != own]
-            for s, i in sorted(hits)[:k]:
-                yield own, i, -s
+        asked, found, _ = self.tree.within(self.points(), lifted, min(k + 1, len(self.vectors)), factor)
+        begin = np.searchsorted(asked, np.arange(len(queries) + 1))
+        for q, own, a, b in zip(queries, ids.tolist(), begin, begin[1:]):
+            rows = found[a:b]
+            scores = (self.vectors[rows] * q).sum(axis=1).repeat([len(self.ids[r]) for r in rows])
+            names = np.concatenate([self.ids[r] for r in rows])
+            scores, names = scores[names != own], names[names != own]
+            best = np.lexsort((names, -scores))[:k]
+            for s, i in zip(scores[best].tolist(), names[best].tolist()):
+                yield own, i, s
 
 
 def usable(vector: Column) -> Column:
