@@ -154,6 +154,13 @@ def test_rewrites(spark):
     assert got == {"x": ("s1", "tree", "detected"), "y": ("s1", "patch-id", "detected"), "z": (None, None, "ambiguous"), "w": (None, None, "unmatched")}
 
 
+def test_tree_keeps_orphans_and_cycles(spark):
+    parents = [("a", None), ("b", "a"), ("b", "a"), ("o", "gone"), ("p", "o"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s")]
+    rows = spark.createDataFrame([((i, p),) for i, p in parents], "conversation struct<id string, parent string>")
+    got = {r.conversation: (r.root, r.level, r.events) for r in reading.tree(rows).collect()}
+    assert got == {"a": ("a", 0, 1), "b": ("a", 1, 2), "o": ("o", 0, 1), "p": ("o", 1, 1)} | {i: (None, None, 1) for i in "xyzs"}
+
+
 def test_drift(spark, chat):
     lost = chat.withColumns({"kind": F.lit("unrecognized"), "content_json": F.concat(F.lit('{"unrecognized_type":"t'), (F.col("conversation.seq") % 2).cast("string"), F.lit('"}'))})
     assert {(r.type, r.n) for r in drift.counts(lost).collect()} == {("t0", 6), ("t1", 6)}

@@ -103,16 +103,24 @@ def conversations(events: DataFrame) -> DataFrame:
 
 
 def tree(events: DataFrame) -> DataFrame:
-    """(conversation, parent, events) with the root of each, following parents level by level; a cycle has no root."""
+    """(conversation, parent, events) with the root of each, following parents level by level.
+
+    A conversation whose parent has no events here is a root.  Those on a cycle, and
+    below one, come with a null root and level.
+    """
     own = events.where(F.col("conversation.id").isNotNull()).groupBy(F.col("conversation.id").alias("conversation")).agg(F.max("conversation.parent").alias("parent"), F.count("*").alias("events"))
-    rooted = own.where("parent is null").withColumns({"root": F.col("conversation"), "level": F.lit(0)})
+    own = _cut(own)
+    held = own.select(F.col("conversation").alias("_held"))
+    tops = own.join(held, F.col("parent") == F.col("_held"), "left_anti")
+    rooted = tops.withColumns({"root": F.col("conversation"), "level": F.lit(0)})
     frontier, level = rooted, 0
     while True:
         level += 1
         below = own.alias("o").join(frontier.alias("f"), F.col("o.parent") == F.col("f.conversation")).select("o.*", "f.root", F.lit(level).alias("level"))
         below = _cut(below)
         if below.isEmpty():
-            return rooted
+            rest = own.join(rooted.select(F.col("conversation").alias("_held")), F.col("conversation") == F.col("_held"), "left_anti")
+            return rooted.unionByName(rest.withColumns({"root": F.lit(None).cast("string"), "level": F.lit(None).cast("int")}))
         rooted, frontier = rooted.unionByName(below), below
 
 
