@@ -125,6 +125,48 @@ def test_toxicity_keeps_weak_terms():
     assert toxicity.fit(empty, np.array([0, 1, 1, 0])).logit(empty[0]) == pytest.approx(0)
 
 
+def test_toxicity_pairs():
+    """Two terms as common in either class, toxic together or both absent: no linear weights can tell."""
+    r = random.Random(8)
+    filler = ["filler%d" % i for i in range(120)]
+    y = np.arange(1600) % 2
+    both = lambda i: r.choice([["slight", "people"], []]) if i else [r.choice(["slight", "people"])]
+    found = [toxicity.terms(" ".join(r.choices(filler, k=12) + both(i)).encode()) for i in y]
+    model = toxicity.fit(found[:1200], y[:1200])
+    right = lambda m: np.mean([(m.logit(x) >= 0) == i for x, i in zip(found[1200:], y[1200:])])
+    assert right(model) > 0.75
+    x = found[0]
+    rows = [model.index[t] for t in x if model.index[t] >= 0]
+    plain = model.w0 + sum(float(model.w[i]) for i in rows) + sum(float(model.v[i] @ model.v[j]) for i, j in itertools.combinations(rows, 2))
+    assert model.logit(x) == pytest.approx(plain, abs=1e-4)
+    model.v[:] = 0
+    assert right(model) < 0.6
+
+
+def test_classifier_edge_rows(spark):
+    """Repeated rows, a very long text, columns of clashing names; equal texts score alike and reruns agree."""
+    docs, labels = labelled_corpus(spark, lambda r: " ".join(r.choices(["xx", "yyy", "zz$"], k=40)), lambda r: " ".join(r.choices(["good", "words", "here"], k=40)))
+    odd = docs.limit(3).unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(2000, "good words " * 60_000, "en", "s", 1)], DOCS))
+    every = docs.unionByName(odd).withColumns({"y": F.lit("a"), "score": F.lit(-1.0), "bytes": F.lit(2), "terms": F.lit(None).cast("string"), "h": F.lit(1), "label": F.lit(0)})
+    for kind in (quality, toxicity):
+        model = kind.train(every, labels, F.lit(True))
+        got = kind.score(every, model).collect()
+        assert len(got) == every.count() and {(r.doc_id, r.score) for r in got} == {(r.doc_id, r.score) for r in kind.score(every, kind.train(every, labels, F.lit(True))).collect()}
+        assert len({r.score for r in got if r.doc_id == 0}) == 1 and [0.5 <= r.score for r in got if r.doc_id == 2000] == [True]
+    assert toxicity.drop_toxic(every, model).columns == every.columns
+    assert toxicity.drop_toxic(every.limit(0), model).count() == 0 and toxicity.score(every.limit(0), model).count() == 0
+
+
+def test_labelled_sample_bounds(spark):
+    docs = spark.createDataFrame([(i, "w" * (10 if i else 900), None, None, None) for i in range(100)] + [(5, "other", None, None, None)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    take = lambda **more: labelled.sample(docs, labels, "quality", usable=F.lit(True), **more).collect()
+    assert len(take(per_class=1000)) == 100
+    assert sorted(r.y for r in take(per_class=7)) == [0] * 7 + [1] * 7
+    some = take(per_class=1000, most_bytes=200)
+    assert 0 < sum(len(r.text) for r in some if r.y) <= 200 and 0 not in {r.doc_id for r in some}
+
+
 def test_classifiers_without_labels(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for got in (quality.score(docs, quality.train(docs, labels, F.lit(True))), toxicity.score(docs, toxicity.train(docs, labels, F.lit(True)))):
@@ -135,6 +177,15 @@ def test_classifiers_without_labels(spark, docs, none):
 # Operator 2.
 
 
+def test_draw_keeps_clashing_columns(spark, docs):
+    odd = docs.withColumns({"row": F.col("doc_id") + 1, "copy": F.lit("c"), "copies": F.lit(7), "d": F.lit(1), "key": F.lit("k"), "whole": F.lit(0.5)})
+    got = mixing.draw(odd)
+    assert got.columns == odd.columns
+    found = got.collect()
+    assert found and all(r.row == (None if r.doc_id is None else r.doc_id + 1) and (r["copy"], r.copies, r.d, r.key, r.whole) == ("c", 7, 1, "k", 0.5) for r in found)
+    assert mixing.draw(odd.limit(0)).count() == 0
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}

@@ -113,7 +113,7 @@ def _level(open_: DataFrame, level: int, seed: int) -> DataFrame:
 
 def copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 2024, node: int = NODE) -> DataFrame:
     """(doc_id, source, size, source_size, target, row, copies) of every document; row is a hash of all its columns."""
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), F.xxhash64(*docs.columns).alias("row"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     sized = settle(sized, "mix-sizes")  # texts are read once
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(per.select("source", "source_size"), share, cap, weights)
@@ -153,8 +153,9 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
 
 def draw(docs: DataFrame, **settings) -> DataFrame:
-    """Each document as often as the mix takes it; equal rows are taken as often as all of them together."""
+    """Each document as often as the mix takes it, all its columns as they were; equal rows are taken as often as all of them together."""
     taken = copies(docs, **settings).groupBy("doc_id", "row").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    one = docs.withColumn("row", F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", "row"])
-    met = one.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.row") == F.col("t.row")))
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = one.withColumn("key", F.col("d.doc_id")).dropDuplicates(["key", "row"])
+    met = one.join(taken, one["key"].eqNullSafe(taken["doc_id"]) & (one["row"] == taken["row"]))
+    return met.select("d", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("d.*")

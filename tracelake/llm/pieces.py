@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tracelake.llm.textkit import share
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Kinds of piece and of model in the protobuf.
@@ -172,7 +174,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, verify:
 
     Columns of docs that are named so are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_model_bytes(model))  # half a MB
+    shared = share(docs.sparkSession, _model_bytes(model))  # half a MB
     docs = docs.drop("ids", "parity")
     i = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType())])
@@ -191,7 +193,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, verify:
 
 def decode(coded: DataFrame, model: str = MODEL, threads: int = THREADS) -> DataFrame:
     """The rows with a column decoded behind them, from their column ids."""
-    shared = coded.sparkSession.sparkContext.broadcast(_model_bytes(model))
+    shared = share(coded.sparkSession, _model_bytes(model))
     coded = coded.drop("decoded")
     i = coded.columns.index("ids")
     schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())])
@@ -212,7 +214,7 @@ def round_trip(docs: DataFrame, model: str = MODEL, threads: int = THREADS, veri
 
     round_trip tells whether decoding the ids gives the text, null texts counting as empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_model_bytes(model))
+    shared = share(docs.sparkSession, _model_bytes(model))
 
     def run(batches):
         codec = Codec(shared.value, threads)

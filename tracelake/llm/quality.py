@@ -23,13 +23,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 
 from tracelake.llm import labelled
-from tracelake.llm.textkit import texts
+from tracelake.llm.textkit import share, texts
 
 BLOCK, LEVEL, DICT_BYTES = 4096, 3, 112640
 #: Labelled documents of each class that the fit may use; half make the
 #: dictionaries, half the calibration.
 PER_CLASS = 2400
-#: Blocks of a class that make its dictionary, spread evenly over its texts' blocks.
+#: Blocks of a class that make its dictionary, spread evenly over its texts' blocks:
+#: the parameter most_blocks of the fit, as per_class is (10 MB of text at most).
 MOST_BLOCKS = 2500
 
 
@@ -72,10 +73,10 @@ class Scorer:
         return labelled.sigmoid(features(rows) @ self.weights)
 
 
-def _dictionary(texts_: list[bytes]) -> bytes | None:
+def _dictionary(texts_: list[bytes], most_blocks: int) -> bytes | None:
     every = [b for t in texts_ for b in blocks(t)]
-    if len(every) > MOST_BLOCKS:
-        every = [every[int(i)] for i in np.linspace(0, len(every) - 1, MOST_BLOCKS)]
+    if len(every) > most_blocks:
+        every = [every[int(i)] for i in np.linspace(0, len(every) - 1, most_blocks)]
     size = min(DICT_BYTES, max(1024, sum(map(len, every)) // 8))
     try:
         return zstandard.train_dictionary(size, every, level=LEVEL).as_bytes()
@@ -83,11 +84,11 @@ def _dictionary(texts_: list[bytes]) -> bytes | None:
         return None
 
 
-def fit(rows: list[tuple[int, bytes]]) -> Scorer:
+def fit(rows: list[tuple[int, bytes]], most_blocks: int = MOST_BLOCKS) -> Scorer:
     """Fit on (label, text) pairs; every other text of a class goes to its dictionary."""
     by = {y: [t for label, t in rows if label == y] for y in (0, 1)}
     share = len(by[1]) / len(rows) if rows else 0.5
-    good, bad = _dictionary(by[1][::2]), _dictionary(by[0][::2])
+    good, bad = _dictionary(by[1][::2], most_blocks), _dictionary(by[0][::2], most_blocks)
     rest = [(y, t) for y in (0, 1) for t in by[y][1::2]]
     if good is None or bad is None or len({y for y, _ in rest}) < 2:
         return Scorer(b"", b"", None, share)
@@ -97,15 +98,15 @@ def fit(rows: list[tuple[int, bytes]]) -> Scorer:
     return scorer
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", per_class: int = PER_CLASS) -> Scorer:
-    """Fit on a bounded sample of the labelled documents (see labelled.sample)."""
-    rows = labelled.sample(docs, labels, label, per_class, usable).select("y", "text").toArrow()
-    return fit(list(zip(rows["y"].to_pylist(), texts(rows["text"]))))
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", per_class: int = PER_CLASS, most_blocks: int = MOST_BLOCKS) -> Scorer:
+    """Fit on a bounded sample of the labelled documents (see labelled.sample), in one task."""
+    rows = labelled.sample(docs, labels, label, per_class, usable)
+    return labelled.fitted(rows, lambda t: fit(list(zip(t["y"].to_pylist(), texts(t["text"]))), most_blocks)) or fit([])
 
 
 def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id") -> DataFrame:
     """(key, score) of every document: one pass, no shuffle; the model is of fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = share(docs.sparkSession, scorer)
 
     def run(batches):
         for b in batches:
