@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import minhash, mixing, pieces, secrets, toxicity
-from tracelake.llm.textkit import settle
+from tracelake.llm.textkit import clear, drop, mark, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        began, given = mark(), docs
+        docs = settle(stage(spark, given, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        clear(spark, began, keep=docs)  # what the stage wrote and broadcast on its way
+        drop(given)
     return docs
