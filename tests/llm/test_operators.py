@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import fingerprints, labelled, minhash, mixing, pieces, quality, secrets, substrings, toxicity, vptrees, warc
+from tracelake.llm.components import components
 from tracelake.llm.textkit import Hasher, shingle_hashes, word_bounds, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -365,6 +366,31 @@ def test_near_duplicates_hot_group(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_near_duplicates_boilerplate(spark, monkeypatch):
+    """Families that share most of their words fall in one another's bands and must stay apart; small tiles, chains of links."""
+    monkeypatch.setattr(minhash, "TILE", 8)
+    rng = random.Random(6)
+    common, rows = [f"c{i}" for i in range(240)], []
+    for f in range(6):
+        words = common + [f"f{f}x{i}" for i in range(60)]
+        for _ in range(12):
+            words = list(words)  # each a change of the one before, so ends of a family may be too far apart
+            for _ in range(4):
+                words[rng.randrange(300)] = f"n{rng.random()}"
+            rows.append((rng.randrange(10**6), " ".join(words), "en", "s", 1))
+    want = brute_near(rows, 5, 80)
+    assert 1 < len({c for *_, c in want}) < 60
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 5, 0.8).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 1150), (7, 7), (-5, 300)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: -5 for i in [-5, *range(301)]}, **{i: 1000 for i in [*range(1000, 1200), 5000]}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_empty(none):
     assert minhash.near_duplicates(none).count() == 0
 

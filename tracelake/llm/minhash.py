@@ -10,37 +10,41 @@ sets reaches the threshold; the answer gives each document's connected component
    Empty buckets borrow by a fixed random list of donors, so that two registers
    agree with a probability near the similarity, for short texts too.
 2. Documents with equal sets are one class, led by the smallest id.
-3. Bands of registers of the leaders are grouped; members of a band's group are
-   tied to its smallest id, one row a member however large the group.  The chance
-   that a pair at the threshold shares no band is below ``MISS``.
-4. The ties' connected components are the candidate clusters.  A cluster is dealt
-   into blocks of ``TILE`` members, and pairs of blocks are compared whole, in
-   numpy: first by the collision-corrected estimate from the registers, then
-   exactly on the full sets.  Only the links of a spanning forest leave a tile.
-5. The forests' connected components are the answer.
-
-A hot group of near copies thus makes tiles, not pairs.  Rows with a null id take
-no part and get a null component; rows with one id are one document.
+3. Bands of registers of the leaders are grouped; the chance that a pair at the
+   threshold shares no band is below ``MISS``.  Groups with the same members count once.
+4. Each group's members are compared with its smallest id: first by the
+   collision-corrected estimate from the registers, then exactly on the full sets.
+   Only what these full sets confirm is a link, and only links are followed: the
+   links' connected components are the clusters so far.
+5. Where a group still holds several clusters, its members outside the largest one are
+   compared with all of its members.  Any pair of a group is thus in one cluster or
+   has been compared.  The components of all links are the answer.
+
+Comparisons are dealt into tiles of about ``TILE`` members on each side, so a hot group
+makes tiles, not pairs; of each tile only the links of a spanning forest leave.  A
+group of near copies costs each member's set once and its first member's once a tile.
+Rows with a null id take no part and get a null component; rows with one id are one
+document.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.components import components
 from tracelake.llm.textkit import U64, mix, partitions, settle, shingle_hashes, texts, word_hashes
 
-BUCKETS, MANTISSA, TILE, MISS = 384, 10, 256, 1e-6
+BUCKETS, MANTISSA, MISS = 384, 10, 1e-6
+#: Members of a side of a tile, and their shingles (8 bytes each), on the average at most.
+TILE, TILE_SHINGLES = 256, 4 << 20
 _TRIES = 64
 _donors = np.random.default_rng(5).integers(0, BUCKETS, (_TRIES, BUCKETS))
 #: The chance that unequal minima agree in zeros and mantissa.  The density of the
 #: smallest of many hashes makes it about 0.17 / 2^bits.
 COLLISION = 0.17 / (1 << MANTISSA)
-#: Ids above this many are joined by a shuffle, fewer (16 bytes each) broadcast.
-MOST_BROADCAST = 1_000_000
 #: Estimates this far below the threshold (over 7 standard errors of 384
 #: registers) rule a pair out; sets under LEAST_SET are always compared.
 SLACK, LEAST_SET = 0.2, 128
@@ -96,42 +100,38 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (same - COLLISION) / (1 - COLLISION))
 
 
-def linked(sets: list[np.ndarray], regs: np.ndarray, percent: float) -> np.ndarray:
-    """Which pairs of documents reach the threshold: a boolean matrix, exact."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-    maybe = 100 * small >= percent * large
-    np.fill_diagonal(maybe, False)
-    if n == 2 and not maybe.any():
+def linked(left: list[np.ndarray], left_regs: np.ndarray, right: list[np.ndarray], right_regs: np.ndarray, percent: float, maybe: np.ndarray) -> np.ndarray:
+    """Which pairs of left and right documents reach the threshold, of those that maybe asks for: a boolean matrix, exact."""
+    a, b = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    small, large = np.minimum.outer(a, b), np.maximum.outer(a, b)
+    maybe = maybe & (100 * small >= percent * large)
+    rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+    if not len(rows):
         return maybe
-    maybe &= (estimate(regs, regs) >= percent / 100 - SLACK) | (small < LEAST_SET)
-    use = np.flatnonzero(maybe.any(axis=1))
-    if not len(use):
-        return maybe
-    both = np.zeros((n, n), dtype=np.int64)
-    if len(use) <= 4:
-        for i in use:
-            for j in use[use > i]:
-                if maybe[i, j]:
-                    both[i, j] = both[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-    else:
-        doc = np.repeat(np.arange(len(use)), sizes[use])
-        _, term, df = np.unique(np.concatenate([sets[i] for i in use]), return_inverse=True, return_counts=True)
-        order = np.cumsum(df > 1) - 1
-        keep = df[term] > 1
-        doc, term = doc[keep], order[term[keep]]
-        total = np.zeros((len(use), len(use)))
-        by = np.argsort(term, kind="stable")
-        doc, term = doc[by], term[by]
-        width = 4096
-        for c in range(0, int(term[-1]) + 1 if len(term) else 0, width):
-            a, b = np.searchsorted(term, [c, c + width])
-            dense = np.zeros((len(use), width), dtype=np.float32)
-            dense[doc[a:b], term[a:b] - c] = 1.0
-            total += dense @ dense.T
-        both[np.ix_(use, use)] = np.rint(total).astype(np.int64)
-    return maybe & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
+    near = np.zeros_like(maybe)
+    near[np.ix_(rows, cols)] = estimate(left_regs[rows], right_regs[cols]) >= percent / 100 - SLACK
+    maybe &= near | (small < LEAST_SET)
+    both = np.zeros(maybe.shape, dtype=np.int64)
+    rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+    if maybe.sum() <= 4 * (len(rows) + len(cols)):
+        for i, j in zip(*np.nonzero(maybe)):
+            both[i, j] = len(np.intersect1d(left[i], right[j], assume_unique=True))
+    else:  # a product of 0/1 matrices, some thousand shingles at a time
+        one, two = (np.repeat(np.arange(len(at)), n[at]) for at, n in ((rows, a), (cols, b)))
+        every, term = np.unique(np.concatenate([left[i] for i in rows] + [right[j] for j in cols]), return_inverse=True)
+        x, y = term[: len(one)], term[len(one) :]
+        one, x = one[o := np.argsort(x, kind="stable")], x[o]
+        two, y = two[o := np.argsort(y, kind="stable")], y[o]
+        width, total = 4096, np.zeros((len(rows), len(cols)))
+        for c in range(0, len(every), width):
+            dense = []
+            for doc, at, n in ((one, x, len(rows)), (two, y, len(cols))):
+                f, t = np.searchsorted(at, [c, c + width])
+                dense.append(np.zeros((n, width), dtype=np.float32))
+                dense[-1][doc[f:t], at[f:t] - c] = 1.0
+            total += dense[0] @ dense[1].T
+        both[np.ix_(rows, cols)] = np.rint(total).astype(np.int64)
+    return maybe & (100 * both >= percent * (a[:, None] + b[None, :] - both))
 
 
 def forest(ids: np.ndarray, link: np.ndarray) -> list[tuple[int, int]]:
@@ -166,83 +166,151 @@ def _features(docs: DataFrame, k: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, bands array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, members, members' cluster, set and registers as bytes) of docs with columns doc_id, text, cluster, size."""
+#: What a document is asked for: side 0 (member) or 1 (compared with all members) of a
+#: group, its block of that side, the blocks of the other side, and its cluster so far.
+_ASK = "struct<group:long,side:int,block:long,others:long,cluster:long>"
+
+
+def _sent(docs: DataFrame, k: int) -> DataFrame:
+    """A row for each tile that a document (doc_id, text, asks) is in: group, i, j, side, id, cluster, set, regs."""
 
     def run(batches):
-        for b in batches:
-            sets = [shingle_set(t, k) for t in texts(b.column(1))]
-            cols = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([registers(s).tobytes() if len(s) else b"" for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *cols], ["id", "cluster", "size", "set", "regs"])
+        names = ["group", "i", "j", "side", "id", "cluster", "set", "regs"]
+        types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.binary()] * 2
 
-    return docs.select("doc_id", "text", "cluster", "size").mapInArrow(run, "id long, cluster long, size long, set binary, regs binary")
+        def rows(out):
+            cols = list(zip(*out)) if out else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+        for b in batches:
+            out, held = [], 0
+            for doc, t, asks in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist()):
+                s = shingle_set(t, k)
+                if not len(s):
+                    continue
+                data = s.tobytes(), registers(s).tobytes()
+                for ask in asks:
+                    for other in range(ask["others"]):
+                        at = (ask["block"], other) if ask["side"] == 0 else (other, ask["block"])
+                        out.append((ask["group"], *at, ask["side"], doc, ask["cluster"], *data))
+                        held += len(data[0]) + 1000
+                        if held > 16 << 20:
+                            yield rows(out)
+                            out, held = [], 0
+            yield rows(out)
+
+    return docs.select("doc_id", "text", "asks").mapInArrow(run, "group long, i long, j long, side int, id long, cluster long, set binary, regs binary")
 
 
 def _tile_links(tiles: DataFrame, percent: float) -> DataFrame:
     """Spanning-forest links of each tile's documents; tiles arrive sorted, one after another."""
 
-    def solve(ids, sets, regs):
-        order = {}
-        for i, s, r in zip(ids, sets, regs):  # a member of both blocks comes once
-            order.setdefault((i, s), r)
-        if len(order) < 2:
+    def solve(rows):
+        sides = ({}, {})
+        for side, i, cluster, s, r in rows:  # rows that share an id may differ in text
+            sides[side].setdefault((i, s), (cluster, r))
+        if not sides[0] or not sides[1]:
             return []
-        ids = np.array([i for i, _ in order], dtype=np.int64)
-        sets = [np.frombuffer(s, dtype=U64) for _, s in order]
-        regs = np.stack([np.frombuffer(r, dtype=np.uint16) for r in order.values()])
-        return forest(ids, linked(sets, regs, percent))
+        ids = [np.array([i for i, _ in x], dtype=np.int64) for x in sides]
+        clusters = [np.array([c for c, _ in x.values()], dtype=np.int64) for x in sides]
+        sets = [[np.frombuffer(s, dtype=U64) for _, s in x] for x in sides]
+        regs = [np.stack([np.frombuffer(r, dtype=np.uint16) for _, r in x.values()]) for x in sides]
+        apart = (ids[0][:, None] != ids[1][None, :]) & (clusters[0][:, None] != clusters[1][None, :])
+        found = linked(sets[0], regs[0], sets[1], regs[1], percent, apart)
+        if found.shape[1] == 1:
+            return [(int(i), int(ids[1][0])) for i in ids[0][found[:, 0]]]
+        n = len(ids[0])
+        link = np.zeros((n + len(ids[1]),) * 2, dtype=bool)
+        link[:n, n:], link[n:, :n] = found, found.T
+        return forest(np.concatenate(ids), link)
+
+    def pairs(out):
+        a, b = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches):
-        key, ids, sets, regs = None, [], [], []
+        key, held = None, []
         for b in batches:
             out = []
-            tile = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
-            for k, i, s, r in zip(tile, b.column(3).to_pylist(), b.column(4), b.column(5)):
-                if k != key:
-                    out += solve(ids, sets, regs)
-                    key, ids, sets, regs = k, [], [], []
-                ids.append(i)
-                sets.append(s.as_py())
-                regs.append(r.as_py())
-            yield _pairs(out)
-        yield _pairs(solve(ids, sets, regs))
-
-    def _pairs(out):
-        a, b = zip(*out) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for at, *rest, s, r in zip(zip(*(b.column(i).to_pylist() for i in range(3))), *(b.column(i).to_pylist() for i in (3, 4, 5)), b.column(6), b.column(7)):
+                if at != key:
+                    out += solve(held)
+                    key, held = at, []
+                held.append((*rest, s.as_py(), r.as_py()))
+            yield pairs(out)
+        yield pairs(solve(held))
+
+    return tiles.mapInArrow(run, "a long, b long")
+
+
+def _verified(docs: DataFrame, asks: DataFrame, k: int, percent: float) -> DataFrame:
+    """Links (a, b) among the documents (doc_id) asked for; asks holds (doc_id, ask)."""
+    asks = settle(asks.groupBy("doc_id").agg(F.collect_list("ask").alias("asks")), "nd-asks")  # a few for each band at most
+    tiles = _sent(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asks, "doc_id"), k)
+    tiles = tiles.repartition(partitions(docs.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return settle(_tile_links(tiles, percent), "nd-found")
+
+
+def _blocks(n: str, shingles: str) -> Column:
+    """How many blocks a side of so many members and shingles makes."""
+    return F.ceil(F.greatest(F.col(n) / TILE, F.col(shingles) / TILE_SHINGLES, F.lit(1.0)))
+
+
+def _ask(group: str, side: int, mine: str, others: str, cluster: str) -> Column:
+    block = F.pmod(F.xxhash64("doc_id", F.lit(3 + side)), F.col(mine))
+    parts = [F.col(group).cast("long"), F.lit(side), block, F.col(others).cast("long"), F.col(cluster).cast("long")]
+    return F.struct(*parts).cast(_ASK).alias("ask")
+
+
+def _first_asks(ties: DataFrame) -> DataFrame:
+    """(doc_id, ask): each member of a group against the group's smallest id."""
+    pairs = ties.where("doc_id <> leader").select("leader", "doc_id", "n_shingles").distinct()
+    per = settle(pairs.groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).select("leader", _blocks("n", "size").alias("blocks")), "nd-leaders")
+    one = F.lit(1).cast("long")
+    members = pairs.join(per, "leader").withColumn("one", one).select("doc_id", _ask("leader", 0, "blocks", "one", "doc_id"))
+    return members.unionByName(per.withColumns({"doc_id": F.col("leader"), "one": one}).select("doc_id", _ask("leader", 1, "one", "blocks", "leader")))
+
 
-    return tiles.select("cluster", "i", "j", "id", "set", "regs").mapInArrow(run, "a long, b long")
+def _rest_asks(ties: DataFrame, clusters: DataFrame) -> DataFrame | None:
+    """(doc_id, ask): in groups of several clusters, the members outside the largest one against all; None if there are none."""
+    tied = ties.join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("known")), "doc_id", "left")
+    tied = settle(tied.withColumn("cluster", F.coalesce("known", "doc_id")).drop("known"), "nd-tied")
+    per = tied.groupBy("band", "cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    big = F.max(F.struct("n", F.bitwise_not("cluster").alias("cluster"), "size"))
+    per = per.groupBy("band").agg(F.count("*").alias("clusters"), F.sum("n").alias("n"), F.sum("size").alias("size"), big.alias("big")).where("clusters > 1")
+    per = per.select("band", F.bitwise_not("big.cluster").alias("most"), "n", "size", (F.col("n") - F.col("big.n")).alias("m"), (F.col("size") - F.col("big.size")).alias("rest"))
+    per = settle(per.select("band", "most", _blocks("n", "size").alias("blocks"), _blocks("m", "rest").alias("others")), "nd-open")
+    if per.isEmpty():
+        return None
+    tied = tied.join(per, "band")
+    return tied.select("doc_id", _ask("band", 0, "blocks", "others", "cluster")).unionByName(tied.where("cluster <> most").select("doc_id", _ask("band", 1, "others", "blocks", "cluster")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
-    spark = docs.sparkSession
     percent = round(100 * threshold, 6)
     found = settle(_features(docs, k, rows_per_band(threshold)), "nd-features")
     real = found.where("doc_id is not null and n_shingles > 0")
     classes = settle(real.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("leader")), "nd-classes")
     led = real.join(classes, ["n_shingles", "one", "two"]).select("doc_id", "n_shingles", "leader", "bands")
     led = settle(led.withColumn("bands", F.when(F.col("doc_id") == F.col("leader"), F.col("bands"))), "nd-led")
-    keyed = led.where("doc_id = leader").select(F.explode("bands").alias("band"), F.col("leader").alias("a"))
-    groups = keyed.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = keyed.join(groups, "band").where("a <> b").select("a", "b")
-    clusters = settle(components(ties).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "nd-clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = settle(clusters.join(sizes, "cluster"), "nd-members")
-    if members.count() <= MOST_BROADCAST:
-        members = F.broadcast(members)
-    blocks = F.ceil(F.col("size") / TILE)
-    mine = F.pmod(F.xxhash64("id", F.lit(3)), blocks)
-    tiles = _sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id"), k)
-    tiles = tiles.where("length(set) > 0").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    tiles = tiles.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "set", "regs")
-    tiles = tiles.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = _tile_links(tiles, percent)
+    keyed = led.where("doc_id = leader").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    # groups of the same members, told by two sums without carry of their ids' hashes, count once
+    same = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    groups = keyed.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("n"), *same).where("leader < last")
+    groups = settle(groups.groupBy("leader", "n", "x1", "x2").agg(F.min("band").alias("band")).select("band", "leader"), "nd-groups")
+    ties = settle(keyed.join(groups, "band").select("band", "leader", "doc_id", "n_shingles"), "nd-ties")
     own = led.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-    shared = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    shared = settle(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "nd-shared")
     # rows that share an id lead their classes together
     repeated = led.join(shared, "doc_id").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-    tied = components(links.unionByName(own).unionByName(repeated)).withColumnRenamed("id", "doc_id")
-    out = found.select("doc_id", "n_shingles").join(tied, "doc_id", "left")
+    links = _verified(docs, _first_asks(ties), k, percent).unionByName(own).unionByName(repeated)
+    tied = settle(components(links), "nd-clusters")
+    asks = _rest_asks(ties, tied)
+    if asks is not None:
+        more = _verified(docs, asks, k, percent)
+        if not more.isEmpty():
+            tied = components(tied.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    out = found.select("doc_id", "n_shingles").join(tied.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
