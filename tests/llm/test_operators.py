@@ -412,7 +412,7 @@ TEXTS = [None, "", " ", "  two  spaces ", "a\n\nb\tc", "日本語 😀 é", "<s>
 
 def test_pieces_parity_and_round_trip(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").withColumn("ids", F.lit("clash"))
-    coded = pieces.encode(docs, verify=1)
+    coded = pieces.encode(docs)
     got = {r.doc_id: r for r in pieces.decode(coded).collect()}
     assert all(r.parity for r in got.values() if r.text is not None)
     assert all(r.decoded == r.text for r in got.values() if r.text is None or "▁" not in r.text)
@@ -422,22 +422,70 @@ def test_pieces_parity_and_round_trip(spark):
     assert out[5].ids_sha256 == hashlib.sha256(np.array(got[5].ids, dtype="<i4").tobytes()).hexdigest()
 
 
-def test_unigram_model_is_rebuilt():
-    piece = lambda p, s, kind=1: (1, p.encode(), s, kind)
+def sentencepiece_model(entries, kind=pieces.UNIGRAM, byte_fallback=False, normalizer=b"\x18\x01\x20\x00"):
+    """The protobuf of a model of pieces (text, score, kind); made here, not trained."""
+
+    def field(number, data):
+        n, size = len(data), b""
+        while n > 127:
+            n, size = n >> 7, size + bytes([n & 127 | 128])
+        return bytes([number << 3 | 2]) + size + bytes([n]) + data
 
-    def message(entries):
-        out = b""
-        for _, p, s, kind in entries:
-            body = b"\x0a" + bytes([len(p)]) + p + b"\x15" + np.float32(s).tobytes() + b"\x18" + bytes([kind])
-            out += b"\x0a" + bytes([len(body)]) + body
-        return out + b"\x12\x02\x18\x01" + b"\x1a\x04\x18\x01\x20\x00"
+    every = [field(1, p.encode()) + b"\x15" + np.float32(s).tobytes() + b"\x18" + bytes([k]) for p, s, k in entries]
+    spec = b"\x18" + bytes([kind]) + (b"\x98\x02\x01" if byte_fallback else b"")
+    return b"".join(field(1, x) for x in every) + field(2, spec) + field(3, normalizer)
 
-    entries = [piece("<unk>", 0, 2), piece("▁ab", -1), piece("▁a", -2), piece("b", -2.5), piece("c", -3), piece("bc", -3.2), piece("▁", -4)]
-    model = pieces.Model(message(entries))
+
+def test_unigram_model_is_rebuilt():
+    entries = [("<unk>", 0, 2), ("▁ab", -1, 1), ("▁a", -2, 1), ("b", -2.5, 1), ("c", -3, 1), ("bc", -3.2, 1), ("▁", -4, 1)]
+    model = pieces.Model(sentencepiece_model(entries))
     assert model.kind == pieces.UNIGRAM and model.dummy_prefix and not model.squeeze
     assert model.tokenizer().encode("abc ab", add_special_tokens=False).tokens == ["▁ab", "c", "▁ab"]
 
 
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_unigram_with_bytes_and_character_map(squeeze):
+    import sentencepiece
+
+    normal = dict(pieces.fields(sentencepiece.SentencePieceNormalizer(rule_name="nfkc").serialized_model_proto()))[3]
+    charsmap = dict(pieces.fields(normal))[2]
+    size = b"".join(bytes([len(charsmap) >> 7 * i & 127 | (128 if len(charsmap) >> 7 * (i + 1) else 0)]) for i in range((len(charsmap).bit_length() + 6) // 7))
+    rng = random.Random(2)
+    words = ["▁ab", "▁a", "b", "c", "bc", "▁", "d", "▁the", "he", "t", "h", "e", "fi", "f", "i", "ing", "n", "g", "①", "1", "é", "か", "が"]
+    entries = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{i:02X}>", 0, 6) for i in range(256)] + [(w, -rng.uniform(1, 9), 1) for w in words]
+    data = sentencepiece_model(entries, byte_fallback=True, normalizer=b"\x12" + size + charsmap + b"\x18\x01\x20" + bytes([squeeze]))
+    codec = pieces.Codec(data, 1)
+    assert codec.model.charsmap == charsmap and codec.model.byte_fallback and not codec.by_stretch
+    texts = ["the ﬁring", "ab  bc", " a ", "① が か\u3099", "日本語 😀", "", "x\u3000y", "thing\nabc", *("".join(rng.choices("abcthefing ①é日", k=30)) for _ in range(100))]
+    plain = sentencepiece.SentencePieceProcessor(model_proto=data)
+    got = codec.encode(texts)
+    assert [ids.tolist() for ids, _ in got] == [plain.encode(t) for t in texts]
+    assert np.mean([same for _, same in got]) > 0.9
+    assert codec.decode([ids.tolist() for ids, _ in got]) == [plain.decode(plain.encode(t)) for t in texts]
+
+
+def test_parity_of_every_text():
+    """Ids by stretches are those of whole texts; a text that the other library encodes otherwise is mended and told."""
+    with open(pieces.MODEL, "rb") as f:
+        codec = pieces.Codec(f.read(), 1)
+    assert codec.by_stretch
+    rng = random.Random(12)
+    texts = [t for t in TEXTS if t is not None] + ["".join(rng.choices("ab \n\té日▁<>0x", k=rng.randint(1, 60))) for _ in range(500)]
+    assert [codec.right(t).tolist() for t in texts] == [codec.plain.encode(t) for t in texts]
+    assert all(same for _, same in codec.encode(texts)) and codec.encode([None]) == [(None, None)]
+    codec.known["▁word"] = [5]
+    ids, same = codec.encode(["word"])[0]
+    assert ids.tolist() == [5] and not same
+
+
+def test_pieces_edge_tables(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
+    assert [r.n_tokens for r in pieces.round_trip(docs).collect()] == [r.n_tokens for r in pieces.round_trip(docs).collect()] and pieces.round_trip(docs).count() == 4
+    assert pieces.round_trip(docs.limit(0)).count() == 0 and pieces.encode(docs.limit(0)).columns == ["doc_id", "text", "n_tokens", "ids", "parity"]
+    assert pieces.encode(docs.withColumn("IDS", F.lit(1))).columns == ["doc_id", "text", "n_tokens", "ids", "parity"]
+    assert pieces.encode(docs.withColumn("ids", F.lit(1)), ids="pieces").where("ids = 1").count() == 4
+
+
 # Operator 8.
 
 

@@ -8,21 +8,26 @@ marker behind it, so texts are split there first, which lets the library remembe
 words; a model with such pieces is not split.
 
 ``encode`` turns every text into ids, batch by batch, on several threads.  Parity is
-verified against the sentencepiece library: on all texts of a share of the batches'
-rows chosen by a hash of the text, and a text whose ids differ gets that library's
-ids and is counted.  ``decode`` is the inverse.
-
-Null texts have null ids; empty texts have none, and an empty list decodes to the
-empty text.  Decoding gives the normalised text back: with an identity normaliser
+verified against the sentencepiece library for every text, and a text whose ids differ
+gets that library's ids and parity false.  Where a model encodes each stretch from one
+marker to the next by itself (no character map, no squeezing, a dummy prefix, no piece
+that crosses a marker) each distinct stretch is asked of that library once a task, and
+a text's ids are held against those of its stretches; else whole texts are asked.
+``decode`` is the inverse.
+
+Null texts have null ids and parity; empty texts have no ids, and an empty list decodes
+to the empty text.  Decoding gives the normalised text back: with an identity normaliser
 that is the text itself, unless it holds the marker U+2581, which reads as a space.
+Repeated rows give equal rows, empty tables empty results; only the text is read, so
+nulls in other columns and extra columns do not matter.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +38,13 @@ from tracelake.llm.textkit import share
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+_stretch = re.compile(f"{MARK}+[^{MARK}]*")
 #: Kinds of piece and of model in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 THREADS, CHUNK = 2, 64
-#: One text of so many, by hash, is held against the sentencepiece library.
-VERIFY = 16
+#: Characters of distinct stretches whose ids a task remembers; then it forgets them all.
+REMEMBERED = 8 << 20
 
 
 def fields(data: bytes):
@@ -87,6 +93,8 @@ class Model:
         self.charsmap = norm.get(2, b"")
         self.dummy_prefix, self.squeeze, self.escape = (bool(norm.get(i, 1)) for i in (3, 4, 5))
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
+        #: whether no piece crosses from a word into the marker behind it
+        self.apart = not any(MARK in p.lstrip(MARK) for p, _, _ in pieces)
         if self.kind not in (UNIGRAM, BPE) or self.suffix or not self.escape or any(p[2] == USER for p in pieces):
             raise ValueError("only unigram and BPE models with a leading marker and without user-defined pieces are read")
 
@@ -116,7 +124,7 @@ class Model:
             steps.append(normalizers.Prepend(" "))
         steps.append(normalizers.Replace(" ", MARK))
         out.normalizer = normalizers.Sequence(steps)
-        if not any(MARK in p.lstrip(MARK) for p, _, _ in self.pieces):
+        if self.apart:
             out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
         return out
 
@@ -138,19 +146,38 @@ class Codec:
         self.fast = self.model.tokenizer()
         self.table = self.model.bytes_of()
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=data)
-
-    def encode(self, texts: list[str | None], verify: int = VERIFY) -> list[tuple[np.ndarray | None, bool | None]]:
-        """(ids, parity) of each text: parity is null where it was not verified."""
+        m = self.model
+        self.by_stretch = m.apart and m.dummy_prefix and not m.squeeze and not m.charsmap
+        self.lone = self.plain.encode("a" + MARK)[len(self.plain.encode("a")) :]  # a marker with nothing behind it
+        self.known: dict[str, list[int]] = {}
+        self.held = 0
+
+    def right(self, text: str) -> np.ndarray:
+        """The ids that the sentencepiece library gives."""
+        if not self.by_stretch or not text:
+            return np.array(self.plain.encode(text), dtype=np.int32)
+        out, known = [], self.known
+        for x in _stretch.findall(MARK + text.replace(" ", MARK)):
+            ids = known.get(x)
+            if ids is None:
+                ids = self.plain.encode(x[1:]) if len(x) > 1 else self.lone  # the library sets the first marker itself
+                if len(x) < 1000:
+                    self.held += len(x)
+                    if self.held > REMEMBERED:
+                        known.clear()
+                        self.held = len(x)
+                    known[x] = ids
+            out += ids
+        return np.array(out, dtype=np.int32)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray | None, bool | None]]:
+        """(ids, parity) of each text."""
         given = [t or "" for t in texts]
         found = [np.array(e.ids, dtype=np.int32) for e in self.fast.encode_batch_fast(given, add_special_tokens=False)]
         out = []
         for t, g, ids in zip(texts, given, found):
-            same = None
-            if t is not None and verify and zlib.crc32(g.encode()) % verify == 0:
-                right = np.array(self.plain.encode(g), dtype=np.int32)
-                same = np.array_equal(right, ids)
-                ids = right
-            out.append((None if t is None else ids, same))
+            right = self.right(g)
+            out.append((None, None) if t is None else (right, np.array_equal(right, ids)))
         return out
 
     def decode(self, ids: list[list[int] | None]) -> list[str | None]:
@@ -169,34 +196,37 @@ def _model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, verify: int = VERIFY) -> DataFrame:
-    """The rows with columns ids (array of int) and parity (boolean, null where not verified) behind them.
+def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, ids: str = "ids", parity: str = "parity") -> DataFrame:
+    """The rows with the columns ids (array of int) and parity (boolean) behind them.
 
-    Columns of docs that are named so are replaced.
+    Columns of docs that are named so give way; to keep them, give other names.
     """
+    docs = docs.drop(ids, parity)
     shared = share(docs.sparkSession, _model_bytes(model))  # half a MB
-    docs = docs.drop("ids", "parity")
     i = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(parity, T.BooleanType())])
 
     def run(batches):
         codec = Codec(shared.value, threads)
         for b in batches:
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
-                found = codec.encode(part.column(i).to_pylist(), verify)
+                found = codec.encode(part.column(i).to_pylist())
                 cols = [pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([p for _, p in found], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, "ids", "parity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, ids, parity])
 
     return docs.mapInArrow(run, schema)
 
 
-def decode(coded: DataFrame, model: str = MODEL, threads: int = THREADS) -> DataFrame:
-    """The rows with a column decoded behind them, from their column ids."""
+def decode(coded: DataFrame, model: str = MODEL, threads: int = THREADS, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """The rows with a column decoded behind them, from their column of ids; null ids decode to null.
+
+    A column of that name gives way; to keep it, give another name.
+    """
+    coded = coded.drop(decoded)
     shared = share(coded.sparkSession, _model_bytes(model))
-    coded = coded.drop("decoded")
-    i = coded.columns.index("ids")
-    schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())])
+    i = coded.columns.index(ids)
+    schema = T.StructType([*coded.schema.fields, T.StructField(decoded, T.StringType())])
 
     def run(batches):
         codec = Codec(shared.value, threads)
@@ -204,15 +234,16 @@ def decode(coded: DataFrame, model: str = MODEL, threads: int = THREADS) -> Data
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
                 found = codec.decode(part.column(i).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, decoded])
 
     return coded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, model: str = MODEL, threads: int = THREADS, verify: int = VERIFY) -> DataFrame:
+def round_trip(docs: DataFrame, model: str = MODEL, threads: int = THREADS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as 4 bytes each, lowest first), round_trip and parity of each document.
 
-    round_trip tells whether decoding the ids gives the text, null texts counting as empty.
+    round_trip tells whether decoding the ids gives the text, null texts counting as
+    empty.  Repeated rows give a row each; an empty table gives none.
     """
     shared = share(docs.sparkSession, _model_bytes(model))
 
@@ -222,7 +253,7 @@ def round_trip(docs: DataFrame, model: str = MODEL, threads: int = THREADS, veri
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
                 given = [t or "" for t in part.column(1).to_pylist()]
-                found = codec.encode(given, verify)
+                found = codec.encode(given)
                 back = codec.decode([x.tolist() for x, _ in found])
                 cols = [pa.array([len(x) for x, _ in found], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x, _ in found])]
                 cols += [pa.array([t == g for t, g in zip(back, given)], pa.bool_()), pa.array([p for _, p in found], pa.bool_())]
