@@ -5,16 +5,17 @@ smallest hash of its runs of ``MER`` words, so equal windows have equal
 minimisers wherever they stand.  Consecutive windows that share a minimiser make
 a super-k-mer: one packed string of all their words, keyed by the minimiser.
 
-1. One pass over the texts notes each super-k-mer as (minimiser, hash of its
-   string, document, place).  A minimiser that lies in one document only holds no
-   repeated window, and its super-k-mers go no further.
+1. One pass over the texts notes each super-k-mer as (minimiser, BLAKE2 digest of its
+   words, document, place).  A minimiser that lies in one document only holds no
+   repeated window, and its super-k-mers go no further.  Equal digests of 128 bits
+   stand for equal words throughout.
 2. Where all super-k-mers of a minimiser are one string, every window in it first
    starts in the smallest document: no words need to travel.
 3. Else one copy of each different string travels to its minimiser's bucket, where
    its windows are sorted and compared word by word.
 4. A bucket of more than ``CROWD`` windows (a passage quoted in very many
-   documents) is dealt by window instead: keys of 128 bits, whose smallest document
-   is a minimum combined before the shuffle.
+   documents) is dealt by window instead: windows are grouped by their words, and the
+   smallest document of each is a minimum combined before the shuffle.
 5. The windows found give each document the ranges of words to remove.
 
 A window's words are removed where some document with a smaller doc_id has the
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.textkit import U64, Hasher, mix, partitions, settle, shingle_hashes, texts, word_bounds
+from tracelake.llm.textkit import U64, Hasher, partitions, settle, shingle_hashes, texts, word_bounds
 
 WINDOW, MER = 50, 8
 #: Windows of a super-k-mer at most; a longer run goes on in the next one.
@@ -41,19 +42,12 @@ LONGEST = 256
 CROWD = 40_000
 
 
-class Sequences:
-    """64-bit hashes of any runs of one text's word hashes, in constant time a run."""
-
-    def __init__(self, words: np.ndarray, salt: int = 0):
-        from tracelake.llm import textkit
-
-        textkit._grow(len(words) + 1)
-        self.sums = np.zeros(len(words) + 1, dtype=U64)
-        np.cumsum(mix(words + U64(salt)) * textkit._powers[: len(words)], out=self.sums[1:])
-        self.inverse = textkit._inverse
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64))
+def joined(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text's words joined by one space, and where each starts and ends in that."""
+    start, end = word_bounds(data)
+    size = end - start
+    ends = np.cumsum(size + 1) - 1
+    return b" ".join(data[i:j] for i, j in zip(start.tolist(), end.tolist())), ends - size, ends
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -81,27 +75,24 @@ def super_kmers(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np
     return least[starts], starts, counts
 
 
-def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    start, end = word_bounds(data)
-    return start, end, Hasher(data).of(start, end) if len(start) else np.zeros(0, dtype=U64)
-
-
 def _noted(docs: DataFrame, window: int) -> DataFrame:
     """(mini, string, doc_id, h, start, n) of every super-k-mer; n counts its windows."""
 
     def run(batches):
         for b in batches:
             for doc, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))):
-                words = _hashed(t)[2]
+                t, begin, end = joined(t)
+                words = Hasher(t).of(begin, end) if len(begin) else np.zeros(0, dtype=U64)
                 mini, start, n = super_kmers(words, window)
                 if not len(mini):
                     continue
-                string = Sequences(words).of(start, start + n + window - 1)
-                cols = [mini.view(np.int64), string.view(np.int64), np.full(len(n), doc), np.full(len(n), h), start, n]
-                types = [pa.int64()] * 4 + [pa.int32()] * 2
+                ranges = zip(begin[start].tolist(), end[start + n + window - 2].tolist())
+                string = [hashlib.blake2b(t[i:j], digest_size=16).digest() for i, j in ranges]
+                cols = [mini.view(np.int64), string, np.full(len(n), doc), np.full(len(n), h), start, n]
+                types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, types)], ["mini", "string", "doc_id", "h", "start", "n"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "mini long, string long, doc_id long, h long, start int, n int")
+    return docs.where("doc_id is not null").mapInArrow(run, "mini long, string binary, doc_id long, h long, start int, n int")
 
 
 def _packed(wanted: DataFrame, window: int) -> DataFrame:
@@ -111,10 +102,9 @@ def _packed(wanted: DataFrame, window: int) -> DataFrame:
         for b in batches:
             out = []
             for doc, t, items in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist()):
-                start, end = word_bounds(t)
+                t, start, end = joined(t)
                 for x in items:
-                    a, z = x["start"], x["start"] + x["n"] + window - 2
-                    packed = b" ".join(t[i:j] for i, j in zip(start[a : z + 1].tolist(), end[a : z + 1].tolist()))
+                    packed = t[start[x["start"]] : end[x["start"] + x["n"] + window - 2]]
                     out.append((x["mini"], x["string"], x["hi"], x["crowd"], doc, packed))
                 if len(out) >= 2000:
                     yield _rows(out)
@@ -123,13 +113,13 @@ def _packed(wanted: DataFrame, window: int) -> DataFrame:
 
     def _rows(out):
         cols = list(zip(*out)) if out else [()] * 6
-        types = [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.binary()]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["mini", "string", "hi", "crowd", "doc_id", "words"])
 
-    return wanted.mapInArrow(run, "mini long, string long, hi long, crowd boolean, doc_id long, words binary")
+    return wanted.mapInArrow(run, "mini long, string binary, hi long, crowd boolean, doc_id long, words binary")
 
 
-_RUNS = "mini long, string long, begin int, finish int, lo long"
+_RUNS = "mini long, string binary, begin int, finish int, lo long"
 
 
 def runs(rows: list[tuple], window: int) -> list[tuple]:
@@ -167,7 +157,7 @@ def _matched(strings: DataFrame, window: int) -> DataFrame:
 
     def batch(out):
         cols = list(zip(*out)) if out else [()] * 5
-        types = [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64()]
+        types = [pa.int64(), pa.binary()] + [pa.int32()] * 2 + [pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["mini", "string", "begin", "finish", "lo"])
 
     def run(batches):
@@ -187,18 +177,19 @@ def _matched(strings: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(strings: DataFrame, window: int) -> DataFrame:
-    """(mini, string, hi, doc_id, place, one, two) of each window of crowded buckets; (one, two) is its key."""
+    """(mini, string, hi, doc_id, place, words) of each window of crowded buckets."""
 
     def run(batches):
+        names = ["mini", "string", "hi", "doc_id", "place", "words"]
         for b in batches:
             for mini, string, hi, doc, words in zip(*(b.column(i).to_pylist() for i in range(5))):
-                hashes = _hashed(words)[2]
-                start = np.arange(len(hashes) - window + 1)
-                keys = [Sequences(hashes, salt).of(start, start + window).view(np.int64) for salt in (1, 2)]
-                cols = [np.full(len(start), v, dtype=np.int64) for v in (mini, string, hi, doc)] + [start.astype(np.int32), *keys]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["mini", "string", "hi", "doc_id", "place", "one", "two"])
+                words, start, end = joined(words)
+                n = len(start) - window + 1
+                cols = [pa.array([x] * n, t) for x, t in ((mini, pa.int64()), (string, pa.binary()), (hi, pa.int64()), (doc, pa.int64()))]
+                cols += [pa.array(range(n), pa.int32()), pa.array([words[i:j] for i, j in zip(start[:n].tolist(), end[window - 1 :].tolist())], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return strings.select("mini", "string", "hi", "doc_id", "words").mapInArrow(run, "mini long, string long, hi long, doc_id long, place int, one long, two long")
+    return strings.select("mini", "string", "hi", "doc_id", "words").mapInArrow(run, "mini long, string binary, hi long, doc_id long, place int, words binary")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -206,7 +197,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     noted = settle(_noted(docs, window), "sub-noted")
     minis = noted.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("top"), F.min("string").alias("s"), F.max("string").alias("z"))
-    minis = minis.where("lo < top").select("mini", "lo", (F.col("s") != F.col("z")).alias("many"))
+    minis = settle(minis.where("lo < top").select("mini", "lo", (F.col("s") != F.col("z")).alias("many")), "sub-minis")
     live = settle(noted.join(minis, "mini"), "sub-live")
     end = F.col("start") + F.col("n") + window - 1
     alone = live.where("not many and doc_id > lo").select("doc_id", "h", F.col("start").alias("begin"), end.alias("finish"))
@@ -220,8 +211,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = packed.where("not crowd").repartition(partitions(spark), "mini").sortWithinPartitions("mini")
     found = _matched(buckets, window)
     each = _windows(packed.where("crowd"), window)
-    first = each.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("hi").alias("most")).where("lo < most").drop("most")
-    crowded = each.join(first, ["one", "two"]).where("lo < hi").select("mini", "string", "place", "lo")
+    first = each.groupBy("words").agg(F.min("doc_id").alias("lo"), F.max("hi").alias("most")).where("lo < most").drop("most")
+    first = settle(first, "sub-first")  # a plain table, so that the skew join can split a very common window
+    crowded = each.join(first, "words").where("lo < hi").select("mini", "string", "place", "lo")
     # places that follow one another with the same lo are one run
     gap = F.col("place") - F.row_number().over(Window.partitionBy("mini", "string", "lo").orderBy("place"))
     crowded = crowded.withColumn("gap", gap).groupBy("mini", "string", "lo", "gap").agg(F.min("place").alias("begin"), (F.max("place") + 1).alias("finish"))
@@ -236,7 +228,7 @@ def kept_words(data: bytes, ranges) -> tuple[int, int, bytes]:
     """(words, words removed, the kept ones joined by one space) of a text."""
     start, end = word_bounds(data)
     if not ranges:
-        return len(start), 0, b" ".join(data[i:j] for i, j in zip(start.tolist(), end.tolist()))
+        return len(start), 0, joined(data)[0]
     steps = np.zeros(len(start) + 1, dtype=np.int64)
     np.add.at(steps, [r["begin"] for r in ranges], 1)
     np.add.at(steps, [r["finish"] for r in ranges], -1)
