@@ -154,76 +154,6 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     return model or fit([], np.zeros(0, dtype=np.int64))
 
 
-def score(self, data: bytes) -> float:
-        return float(labelled.sigmoid(self.logit(terms(data))))
-
-
-def fit(found: list[np.ndarray], y: np.ndarray, seed: int = 11, decay: float = DECAY, faint: float = FAINT, steps: int = STEPS) -> Machine:
-    """Fit on the term lists of labelled texts, both classes weighing the same; Adam on all of them at once."""
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    if not n1 or not n0:
-        share = n1 / max(1, n0 + n1)
-        return Machine(np.zeros(0, dtype=np.int64), 40.0 * (2 * share - 1), np.zeros(1), np.zeros((1, FACTORS)))
-    places = np.flatnonzero(np.bincount(np.concatenate(found), minlength=SPACE)) if sum(map(len, found)) else np.zeros(1, dtype=np.int64)
-    index = np.full(SPACE, -1, dtype=np.int32)
-    index[places] = np.arange(len(places))
-    live = np.flatnonzero([len(x) > 0 for x in found])  # a sum of each run needs one term at least
-    n, m = len(found), len(places)
-    row = index[np.concatenate([found[i] for i in live])] if len(live) else np.zeros(0, dtype=np.int32)
-    doc = np.repeat(live.astype(np.int32), [len(found[i]) for i in live])
-    docs = np.flatnonzero(np.diff(doc, prepend=-1))  # where the terms of each text begin
-    order = np.argsort(row, kind="stable")
-    cols = np.flatnonzero(np.diff(row[order], prepend=-1))  # and the texts of each term
-    doc = doc[order]
-    del order
-    one, every = np.bincount(row, (y[live] == 1).repeat(np.diff(docs, append=len(row))), m), np.bincount(row, minlength=m)
-    p = every / n
-    z = (one / n1 - (every - one) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    trust = np.clip(np.abs(z) / SURE_Z, faint, 1).astype(np.float32)
-    del one, every, p, z
-    # column 0 of the tables is w, the others are v; what enters the sum is weights times trust
-    weights = np.random.default_rng(seed).normal(0, 0.01, (FACTORS + 1, m)).astype(np.float32)
-    weights[0] = 0
-    w0, grad, mean, square = 0.0, np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(weights)
-    mean0 = square0 = 0.0
-    balance = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    total = np.zeros((FACTORS + 1, n), dtype=np.float32)
-    for step in range(1, steps + 1 if len(row) else 1):
-        pair, own = np.zeros(n), np.zeros(m, dtype=np.float32)
-        for f in range(FACTORS + 1):  # a factor at a time, so that memory holds a few numbers a term
-            part = weights[f] * trust
-            total[f, live] = np.add.reduceat(part[row], docs)
-            if f:
-                pair += total[f].astype(np.float64) ** 2
-                own += part * part
-        pair[live] -= np.add.reduceat(own[row], docs)
-        g = balance * (labelled.sigmoid(w0 + total[0] + 0.5 * pair) - y)
-        gr = g.astype(np.float32)
-        each = np.add.reduceat(gr[doc], cols)
-        for f in range(FACTORS + 1):
-            asked = np.add.reduceat((gr * total[f])[doc], cols) - weights[f] * trust * each if f else each
-            grad[f] = asked * trust + decay * weights[f]
-        mean += 0.1 * (grad - mean)
-        square += 0.001 * (grad * grad - square)
-        weights -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        mean0 += 0.1 * (g.sum() - mean0)
-        square0 += 0.001 * (g.sum() ** 2 - square0)
-        w0 -= RATE * (mean0 / (1 - 0.9**step)) / (np.sqrt(square0 / (1 - 0.999**step)) + 1e-8)
-    weights *= trust
-    return Machine(places, float(w0), weights[0].copy(), weights[1:].T.copy())
-
-
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Machine:
-    """Fit on a bounded sample of the labelled documents; executors turn texts into terms."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([terms(t) for t in texts(b.column(1))], pa.list_(pa.int32()))], ["y", "terms"])
-
-    rows = labelled.sample(docs, labels, label, per_class, usable).select("y", "text").mapInArrow(run, "y int, terms array<int>").toArrow()
-    return fit([x.values.to_numpy() for x in rows["terms"]], np.array(rows["y"], dtype=np.int64))
-
-
 def score(docs: DataFrame, model: Machine, key: str = "doc_id") -> DataFrame:
     """(key, score) of every document: one pass, no shuffle; the model is of fixed size."""
     shared = share(docs.sparkSession, model)
