@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -492,7 +493,7 @@ def test_pieces_edge_tables(spark):
 def test_fingerprints(spark, docs, rows, none):
     got = fingerprints.fingerprint_edits(docs, 32).collect()
     kept = sorted({(i, t or "") for i, t, *_ in rows}, key=lambda x: (x[0] is None, -(x[0] or 0)))
-    assert len(got) == len(kept)
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t or "")) for i, t, *_ in rows)
     by = {r.doc_id: r for r in got}
     prints = {}
     for j, (i, t) in enumerate(kept):
@@ -506,6 +507,26 @@ def test_fingerprints(spark, docs, rows, none):
     assert fingerprints.fingerprint_edits(none, 8).count() == 0
 
 
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark):
+    """A document's edited text as a document of its own, and likenesses against the true ratios of pairs of words."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 3, 50, 120, 200]))) or None, None, None, None) for i in range(60)]
+    order = sorted(rows, key=lambda r: -r[0])
+    ahead = {r[0]: (order[(j + 1) % 60][1] or "") for j, r in enumerate(order)}
+    new = {i: (t or "")[: len(t or "") - len(t or "") // 3] + ahead[i][: len(t or "") // 3] for i, t, *_ in rows}
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(spark.createDataFrame(rows, DOCS), 96).collect()}
+    alone = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_edits(spark.createDataFrame([(i, t, None, None, None) for i, t in new.items()], DOCS), 96).collect()}
+    assert {i: r.edited_fingerprint for i, r in got.items()} == alone
+
+    def ratio(a, b):
+        x, y = (Counter(zip(w, [*w[1:], ""])) for w in (WORD.findall(a), WORD.findall(b)))
+        return sum((x & y).values()) / sum((x | y).values()) if x or y else 1.0
+
+    off = [(got[i].near_edited - ratio(t or "", new[i]), got[i].near_next - ratio(t or "", ahead[i])) for i, t, *_ in rows]
+    assert np.abs(off).max() < 0.25 and np.abs(np.mean(off, axis=0)).max() < 0.03
+
+
 def test_collision_rate_is_generalised_jaccard(spark):
     rng = random.Random(4)
     rows, want = [], []

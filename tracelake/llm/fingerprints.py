@@ -119,17 +119,17 @@ def following(keys: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """Each document with its edited text: (d, h, doc_id, next_d, next_h, n_chars, text, edited).
+    """Each document with its edited text: (d, h, doc_id, next_d, next_h, n_chars, copies, text, edited).
 
-    Rows equal in doc_id and text are one document; null ids come last.
+    Rows equal in doc_id and text are one document of so many copies; null ids come last.
     """
     pieces = PIECES * partitions(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("h"), "doc_id", text.alias("text"))
-    keys = base.select("d", "h", "doc_id", F.length("text").cast("long").alias("n_chars")).dropDuplicates(["d", "h"])
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text, F.col("doc_id").isNull()).alias("h"), "doc_id", text.alias("text"))
+    keys = base.groupBy("d", "h").agg(F.first("doc_id").alias("doc_id"), F.max(F.length("text").cast("long")).alias("n_chars"), F.count("*").alias("copies"))
     order = settle(following(keys), "fp-next")
     placed = base.select("d", "h", "text").repartition(pieces, "d", "h").dropDuplicates(["d", "h"])
-    needs = order.select(F.col("next_d").alias("d"), F.col("next_h").alias("h"), F.struct("d", "h", "doc_id", "next_d", "next_h", "n_chars").alias("of"))
+    needs = order.select(F.col("next_d").alias("d"), F.col("next_h").alias("h"), F.struct("d", "h", "doc_id", "next_d", "next_h", "n_chars", "copies").alias("of"))
     needs = needs.repartition(pieces, "d", "h")
     heads = placed.join(needs, ["d", "h"]).select("of.*", F.expr("substring(text, 1, int(floor(of.n_chars / 3)))").alias("head"))
     heads = heads.repartition(pieces, "d", "h")
@@ -161,13 +161,17 @@ def both_signatures(both: DataFrame, count: int = SAMPLES) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
+
+    Rows equal in doc_id and text stand in one place of the order, so they have the same
+    next document, and give equal rows.  Only doc_id and text are read.
+    """
     both = edited(docs)
-    info = both.select("d", "h", "doc_id", "next_d", "next_h", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    info = both.select("d", "h", "doc_id", "next_d", "next_h", "n_chars", "copies", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     pair = both_signatures(both.withColumn("same", F.expr("n_chars - floor(n_chars / 3)")), samples)
     made = settle(info.join(pair, ["d", "h"], "left"), "fp-made")
     ahead = made.select(F.col("d").alias("next_d"), F.col("h").alias("next_h"), F.col("own").alias("ahead"))
-    out = made.join(ahead, ["next_d", "next_h"])
+    out = made.join(ahead, ["next_d", "next_h"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", render(F.col("own")).alias("fingerprint"), render(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("new"), samples).alias("near_edited"), likeness(F.col("own"), F.col("ahead"), samples).alias("near_next"),
