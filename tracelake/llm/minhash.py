@@ -16,9 +16,9 @@ sets reaches the threshold; the answer gives each document's connected component
    collision-corrected estimate from the registers, then exactly on the full sets.
    Only what these full sets confirm is a link, and only links are followed: the
    links' connected components are the clusters so far.
-5. Where a group still holds several clusters, its members outside the largest one are
-   compared with all of its members.  Any pair of a group is thus in one cluster or
-   has been compared.  The components of all links are the answer.
+5. Where a group's other members still are in several clusters, those outside the
+   largest one are compared with all of them.  Any pair of a group is thus in one
+   cluster or has been compared.  The components of all links are the answer.
 
 Comparisons are dealt into tiles of about ``TILE`` members on each side, so a hot group
 makes tiles, not pairs; of each tile only the links of a spanning forest leave.  A
@@ -45,6 +45,8 @@ _donors = np.random.default_rng(5).integers(0, BUCKETS, (_TRIES, BUCKETS))
 #: The chance that unequal minima agree in zeros and mantissa.  The density of the
 #: smallest of many hashes makes it about 0.17 / 2^bits.
 COLLISION = 0.17 / (1 << MANTISSA)
+#: Bytes of one ask and of a row of asks' own, and of all asks up to which they are broadcast.
+ASK_BYTES, MOST_BROADCAST = 48, 16 << 20
 #: Estimates this far below the threshold (over 7 standard errors of 384
 #: registers) rule a pair out; sets under LEAST_SET are always compared.
 SLACK, LEAST_SET = 0.2, 128
@@ -246,6 +248,9 @@ def _tile_links(tiles: DataFrame, percent: float) -> DataFrame:
 def _verified(docs: DataFrame, asks: DataFrame, k: int, percent: float) -> DataFrame:
     """Links (a, b) among the documents (doc_id) asked for; asks holds (doc_id, ask)."""
     asks = settle(asks.groupBy("doc_id").agg(F.collect_list("ask").alias("asks")), "nd-asks")  # a few for each band at most
+    size = asks.agg(F.sum(F.size("asks").cast("long") * ASK_BYTES + 2 * ASK_BYTES)).first()[0] or 0
+    if size <= MOST_BROADCAST:  # texts stay where they are; beyond that, texts and asks meet in a shuffle
+        asks = F.broadcast(asks)
     tiles = _sent(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asks, "doc_id"), k)
     tiles = tiles.repartition(partitions(docs.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j")
     return settle(_tile_links(tiles, percent), "nd-found")
@@ -272,8 +277,11 @@ def _first_asks(ties: DataFrame) -> DataFrame:
 
 
 def _rest_asks(ties: DataFrame, clusters: DataFrame) -> DataFrame | None:
-    """(doc_id, ask): in groups of several clusters, the members outside the largest one against all; None if there are none."""
-    tied = ties.join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("known")), "doc_id", "left")
+    """(doc_id, ask): in groups of several clusters, the members outside the largest one against all; None if there are none.
+
+    A group's smallest id has met all of its members already, so it stays out.
+    """
+    tied = ties.where("doc_id <> leader").join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("known")), "doc_id", "left")
     tied = settle(tied.withColumn("cluster", F.coalesce("known", "doc_id")).drop("known"), "nd-tied")
     per = tied.groupBy("band", "cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
     big = F.max(F.struct("n", F.bitwise_not("cluster").alias("cluster"), "size"))
