@@ -106,16 +106,16 @@ def test_qwen(spark, tmp_path):
 
 def test_replay():
     m = lambda i, text: json.dumps({"id": i, "type": "user", "content": text})
-    made = transcripts.replay([json.dumps({"sessionId": "s", "kind": "main"}), m("m1", "one"), json.dumps({"$set": {"lastUpdated": "x"}}), m("m1", "one!"), m("m2", "two")])
+    made = transcripts.replay([json.dumps({"sessionId": "s", "projectHash": "p", "kind": "main"}), m("m1", "one"), json.dumps({"$set": {"lastUpdated": "x"}}), m("m1", "one!"), m("m2", "two")])
     assert [(s, x["id"], x["content"]) for s, x in made["messages"]] == [(1, "m1", "one!"), (3, "m2", "two")]
-    assert [(s, k) for s, k, _ in made["mutations"]] == [(0, "metadata"), (2, "metadata")] and made["rewound"] == []
+    assert [(s, k) for s, k, *_ in made["mutations"]] == [(0, "metadata"), (2, "metadata")] and made["rewound"] == []
     made = transcripts.replay([m("a", 1), m("b", 2), json.dumps({"$rewindTo": "b"}), m("c", 3), json.dumps({"$set": {"messages": [{"id": "c", "type": "user"}]}}), "bad", json.dumps({"$rewindTo": "none"})])
-    assert [k for _, k, _ in made["mutations"]] == ["rewind", "snapshot_drop", "rewind"] and made["rewound"] == ["a", "b", "c"]
+    assert [k for _, k, *_ in made["mutations"]] == ["rewind", "snapshot_drop", "rewind"] and made["rewound"] == ["a", "b", "c"]
 
 
 def test_gemini(spark, tmp_path):
     rows = [
-        {"sessionId": "g", "startTime": T % 0},
+        {"sessionId": "g", "projectHash": "p", "startTime": T % 0},
         {"id": "1", "type": "user", "timestamp": T % 1, "content": "hi"},
         {"id": "2", "type": "gemini", "timestamp": T % 2, "model": "m", "content": "ok", "thoughts": [{"subject": "s", "description": "d"}], "toolCalls": [{"id": "c", "name": "f", "args": {}, "result": [1], "status": "success"}]},
         {"id": "3", "type": "gemini", "timestamp": T % 3, "content": "", "toolCalls": [{"id": "d", "name": "f", "status": "running"}]},

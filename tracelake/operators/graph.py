@@ -1,44 +1,64 @@
 """Commit graphs: reachability, re-anchor mappings to a fixpoint, rewritten branches and their evidence.
 
-Loops run on the driver over tables of ids alone; each round is checkpointed where
-the session names a folder for that, and ends when a round adds nothing.
+Loops run on the driver over tables of ids alone; each round is written to the shared
+folder, so that a lost executor costs no round before, and the loop ends when a round
+adds nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.shared import counted, drop, settle
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read again."""
+    return settle(df, "cut")
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder; cache where there is none."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node) reachable from start (node) along edges (src, dst), start included.
 
-    A round meets only the nodes found in the round before, so each edge is used once.
+    The edges are written out once.  A round follows them, and shortcuts, from the nodes
+    found in the round before.  Shortcuts are made by pointer doubling: every node's
+    first edge (by nth, where edges have that column) taken 2, 4, 8 ... times, a table of
+    a row a node for each.  A chain thus takes rounds by the logarithm of its length.
+    Cycles do no harm.
     """
-    seen = _cut(start.select("node").distinct())
-    frontier = seen
+    nth = F.col("nth") if "nth" in edges.columns else F.lit(0)
+    edges = settle(edges.select("src", "dst", nth.cast("int").alias("nth")).where("src is not null and dst is not null"), "edges")
+    jump = edges.groupBy("src").agg(F.min(F.struct("nth", "dst"))["dst"].alias("dst"))
+    ways, found = [edges.select("src", "dst")], [settle(start.select("node").distinct(), "found")]
     while True:
-        ahead = edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(ahead.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = _cut(seen.unionByName(frontier))
+        ahead = _together(ways).join(found[-1].select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        new, n = counted(ahead.join(_together(found), "node", "left_anti"), "found")
+        if not n:
+            break
+        found.append(new)
+        if len(ways) <= 40:
+            jump, n = counted(jump.alias("a").join(jump.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst"), "jump")
+            if n:
+                ways.append(jump)
+        if len(found) > 24:  # a long run of short rounds: one table again, apart from the newest
+            found = [settle(_together(found[:-1]), "found"), found[-1]]
+    for way in ways[1:]:
+        drop(way)
+    return _together(found)
 
 
 def parent_edges(commits: DataFrame, first_only: bool = False) -> DataFrame:
     """(src, dst) from commits (sha, parents)."""
     if first_only:
         return commits.where(F.size("parents") > 0).select(F.col("sha").alias("src"), F.get("parents", F.lit(0)).alias("dst"))
-    return commits.select(F.col("sha").alias("src"), F.explode("parents").alias("dst"))
+    return commits.select(F.col("sha").alias("src"), F.posexplode("parents").alias("nth", "dst"))
 
 
 def ancestors(commits: DataFrame, tips: DataFrame) -> DataFrame:
@@ -59,15 +79,18 @@ def reanchor(reachable: DataFrame, mappings: DataFrame) -> DataFrame:
     view; it brings the superseded commits it lists, not their ancestors.
     """
     rows = sound_mappings(mappings).select("anchor", "successor", F.explode("superseded").alias("sha"))
-    rows = _cut(rows.distinct())
-    seen = _cut(reachable.select("sha").distinct())
+    rows = cut(rows.distinct())
+    found = [cut(reachable.select("sha").distinct())]
     while True:
+        seen = _together(found)
         live = rows.join(seen.select(F.col("sha").alias("successor")), "successor", "left_semi")
         live = live.join(seen.select(F.col("sha").alias("anchor")), "anchor", "left_semi")
-        new = _cut(live.select("sha").distinct().join(seen, "sha", "left_anti"))
-        if new.isEmpty():
+        new, n = counted(live.select("sha").distinct().join(seen, "sha", "left_anti"), "found")
+        if not n:
             return seen
-        seen = _cut(seen.unionByName(new))
+        found.append(new)
+        if len(found) > 24:
+            found = [cut(_together(found))]
 
 
 def branch_commits(commits: DataFrame, base: DataFrame, tip: DataFrame) -> DataFrame:
@@ -76,6 +99,17 @@ def branch_commits(commits: DataFrame, base: DataFrame, tip: DataFrame) -> DataF
     return line.join(ancestors(commits, base), "sha", "left_anti")
 
 
+def noted(commits: DataFrame, events: DataFrame) -> DataFrame:
+    """The commits (sha) that hold events (anchor)."""
+    return commits.join(events.select(F.col("anchor").alias("sha")), "sha", "left_semi")
+
+
+def noted_counts(branches: DataFrame, events: DataFrame) -> DataFrame:
+    """(branch, noted, total): how many of each branch's commits (branch, sha) hold events."""
+    held = events.where(F.col("anchor").isNotNull()).select(F.col("anchor").alias("sha"), F.lit(1).alias("held")).distinct()
+    return branches.distinct().join(held, "sha", "left").groupBy("branch").agg(F.count("held").alias("noted"), F.count("*").alias("total"))
+
+
 def detect_squash(branches: DataFrame, candidates: DataFrame) -> DataFrame:
     """(branch, successor, method, outcome) by the branch's tree, else its patch: detected, ambiguous or unmatched.
 
@@ -106,27 +140,52 @@ def file_overlap(left: DataFrame, right: DataFrame, top: int = 3) -> DataFrame:
     """(branch, sha, identical, score, rank): candidates by files changed alike over files changed in either.
 
     left has (branch, path, patch_id), right (sha, path, patch_id), a row a file.
-    Pairs come from equal files alone; a branch keeps its best ones.
+    Pairs come from equal files alone, so a path that most commits change makes none by
+    itself; then each pair's paths meet.  A branch keeps its best ones.
     """
+    left, right = left.distinct(), right.distinct()
     mine = left.groupBy("branch").agg(F.count_distinct("path").alias("a"))
     theirs = right.groupBy("sha").agg(F.count_distinct("path").alias("b"))
-    shared = left.join(right, ["path"]).groupBy("branch", "sha").agg(F.count_distinct("path").alias("both"), F.count_distinct(F.when(left["patch_id"] == right["patch_id"], F.col("path"))).alias("identical"))
-    scored = shared.where("identical > 0").join(mine, "branch").join(theirs, "sha")
+    pairs = cut(left.join(right, ["path", "patch_id"]).groupBy("branch", "sha").agg(F.count_distinct("path").alias("identical")))
+    both = pairs.join(left.select("branch", "path").distinct(), "branch").join(right.select("sha", "path").distinct(), ["sha", "path"]).groupBy("branch", "sha").agg(F.count("*").alias("both"))
+    scored = pairs.join(both, ["branch", "sha"]).join(mine, "branch").join(theirs, "sha")
     scored = scored.withColumn("score", F.col("identical") / (F.col("a") + F.col("b") - F.col("both")))
     rank = F.row_number().over(Window.partitionBy("branch").orderBy(F.col("score").desc(), "sha"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("branch", "sha", "identical", "score", "rank")
 
 
-def subject_hits(branches: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(branch, sha, hits, total): how many of a branch's subjects a candidate's message lists as lines.
+def subject_hits(branches: DataFrame, candidates: DataFrame, gram: int = 8) -> DataFrame:
+    """(branch, sha, hits, total): how many of a branch's subjects a candidate's message holds, anywhere in it.
 
-    branches has (branch, subject), candidates (sha, body); the message is cut into
-    its lines, so that subjects meet lines by equality.
+    branches has (branch, subject), candidates (sha, body).  A subject meets only the
+    messages that hold its rarest run of so many characters (all of it, if it is
+    shorter), and is looked for there.  Empty subjects count for the total alone.
     """
-    lines = candidates.select("sha", F.explode(F.split("body", "\n")).alias("line"))
-    lines = lines.select("sha", F.regexp_replace(F.trim("line"), r"^[*-]\s+", "").alias("subject")).distinct()
+    subjects = branches.select("subject").where(F.length("subject") > 0).distinct().withColumn("k", F.least(F.length("subject"), F.lit(gram)))
+    subjects = cut(subjects)
+    runs = lambda c, k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(F.col(c), i, F.lit(k) if isinstance(k, int) else k))
+    asked = cut(subjects.select("subject", F.explode(F.array_distinct(runs("subject", F.col("k")))).alias("key")))
+    sizes = [r.k for r in subjects.select("k").distinct().collect()]  # gram numbers at most
+    bodies = cut(candidates.select("sha", "body").where(F.length("body") > 0).distinct())
+    every = [F.when(F.length("body") >= k, runs("body", k)).otherwise(F.array().cast("array<string>")) for k in sizes] or [F.array().cast("array<string>")]
+    held = bodies.select("sha", F.explode(F.array_distinct(F.concat(*every))).alias("key"))
+    held = cut(held.join(asked.select("key").distinct(), "key", "left_semi"))
+    often = held.groupBy("key").agg(F.count("*").alias("n"))
+    best = asked.join(often, "key", "left").groupBy("subject").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("best"))
+    best = cut(best.where("best.n > 0").select("subject", "best.key"))
+    near = best.join(held, "key").join(bodies, "sha")
+    found = near.where(F.col("body").contains(F.col("subject"))).select("subject", "sha").distinct()
     total = branches.groupBy("branch").agg(F.count_distinct("subject").alias("total"))
-    return branches.distinct().join(lines, "subject").groupBy("branch", "sha").agg(F.count("*").alias("hits")).join(total, "branch")
+    return branches.distinct().join(found, "subject").groupBy("branch", "sha").agg(F.count("*").alias("hits")).join(total, "branch")
+
+
+def closest(shared: DataFrame, order: str = "shared", most: int = 20) -> tuple[DataFrame, str | None]:
+    """The candidates of each branch that share the most files (branch, sha, shared), and a note if some were left out."""
+    rank = F.row_number().over(Window.partitionBy("branch").orderBy(F.col(order).desc(), "sha"))
+    ranked = shared.withColumn("_n", rank)
+    over = ranked.agg(F.max("_n")).first()[0] or 0
+    note = f"files were compared for the {most} closest candidates of a branch; one branch has {over}" if over > most else None
+    return ranked.where(F.col("_n") <= most).drop("_n"), note
 
 
 def pull_request(subject: str = "subject"):
@@ -137,7 +196,7 @@ def pull_request(subject: str = "subject"):
 
 def merge_bases(commits: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(sha) of the best common ancestors of two sets of tips: those that no other common ancestor descends from."""
-    common = _cut(ancestors(commits, left).join(ancestors(commits, right), "sha", "left_semi"))
+    common = cut(ancestors(commits, left).join(ancestors(commits, right), "sha", "left_semi"))
     below = parent_edges(commits).join(common.select(F.col("sha").alias("src")), "src", "left_semi").select(F.col("dst").alias("sha"))
     return common.join(below, "sha", "left_anti")
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracelake.operators import graph, scanning
+from tracelake.functions.rules import Rule
+from tracelake.operators import graph, redaction, scanning
+from tracelake.sources.tables import problems
+
+#: Parts into which a ledger is laid out by its anchors.
+PARTS = 64
 
 
 def new_rows(batch: DataFrame, existing: DataFrame) -> DataFrame:
@@ -16,28 +23,45 @@ def new_rows(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return batch.join(old, batch["anchor"].eqNullSafe(old["_a"]) & (batch["id"] == old["_i"]), "left_anti")
 
 
-def append(batch: DataFrame, path: str, enabled: bool = True) -> dict[str, int]:
-    """Append a batch to the ledger at a path; how many rows were added and how many were there already.
+def table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The table at a path, None where nothing was written there yet."""
+    try:
+        found = spark.read.schema(schema).parquet(path)
+        found.limit(0).collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return found
+
+
+def part_of(anchor: Column) -> Column:
+    """The part of the ledger that holds an anchor; pending events have one of their own."""
+    return F.when(anchor.isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(anchor), F.lit(PARTS))).cast("int")
+
 
-    The rows to add are written beside the ledger's own files by one job, so a
-    batch that is sent again adds nothing.
+def append(batch: DataFrame, path: str, enabled: bool = True, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> dict[str, int]:
+    """Append a batch of events to the ledger at a path; how many rows were added and how many were there already.
+
+    Contents and raw lines are redacted by the rules (None: capture's, an empty list:
+    none) and exact values before ids are made.  An event that is not sound is an error,
+    and nothing is written.  The ledger is laid out by parts of its anchors, of which
+    only the batch's are read; the rows to add are written beside the ledger's own
+    files by one job, so a batch that is sent again adds nothing.
     """
     spark = batch.sparkSession
     if not enabled:
         return {"appended": 0, "deduped": 0}
-    try:
-        existing = spark.read.schema(batch.schema).parquet(path)
-        existing.limit(0).collect()
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        existing = batch.limit(0)
-    total = batch.count()
-    added = new_rows(batch, existing)
-    before = existing.count()
-    added.write.mode("append").parquet(path)
-    appended = spark.read.schema(batch.schema).parquet(path).count() - before
-    return {"appended": appended, "deduped": total - appended}
+    batch = graph.cut(redaction.redact_events(batch, rules, exact).withColumn("part", part_of(F.col("anchor"))))
+    total = batch.agg(F.count("*").alias("n"), F.count_if(F.size(problems()) > 0).alias("bad"), F.collect_set("part").alias("parts")).first()  # PARTS numbers at most
+    if total["bad"]:
+        raise ValueError(f"{total['bad']} events are not sound")
+    existing = table(spark, path, batch.schema)
+    existing = batch.limit(0) if existing is None else existing.where(F.col("part").isin(total["parts"]))
+    seen = Observation()
+    new_rows(batch, existing).observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("part").parquet(path)
+    appended = seen.get["n"]
+    return {"appended": appended, "deduped": total["n"] - appended}
 
 
 def drain(ledger: DataFrame, anchor: str) -> DataFrame:
@@ -71,6 +95,27 @@ def gate(local: DataFrame, remote: DataFrame, anchors: DataFrame, allowed: DataF
     return scanning.outstanding(scanning.scan_events(candidates, tier), allowed)
 
 
+class Held(Exception):
+    """A push that findings hold back."""
+
+
+def sync(local: DataFrame, remote: DataFrame, anchors: DataFrame | None, allowed: DataFrame, tier: str = "standard", skip_scan: bool = False, strict: bool = True) -> tuple[DataFrame, int]:
+    """(the remote after a sync, findings that held it back): the gate's policy around a push.
+
+    anchors None pushes the whole ledger, an empty scope nothing.  Tier off or skip_scan
+    pass the gate.  Findings abort a strict sync; one that rides on a push of code leaves
+    the remote as it is and says how many there were.
+    """
+    scope = local.select("anchor").where(F.col("anchor").isNotNull()).distinct() if anchors is None else anchors
+    if tier != "off" and not skip_scan:
+        found = gate(local, remote, scope, allowed, tier).count()
+        if found and strict:
+            raise Held(f"{found} findings are on no allow list")
+        if found:
+            return remote, found
+    return push(local, remote, scope), 0
+
+
 def resume(lines: DataFrame, cursors: DataFrame) -> DataFrame:
     """Lines (file, seq, value) behind each file's cursor (file, count); a file without one is read from its start.
 

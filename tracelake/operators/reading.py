@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.canonical import canonical_json
-from tracelake.operators.graph import _cut
+from tracelake.operators.graph import cut
 
 #: Kinds that record how a session ran rather than what was said.
 MACHINERY = ("session_state", "activity", "context_injection", "file_snapshot")
@@ -52,7 +52,8 @@ def sort(events: DataFrame, collation: str | None = "UNICODE") -> DataFrame:
 def with_position(events: DataFrame) -> DataFrame:
     """Positions within a conversation by dense rank of seq, over all events, so filters applied later don't move them."""
     rank = F.dense_rank().over(Window.partitionBy("conversation.id").orderBy("conversation.seq"))
-    return events.withColumn("position", F.when(F.col("conversation.id").isNotNull(), rank))
+    inside = F.col("conversation.id").isNotNull()  # events without a conversation need no window, and would all be in one
+    return events.where(inside).withColumn("position", rank).unionByName(events.where(~inside).withColumn("position", F.lit(None).cast("int")))
 
 
 def displayed(kinds: tuple[str, ...] = (), with_reasoning: bool = False, with_machinery: bool = False) -> Column:
@@ -92,7 +93,7 @@ def by_prefix(events: DataFrame, prefix: str) -> DataFrame:
 
 
 def conversations(events: DataFrame) -> DataFrame:
-    """Per conversation: turns, first and last time, the source of the first event in order, models; last active last."""
+    """Per conversation: turns, first and last time, the source of the first event in order, models; in no order."""
     first = F.struct(F.coalesce("conversation.seq", F.lit(0)).alias("a"), F.col("occurred_at").alias("b"), F.col("id").alias("c"))
     models = F.array_sort(F.collect_set("producer.model"))
     return events.groupBy(F.coalesce("conversation.id", F.lit("(none)")).alias("conversation")).agg(
@@ -102,6 +103,11 @@ def conversations(events: DataFrame) -> DataFrame:
     )
 
 
+def by_last_activity(summaries: DataFrame) -> DataFrame:
+    """Summaries of conversations, the one active last at the end."""
+    return summaries.orderBy("last_at", "conversation")
+
+
 def tree(events: DataFrame) -> DataFrame:
     """(conversation, parent, events) with the root of each, following parents level by level.
 
@@ -109,7 +115,7 @@ def tree(events: DataFrame) -> DataFrame:
     below one, come with a null root and level.
     """
     own = events.where(F.col("conversation.id").isNotNull()).groupBy(F.col("conversation.id").alias("conversation")).agg(F.max("conversation.parent").alias("parent"), F.count("*").alias("events"))
-    own = _cut(own)
+    own = cut(own)
     held = own.select(F.col("conversation").alias("_held"))
     tops = own.join(held, F.col("parent") == F.col("_held"), "left_anti")
     rooted = tops.withColumns({"root": F.col("conversation"), "level": F.lit(0)})
@@ -117,7 +123,7 @@ def tree(events: DataFrame) -> DataFrame:
     while True:
         level += 1
         below = own.alias("o").join(frontier.alias("f"), F.col("o.parent") == F.col("f.conversation")).select("o.*", "f.root", F.lit(level).alias("level"))
-        below = _cut(below)
+        below = cut(below)
         if below.isEmpty():
             rest = own.join(rooted.select(F.col("conversation").alias("_held")), F.col("conversation") == F.col("_held"), "left_anti")
             return rooted.unionByName(rest.withColumns({"root": F.lit(None).cast("string"), "level": F.lit(None).cast("int")}))
@@ -143,6 +149,17 @@ def export(events: DataFrame, path: str) -> None:
     events.select(export_line(events.columns).alias("value")).write.text(path)
 
 
+def head(events: DataFrame, most: int, collation: str | None = "UNICODE") -> DataFrame:
+    """The first lines (value) of an export in order; no more than these are sorted out of each partition."""
+    return sort(events, collation).limit(most).select(export_line(events.columns).alias("value"))
+
+
+def notes(events: DataFrame) -> DataFrame:
+    """(anchor, place, value): the distinct lines of each anchor, by their bytes."""
+    lines = events.where(F.col("anchor").isNotNull()).select("anchor", export_line([c for c in events.columns if c not in ("anchor", "part")]).alias("value")).distinct()
+    return lines.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("value")) - 1).select("anchor", "place", "value")
+
+
 def imported(lines: DataFrame, schema) -> DataFrame:
     """Events back from exported lines (value); a line that is no event is an error."""
     shape = ", ".join(f"{'content variant' if f.name == 'content_json' else f'`{f.name}` {f.dataType.simpleString()}'}" for f in schema)

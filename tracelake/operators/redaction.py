@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracelake.functions.canonical import canonical_json, event_id, fingerprint
-from tracelake.functions.rules import Rule, rules_for
+from tracelake.functions.canonical import canonical_json, dumps, event_id, fingerprint
+from tracelake.functions.rules import Rule, compiled, has_sign, print_of, rules_for
+from tracelake.operators import scanning
 
 RULESET = "v1"
 
@@ -15,40 +21,108 @@ def mark(rule: str, print_: Column) -> Column:
     return F.concat(F.lit(f"[REDACTED:{rule}:"), print_, F.lit("]"))
 
 
-def replace_pattern(text: Column, pattern: str, rule: str) -> Column:
-    """Every match of a pattern replaced by its mark: the pieces between, zipped with the marks."""
-    pieces = F.split(text, pattern, -1)
-    marks = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda m: mark(rule, fingerprint(m)))
-    joined = F.zip_with(pieces, marks, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(F.size(marks) > 0, F.array_join(joined, "")).otherwise(text)
+class Redactor:
+    """Exact values and rules put to strings: values group by group, longest first, then the rules in order, each on what the one before it left.
 
+    Entropy rules never redact.
+    """
 
-def records(text: Column, pattern: str, rule: str) -> Column:
-    """Array of (rule, fingerprint) of a pattern's matches, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda m: F.struct(F.lit(rule).alias("rule"), fingerprint(m).alias("fingerprint")))
+    def __init__(self, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None):
+        self.exact = [(group, v) for group, values in (exact or {}).items() for v in sorted(set(values), key=len, reverse=True) if v]
+        self.rules = [r for r in (rules_for("capture") if rules is None else rules) if not r.gated]
+
+    def __bool__(self) -> bool:
+        return bool(self.exact or self.rules)
+
+    def text(self, s: str) -> tuple[str, list[tuple[str, str]]]:
+        """A text redacted, and (rule, fingerprint) of what was replaced, in order."""
+        done: list[tuple[str, str]] = []
+        for group, value in self.exact:
+            if value in s:
+                done += [(group, print_of(value))] * s.count(value)
+                s = s.replace(value, f"[REDACTED:{group}:{print_of(value)}]")
+        low = s.lower()
+        for rule in self.rules:
+            if not has_sign(rule, low):
+                continue
+
+            def put(m: re.Match, rule=rule) -> str:
+                done.append((rule.id, print_of(m.group())))
+                return f"[REDACTED:{rule.id}:{done[-1][1]}]"
+
+            changed = compiled(rule.pattern).sub(put, s)
+            if changed != s:
+                s, low = changed, changed.lower()
+        return s, done
+
+    def tree(self, value, path: str, kind: str | None, done: list[tuple[str, str, str]]):
+        """A parsed JSON value with its strings redacted; keys stay.  done gets (rule, fingerprint, path)."""
+        if isinstance(value, str):
+            if scanning.exempt(kind, path):
+                return value
+            value, found = self.text(value)
+            done += [(*x, path) for x in found]
+            return value
+        if isinstance(value, list):
+            return [self.tree(x, f"{path}/{i}", kind, done) for i, x in enumerate(value)]
+        if isinstance(value, dict):
+            return {k: self.tree(x, f"{path}/{k}", kind, done) for k, x in value.items()}
+        return value
+
+
+_PAIRS = pa.list_(pa.struct([("rule", pa.string()), ("fingerprint", pa.string())]))
 
 
 def redact(rows: DataFrame, text: str, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> DataFrame:
-    """rows with the text redacted, and an array redacted of (rule, fingerprint) behind.
+    """rows with the text redacted, and an array redacted of (rule, fingerprint) behind; see Redactor."""
+    by, at = Redactor(rules, exact), rows.columns.index(text)
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("redacted array<struct<rule:string,fingerprint:string>>").fields])
+
+    def run(batches):
+        for b in batches:
+            made = [(None, []) if t is None else by.text(t) for t in b.column(at).to_pylist()]
+            cols = [*b.columns, pa.array([[{"rule": r, "fingerprint": f} for r, f in d] for _, d in made], _PAIRS)]
+            cols[at] = pa.array([t for t, _ in made], b.column(at).type)
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "redacted"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def canonical_events(drafts: DataFrame, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> DataFrame:
+    """Drafts with their JSON columns redacted leaf by leaf and in canonical form, each parsed once.
 
-    Exact values come first, group by group, longest first; then the rules in
-    order, each on what the one before it left.  Entropy rules never redact.
+    Strings of the content and of the raw line are redacted, keys never; what was
+    replaced is recorded behind the redactions there, with its path.  rules None are
+    capture's, an empty list with no exact values leaves texts as they are.  Content that
+    is no JSON becomes null.
     """
-    done = F.array().cast("array<struct<rule:string,fingerprint:string>>")
-    rows = rows.withColumn("redacted", done)
-    steps = [(f"\\Q{v}\\E", group) for group, values in (exact or {}).items() for v in sorted(set(values), key=len, reverse=True) if v]
-    steps += [(r.pattern, r.id) for r in rules or rules_for("capture") if not r.gated]
-    for pattern, rule in steps:
-        rows = rows.withColumns({"redacted": F.concat("redacted", F.coalesce(records(F.col(text), pattern, rule), done)), text: replace_pattern(F.col(text), pattern, rule)})
-    return rows
+    by = Redactor(rules, exact)
+    parts = [(drafts.columns.index(c), path) for c, path in scanning.JSON_PARTS if c in drafts.columns]
+    kind, old = drafts.columns.index("kind"), drafts.columns.index("redactions")
+
+    def run(batches):
+        for b in batches:
+            cols, kinds = list(b.columns), b.column(kind).to_pylist()
+            done = [[] for _ in kinds]
+            for at, path in parts:
+                new = []
+                for text, k, d in zip(b.column(at).to_pylist(), kinds, done):
+                    try:
+                        new.append(None if text is None else dumps(by.tree(json.loads(text), path, k, d) if by else json.loads(text)))
+                    except (ValueError, RecursionError):
+                        new.append(None)
+                cols[at] = pa.array(new, cols[at].type)
+            if any(done):
+                new = [(x or []) + [{"rule": r, "ruleset": RULESET, "fingerprint": f, "path": p} for r, f, p in d] if d else x for x, d in zip(b.column(old).to_pylist(), done)]
+                cols[old] = pa.array(new, cols[old].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    return drafts.mapInArrow(run, drafts.schema)
 
 
 def redact_events(events: DataFrame, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> DataFrame:
-    """Events with their contents redacted before the id is made, and redactions recorded under the path content."""
-    done = redact(events, "content_json", rules, exact)
-    new = F.transform("redacted", lambda x: F.struct(x["rule"].alias("rule"), F.lit(RULESET).alias("ruleset"), x["fingerprint"].alias("fingerprint"), F.lit("content").alias("path")))
-    done = done.withColumn("redactions", F.when(F.size("redacted") > 0, F.concat(F.coalesce("redactions", F.array().cast(events.schema["redactions"].dataType)), new)).otherwise(F.col("redactions")))
-    done = done.drop("redacted").withColumn("content_json", canonical_json("content_json"))
+    """Events with their contents and raw lines redacted, leaf by leaf, before the id is made."""
+    done = canonical_events(events, rules, exact)
     return done.withColumn("id", event_id()) if "id" in events.columns else done
 
 
@@ -62,16 +136,19 @@ def redact_stored(events: DataFrame, ids: DataFrame, shared: DataFrame, pattern:
     if not targets.join(shared.select("id"), "id", "left_semi").isEmpty():
         raise ValueError("an event to redact is shared already")
     hit = events.join(targets, "id", "left_semi")
+    before = F.coalesce(F.size("redactions"), F.lit(0))
     if pattern is None:
         whole = F.to_json(F.struct(mark("manual", fingerprint(F.col("content_json"))).alias("text")))
-        found = hit.withColumns({"redacted": F.array(F.struct(F.lit("manual").alias("rule"), fingerprint(F.col("content_json")).alias("fingerprint"))), "content_json": whole})
+        new = F.struct(F.lit("manual").alias("rule"), F.lit(RULESET).alias("ruleset"), fingerprint(F.col("content_json")).alias("fingerprint"), F.lit("content").alias("path"))
+        none = F.array().cast(events.schema["redactions"].dataType)
+        changed = hit.withColumns({"redactions": F.concat(F.coalesce("redactions", none), F.array(new)), "content_json": whole})
+        if "raw_json" in events.columns:
+            changed = changed.withColumn("raw_json", F.lit(None).cast("string"))
     else:
-        found = redact(hit, "content_json", [Rule("manual", "capture", pattern)])
-        if not found.where(F.size("redacted") == 0).isEmpty():
+        changed = canonical_events(hit.withColumn("_before", F.greatest(before, F.lit(0))), [Rule("manual", "capture", pattern)])
+        if not changed.where(F.coalesce(F.size("redactions"), F.lit(0)) <= F.col("_before")).isEmpty():
             raise ValueError("the pattern matches nothing in an event")
-    new = F.transform("redacted", lambda x: F.struct(x["rule"].alias("rule"), F.lit(RULESET).alias("ruleset"), x["fingerprint"].alias("fingerprint"), F.lit("content").alias("path")))
-    none = F.array().cast(events.schema["redactions"].dataType)
-    changed = found.withColumn("redactions", F.concat(F.coalesce("redactions", none), new)).drop("redacted").select(events.columns)
+    changed = changed.select(events.columns)
     note = F.to_json(F.struct(F.col("id").alias("redacted"), F.size("redactions").alias("spans")))
     companions = changed.withColumns({"kind": F.lit("redaction"), "content_json": canonical_json(note), "links": F.array(F.struct(F.lit("redacts").alias("rel"), F.col("id").alias("target"))), "redactions": F.lit(None).cast(events.schema["redactions"].dataType)})
     companions = companions.withColumn("id", event_id()).select(events.columns)

@@ -6,12 +6,16 @@ import json
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from tracelake.functions.canonical import fingerprint
-from tracelake.functions.rules import LEAST_ENTROPY, MARKERS, PLACEHOLDER, Rule, entropy, matches, rules_for
+from tracelake.functions.rules import Rule, find, print_of, rules_for
+
+#: The columns of an event that hold JSON, and the path that their leaves start with.
+JSON_PARTS = (("content_json", "content"), ("raw_json", "raw/data"))
 
 
 def string_leaves(value, path: str):
@@ -35,50 +39,75 @@ def leaves(content: Column | str) -> Column:
     return pandas_udf(_leaves, "array<struct<path:string,value:string>>")(content)
 
 
-def exempt() -> Column:
+def exempt(kind: str | None, path: str) -> bool:
     """Sealed reasoning is opaque, so no rule applies to it."""
-    return (F.col("kind") == "reasoning") & F.col("path").endswith("/encrypted_content")
+    return kind == "reasoning" and path.endswith("/encrypted_content")
 
 
-def hits(text: Column, rule: Rule) -> Column:
-    """Array of (rule, start, end, match) of a rule in a text, without placeholders, fixtures and low entropy."""
-    found = matches(text, rule.pattern)
-    held = F.coalesce(matches(text, PLACEHOLDER), F.array().cast("array<struct<start:int,end:int,match:string>>"))
+_HIT = "rule string, fingerprint string, start int, end int"
 
-    def sound(m: Column) -> Column:
-        ok = ~F.exists(held, lambda p: (m["start"] < p["end"]) & (m["end"] > p["start"]))
-        if rule.tier != "capture":
-            ok &= ~m["match"].rlike(MARKERS)
-        if rule.gated:
-            ok &= ~m["match"].rlike("^[0-9a-fA-F]+$") & ~m["match"].contains("[REDACTED:") & (entropy(m["match"]) >= LEAST_ENTROPY)
-        return ok
 
-    return F.transform(F.filter(found, sound), lambda m: F.struct(F.lit(rule.id).alias("rule"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match")))
+def _with_hits(b: pa.RecordBatch, keep: list[int], hits: list[tuple], more: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    """The kept columns of a batch's rows, one row a hit (row, values of more, rule, start, end, match)."""
+    rows = pa.array([h[0] for h in hits], pa.int64())
+    cols = [b.column(i).take(rows) for i in keep] + [pa.array([h[1 + j] for h in hits], t) for j, (_, t) in enumerate(more)]
+    n = 1 + len(more)
+    cols += [pa.array([h[n] for h in hits], pa.string()), pa.array([print_of(h[n + 3]) for h in hits], pa.string())]
+    cols += [pa.array([h[n + k] for h in hits], pa.int32()) for k in (1, 2)]
+    return pa.RecordBatch.from_arrays(cols, [*(b.schema.names[i] for i in keep), *(name for name, _ in more), "rule", "fingerprint", "start", "end"])
 
 
 def scan(texts: DataFrame, text: str, tier: str = "standard", rules: list[Rule] | None = None) -> DataFrame:
     """One row a finding: the columns of texts without the text, then rule, fingerprint, start, end.
 
     Each rule reads the text as it is, so a span may be found by several rules.
+    Offsets are code points.  One pass over batches with compiled patterns.
     """
-    every = [F.coalesce(hits(F.col(text), r), F.array().cast("array<struct<rule:string,start:int,end:int,match:string>>")) for r in rules or rules_for(tier)]
-    rows = texts.withColumn("_hit", F.explode(F.concat(*every)))
-    keep = [c for c in texts.columns if c != text]
-    return rows.select(*keep, "_hit.rule", fingerprint(F.col("_hit.match")).alias("fingerprint"), F.col("_hit.start").alias("start"), F.col("_hit.end").alias("end"))
+    rules = rules_for(tier) if rules is None else rules
+    at, keep = texts.columns.index(text), [i for i, c in enumerate(texts.columns) if c != text]
+
+    def run(batches):
+        for b in batches:
+            yield _with_hits(b, keep, [(i, *hit) for i, t in enumerate(b.column(at).to_pylist()) if t for hit in find(t, rules)], [])
+
+    schema = T.StructType([*(texts.schema[i] for i in keep), *T.StructType.fromDDL(_HIT).fields])
+    return texts.mapInArrow(run, schema)
+
+
+def scan_events(events: DataFrame, tier: str = "standard", rules: list[Rule] | None = None) -> DataFrame:
+    """Findings in all strings of events' contents, and of their raw lines where there are: event_id, conversation, occurred_at, path, rule, fingerprint, start, end."""
+    rules = rules_for(tier) if rules is None else rules
+    parts = [(c, path) for c, path in JSON_PARTS if c in events.columns]
+    rows = events.select(F.col("id").alias("event_id"), F.col("conversation.id").alias("conversation"), "occurred_at", "kind", *[c for c, _ in parts])
+
+    def hits(i, kind, texts):
+        for (_, path), t in zip(parts, texts):
+            for leaf in [] if t is None else string_leaves(json.loads(t), path):
+                if not exempt(kind, leaf["path"]):
+                    for hit in find(leaf["value"], rules):
+                        yield i, leaf["path"], *hit
+
+    def run(batches):
+        for b in batches:
+            kinds, texts = b.column(3).to_pylist(), zip(*(b.column(4 + j).to_pylist() for j in range(len(parts))))
+            yield _with_hits(b, [0, 1, 2], [h for i, (kind, t) in enumerate(zip(kinds, texts)) for h in hits(i, kind, t)], [("path", pa.string())])
+
+    return rows.mapInArrow(run, "event_id string, conversation string, occurred_at string, path string, " + _HIT)
 
 
-def scan_events(events: DataFrame, tier: str = "standard") -> DataFrame:
-    """Findings in all strings of events' contents: event_id, conversation, occurred_at, rule, fingerprint, path, start, end."""
-    leaf = events.select(F.col("id").alias("event_id"), F.col("conversation.id").alias("conversation"), "occurred_at", "kind", F.explode(leaves("content_json")).alias("leaf"))
-    leaf = leaf.select("event_id", "conversation", "occurred_at", "kind", "leaf.path", "leaf.value").where(~exempt()).drop("kind")
-    return scan(leaf, "value", tier)
+def _first_events(findings: DataFrame, event: Column, most: int = 3) -> DataFrame:
+    """(fingerprint, shown): the smallest event ids of each fingerprint, ranked so that a common one brings few rows to its task."""
+    one = findings.select("fingerprint", event.alias("_event")).distinct()
+    rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy("_event"))
+    return one.withColumn("_n", rank).where(F.col("_n") <= most).groupBy("fingerprint").agg(F.array_sort(F.collect_list("_event")).alias("shown"))
 
 
 def grouped(findings: DataFrame, event: str = "event_id") -> DataFrame:
     """Per fingerprint: the first rule, sites, distinct events, up to three of their ids in order."""
     order = F.struct(event, "start", "rule")
-    events = F.array_sort(F.collect_set(event))
-    return findings.groupBy("fingerprint").agg(F.min_by("rule", order).alias("rule"), F.count("*").alias("sites"), F.count_distinct(event).alias("events"), F.array_join(F.slice(events, 1, 3).cast("array<string>"), ",").alias("first_events"))
+    rows = findings.groupBy("fingerprint").agg(F.min_by("rule", order).alias("rule"), F.count("*").alias("sites"), F.count_distinct(event).alias("events"))
+    shown = F.array_join(F.col("shown").cast("array<string>"), ",")
+    return rows.join(_first_events(findings, F.col(event)), "fingerprint").select("fingerprint", "rule", "sites", "events", shown.alias("first_events"))
 
 
 def allowlist(*lists: DataFrame) -> DataFrame:
@@ -107,8 +136,8 @@ def report(findings: DataFrame) -> DataFrame:
     """(fingerprint, sites, text): a paragraph for each group of findings, with its first site and up to three events."""
     order = F.struct("occurred_at", "event_id", "path", "start", "rule")
     first = F.min(F.struct(order.alias("o"), finding_line().alias("line")))
-    events = F.array_sort(F.collect_set(F.substring("event_id", 1, 16)))
-    rows = findings.groupBy("fingerprint").agg(first.alias("first"), F.count("*").alias("sites"), F.count_distinct("event_id").alias("events"), F.slice(events, 1, 3).alias("shown"))
+    rows = findings.groupBy("fingerprint").agg(first.alias("first"), F.count("*").alias("sites"), F.count_distinct("event_id").alias("events"))
+    rows = rows.join(_first_events(findings, F.substring("event_id", 1, 16)), "fingerprint")
     more = F.when(F.col("events") > 3, F.format_string(" and %d more", F.col("events") - 3)).otherwise("")
     text = F.format_string("[%s] %s: %d sites in %d events\n  first %s\n  events %s%s", "fingerprint", F.col("first.o.rule"), "sites", "events", F.col("first.line"), F.array_join("shown", ", "), more)
     return rows.select("fingerprint", "sites", text.alias("text"))

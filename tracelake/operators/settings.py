@@ -10,6 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.functions.rules import Rule, rules_for
+from tracelake.operators import ledger
 
 LEAST_VALUE = 8
 
@@ -84,13 +85,9 @@ def remember(new: DataFrame, path: str) -> int:
     spark: SparkSession = new.sparkSession
     name = new.columns[0]
     fresh = new.where(f"{name} is not null").distinct()
-    try:
-        old = spark.read.schema(new.schema).parquet(path)
-        old.limit(0).collect()
+    old = ledger.table(spark, path, new.schema)
+    if old is not None:
         fresh = fresh.join(old, name, "left_anti")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
     fresh = fresh.persist()
     count = fresh.count()
     if count:

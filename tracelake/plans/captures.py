@@ -128,14 +128,17 @@ def pull_request_numbers(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", subject.alias("subject")).select("doc_id", graph.pull_request().alias("number"))
 
 
-@query("""WITH b AS (SELECT DISTINCT 'b' || (user_id % 40) AS branch, 'fix ' || (event_id % 211) AS subject FROM events WHERE event_id % 3 = 0),
-c AS (SELECT DISTINCT 'c' || (user_id % 60) AS sha, 'fix ' || (event_id % 307) AS subject FROM events WHERE event_id % 3 = 1),
-t AS (SELECT branch, count(*) AS total FROM b GROUP BY branch) SELECT b.branch, sha, count(*) AS hits, max(total) AS total FROM b JOIN c USING (subject) JOIN t ON t.branch = b.branch GROUP BY b.branch, sha""")
+@query("""WITH b AS (SELECT DISTINCT 'b' || (event_id // 40) AS branch, 'fix ' || (event_id // 3) || ';' AS subject FROM events WHERE event_id % 2 = 0),
+c AS (SELECT 'c' || (event_id // 60) AS sha, 'Merged: ' || string_agg(DISTINCT 'fix ' || (event_id // 3) || ';', ' ') AS body FROM events WHERE event_id % 2 = 1 GROUP BY 1),
+t AS (SELECT branch, count(*) AS total FROM b GROUP BY branch) SELECT b.branch, sha, count(*) AS hits, max(total) AS total FROM b JOIN c ON contains(body, subject) JOIN t ON t.branch = b.branch GROUP BY b.branch, sha""")
 def subject_evidence(spark, sf_dir):
-    events, k, u = _read(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
-    branches = events.where(k % 3 == 0).select(F.concat(F.lit("b"), u % 40).alias("branch"), F.concat(F.lit("fix "), k % 211).alias("subject")).distinct()
-    lines = events.where(k % 3 == 1).groupBy(F.concat(F.lit("c"), u % 60).alias("sha")).agg(F.array_join(F.transform(F.collect_set(k % 307), lambda x: F.concat(F.lit("* fix "), x)), "\n").alias("body"))
-    return graph.subject_hits(branches, lines)
+    """Every other event is a branch's commit, the rest are listed in the messages of candidates."""
+    events, k = _read(spark, sf_dir, "events"), F.col("event_id")
+    subject = F.concat(F.lit("fix "), F.floor(k / 3), F.lit(";"))
+    branches = events.where(k % 2 == 0).select(F.concat(F.lit("b"), F.floor(k / 40)).alias("branch"), subject.alias("subject")).distinct()
+    body = F.concat(F.lit("Merged: "), F.array_join(F.collect_set(subject), " "))
+    candidates = events.where(k % 2 == 1).groupBy(F.concat(F.lit("c"), F.floor(k / 60)).alias("sha")).agg(body.alias("body"))
+    return graph.subject_hits(branches, candidates)
 
 
 @query(f"""WITH {INJECTED}, {FOUND} SELECT doc_id, rule, count(*) AS spans FROM found WHERE doc_id % 4 <> 0 AND doc_id % 3 <> 0 GROUP BY doc_id, rule""")

@@ -251,17 +251,17 @@ def reanchor_fixpoint(spark, sf_dir):
     return graph.reanchor(graph.ancestors(commits, commits.where("event_id % 997 = 5")), maps)
 
 
-@query("""WITH b AS (SELECT 'b' || user_id AS branch, 't' || (max(event_id) % 500) AS tree, 'p' || (min(event_id) % 700) AS patch_id FROM events GROUP BY user_id),
-c AS (SELECT 'c' || event_id AS sha, 't' || (event_id // 3 % 9000) AS tree, 'p' || (event_id // 2 % 8000) AS patch_id FROM events WHERE event_id % 3 = 0),
+@query("""WITH b AS (SELECT 'b' || user_id AS branch, 't' || max(event_id) AS tree, 'p' || min(event_id) AS patch_id FROM events GROUP BY user_id),
+c AS (SELECT 'c' || event_id AS sha, 't' || (event_id - event_id % 3 * (event_id % 2)) AS tree, 'p' || (event_id - event_id % 3 * (event_id % 2)) AS patch_id FROM events),
 m AS (SELECT branch, sha, 'tree' AS method, 0 AS r FROM b JOIN c ON b.tree = c.tree UNION ALL SELECT branch, sha, 'patch-id', 1 FROM b JOIN c ON b.patch_id = c.patch_id),
 x AS (SELECT branch, count(DISTINCT sha) AS n, min(sha) AS sha, min(method) AS method FROM (SELECT *, min(r) OVER (PARTITION BY branch) AS least FROM m) WHERE r = least GROUP BY branch)
 SELECT b.branch, CASE WHEN n = 1 THEN sha END AS successor, CASE WHEN n = 1 THEN method END AS method, CASE WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN 'detected' ELSE 'ambiguous' END AS outcome FROM b LEFT JOIN x ON b.branch = x.branch""")
 def detect_squash(spark, sf_dir):
     events, k = _read(spark, sf_dir, "events"), F.col("event_id")
     named = lambda head, x: F.concat(F.lit(head), x.cast("string"))
-    branches = events.groupBy(named("b", F.col("user_id")).alias("branch")).agg(named("t", F.max(k) % 500).alias("tree"), named("p", F.min(k) % 700).alias("patch_id"))
-    third, half = F.floor(k / 3), F.floor(k / 2)
-    candidates = events.where(k % 3 == 0).select(named("c", k).alias("sha"), named("t", third % 9000).alias("tree"), named("p", half % 8000).alias("patch_id"))
+    branches = events.groupBy(named("b", F.col("user_id")).alias("branch")).agg(named("t", F.max(k)).alias("tree"), named("p", F.min(k)).alias("patch_id"))
+    made = k - k % 3 * (k % 2)
+    candidates = events.select(named("c", k).alias("sha"), named("t", made).alias("tree"), named("p", made).alias("patch_id"))
     return graph.detect_squash(branches, candidates)
 
 
@@ -273,15 +273,21 @@ def detect_rebase(spark, sf_dir):
     return graph.detect_rebase(noted, events.where(k % 4 != 0).select(F.concat(F.lit("c"), k).alias("sha"), (k - k % 2).alias("patch_id")))
 
 
-@query("""WITH l AS (SELECT DISTINCT 'b' || (user_id % 40) AS branch, 'f' || (event_id % 97) AS path, (user_id % 40 + event_id % 97) % 5 AS patch FROM events WHERE user_id % 3 = 0),
-r AS (SELECT DISTINCT 'c' || (user_id % 60) AS sha, 'f' || (event_id % 89) AS path, (user_id % 60 + event_id % 89) % 5 AS patch FROM events WHERE user_id % 3 = 1),
+#: A third of all changes are to one path, whatever the branch.
+CHANGE = "CASE WHEN event_id % 3 = 0 THEN 'f0' ELSE 'f' || (event_id // 4) END AS path, CASE WHEN event_id % 3 = 0 THEN event_id // 120 ELSE event_id // 4 END AS patch FROM events"
+
+
+@query(f"""WITH l AS (SELECT DISTINCT 'b' || (event_id // 60) AS branch, {CHANGE} WHERE event_id % 2 = 0),
+r AS (SELECT DISTINCT 'c' || (event_id // 40) AS sha, {CHANGE} WHERE event_id % 2 = 1),
 s AS (SELECT branch, sha, count(*) AS common, count(*) FILTER (l.patch = r.patch) AS identical FROM l JOIN r ON l.path = r.path GROUP BY branch, sha),
 x AS (SELECT s.branch, s.sha, identical, identical / (a + b - common) AS score FROM s JOIN (SELECT branch, count(*) AS a FROM l GROUP BY branch) USING (branch) JOIN (SELECT sha, count(*) AS b FROM r GROUP BY sha) USING (sha) WHERE identical > 0)
 SELECT branch, sha, identical, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY score DESC, sha)::INTEGER AS rank FROM x) WHERE rank <= 3""")
 def file_overlap_top3(spark, sf_dir):
-    events, k, u = _read(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
-    side = lambda i, name, head, users, files: events.where(u % 3 == i).select(F.concat(F.lit(head), u % users).alias(name), F.concat(F.lit("f"), k % files).alias("path"), ((u % users + k % files) % 5).alias("patch_id")).distinct()
-    return graph.file_overlap(side(0, "branch", "b", 40, 97), side(1, "sha", "c", 60, 89))
+    events, k = _read(spark, sf_dir, "events"), F.col("event_id")
+    hot, part = k % 3 == 0, lambda n: F.floor(k / n)
+    path, patch = F.when(hot, "f0").otherwise(F.concat(F.lit("f"), part(4))), F.when(hot, part(120)).otherwise(part(4))
+    side = lambda i, name, head, n: events.where(k % 2 == i).select(F.concat(F.lit(head), part(n)).alias(name), path.alias("path"), patch.alias("patch_id")).distinct()
+    return graph.file_overlap(side(0, "branch", "b", 60), side(1, "sha", "c", 40))
 
 
 @query("""SELECT event_type AS type, count(*) AS n FROM events GROUP BY event_type""")
@@ -357,4 +363,4 @@ def annotation_links(spark, sf_dir):
     return rows.select("doc_id", F.col("links")[0]["target"].alias("target"), get("quality"), get("toxic"))
 
 
-from tracelake.plans import captures  # noqa: E402, F401  it registers more queries here
+from tracelake.plans import captures, upkeep  # noqa: E402, F401  they register more queries here

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.canonical import SCHEMA, canonical_json, event_id
+from tracelake.functions.canonical import SCHEMA, event_id
+from tracelake.functions.rules import Rule
+from tracelake.operators import redaction
 
 BASE = "2026-01-01 00:00:00"
 ACTORS = {"user": "human", "assistant": "agent", "system": "system"}
@@ -28,7 +30,7 @@ def after_base(seconds: str) -> Column:
     return F.expr(f"timestamp_ntz '{BASE}' + make_dt_interval(0, 0, 0, cast({seconds} as decimal(18, 6)))")
 
 
-def draft(rows: DataFrame, *, kind: Column, occurred_at: Column, actor: Column, source: str, content: Column, conversation: Column | None = None, seq: Column | None = None, parent: Column | None = None, model: Column | None = None, session: Column | None = None, links: Column | None = None, anchor: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def draft(rows: DataFrame, *, kind: Column, occurred_at: Column, actor: Column, source: str, content: Column, conversation: Column | None = None, seq: Column | None = None, parent: Column | None = None, model: Column | None = None, session: Column | None = None, version: Column | None = None, provider: Column | None = None, links: Column | None = None, anchor: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Events from rows of any shape; content is a struct, array or JSON text."""
     none = F.lit(None).cast("string")
     or_none = lambda x: none if x is None else x.cast("string")
@@ -38,7 +40,7 @@ def draft(rows: DataFrame, *, kind: Column, occurred_at: Column, actor: Column,
         occurred_at.alias("occurred_at"),
         occurred_at.alias("recorded_at"),
         F.struct(actor.alias("type"), none.alias("id")).alias("actor"),
-        F.struct(F.lit("tracelake").alias("tool"), F.lit(source).alias("source"), or_none(model).alias("model"), or_none(session).alias("session_id")).alias("producer"),
+        F.struct(F.lit("tracelake").alias("tool"), F.lit(source).alias("source"), or_none(model).alias("model"), or_none(session).alias("session_id"), or_none(version).alias("source_version"), or_none(provider).alias("provider")).alias("producer"),
         none.alias("media_type"),
         content.alias("content_json"),
         F.struct(or_none(conversation).alias("id"), (F.lit(None) if seq is None else seq).cast("long").alias("seq"), or_none(parent).alias("parent")).alias("conversation"),
@@ -49,9 +51,12 @@ def draft(rows: DataFrame, *, kind: Column, occurred_at: Column, actor: Column,
     )
 
 
-def finalize(drafts: DataFrame) -> DataFrame:
-    """Events with canonical content and their ids; content that is no JSON becomes null and shows in problems()."""
-    return drafts.withColumn("content_json", canonical_json("content_json")).select(event_id().alias("id"), "*")
+def finalize(drafts: DataFrame, rules: list[Rule] | None = (), exact: dict[str, list[str]] | None = None) -> DataFrame:
+    """Events with canonical content and their ids; content that is no JSON becomes null and shows in problems().
+
+    Strings are redacted first by the rules (None: capture's) and exact values, if there are any.
+    """
+    return redaction.canonical_events(drafts, rules, exact).select(event_id().alias("id"), "*")
 
 
 def problems() -> Column:
@@ -83,13 +88,30 @@ def chat(conversations: DataFrame) -> DataFrame:
 
 
 def activity(events: DataFrame) -> DataFrame:
-    """One activity a row of (event_id, ts, user_id, event_type, value, props); seq is the rank in time within the user."""
+    """One activity a row of (event_id, ts, user_id, event_type, value, props); seq is the rank in time within the user.
+
+    Rows without a user are no conversation: they have neither id nor seq.
+    """
     from pyspark.sql import Window
 
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    known = F.col("user_id").isNotNull()
+    rows = events.where(known).withColumn("seq", seq).unionByName(events.where(~known).withColumn("seq", F.lit(None).cast("int")))
     k = F.get_json_object("props", "$.k").cast("long")
     content = F.to_json(F.struct(F.col("event_type").alias("activity_type"), k.alias("k"), F.col("value")))
-    return draft(events.withColumn("seq", seq), kind=F.lit("activity"), occurred_at=iso(F.col("ts")), actor=F.lit("system"), source="app", content=content, conversation=F.concat(F.lit("app:"), F.col("user_id")), seq=F.col("seq"), keep=("event_id",))
+    return draft(rows, kind=F.lit("activity"), occurred_at=iso(F.col("ts")), actor=F.lit("system"), source="app", content=content, conversation=F.concat(F.lit("app:"), F.col("user_id")), seq=F.col("seq"), keep=("event_id",))
+
+
+def in_context(drafts: DataFrame, repo: str | None = None, branch: str | None = None, head: str | None = None, cwd: str | None = None, status: str | None = None, author: str | None = None) -> DataFrame:
+    """Drafts with the place where they were captured, and human actors without an id given the author's.
+
+    context is no part of an event's identity; of the working tree's status only a digest is kept.
+    """
+    text = lambda x: F.lit(x).cast("string")
+    dirty = F.sha2(text(status).cast("binary"), 256) if status else text(None)
+    context = F.struct(text(repo).alias("repo"), text(branch).alias("branch"), text(head).alias("head"), text(cwd).alias("cwd"), dirty.alias("dirty_fingerprint"))
+    who = F.when(F.col("actor.type") == "human", F.coalesce("actor.id", text(author))).otherwise(F.col("actor.id"))
+    return drafts.withColumns({"context": context, "actor": F.struct(F.col("actor.type").alias("type"), who.alias("id"))})
 
 
 def document(documents: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.canonical import json_object, quoted
+from tracelake.operators import graph
 from tracelake.operators.reading import carry_forward
 from tracelake.sources import tables
 
@@ -127,11 +128,19 @@ def _stem() -> Column:
     return F.regexp_extract("file", r"([^/]+?)(?:\.jsonl?)?$", 1)
 
 
-def _drafts(rows: DataFrame, source: str, content: Column, human: str | None, parent: Column | None = None) -> DataFrame:
-    """Drafts from rows with kind, who, actor_id, session, conversation, model and what content_json is made from."""
+def _or_none(rows: DataFrame, name: str) -> Column | None:
+    return F.col(name) if name in rows.columns else None
+
+
+def _drafts(rows: DataFrame, source: str, content: Column, human: str | None, parent: Column | None = None, by_line: bool = True) -> DataFrame:
+    """Drafts from rows with kind, who, actor_id, session, conversation, model and what content_json is made from.
+
+    line is the line that a draft was made from; null where a draft may hang on any line of its file.
+    """
+    rows = rows.withColumns({"content_json": content, "line": F.col("seq") if by_line else F.lit(None).cast("long")})
     made = tables.draft(
-        rows.withColumn("content_json", content), kind=F.col("kind"), occurred_at=F.col("occurred_at"), actor=F.col("who"), source=source, content=F.col("content_json"),
-        conversation=F.col("conversation"), seq=F.col("seq"), parent=parent, model=F.col("model"), session=F.col("session"), keep=("value", "actor_id", "file"),
+        rows, kind=F.col("kind"), occurred_at=F.col("occurred_at"), actor=F.col("who"), source=source, content=F.col("content_json"),
+        conversation=F.col("conversation"), seq=F.col("seq"), parent=parent, model=F.col("model"), session=F.col("session"), version=_or_none(rows, "version"), provider=_or_none(rows, "provider"), keep=("value", "actor_id", "file", "line", *(["raw"] if "raw" in rows.columns else [])),
     )
     who = F.when(F.col("actor.type") == "human", F.coalesce("actor_id", F.lit(human))).otherwise(F.col("actor_id"))
     return made.withColumns({"actor": F.struct(F.col("actor.type").alias("type"), who.alias("id")), "raw_json": F.col("value")}).drop("value", "actor_id")
@@ -145,14 +154,18 @@ def claude(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME
     said = F.try_variant_get(F.try_parse_json("value"), "$.content", "variant")
     turn = kind.isin("user", "assistant") & _get("message").isNotNull() & _get("timestamp").isNotNull()
     spoken = (kind == "system") & _is_text(said) & (F.trim(_get("content")) != "")
-    root = F.concat(F.lit("claude-code:"), F.coalesce(_get("sessionId"), _stem()))
+    above = F.nullif(F.regexp_extract("file", r"/([^/]+)/subagents/[^/]+$", 1), F.lit(""))  # a sub-agent's file lies below its session
+    session = F.coalesce(_get("sessionId"), above, _stem())
+    root = F.concat(F.lit("claude-code:"), session)
+    side |= above.isNotNull()
     rows = rows.withColumns({
         "kind": F.when(turn | spoken, "conversation_turn").when(kind == "system", "activity").when(kind == "attachment", "context_injection").when(kind.isin(*CLAUDE_STATE), "session_state").when(kind.isin(*CLAUDE_ACTIVITY), "activity").when(kind.isin(*CLAUDE_FILES), "file_snapshot").otherwise("unrecognized"),
         "who": F.when(turn & (kind == "assistant"), "agent").when(turn & ~side, "human").otherwise("system"),
         "actor_id": F.when(turn & (kind == "assistant"), F.nullif(_get("message.model"), F.lit(""))),
         "model": F.nullif(_get("message.model"), F.lit("")),
-        "session": F.coalesce(_get("sessionId"), _stem()),
-        "conversation": F.when(side, F.concat(root, F.lit("#agent:"), F.coalesce(_get("agentId"), F.lit("unknown")))).otherwise(root),
+        "version": F.nullif(_get("version"), F.lit("")),
+        "session": session,
+        "conversation": F.when(side, F.concat(root, F.lit("#agent:"), F.coalesce(_get("agentId"), F.nullif(F.regexp_extract("file", r"/subagents/agent-([^/]+?)\.jsonl$", 1), F.lit("")), F.lit("unknown")))).otherwise(root),
     })
     message = json_object([("role", quoted(_get("message.role"))), ("agent", quoted(F.nullif(_get("attributionAgent"), F.lit("")))), ("blocks", blocks("message.content", _drop_signature))])
     label = lambda head, path: quoted(F.concat(F.lit(head), F.coalesce(_get(path), F.lit("untyped"))))
@@ -187,12 +200,19 @@ def codex(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME)
     kind, sub = _get("type"), F.coalesce(_get("payload.type"), F.lit("(untyped)"))
     first = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     head = lambda *paths: F.first(F.when(kind == "session_meta", F.coalesce(*map(_get, paths))), ignorenulls=True).over(first)
+    # few lines can state a context: the others are not parsed for it
+    likely = F.col("value").contains('"session_meta"') | F.col("value").contains('"turn_context"')
+    states = lambda path, *types: F.when(likely, F.when(kind.isin(*types), F.nullif(_get(path), F.lit(""))))
     rows = rows.withColumns({
-        "stated": F.when(kind.isin("session_meta", "turn_context"), F.nullif(_get("payload.model"), F.lit(""))),
+        "stated": states("payload.model", "session_meta", "turn_context"),
+        "version": states("payload.cli_version", "session_meta"),
+        "provider": states("payload.model_provider", "session_meta"),
         "session": F.coalesce(head("payload.id", "payload.session_id"), F.nullif(F.regexp_extract("file", r"([0-9a-f]{8}-[0-9a-f-]{27})\.jsonl$", 1), F.lit("")), _stem()),
         "above": F.first(F.when((kind == "session_meta") & _get("payload.source.subagent").isNotNull(), _get("payload.parent_thread_id")), ignorenulls=True).over(first),
     })
-    rows = carry_forward(rows, ["file"], ["seq"], "stated").withColumn("model", F.col("stated_in_force"))
+    for fact, name in (("stated", "model"), ("version", "version"), ("provider", "provider")):
+        rows = carry_forward(rows, ["file"], ["seq"], fact)
+        rows = rows.withColumn(name, F.col(f"{fact}_in_force")).drop(f"{fact}_in_force")
     item, reason = kind == "response_item", (kind == "response_item") & (sub == "reasoning")
     call, output = item & sub.isin("function_call", "custom_tool_call"), item & sub.isin("function_call_output", "custom_tool_call_output")
     message, mail = item & (sub == "message"), item & (sub == "agent_message")
@@ -251,6 +271,7 @@ def qwen(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME)
         "who": F.when(turn & (kind == "user"), "human").when(turn & (kind == "assistant"), "agent").when(system & sub.isin(*QWEN_HUMAN), "human").otherwise("system"),
         "actor_id": F.when(turn & (kind == "assistant"), F.nullif(_get("model"), F.lit(""))),
         "model": F.nullif(_get("model"), F.lit("")),
+        "version": F.nullif(_get("version"), F.lit("")),
         "session": F.coalesce(_get("sessionId"), _stem()),
         "conversation": F.concat(F.lit("qwen-code:"), F.coalesce(_get("sessionId"), _stem())),
     })
@@ -274,42 +295,36 @@ def qwen(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME)
 
 
 def replay(records: list[str]) -> dict:
-    """What a write-ahead log leaves: messages (seq, record) by first sighting, mutations in order, rewound ids.
+    """What a write-ahead log leaves: messages (seq, record) by first sighting, mutations (seq, kind, fields, record) in order, rewound ids, metadata.
 
-    A record is, in this precedence, a rewind to a message, a message (its last
-    version counts), a patch, or a header; a snapshot withdraws live messages it lacks.
+    A record is, in this precedence, a rewind to a message, a message (its last version
+    counts), a patch, or a header (it names its session and project).  A snapshot, the
+    messages of a patch, withdraws live messages it lacks and gives the live ones its
+    order.  Records of mutations come without their lists of messages.
     """
     place: dict[str, int] = {}
     last: dict[str, dict] = {}
-    live: list[str] = []
-    seen: set[str] = set()
-    mutations: list[tuple[int, str, dict]] = []
+    live: dict[str, None] = {}  # in order
+    mutations: list[tuple[int, str, dict, dict]] = []
+    facts: dict = {}
     count = 0
 
-    def sight(message: dict) -> None:
+    def sight(message) -> None:
         nonlocal count
+        if not (isinstance(message, dict) and isinstance(message.get("id"), str)):
+            return
         name = message["id"]
         if name not in place:
             place[name], count = count, count + 1
         last[name] = message
-        seen.add(name)
-        if name not in live:
-            live.append(name)
+        live.setdefault(name)
 
-    def note(kind: str, record: dict) -> None:
+    def note(kind: str, fields: dict, record: dict) -> None:
         nonlocal count
-        mutations.append((count, kind, record))
+        mutations.append((count, kind, fields, record))
         count += 1
 
-    def snapshot(messages, record: dict) -> None:
-        found = [m for m in messages if isinstance(m, dict) and isinstance(m.get("id"), str)]
-        kept = {m["id"] for m in found}
-        if gone := [i for i in live if i not in kept]:
-            note("snapshot_drop", {"dropped": gone})
-            live[:] = [i for i in live if i in kept]
-        for m in found:
-            sight(m)
-
+    bare = lambda x: {k: v for k, v in x.items() if k != "messages"}
     for text in records:
         try:
             record = json.loads(text)
@@ -317,42 +332,59 @@ def replay(records: list[str]) -> dict:
             continue
         if not isinstance(record, dict):
             continue
-        target = record.get("$rewindTo")
+        target, patch = record.get("$rewindTo"), record.get("$set")
         if isinstance(target, str):
-            note("rewind", record)
-            live[:] = live[: live.index(target)] if target in live else []
-        elif isinstance(record.get("id"), str) and "type" in record:
+            ids = list(live)
+            kept = ids[: ids.index(target)] if target in live else []
+            live = dict.fromkeys(kept)
+            note("rewind", {"rewind_to": target, "removed_messages": ids[len(kept) :], "resolved": len(kept) < len(ids) and ids[len(kept)] == target}, record)
+        elif isinstance(record.get("id"), str):
             sight(record)
-        else:
-            patch = record.get("$set") if isinstance(record.get("$set"), dict) else record
+        elif isinstance(patch, dict):
+            stored = record
             if isinstance(patch.get("messages"), list):
-                snapshot(patch["messages"], record)
-            fields = {k: v for k, v in patch.items() if k != "messages"}
-            if fields:
-                note("metadata", fields)
+                stored = record | {"$set": bare(patch)}
+                kept = {m["id"] for m in patch["messages"] if isinstance(m, dict) and isinstance(m.get("id"), str)}
+                if gone := [i for i in live if i not in kept]:
+                    note("snapshot_drop", {"removed_messages": gone, "kept_message_count": len(kept)}, stored)
+                live = {}
+                for m in patch["messages"]:
+                    sight(m)
+            facts.update(bare(patch))
+            if bare(patch):
+                note("metadata", bare(patch), stored)
+        elif isinstance(record.get("sessionId"), str) and isinstance(record.get("projectHash"), str):
+            facts.update(bare(record))
+            for m in record["messages"] if isinstance(record.get("messages"), list) else []:
+                sight(m)
+            note("metadata", bare(record), bare(record))
     messages = sorted((place[i], last[i]) for i in place)
-    return {"messages": messages, "mutations": mutations, "rewound": sorted(seen - set(live))}
+    return {"messages": messages, "mutations": mutations, "rewound": sorted(last.keys() - live.keys()), "facts": facts}
 
 
 def gemini_log(rows: DataFrame) -> DataFrame:
-    """(file, seq, what, record, rewound) of replayed logs; what is message, rewind, snapshot_drop or metadata."""
+    """(file, seq, what, value, raw, rewound, named, began) of replayed logs; what is message, rewind, snapshot_drop or metadata."""
 
     def run(key, table):
         made = replay(table.sort_by("seq")["value"].to_pylist())
-        gone = set(made["rewound"])
-        out = [(s, "message", json.dumps(m, ensure_ascii=False), m["id"] in gone) for s, m in made["messages"]]
-        out += [(s, kind, json.dumps(m, ensure_ascii=False), False) for s, kind, m in made["mutations"]]
-        cols = list(zip(*out)) if out else [()] * 4
-        types = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
-        return pa.table([pa.array([key[0].as_py()] * len(out), pa.string())] + [pa.array(c, t) for c, t in zip(cols, types)], names=["file", "seq", "what", "value", "rewound"])
+        gone, text = set(made["rewound"]), lambda x: json.dumps(x, ensure_ascii=False)
+        out = [(s, "message", text(m), text(m), m["id"] in gone) for s, m in made["messages"]]
+        out += [(s, kind, text(fields), text(record), False) for s, kind, fields, record in made["mutations"]]
+        cols = list(zip(*out)) if out else [()] * 5
+        facts = [x if isinstance(x := made["facts"].get(k), str) and x else None for k in ("sessionId", "startTime")]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+        found = [pa.array([key[0].as_py()] * len(out), pa.string())] + [pa.array(c, t) for c, t in zip(cols, types)] + [pa.array([x] * len(out), pa.string()) for x in facts]
+        return pa.table(found, names=["file", "seq", "what", "value", "raw", "rewound", "named", "began"])
 
-    return rows.groupBy("file").applyInArrow(run, "file string, seq long, what string, value string, rewound boolean")
+    return rows.groupBy("file").applyInArrow(run, "file string, seq long, what string, value string, raw string, rewound boolean, named string, began string")
 
 
 def gemini(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME) -> DataFrame:
-    """Drafts from replayed logs; messages with a call that still runs wait, unless they were rewound."""
-    session = rows.groupBy("file").agg(F.first(_get("sessionId"), ignorenulls=True).alias("named"), F.first(_get("startTime"), ignorenulls=True).alias("began"))
-    log = _timed(gemini_log(rows), "timestamp", base_time).join(session, "file")
+    """Drafts from replayed logs; messages with a call that still runs wait, unless they were rewound.
+
+    A log in a folder of its chats that is named by a session is of a sub-session of it.
+    """
+    log = _timed(gemini_log(rows), "timestamp", base_time)
     calls = F.from_json(_get("toolCalls"), ARRAY)
     done = F.coalesce(F.forall(calls, lambda c: F.try_variant_get(c, "$.result", "variant").isNotNull() | F.coalesce(F.try_variant_get(c, "$.status", "string").isin("success", "error", "cancelled", "canceled"), F.lit(False))), F.lit(True))
     log = log.where((F.col("what") != "message") | done | F.col("rewound"))
@@ -367,13 +399,17 @@ def gemini(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME
         "actor_id": F.when(message & (kind == "gemini"), _get("model")), "model": _get("model"), "session": name, "conversation": F.concat(F.lit("gemini-cli:"), name),
     })
     raw = lambda x, path: F.to_json(F.try_variant_get(x, path, "variant"))
-    think = F.transform(F.from_json(_get("thoughts"), ARRAY), lambda x: json_object([("type", F.lit('"thinking"')), ("text", quoted(F.concat_ws(": ", F.try_variant_get(x, "$.subject", "string"), F.try_variant_get(x, "$.description", "string"))))]))
+    thought = lambda x: F.coalesce(F.try_variant_get(x, "$.description", "string"), F.try_variant_get(x, "$.subject", "string"))
+    think = F.transform(F.filter(F.from_json(_get("thoughts"), ARRAY), lambda x: F.coalesce(F.trim(thought(x)) != "", F.lit(False))), lambda x: json_object([("type", F.lit('"thinking"')), ("text", quoted(thought(x))), ("subject", quoted(F.nullif(F.try_variant_get(x, "$.subject", "string"), F.lit(""))))]))
     use = F.transform(calls, lambda c: json_object([("type", F.lit('"tool_use"')), ("id", raw(c, "$.id")), ("name", raw(c, "$.name")), ("input", raw(c, "$.args"))]))
-    got = F.transform(F.filter(calls, lambda c: F.try_variant_get(c, "$.result", "variant").isNotNull()), lambda c: json_object([("type", F.lit('"tool_result"')), ("tool_use_id", raw(c, "$.id")), ("name", raw(c, "$.name")), ("content", raw(c, "$.result"))]))
+    got = F.transform(F.filter(calls, lambda c: F.try_variant_get(c, "$.result", "variant").isNotNull()), lambda c: json_object([("type", F.lit('"tool_result"')), ("tool_use_id", raw(c, "$.id")), ("name", raw(c, "$.name")), ("content", raw(c, "$.result")), ("is_error", F.when(F.try_variant_get(c, "$.status", "string") == "error", "true"))]))
     none = F.array().cast("array<string>")
     own = F.substring(blocks("content", _part), 2, 1 << 30)
     own = F.array_compact(F.array(F.nullif(own.substr(F.lit(1), F.length(own) - 1), F.lit(""))))
-    every = F.array_join(F.concat(F.coalesce(think, none), own, F.coalesce(use, none), F.coalesce(got, none)), ",")
+    # parts that hold calls or thoughts say the same as the fields beside them
+    held = F.coalesce(F.exists(F.from_json(_get("content"), ARRAY), lambda x: F.try_variant_get(x, "$.functionCall", "variant").isNotNull() | F.coalesce(F.try_variant_get(x, "$.thought", "boolean"), F.lit(False))), F.lit(False))
+    beside = lambda x: F.when((kind == "gemini") & ~held, F.coalesce(x, none)).otherwise(none)
+    every = F.array_join(F.concat(beside(think), own, beside(use), F.when(kind == "gemini", F.coalesce(got, none)).otherwise(none)), ",")
     role = F.when(kind == "gemini", '"model"').when(kind == "user", '"user"').otherwise('"system"')
     obj = F.from_json("value", OBJECT)
     content = (
@@ -383,18 +419,31 @@ def gemini(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME
         .when(F.col("what") == "metadata", F.to_json(put(obj, [("state_type", F.lit('"metadata"'))])))
         .otherwise(F.to_json(put(obj, [("activity_type", quoted(F.col("what")))])))
     )
-    return _drafts(log, "gemini-cli", content, human)
+    above = F.nullif(F.regexp_extract("file", r"/chats/([^/]+)/[^/]+$", 1), F.lit(""))
+    parent = F.when(above.isNotNull() & (above != name), F.concat(F.lit("gemini-cli:"), above))
+    return _drafts(log.withColumn("parent", parent), "gemini-cli", content, human, F.col("parent"), by_line=False).drop("raw_json").withColumnRenamed("raw", "raw_json")
+
+
+def documents(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, seq, value, closed) of files that are one JSON document each: a document is one line."""
+    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return whole.select("file", F.lit(0).cast("long").alias("seq"), "value", F.lit(True).alias("closed"))
 
 
 def opencode(spark: SparkSession, *paths: str, human: str | None = None, base_time: str = BASE_TIME) -> DataFrame:
-    """Drafts from exports, one JSON document a session: a draft a part, numbered through the session.
+    """Drafts from export files; see opencode_sessions."""
+    return opencode_sessions(documents(spark, *paths), human, base_time)
+
+
+def opencode_sessions(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME) -> DataFrame:
+    """Drafts from exports (file, value), one JSON document a session: a draft a part, numbered through the session.
 
     A part whose call still runs waits; a blank text makes nothing.  A part's number
     is the time in its id, where all ids of the session have one and no two the same,
     else its place; its time is its own, its call's or its message's.
     """
-    docs = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
-    head = F.struct(_get("info.id", "doc").alias("session"), _get("info.parentID", "doc").alias("above"))
+    docs = rows.select("file", F.col("value").alias("doc"))
+    head = F.struct(_get("info.id", "doc").alias("session"), _get("info.parentID", "doc").alias("above"), F.nullif(_get("info.version", "doc"), F.lit("")).alias("version"))
     rows = docs.select("file", head.alias("h"), F.posexplode(F.from_json(_get("messages", "doc"), ARRAY)).alias("m", "message")).select("file", "h", "m", F.to_json("message").alias("message"))
     rows = rows.select("file", "h", "m", "message", F.posexplode(F.from_json(_get("parts", "message"), ARRAY)).alias("p", "part"))
     rows = rows.select("file", "h.*", "message", "m", "p", F.to_json("part").alias("value"))
@@ -413,6 +462,7 @@ def opencode(spark: SparkSession, *paths: str, human: str | None = None, base_ti
         "occurred_at": F.coalesce(stamp(_get("time.start")), stamp(_get("state.time.start")), stamp(_get("info.time.created", "message")), F.lit(base_time)),
         "kind": F.when(turn, "conversation_turn").when(step, "activity").otherwise("unrecognized"),
         "who": F.when(step | kind.isin("reasoning", "tool") | (role == "assistant"), "agent").when(turn & (role == "user"), "human").otherwise("system"),
+        "provider": F.nullif(F.coalesce(_get("info.providerID", "message"), _get("info.model.providerID", "message")), F.lit("")),
         "actor_id": F.when(role == "assistant", model), "model": model, "conversation": F.concat(F.lit("opencode:"), "session"),
     })
     raw = lambda path: F.to_json(F.try_variant_get(F.try_parse_json("value"), f"$.{path}", "variant"))
@@ -422,4 +472,15 @@ def opencode(spark: SparkSession, *paths: str, human: str | None = None, base_ti
     said = json_object([("role", quoted(role)), ("blocks", F.concat(F.lit("["), F.when(kind == "tool", F.concat_ws(",", use, result)).otherwise(text), F.lit("]")))])
     obj = without(F.from_json("value", OBJECT), "id", "type", "messageID", "sessionID")
     content = F.when(turn, said).when(step, F.to_json(put(obj, [("activity_type", quoted(kind))]))).otherwise(json_object([("unrecognized_type", quoted(F.coalesce(kind, F.lit("(untyped)"))))]))
-    return _drafts(rows, "opencode", content, human, F.when(F.col("above").isNotNull(), F.concat(F.lit("opencode:"), "above")))
+    return _drafts(rows, "opencode", content, human, F.when(F.col("above").isNotNull(), F.concat(F.lit("opencode:"), "above")), by_line=False)
+
+
+def opencode_links(rows: DataFrame) -> DataFrame:
+    """(session, parent) of exports (file, value), for descendants()."""
+    return rows.select(_get("info.id").alias("session"), _get("info.parentID").alias("parent"))
+
+
+def descendants(sessions: DataFrame, roots: DataFrame) -> DataFrame:
+    """(session) of roots (session) and all sub-sessions below them, from links (session, parent)."""
+    links = sessions.where("parent is not null").select(F.col("parent").alias("src"), F.col("session").alias("dst"))
+    return graph.closure(links, roots.select(F.col("session").alias("node"))).select(F.col("node").alias("session"))

@@ -8,61 +8,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.operators import drift, ledger
+from tracelake.functions.rules import Rule
+from tracelake.operators import drift, graph, ledger
 from tracelake.sources import tables
 
-CURSORS = T.StructType([T.StructField("file", T.StringType()), T.StructField("count", T.LongType()), T.StructField("size", T.LongType()), T.StructField("round", T.LongType())])
+CURSORS = T.StructType([T.StructField("file", T.StringType()), T.StructField("count", T.LongType()), T.StructField("size", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("round", T.LongType())])
 Reader = Callable[[DataFrame], DataFrame]
 
 
-def events_of(drafts: DataFrame, anchor: str | None = None) -> DataFrame:
-    """Finalised events without the columns that only readers use."""
-    return tables.finalize(drafts).drop("raw_json", "file").withColumn("anchor", F.lit(anchor).cast("string"))
+def events_of(drafts: DataFrame, anchor: str | None = None, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> DataFrame:
+    """Finalised events with the lines they were made from, both redacted, without the columns that only readers use."""
+    return tables.finalize(drafts, rules, exact).drop("file", "line").withColumn("anchor", F.lit(anchor).cast("string"))
 
 
 def cursors(spark: SparkSession, path: str) -> DataFrame:
     """The last cursor of each file: rounds are appended, so a failed round leaves the ones before it whole."""
-    try:
-        rows = spark.read.schema(CURSORS).parquet(path)
-        rows.limit(0).collect()
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    rows = ledger.table(spark, path, CURSORS)
+    if rows is None:
         return spark.createDataFrame([], CURSORS)
-    return rows.groupBy("file").agg(F.max_by(F.struct("count", "size"), "round").alias("c"), F.max("round").alias("round")).select("file", "c.*", "round")
+    return rows.groupBy("file").agg(F.max_by(F.struct("count", "size", "digest"), "round").alias("c"), F.max("round").alias("round")).select("file", "c.*", "round")
 
 
-def catch_up(lines: DataFrame, reader: Reader, ledger_path: str, cursor_path: str, anchor: str | None = None) -> dict[str, int]:
+def catch_up(lines: DataFrame, reader: Reader, ledger_path: str, cursor_path: str, anchor: str | None = None, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> dict[str, int]:
     """Read lines (file, seq, value, closed) on from the cursors, append what they say, then move the cursors.
 
     A torn last line is held back until its file has grown.  The ledger is written
     before the cursors, so a round that fails between them is read again, and adds
-    nothing the second time.  reader sees the whole of each file that has new lines,
-    as a line's meaning may depend on lines before it.
+    nothing the second time.  reader sees the whole of each file that has new lines, or
+    whose lines changed, as a line's meaning may depend on lines before it.  Of drafts
+    made from one line those of new lines count; drafts that may hang on any line of
+    their file, as those of logs and exports, are all sent, and the append leaves out
+    what the ledger holds.  So a message that waits for a call to end comes once the log
+    says so, however far the cursor is.  Texts are redacted (see ledger.append).
     """
     spark = lines.sparkSession
     states = ledger.parsed(lines)
     seen = cursors(spark, cursor_path)
-    open_ = ledger.resume(states.where("state <> 'torn'"), seen).select("file", "seq")
+    done = states.where("state <> 'torn'")
+    marks = done.groupBy("file").agg(F.bit_xor(F.xxhash64("seq", "value")).alias("digest"), F.max("seq").alias("_top"))
+    changed = marks.join(seen.select("file", "count", F.col("digest").alias("_old")), "file").where(~F.col("digest").eqNullSafe(F.col("_old")) & (F.col("_top") < F.col("count"))).select("file")
+    open_ = ledger.resume(done, seen).select("file", "seq").unionByName(done.join(changed, "file", "left_semi").select("file", "seq")).distinct()
+    open_ = graph.cut(open_)
     touched = open_.select("file").distinct()
     drafts = reader(lines.join(touched, "file", "left_semi"))
-    fresh = drafts.alias("d").join(open_.alias("o"), (F.col("d.file") == F.col("o.file")) & (F.col("d.conversation.seq") == F.col("o.seq")), "left_semi")
-    counts = ledger.append(events_of(fresh, anchor), ledger_path)
+    own = drafts.where("line is not null")
+    fresh = own.join(open_.select("file", F.col("seq").alias("line")), ["file", "line"], "left_semi").select(drafts.columns).unionByName(drafts.where("line is null"))
+    counts = ledger.append(events_of(fresh, anchor, rules, exact), ledger_path, rules=[])
     sizes = states.groupBy("file").agg(F.sum(F.octet_length("value") + 1).cast("long").alias("size"))
     turn = (seen.agg(F.max("round")).first()[0] or 0) + 1
-    moved = ledger.cursors(states).select("file", F.col("count").cast("long").alias("count")).join(sizes, "file").withColumn("round", F.lit(turn).cast("long"))
+    moved = ledger.cursors(states).select("file", F.col("count").cast("long").alias("count")).join(sizes, "file").join(marks.drop("_top"), "file", "left").withColumn("round", F.lit(turn).cast("long"))
     moved.join(touched, "file", "left_semi").select(CURSORS.names).write.mode("append").parquet(cursor_path)
     return counts
 
 
-def stream(spark: SparkSession, folder: str, reader: Reader, ledger_path: str, checkpoint: str, anchor: str | None = None) -> dict[str, int]:
+def stream(spark: SparkSession, folder: str, reader: Reader, ledger_path: str, checkpoint: str, anchor: str | None = None, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> dict[str, int]:
     """Capture all files of a folder that its checkpoint has not seen, and stop; counts of rows appended and deduped."""
     total = {"appended": 0, "deduped": 0}
 
     def take(batch: DataFrame, _: int) -> None:
         rows = batch.select("file", F.col("value").endswith("\n").alias("closed"), F.posexplode(F.split("value", "\n")).alias("seq", "value"))
         rows = rows.where(F.trim("value") != "").select("file", F.col("seq").cast("long").alias("seq"), "value", "closed")
-        for k, n in ledger.append(events_of(reader(rows), anchor), ledger_path).items():
+        for k, n in ledger.append(events_of(reader(rows), anchor, rules, exact), ledger_path, rules=[]).items():
             total[k] += n
 
     files = spark.readStream.format("text").option("wholetext", True).load(folder).select(F.col("_metadata.file_path").alias("file"), "value")
@@ -73,3 +79,22 @@ def stream(spark: SparkSession, folder: str, reader: Reader, ledger_path: str, c
 def unknown(ledger_events: DataFrame) -> DataFrame:
     """What a capture could not read, by type: drift to look at."""
     return drift.counts(ledger_events)
+
+
+def again(reader: Reader) -> Callable[[DataFrame], DataFrame]:
+    """A converter for drift.renormalize: a reader put to the lines that unrecognized events keep.
+
+    An event's line is read as the only one of its place in a file named by its session;
+    those that the reader still does not know are left out.
+    """
+
+    def convert(events: DataFrame) -> DataFrame:
+        file = F.concat(F.lit("/again/"), F.col("id"), F.lit("/"), F.coalesce("producer.session_id", "conversation.id"), F.lit(".jsonl"))
+        kept = events.where(F.col("raw_json").isNotNull())
+        lines = kept.select(file.alias("file"), F.col("conversation.seq").alias("seq"), F.col("raw_json").alias("value"), F.lit(True).alias("closed"))
+        made = tables.finalize(reader(lines).where("kind <> 'unrecognized'"))
+        old = kept.select(file.alias("file"), F.col("id").alias("replaces"), F.col("anchor").alias("_anchor"), F.struct("conversation.id", "conversation.seq", "conversation.parent").alias("_place"), F.col("occurred_at").alias("_at"))
+        made = made.join(old, "file").withColumns({"anchor": F.col("_anchor"), "conversation": F.col("_place").cast(events.schema["conversation"].dataType), "occurred_at": F.coalesce("_at", "occurred_at")})
+        return made.select("replaces", *events.columns)
+
+    return convert
