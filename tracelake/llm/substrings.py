@@ -76,7 +76,7 @@ def super_kmers(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np
 
 
 def _noted(docs: DataFrame, window: int) -> DataFrame:
-    """(mini, string, doc_id, h, start, n) of every super-k-mer; n counts its windows."""
+    """(mini, one, two, doc_id, h, start, n) of every super-k-mer; (one, two) is the digest of its words, n counts its windows."""
 
     def run(batches):
         for b in batches:
@@ -87,16 +87,16 @@ def _noted(docs: DataFrame, window: int) -> DataFrame:
                 if not len(mini):
                     continue
                 ranges = zip(begin[start].tolist(), end[start + n + window - 2].tolist())
-                string = [hashlib.blake2b(t[i:j], digest_size=16).digest() for i, j in ranges]
-                cols = [mini.view(np.int64), string, np.full(len(n), doc), np.full(len(n), h), start, n]
-                types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, types)], ["mini", "string", "doc_id", "h", "start", "n"])
+                digest = np.frombuffer(b"".join(hashlib.blake2b(t[i:j], digest_size=16).digest() for i, j in ranges), dtype=np.int64).reshape(-1, 2)
+                cols = [mini.view(np.int64), digest[:, 0], digest[:, 1], np.full(len(n), doc), np.full(len(n), h), start, n]
+                types = [pa.int64()] * 5 + [pa.int32()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, types)], ["mini", "one", "two", "doc_id", "h", "start", "n"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "mini long, string binary, doc_id long, h long, start int, n int")
+    return docs.where("doc_id is not null").mapInArrow(run, "mini long, one long, two long, doc_id long, h long, start int, n int")
 
 
 def _packed(wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the wanted super-k-mers: (mini, string, hi, crowd, doc_id, words), one row each."""
+    """The words of the wanted super-k-mers: (mini, one, two, hi, crowd, doc_id, words), one row each."""
 
     def run(batches):
         for b in batches:
@@ -105,25 +105,25 @@ def _packed(wanted: DataFrame, window: int) -> DataFrame:
                 t, start, end = joined(t)
                 for x in items:
                     packed = t[start[x["start"]] : end[x["start"] + x["n"] + window - 2]]
-                    out.append((x["mini"], x["string"], x["hi"], x["crowd"], doc, packed))
+                    out.append((x["mini"], x["one"], x["two"], x["hi"], x["crowd"], doc, packed))
                 if len(out) >= 2000:
                     yield _rows(out)
                     out = []
             yield _rows(out)
 
     def _rows(out):
-        cols = list(zip(*out)) if out else [()] * 6
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["mini", "string", "hi", "crowd", "doc_id", "words"])
+        cols = list(zip(*out)) if out else [()] * 7
+        types = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["mini", "one", "two", "hi", "crowd", "doc_id", "words"])
 
-    return wanted.mapInArrow(run, "mini long, string binary, hi long, crowd boolean, doc_id long, words binary")
+    return wanted.mapInArrow(run, "mini long, one long, two long, hi long, crowd boolean, doc_id long, words binary")
 
 
-_RUNS = "mini long, string binary, begin int, finish int, lo long"
+_RUNS = "mini long, one long, two long, begin int, finish int, lo long"
 
 
 def runs(rows: list[tuple], window: int) -> list[tuple]:
-    """(mini, string, begin, finish, lo) for rows (mini, string, hi, doc, words) of whole buckets.
+    """(mini, one, two, begin, finish, lo) for rows (mini, one, two, hi, doc, words) of whole buckets.
 
     Windows begin..finish-1 of the string first start in document lo, which is
     smaller than hi, the largest document that holds the string.
@@ -141,7 +141,7 @@ def runs(rows: list[tuple], window: int) -> list[tuple]:
         at += n
     key = table.view(f"V{table.itemsize * (window + 1)}").ravel()
     _, same = np.unique(key, return_inverse=True)
-    docs, hi = np.array([r[3] for r in rows], dtype=np.int64)[of], np.array([r[2] for r in rows], dtype=np.int64)[of]
+    docs, hi = np.array([r[4] for r in rows], dtype=np.int64)[of], np.array([r[3] for r in rows], dtype=np.int64)[of]
     order = np.lexsort((docs, same))
     first = np.flatnonzero(np.diff(same[order], prepend=-1))
     lo = docs[order][first][same]
@@ -149,16 +149,16 @@ def runs(rows: list[tuple], window: int) -> list[tuple]:
     offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
     new = np.flatnonzero(hit & np.concatenate([[True], (of[1:] != of[:-1]) | (lo[1:] != lo[:-1]) | ~hit[:-1]]))
     last = np.flatnonzero(hit & np.concatenate([(of[1:] != of[:-1]) | (lo[1:] != lo[:-1]) | ~hit[1:], [True]]))
-    return [(rows[of[i]][0], rows[of[i]][1], int(offset[i]), int(offset[j]) + 1, int(lo[i])) for i, j in zip(new, last)]
+    return [(*rows[of[i]][:3], int(offset[i]), int(offset[j]) + 1, int(lo[i])) for i, j in zip(new, last)]
 
 
 def _matched(strings: DataFrame, window: int) -> DataFrame:
     """runs() over buckets; rows arrive sorted by minimiser, and a bucket is at most a crowd."""
 
     def batch(out):
-        cols = list(zip(*out)) if out else [()] * 5
-        types = [pa.int64(), pa.binary()] + [pa.int32()] * 2 + [pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["mini", "string", "begin", "finish", "lo"])
+        cols = list(zip(*out)) if out else [()] * 6
+        types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["mini", "one", "two", "begin", "finish", "lo"])
 
     def run(batches):
         held, size, key = [], 0, None
@@ -169,43 +169,43 @@ def _matched(strings: DataFrame, window: int) -> DataFrame:
                     held, size = [], 0
                 key = row[0]
                 held.append(row)
-                size += row[4].count(b" ") + 2 - window
+                size += row[5].count(b" ") + 2 - window
         if held:
             yield batch(runs(held, window))
 
-    return strings.select("mini", "string", "hi", "doc_id", "words").mapInArrow(run, _RUNS)
+    return strings.select("mini", "one", "two", "hi", "doc_id", "words").mapInArrow(run, _RUNS)
 
 
 def _windows(strings: DataFrame, window: int) -> DataFrame:
-    """(mini, string, hi, doc_id, place, words) of each window of crowded buckets."""
+    """(mini, one, two, hi, doc_id, place, words) of each window of crowded buckets."""
 
     def run(batches):
-        names = ["mini", "string", "hi", "doc_id", "place", "words"]
+        names = ["mini", "one", "two", "hi", "doc_id", "place", "words"]
         for b in batches:
-            for mini, string, hi, doc, words in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for *keys, words in zip(*(b.column(i).to_pylist() for i in range(6))):
                 words, start, end = joined(words)
                 n = len(start) - window + 1
-                cols = [pa.array([x] * n, t) for x, t in ((mini, pa.int64()), (string, pa.binary()), (hi, pa.int64()), (doc, pa.int64()))]
+                cols = [pa.array([x] * n, pa.int64()) for x in keys]
                 cols += [pa.array(range(n), pa.int32()), pa.array([words[i:j] for i, j in zip(start[:n].tolist(), end[window - 1 :].tolist())], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return strings.select("mini", "string", "hi", "doc_id", "words").mapInArrow(run, "mini long, string binary, hi long, doc_id long, place int, words binary")
+    return strings.select("mini", "one", "two", "hi", "doc_id", "words").mapInArrow(run, "mini long, one long, two long, hi long, doc_id long, place int, words binary")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, h, ranges) of documents (doc_id, h, text) with words to remove; a range (begin, finish) counts words."""
     spark = docs.sparkSession
     noted = settle(_noted(docs, window), "sub-noted")
-    minis = noted.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("top"), F.min("string").alias("s"), F.max("string").alias("z"))
-    minis = settle(minis.where("lo < top").select("mini", "lo", (F.col("s") != F.col("z")).alias("many")), "sub-minis")
+    minis = noted.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("top"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("one", "two") for f in (F.min, F.max)])
+    minis = settle(minis.where("lo < top").select("mini", "lo", ((F.col("one_min") != F.col("one_max")) | (F.col("two_min") != F.col("two_max"))).alias("many")), "sub-minis")
     live = settle(noted.join(minis, "mini"), "sub-live")
     end = F.col("start") + F.col("n") + window - 1
     alone = live.where("not many and doc_id > lo").select("doc_id", "h", F.col("start").alias("begin"), end.alias("finish"))
     several = live.where("many")
-    strings = several.groupBy("mini", "string").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("at"), F.max("doc_id").alias("hi"))
+    strings = several.groupBy("mini", "one", "two").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("at"), F.max("doc_id").alias("hi"))
     strings = settle(strings, "sub-strings")
     crowds = strings.groupBy("mini").agg(F.sum("at.n").alias("windows")).where(F.col("windows") > CROWD).select("mini", F.lit(True).alias("crowd"))
-    wanted = strings.join(crowds, "mini", "left").select("at.doc_id", "at.h", F.struct("mini", "string", "at.start", "at.n", "hi", F.coalesce("crowd", F.lit(False)).alias("crowd")).alias("x"))
+    wanted = strings.join(crowds, "mini", "left").select("at.doc_id", "at.h", F.struct("mini", "one", "two", "at.start", "at.n", "hi", F.coalesce("crowd", F.lit(False)).alias("crowd")).alias("x"))
     wanted = wanted.groupBy("doc_id", "h").agg(F.collect_list("x").alias("items"))  # a document's own at most
     packed = settle(_packed(docs.join(wanted, ["doc_id", "h"]).select("doc_id", "text", "items"), window), "sub-packed")
     buckets = packed.where("not crowd").repartition(partitions(spark), "mini").sortWithinPartitions("mini")
@@ -213,13 +213,13 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     each = _windows(packed.where("crowd"), window)
     first = each.groupBy("words").agg(F.min("doc_id").alias("lo"), F.max("hi").alias("most")).where("lo < most").drop("most")
     first = settle(first, "sub-first")  # a plain table, so that the skew join can split a very common window
-    crowded = each.join(first, "words").where("lo < hi").select("mini", "string", "place", "lo")
+    crowded = each.join(first, "words").where("lo < hi").select("mini", "one", "two", "place", "lo")
     # places that follow one another with the same lo are one run
-    gap = F.col("place") - F.row_number().over(Window.partitionBy("mini", "string", "lo").orderBy("place"))
-    crowded = crowded.withColumn("gap", gap).groupBy("mini", "string", "lo", "gap").agg(F.min("place").alias("begin"), (F.max("place") + 1).alias("finish"))
-    crowded = crowded.select("mini", "string", "begin", "finish", "lo")
+    gap = F.col("place") - F.row_number().over(Window.partitionBy("mini", "one", "two", "lo").orderBy("place"))
+    crowded = crowded.withColumn("gap", gap).groupBy("mini", "one", "two", "lo", "gap").agg(F.min("place").alias("begin"), (F.max("place") + 1).alias("finish"))
+    crowded = crowded.select("mini", "one", "two", "begin", "finish", "lo")
     found = found.unionByName(crowded)
-    met = several.drop("lo").join(found, ["mini", "string"]).where("lo < doc_id")
+    met = several.drop("lo").join(found, ["mini", "one", "two"]).where("lo < doc_id")
     met = met.select("doc_id", "h", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("finish") + window - 1).alias("finish"))
     return alone.unionByName(met).groupBy("doc_id", "h").agg(F.collect_list(F.struct("begin", "finish")).alias("ranges"))
 
