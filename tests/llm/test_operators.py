@@ -629,6 +629,38 @@ def test_vantage_points_keep_the_smaller_ids_of_ties(spark):
         assert got == brute_nearest(rows, 7)
 
 
+def test_vantage_points_repeated_ids(spark):
+    """Rows that share an id count once, by their smallest vector, in whatever cells they lie."""
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 4)))] + [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 4)))]
+    rows += rows[50:60]
+    least = {}
+    for i, v in rows:
+        least[i] = min(v, least.get(i, v))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(vptrees.nearest(df, F.col("vec_id") % 20 == 0, k=5, factor=1.0, shard=30).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_nearest(sorted(least.items()), 5)
+
+
+def test_cells_are_skipped_on_clustered_vectors(spark, monkeypatch):
+    """On clusters far apart a query meets few cells, and factor one still finds all."""
+    rng = np.random.default_rng(6)
+    x = 20 * rng.normal(size=(16, 8))[rng.integers(0, 16, 2000)] + rng.normal(size=(2000, 8))
+    x *= 10 / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    sent, real = [], vptrees._routed
+    monkeypatch.setattr(vptrees, "_routed", lambda *a: sent.append(real(*a)) or sent[-1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(vptrees.nearest(df, F.col("vec_id") % 20 == 0, k=5, factor=1.0, shard=125).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in v] for q, v in brute_nearest(rows, 5).items()}
+    visits = sum(len(r.to) for r in sent[0].collect())
+    assert visits < 0.3 * 100 * 15
+
+
 def test_tree_finds_ties_in_small_leaves():
     points = np.random.default_rng(9).integers(0, 3, (3000, 6)).astype(float)
     points = np.unique(points, axis=0)

@@ -3,25 +3,31 @@
 All vectors of one length are lifted onto a sphere of the largest norm M by one
 more component sqrt(M^2 - |x|^2), and queries are scaled to M; the nearest point
 by Euclidean distance is then the one with the largest inner product, and the
-triangle inequality holds.  Vectors are dealt by a hash of their id into shards
-of about ``SHARD``, and each shard builds one tree: a node splits its points at
-the median distance to a vantage point.  A child is skipped when
+triangle inequality holds.
 
-    factor * gap > distance to the k-th best so far
+1. Up to ``PIVOTS`` pivots are fitted on a sample of ``SAMPLE`` vectors of each length
+   (some rounds of k-means in one task); every vector is then put into the cell of its
+   nearest pivot, and a cell keeps the distances to its pivot between which it lies.
+2. A cell is dealt by a hash of the id into shards of about ``SHARD``, and each shard
+   builds one tree: a node splits its points at the median distance to a vantage point.
+3. A query first searches the cell of its own nearest pivot.  The k-th distance found
+   there is its bound: it then goes only to cells, and in them only to subtrees, where
 
-where gap is the least distance that the triangle inequality allows.  Factor one
-skips nothing that could matter and is an exact search; a larger factor skips more.
+       factor * gap <= bound
 
-Queries travel in packed blocks, each against every shard: a task gets one tree
-and up to ``BLOCKS`` blocks.  A shard's answers, at most k a query, are merged by
-rank, cut before the shuffle too.  Scores are inner products of the vectors as
-given, summed in double precision.
+   with gap the least distance that the triangle inequality allows.  Factor one skips
+   nothing that could matter and is an exact search; a larger factor skips more.
+
+Queries meet shards in a shuffle, so many to a task at most; a shard's answers, at most
+k a query, are merged by rank, cut before the shuffle too.  Scores are inner products of
+the vectors as given, summed in double precision.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and
 rows with a null vec_id take no part.  A query meets candidates of its own length.
 Rows that share a vec_id count once, by their smallest vector.  Ties go to the
 smaller vec_id: a shard keeps every point that ties with the last place within
-rounding, and cuts by exact score and id.  Equal vectors of a shard are one point of its tree.
+rounding, and cuts by exact score and id.  Equal vectors of a shard are one point of its
+tree.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,12 +39,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.textkit import settle
+from tracelake.llm.textkit import settle, share
 
-SHARD, LEAF, QUERIES, BLOCKS = 8192, 512, 512, 8
+SHARD, LEAF = 8192, 512
+#: Cells of a length of vectors at most, and the vectors that their pivots are fitted on.
+PIVOTS, SAMPLE, ROUNDS = 512, 8192, 8
+#: Queries that meet a shard in one task, about.
+QUERIES = 4096
 FACTOR = 1.6
 
 
+def rounding(dim: int, scale: float) -> float:
+    """How much two squared distances may differ by rounding alone."""
+    return 8 * (dim + 8) * np.finfo(np.float64).eps * scale
+
+
 class Tree:
     """A vantage-point tree over rows of points; nodes are ranges of the permuted rows."""
 
@@ -67,15 +82,18 @@ class Tree:
             self.nodes.append((a, b, vantage, [0, 0], ((d[0], d[m - 1]), (d[m], d[-1]))))
             todo += [(a, a + m, me, 0), (a + m, b, me, 1)]
 
-    def within(self, points: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def within(self, points: np.ndarray, queries: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, squared distance), by query and distance, of the k nearest points found and of all that tie with the k-th.
 
         Points tie when their squared distances differ by no more than rounding may.
+        bound holds for each query a squared distance beyond which nothing is wanted.
         """
         dist, kept = np.full((len(queries), k), np.inf), []
+        if bound is not None:
+            dist[:] = bound[:, None]
         norms, own = (points * points).sum(1), (queries * queries).sum(1)
         scale = max(norms.max(initial=0.0), own.max(initial=0.0))
-        slack = 8 * (points.shape[1] + 8) * np.finfo(np.float64).eps * scale
+        slack = rounding(points.shape[1], scale)
 
         def visit(i: int, active: np.ndarray) -> None:
             a, b, vantage, children, reach = self.nodes[i]
@@ -119,15 +137,44 @@ class Tree:
         return dist, found
 
 
-def _once(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, vectors) of a group, one row an id, by id; of several vectors the smallest."""
-    ids = np.array(table["vec_id"].to_pylist(), dtype=np.int64)
-    flat = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    vectors = flat.reshape(len(ids), -1)
-    order = np.lexsort((*vectors.T[::-1], ids)) if len(np.unique(ids)) < len(ids) else np.argsort(ids)
-    ids, vectors = ids[order], vectors[order]
-    first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1) != 0)
-    return ids[first], vectors[first]
+def _matrix(column, n: int) -> np.ndarray:
+    """The vectors of an Arrow column of lists of one length."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _by_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a group, by id."""
+    table = table.sort_by("vec_id")
+    return table["vec_id"].to_numpy(), _matrix(table["embedding"], table.num_rows)
+
+
+def lifted(vectors: np.ndarray, top: float) -> np.ndarray:
+    """Vectors on the sphere of radius top."""
+    return np.concatenate([vectors, np.sqrt(np.maximum(top**2 - (vectors**2).sum(1), 0))[:, None]], axis=1)
+
+
+def scaled(queries: np.ndarray, top: float) -> np.ndarray:
+    """Queries on the sphere of radius top."""
+    return np.concatenate([queries * (top / np.linalg.norm(queries, axis=1, keepdims=True)), np.zeros((len(queries), 1))], axis=1)
+
+
+def distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The distance of each point (a row) to each pivot."""
+    return np.sqrt(np.maximum((points**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * points @ pivots.T, 0))
+
+
+def fit_pivots(points: np.ndarray, count: int, seed: int = 4) -> np.ndarray:
+    """At most count pivots: means of some rounds of k-means."""
+    points = points[np.lexsort(points.T[::-1])]
+    made = np.unique(points[np.random.default_rng(seed).choice(len(points), min(count, len(points)), replace=False)], axis=0)
+    for _ in range(ROUNDS):
+        near = np.concatenate([distances(points[i : i + 1024], made).argmin(axis=1) for i in range(0, len(points), 1024)])
+        sizes = np.bincount(near, minlength=len(made))
+        sums = np.zeros_like(made)
+        np.add.at(sums, near, points)
+        made = sums[sizes > 0] / sizes[sizes > 0, None]
+    return made
 
 
 class Shard:
@@ -143,16 +190,15 @@ class Shard:
         self.tree = Tree(self.points())
 
     def points(self) -> np.ndarray:
-        rest = np.sqrt(np.maximum(self.top**2 - (self.vectors**2).sum(1), 0))
-        return np.concatenate([self.vectors, rest[:, None]], axis=1)
+        return lifted(self.vectors, self.top)
 
-    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
+    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None):
         """(query_id, vec_id, score) of the k best of each query, without itself."""
-        norms = np.linalg.norm(queries, axis=1, keepdims=True)
-        lifted = np.concatenate([queries * (self.top / norms), np.zeros((len(queries), 1))], axis=1)
-        asked, found, _ = self.tree.within(self.points(), lifted, min(k + 1, len(self.vectors)), factor)
+        asked, found, _ = self.tree.within(self.points(), scaled(queries, self.top), min(k + 1, len(self.vectors)), factor, bound)
         begin = np.searchsorted(asked, np.arange(len(queries) + 1))
         for q, own, a, b in zip(queries, ids.tolist(), begin, begin[1:]):
+            if a == b:
+                continue
             rows = found[a:b]
             scores = (self.vectors[rows] * q).sum(axis=1).repeat([len(self.ids[r]) for r in rows])
             names = np.concatenate([self.ids[r] for r in rows])
@@ -168,45 +214,126 @@ def usable(vector: Column) -> Column:
     return F.coalesce(sound & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _pivots(sound: DataFrame, sizes: DataFrame, shard: int) -> dict[int, tuple[float, np.ndarray]]:
+    """By length of vectors: the largest norm and the pivots, fitted on a bounded sample in a task a length."""
+    first = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id", "embedding"))
+    picked = sound.withColumn("_n", first).where(F.col("_n") <= SAMPLE).drop("_n").join(sizes, "dim")
+
+    def fit(key, table):
+        top, n = table["top"][0].as_py(), table["n"][0].as_py()
+        made = fit_pivots(lifted(_matrix(table["embedding"], table.num_rows), top), min(PIVOTS, -(-n // shard)))
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "top": [top], "pivots": pa.array([pickle.dumps(made)], pa.binary())})
+
+    rows = picked.select("dim", "top", "n", "embedding").groupBy("dim").applyInArrow(fit, "dim int, top double, pivots binary").collect()
+    return {r.dim: (r.top, pickle.loads(r.pivots)) for r in rows}
+
+
+def _in_cells(rows: DataFrame, shared, asking: bool) -> DataFrame:
+    """Rows (dim, vec_id, embedding) with the cell of their nearest pivot and the distance to it, as candidates or as queries."""
+    place = scaled if asking else lifted
+
+    def run(batches):
+        for b in batches:
+            dims = b.column(0).to_numpy()
+            cell, away = np.zeros(len(dims), dtype=np.int32), np.zeros(len(dims))
+            for dim in np.unique(dims):
+                top, pivots = shared.value[int(dim)]
+                at = np.flatnonzero(dims == dim)
+                d = distances(place(_matrix(b.column(2).take(pa.array(at)), len(at)), top), pivots)
+                cell[at] = d.argmin(axis=1)
+                away[at] = d[np.arange(len(at)), cell[at]]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(away)], ["dim", "vec_id", "embedding", "cell", "away"])
+
+    return rows.mapInArrow(run, "dim int, vec_id long, embedding array<double>, cell int, away double")
+
+
+def _routed(asked: DataFrame, shared, reach, k: int, factor: float) -> DataFrame:
+    """(dim, vec_id, embedding, bound, to): the cells, but for its own, that may hold what a query (with kth, its k-th score) still lacks."""
+
+    def run(batches):
+        for b in batches:
+            dims, kth = b.column(0).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
+            own, bound, to = b.column(3).to_numpy(), np.full(len(dims), np.inf), [None] * len(dims)
+            for dim in np.unique(dims):
+                top, pivots = shared.value[int(dim)]
+                cells, inner, outer = reach[int(dim)]
+                at = np.flatnonzero(dims == dim)
+                q = _matrix(b.column(2).take(pa.array(at)), len(at))
+                have = ~np.isnan(kth[at])
+                bound[at[have]] = np.maximum(2 * top**2 - 2 * kth[at[have]] * top / np.linalg.norm(q[have], axis=1), 0)
+                bound[at] += rounding(q.shape[1], top**2)
+                d = distances(scaled(q, top), pivots[cells])
+                gap = np.maximum(np.maximum(d - outer, inner - d), 0.0)
+                go = factor * gap <= np.sqrt(bound[at])[:, None] + np.sqrt(rounding(q.shape[1], top**2))
+                go &= cells != own[at][:, None]
+                for i, row in zip(at.tolist(), go):
+                    to[i] = cells[row]
+            cols = [b.column(0), b.column(1), b.column(2), pa.array(bound), pa.array(to, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["dim", "vec_id", "embedding", "bound", "to"])
+
+    return asked.mapInArrow(run, "dim int, vec_id long, embedding array<double>, bound double, to array<int>")
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FACTOR, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows nearest to each row for which queries holds."""
+    spark = vectors.sparkSession
     sound = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     sound = sound.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks"))
     sound = sound.withColumn("dim", F.size("embedding"))
+    again = settle(sound.groupBy("dim", "vec_id").agg(F.count("*").alias("n")).where("n > 1").select("dim", "vec_id"), "nn-again")
+    if not again.isEmpty():  # ids of several rows: the smallest vector of each stays
+        once = sound.join(again, ["dim", "vec_id"], "left_semi").groupBy("dim", "vec_id").agg(F.min("embedding").alias("embedding"), F.bool_or("asks").alias("asks"))
+        sound = sound.join(again, ["dim", "vec_id"], "left_anti").unionByName(once)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     sizes = sound.groupBy("dim").agg(F.max(norm).alias("top"), F.count("*").alias("n"), F.count_if("asks").alias("asked"))
-    shards, blocks = F.ceil(F.col("n") / shard), F.ceil(F.col("asked") / QUERIES)
-    sizes = sizes.where("asked > 0").select("dim", "top", shards.alias("shards"), blocks.alias("blocks"), F.ceil(blocks / BLOCKS).alias("parts"))
-    sizes = settle(sizes, "nn-sizes")  # a row for each length of vectors
-    at = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n))
+    sizes = settle(sizes.where("asked > 0"), "nn-sizes")  # a row for each length of vectors
+    shared = share(spark, _pivots(sound, sizes, shard))
+    used = sound.join(sizes.select("dim"), "dim", "left_semi")
+    placed = settle(_in_cells(used.select("dim", "vec_id", "embedding"), shared, False), "nn-placed")
+    cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.min("away").alias("inner"), F.max("away").alias("outer"))
+    cells = settle(cells.withColumn("subs", F.ceil(F.col("n") / shard)), "nn-cells")  # PIVOTS rows a length at most
+    reach = {}
+    for r in cells.orderBy("dim", "cell").collect():
+        reach.setdefault(r.dim, []).append((r.cell, r.inner, r.outer))
+    reach = {d: tuple(map(np.array, zip(*x))) for d, x in reach.items()}
+    reach = {d: (c.astype(np.int32), i, o) for d, (c, i, o) in reach.items()}
 
     def build(key, table):
-        made = Shard(*_once(table), table["top"][0].as_py(), k)
-        return pa.table({"dim": [key[0].as_py()], "shard": [key[1].as_py()], "parts": [table["parts"][0].as_py()], "tree": [pickle.dumps(made)]}, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("parts", pa.int64()), ("tree", pa.binary())]))
-
-    def pack(key, table):
-        ids, rows = _once(table)
-        return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "shards": [table["shards"][0].as_py()], "parts": [table["parts"][0].as_py()], "packed": [pickle.dumps((ids, rows))]}, schema=pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("shards", pa.int64()), ("parts", pa.int64()), ("packed", pa.binary())]))
+        made = Shard(*_by_id(table), table["top"][0].as_py(), k)
+        names = [("dim", pa.int32()), ("cell", pa.int32()), ("sub", pa.int64()), ("parts", pa.int64()), ("tree", pa.binary())]
+        return pa.table({"dim": [key[0].as_py()], "cell": [key[1].as_py()], "sub": [key[2].as_py()], "parts": [table["parts"][0].as_py()], "tree": [pickle.dumps(made)]}, schema=pa.schema(names))
 
-    placed = sound.join(sizes, "dim")
-    trees = placed.select("dim", at("shards", 1).alias("shard"), "top", "parts", "vec_id", "embedding")
-    trees = settle(trees.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, parts long, tree binary"), "nn-trees")
-    asked = placed.where("asks").select("dim", at("blocks", 2).alias("block"), "shards", "parts", "vec_id", "embedding")
-    asked = settle(asked.groupBy("dim", "block").applyInArrow(pack, "dim int, block long, shards long, parts long, packed binary"), "nn-blocks")
+    parts = F.ceil(F.col("asked") / QUERIES)
+    sub = F.pmod(F.xxhash64("vec_id", F.lit(1)), "subs").alias("sub")
+    trees = placed.join(cells.select("dim", "cell", "subs"), ["dim", "cell"]).join(sizes.select("dim", "top", parts.alias("parts")), "dim")
+    trees = trees.select("dim", "cell", sub, "top", "parts", "vec_id", "embedding")
+    trees = settle(trees.groupBy("dim", "cell", "sub").applyInArrow(build, "dim int, cell int, sub long, parts long, tree binary"), "nn-trees")
+    asked = settle(_in_cells(used.where("asks").select("dim", "vec_id", "embedding"), shared, True).drop("away"), "nn-asked")
 
     def search(key, left, right):
         out = [[], [], []]
-        if left.num_rows:
+        if left.num_rows and right.num_rows:
             made = pickle.loads(left["tree"][0].as_py())
-            for packed in right["packed"]:
-                for row in made.nearest(*pickle.loads(packed.as_py()), k, factor):
-                    for column, x in zip(out, row):
-                        column.append(x)
+            ids, rows = _by_id(right)
+            for row in made.nearest(ids, rows, k, factor, right.sort_by("vec_id")["bound"].to_numpy()):
+                for column, x in zip(out, row):
+                    column.append(x)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    copies = trees.select("dim", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "tree")
-    sent = asked.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.pmod("block", "parts").alias("part"), "packed")
-    keys = ["dim", "shard", "part"]
-    hits = copies.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def searched(rows):
+        """Answers to rows (dim, vec_id, embedding, bound, cell): each meets the shards of its cell."""
+        rows = rows.join(cells.select("dim", "cell", "subs"), ["dim", "cell"]).join(sizes.select("dim", parts.alias("parts")), "dim")
+        sent = rows.select("dim", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), F.pmod(F.xxhash64("vec_id", F.lit(2)), "parts").alias("part"), "vec_id", "embedding", "bound")
+        copies = trees.select("dim", "cell", "sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "tree")
+        keys = ["dim", "cell", "sub", "part"]
+        return settle(copies.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double"), "nn-hits")
+
+    def ranked(hits):
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    own = searched(asked.withColumn("bound", F.lit(float("inf"))))
+    kth = ranked(own).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    asked = asked.join(kth, "vec_id", "left").select("dim", "vec_id", "embedding", "cell", F.coalesce("kth", F.lit(float("nan"))).alias("kth"))
+    more = _routed(asked, shared, reach, k, factor).withColumn("cell", F.explode("to")).drop("to")
+    return ranked(own.unionByName(searched(more))).select("query_id", "rank", "vec_id", "score")
