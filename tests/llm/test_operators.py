@@ -179,6 +179,16 @@ def test_classifiers_without_labels(spark, docs, none):
 # Operator 2.
 
 
+def test_targets_of_many_sources(spark):
+    """A third of all words in one source, many sources, null and empty ones: as the plain fill says."""
+    rng = random.Random(21)
+    sizes = {f"s{i:03d}": rng.choice([0, 1, 5, 40, 900]) for i in range(150)} | {None: 7, "big": 20_000, "é": 3}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+    assert [r.place for r in mixing.numbered(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).orderBy(F.col("source").asc_nulls_last()).collect()] == list(range(153))
+
+
 def test_draw_keeps_clashing_columns(spark, docs):
     odd = docs.withColumns({"row": F.col("doc_id") + 1, "copy": F.lit("c"), "copies": F.lit(7), "d": F.lit(1), "key": F.lit("k"), "whole": F.lit(0.5)})
     got = mixing.draw(odd)
@@ -298,6 +308,38 @@ def test_entropy_allow_shapes_mask_themselves_only():
         assert secrets.entropy_spans(text) == []
 
 
+def test_secret_edge_rows(spark):
+    """Empty tables, repeated rows, a very long candidate, clashing columns."""
+    long = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=200_000))
+    docs = spark.createDataFrame([(1, long, None, None, None), (2, "a token: " + long[:30], None, None, 40), (2, "a token: " + long[:30], None, None, 40), (None, None, None, None, None), (3, "", None, None, 0)], DOCS).withColumns({"spans": F.lit(1), "n_hex": F.lit("x")})
+    got = secrets.scan(docs).collect()
+    assert len(got) == 5 and len({r.spans for r in got if r.doc_id == 2}) == 1 and got[2].n_assign == 1
+    assert max(int(x.split(":")[2]) - int(x.split(":")[1]) for x in next(r.spans for r in got if r.doc_id == 1).split(",")) > 1000
+    assert [r.spans for r in got if r.doc_id in (None, 3)] == ["", ""]
+    assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).columns == docs.columns
+    safe = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert safe[2].text.endswith("[ASSIGN]") and safe[2].n_chars == len(safe[2].text) and safe[None].text is None and safe[2].n_hex == "x"
+
+
+def test_unknown_secret_formats():
+    """Keys of no known format, planted in prose: most are found, and prose alone gives no spans."""
+    rng = random.Random(17)
+    words = ["river", "window", "quietly", "Thursday", "because", "international", "half-finished", "e.g.", "v2.13.0", "2024-11-05", "and/or", "snake_case_name", "https://example.org/some/path"]
+    prose = lambda k: " ".join(rng.choices(words, k=k))
+    alphabets = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    found = total = 0
+    for alphabet in alphabets:
+        for _ in range(150):
+            key = "".join(rng.choices(alphabet, k=rng.randint(24, 44)))
+            head = prose(30) + " "
+            spans = [x for x in secrets.all_spans(head + key + " " + prose(30))[1] if x[1] == 3]
+            total += 1
+            found += any(a >= len(head) and b <= len(head) + len(key) and b - a >= 20 for a, _, b in spans)
+            assert not [x for x in spans if x[2] <= len(head)]
+    assert found / total > 0.97
+    assert secrets.entropy_spans(prose(5000)) == []
+
+
 # Operator 4.
 
 
@@ -329,6 +371,18 @@ def test_warc_dictionary_is_embedded():
     assert list(warc.records(warc.archive(records[:1]))) == records[:1]
 
 
+def test_archives_as_files(spark, tmp_path):
+    """Files that the executors write are read by Spark, twice written files are the same ones, and a frame can be read alone."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{'same page ' * 20 if i % 3 == 0 else 'page %d ' % i * 30}</p>") for i in range(60)] + [(None, None, None)], "page_id long, url string, html string")
+    archives = warc.write(pages, archive_bytes=8000)
+    folder = str(tmp_path / "out")
+    n = warc.export(archives, folder)
+    assert n == warc.export(archives, folder) == archives.count() > 2
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == sorted(f"part-{r.archive:06d}.warc.zst" for r in archives.collect())
+    key = lambda df: sorted(map(str, warc.read(df).collect()))
+    assert key(warc.load(spark, folder)) == key(archives) and len(key(archives)) == 61
+
+
 # Operator 5.
 
 

@@ -47,3 +47,15 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 0 and out.where("parity = false").count() == 0
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    odd = docs.withColumns({"score": F.lit(1), "row": F.lit("r"), "copies": F.lit(2), "cluster": F.lit(3), "kept": F.lit(False), "size": F.lit("s"), "bands": F.lit(1), "y": F.lit(0)})
+    for name, stage in corpus_pipeline.STAGES:
+        more = ["ids", "parity"] if name == "pieces" else []
+        empty = stage(spark, odd.limit(0), folder)
+        assert empty.columns == [*odd.columns, *more] and empty.count() == 0
+        got = stage(spark, odd, folder)
+        assert got.columns == [*odd.columns, *more]
+        assert {(r.row, r.copies, r.kept, r["size"]) for r in got.collect()} == {("r", 2, False, "s")}

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.textkit import settle
+from tracelake.llm.textkit import partitions, settle
 
 NODE = 2048
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,27 +41,36 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with place, from 0, by source in code point order, null last: ranges are sorted each for itself."""
+    order = F.col("source").asc_nulls_last()
+    dealt = settle(sizes.repartitionByRange(partitions(sizes.sparkSession), order).withColumn("range", F.spark_partition_id()), "mix-order")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    per = dealt.groupBy("range").agg(F.count("*").alias("rows")).select("range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1 + F.col("ahead")
+    return dealt.join(F.broadcast(per), "range").withColumn("place", place).drop("range", "ahead")
+
+
 def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row per source.
 
-    Weights repeat along the sources by code point, null last.  With sources in
-    order of cap per weight, those up to some point are capped, and the rest share
-    what is left by weight: a source is capped if its cap per weight is at most
-    the words a unit of weight would get were it and all behind it not capped.
+    Weights repeat along the sources by code point, null last.  What a unit of weight
+    gets is raised round by round: sources whose cap it would pass are capped, and what
+    they leave is shared anew by weight among the others, until none is above.  A round
+    is a sum over the sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    s = s.withColumn("ratio", F.col("most") / F.col("weight"))
-    ahead = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = ahead.rowsBetween(Window.unboundedPreceding, -1)
-    here = ahead.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    s = s.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(here))
-    s = s.withColumn("open", F.col("ratio") > F.col("level"))
-    # the first source that is not capped sets the level of all that follow
-    s = s.withColumn("level", F.min(F.when(F.col("open"), F.struct("ratio", "source", "level"))).over(whole)["level"])
-    return s.select("source", "source_size", F.when(F.col("open"), F.col("weight") * F.col("level")).otherwise(F.col("most")).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    s = numbered(sizes.select("source", "source_size")).withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    s = settle(s.select("source", "source_size", "weight", "most", (F.col("most") / F.col("weight")).alias("ratio")), "mix-weights")
+    budget = float(share) * (s.agg(F.sum("source_size")).first()[0] or 0)
+    level, capped = -1.0, None
+    while True:
+        open_ = F.col("ratio") > level
+        got = s.agg(F.count_if(~open_).alias("n"), F.sum(F.when(~open_, F.col("most"))).alias("full"), F.sum(F.when(open_, F.col("weight"))).alias("weight")).first()
+        if got["n"] == capped or not got["weight"]:
+            break
+        level, capped = (budget - (got["full"] or 0.0)) / got["weight"], got["n"]
+    return s.select("source", "source_size", F.when(F.col("ratio") > level, F.col("weight") * level).otherwise(F.col("most")).alias("target"))
 
 
 def pivot(sizes: np.ndarray, parts: np.ndarray, seed: int) -> tuple[np.ndarray, int]:

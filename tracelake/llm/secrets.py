@@ -13,8 +13,9 @@ alone, paths, numbers) give no entropy span.  Running alphabets, the word exampl
 and documented example keys only mask themselves: a window of which they cover half
 or more is left out.  Base spans always stay.
 
-Null and empty texts have no spans.  Equal rows give equal results.  Only the
-text column is read, so nulls in others and extra columns do not matter.
+Null and empty texts have no spans.  Equal rows give equal results, an empty table
+none.  Whole texts are read, however long, and a candidate of any length in time by its
+length.  Only the text column is read, so nulls in others and extra columns do not matter.
 """
 
 from __future__ import annotations

@@ -8,16 +8,11 @@ its memory is a small multiple of that text.
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-import weakref
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from tracelake.shared import clear, drop, mark, settle, share  # noqa: F401  for the operators and the pipeline
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C55 | 1
@@ -97,76 +92,5 @@ def texts(column: pa.Array):
         yield x.as_py() or b""
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one of the cluster, spark.checkpoint.dir.
-
-    Where that is unset and all of Spark is one process on this machine, as in tests, a
-    temporary folder is made, becomes the setting of the session, and goes when Python
-    ends.  On a cluster that is an error: executors would write to disks of their own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if re.fullmatch(r"local(\[[^,\]]*(,\s*\d+)?\])?", spark.sparkContext.master) is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tracelake-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = "file://" + folder
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-#: What settle() and share() made and clear() has not taken back yet, oldest first.
-_folders: list[str] = []
-_broadcasts: list = []
-_folder_of: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _folders.append(path)
-    _folder_of[out] = path
-    return out
-
-
-def share(spark: SparkSession, value):
-    """A broadcast of a value of fixed size; clear() destroys it."""
-    made = spark.sparkContext.broadcast(value)
-    _broadcasts.append(made)
-    return made
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the folder of a settled table that nothing will read again."""
-    path = _folder_of.pop(df, None)
-    if path in _folders:
-        _folders.remove(path)
-        _delete(df.sparkSession, path)
-
-
-def mark() -> tuple[int, int]:
-    """How much there is to clear now, for clear()."""
-    return len(_folders), len(_broadcasts)
-
-
-def clear(spark: SparkSession, since: tuple[int, int] = (0, 0), keep: DataFrame | None = None) -> None:
-    """Delete what was settled and shared since a mark, but for one table; for when the results are written."""
-    held = _folder_of.get(keep) if keep is not None else None
-    for path in [x for x in _folders[since[0] :] if x != held]:
-        _folders.remove(path)
-        _delete(spark, path)
-    for made in _broadcasts[since[1] :]:
-        made.destroy()
-    del _broadcasts[since[1] :]
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -14,6 +14,8 @@ more texts that ask for it, alone or in a pair, and none is left out.  The pair
 is computed as half of |sum v|^2 - sum |v|^2.  Null and empty texts have no terms and score
 sigmoid(w0).  Only the text enters a score; equal texts score alike.  With no
 usable labels of both classes every score is the share of label 1 (0 if none).
+Repeated rows give a row each, an empty table none; columns beside the key and the text
+are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ archive is one file of the ``.warc.zst`` layout: a leading skippable frame (magi
 0x184D2A5D) that embeds a Zstandard dictionary built from records of that archive,
 then one frame for each record, so any record can be read alone.  Archives are
 rows (archive, records, data) of a table in the shared folder, as a cluster's
-store may be one that only Spark writes to; ``export`` writes them out as files.
+store may be one that only Spark writes to; ``export`` has the executors write them out as
+files of a folder that is mounted on all of them, and ``load`` reads such files by Spark.
 
 Of pages with equal payloads of at least ``LEAST`` bytes, the one with the smallest
 page_id is a response and the others revisit it, without the payload; smaller
@@ -25,16 +26,18 @@ import struct
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.textkit import settle
+from tracelake.llm.textkit import partitions, settle
 
 LEAST, ARCHIVE_BYTES, LEVEL = 100, 16 << 20, 3
 #: The dictionary: its size at most, and the bytes of records spread evenly over
 #: the archive that it is built from.
 DICT_BYTES, DICT_SAMPLE = 112640, 4 << 20
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
+#: Tasks that write archives at most, unless the session has more shuffle partitions.
+MOST_TASKS = 10_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _TABLE = "archive long, records long, data binary"
@@ -141,6 +144,8 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
         made = [record(i, url, None if html is None else html.encode(), n, digest, to) for i, url, html, n, digest, to in rows]
         return pa.table({"archive": pa.array([key[0].as_py()], pa.int64()), "records": pa.array([len(made)], pa.int64()), "data": pa.array([archive(made)], pa.binary())})
 
+    # a task an archive, or a few where there are very many, however small the archives are
+    dealt = dealt.repartition(min(count, max(partitions(pages.sparkSession), MOST_TASKS)), "archive")
     return settle(dealt.groupBy("archive").applyInArrow(build, _TABLE), "warc")
 
 
@@ -172,11 +177,31 @@ def read(archives: DataFrame) -> DataFrame:
     return archives.select("data").mapInArrow(run, _READ)
 
 
-def export(archives: DataFrame, folder: str) -> None:
-    """Write the archives as files part-N.warc.zst of a folder, one at a time; for folders that the driver can open."""
-    import os
+def export(archives: DataFrame, folder: str) -> int:
+    """Write the archives as files part-N.warc.zst of a folder that all executors have mounted; how many there are.
 
-    os.makedirs(folder, exist_ok=True)
-    for row in archives.select("archive", "data").toLocalIterator():
-        with open(f"{folder}/part-{row['archive']:06d}.warc.zst", "wb") as f:
-            f.write(row["data"])
+    A file appears under its name when it is whole, so a task that runs again does no harm.
+    """
+
+    def run(batches):
+        import os
+        import uuid
+
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            names = []
+            for number, data in zip(b.column(0).to_pylist(), b.column(1)):
+                names.append(f"part-{number:06d}.warc.zst")
+                part = f"{folder}/.{names[-1]}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(data.as_py())
+                os.replace(part, f"{folder}/{names[-1]}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    return archives.select("archive", "data").mapInArrow(run, "name string").count()
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives (archive, data) from files of a folder, for read()."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder)
+    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("archive"), F.col("content").alias("data"))
