@@ -205,6 +205,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     strings = several.groupBy("mini", "one", "two").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("at"), F.max("doc_id").alias("hi"))
     strings = settle(strings, "sub-strings")
     crowds = strings.groupBy("mini").agg(F.sum("at.n").alias("windows")).where(F.col("windows") > CROWD).select("mini", F.lit(True).alias("crowd"))
+    crowds = settle(crowds, "sub-crowds")  # a plain table again
     wanted = strings.join(crowds, "mini", "left").select("at.doc_id", "at.h", F.struct("mini", "one", "two", "at.start", "at.n", "hi", F.coalesce("crowd", F.lit(False)).alias("crowd")).alias("x"))
     wanted = wanted.groupBy("doc_id", "h").agg(F.collect_list("x").alias("items"))  # a document's own at most
     packed = settle(_packed(docs.join(wanted, ["doc_id", "h"]).select("doc_id", "text", "items"), window), "sub-packed")
