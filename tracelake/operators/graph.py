@@ -30,23 +30,27 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     The edges are written out once.  A round follows them, and shortcuts, from the nodes
     found in the round before.  Shortcuts are made by pointer doubling: every node's
     first edge (by nth, where edges have that column) taken 2, 4, 8 ... times, a table of
-    a row a node for each.  A chain thus takes rounds by the logarithm of its length.
-    Cycles do no harm.
+    a row a node for each; a new one starts from all nodes found.  A chain thus takes
+    rounds by the logarithm of its length.  Cycles do no harm.
     """
     nth = F.col("nth") if "nth" in edges.columns else F.lit(0)
     edges = settle(edges.select("src", "dst", nth.cast("int").alias("nth")).where("src is not null and dst is not null"), "edges")
     jump = edges.groupBy("src").agg(F.min(F.struct("nth", "dst"))["dst"].alias("dst"))
-    ways, found = [edges.select("src", "dst")], [settle(start.select("node").distinct(), "found")]
+    ways, found, longest = [edges.select("src", "dst")], [settle(start.select("node").distinct(), "found")], None
+    along = lambda way, nodes: way.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
     while True:
-        ahead = _together(ways).join(found[-1].select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        new, n = counted(ahead.join(_together(found), "node", "left_anti"), "found")
+        ahead = along(_together(ways), found[-1])
+        if longest is not None:
+            ahead = ahead.unionByName(along(longest, _together(found)))
+        new, n = counted(ahead.distinct().join(_together(found), "node", "left_anti"), "found")
         if not n:
             break
         found.append(new)
-        if len(ways) <= 40:
+        longest = None
+        if jump is not None and len(ways) <= 40:
             jump, n = counted(jump.alias("a").join(jump.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst"), "jump")
-            if n:
-                ways.append(jump)
+            jump = longest = jump if n else None
+            ways += [jump] if n else []
         if len(found) > 24:  # a long run of short rounds: one table again, apart from the newest
             found = [settle(_together(found[:-1]), "found"), found[-1]]
     for way in ways[1:]:
