@@ -23,6 +23,9 @@ sets reaches the threshold; the answer gives each document's connected component
 Comparisons are dealt into tiles of about ``TILE`` members on each side, so a hot group
 makes tiles, not pairs; of each tile only the links of a spanning forest leave.  A
 group of near copies costs each member's set once and its first member's once a tile.
+In step 5, where few pairs are near, the tiles first meet with a byte of each register
+(whose agreement never falls short of the registers' own), and only the members of pairs
+that may reach the threshold bring their sets.
 Rows with a null id take no part and get a null component; rows with one id are one
 document.  Empty tables give empty results.
 """
@@ -102,9 +105,8 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (same - COLLISION) / (1 - COLLISION))
 
 
-def linked(left: list[np.ndarray], left_regs: np.ndarray, right: list[np.ndarray], right_regs: np.ndarray, percent: float, maybe: np.ndarray) -> np.ndarray:
-    """Which pairs of left and right documents reach the threshold, of those that maybe asks for: a boolean matrix, exact."""
-    a, b = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+def candidates(a: np.ndarray, left_regs: np.ndarray, b: np.ndarray, right_regs: np.ndarray, percent: float, maybe: np.ndarray) -> np.ndarray:
+    """Of the pairs that maybe asks for, those that sizes and estimates don't rule out; a and b are the sets' sizes."""
     small, large = np.minimum.outer(a, b), np.maximum.outer(a, b)
     maybe = maybe & (100 * small >= percent * large)
     rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
@@ -112,7 +114,15 @@ def linked(left: list[np.ndarray], left_regs: np.ndarray, right: list[np.ndarray
         return maybe
     near = np.zeros_like(maybe)
     near[np.ix_(rows, cols)] = estimate(left_regs[rows], right_regs[cols]) >= percent / 100 - SLACK
-    maybe &= near | (small < LEAST_SET)
+    return maybe & (near | (small < LEAST_SET))
+
+
+def linked(left: list[np.ndarray], left_regs: np.ndarray, right: list[np.ndarray], right_regs: np.ndarray, percent: float, maybe: np.ndarray) -> np.ndarray:
+    """Which pairs of left and right documents reach the threshold, of those that maybe asks for: a boolean matrix, exact."""
+    a, b = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    maybe = candidates(a, left_regs, b, right_regs, percent, maybe)
+    if not maybe.any():
+        return maybe
     both = np.zeros(maybe.shape, dtype=np.int64)
     rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
     if maybe.sum() <= 4 * (len(rows) + len(cols)):
@@ -169,16 +179,19 @@ def _features(docs: DataFrame, k: int, rows: int) -> DataFrame:
 
 
 #: What a document is asked for: side 0 (member) or 1 (compared with all members) of a
-#: group, its block of that side, the blocks of the other side, and its cluster so far.
-_ASK = "struct<group:long,side:int,block:long,others:long,cluster:long>"
+#: group, its block of that side, the blocks from..till of the other side, its cluster so far.
+_ASK = "struct<group:long,side:int,block:long,from:long,till:long,cluster:long>"
 
 
-def _sent(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each tile that a document (doc_id, text, asks) is in: group, i, j, side, id, cluster, set, regs."""
+def _sent(docs: DataFrame, k: int, whole: bool) -> DataFrame:
+    """A row for each tile that a document (doc_id, text, asks) is in: group, i, j, side, id, cluster, size of the set, regs, set.
+
+    If not whole, regs are a byte of each register and there is no set.
+    """
 
     def run(batches):
-        names = ["group", "i", "j", "side", "id", "cluster", "set", "regs"]
-        types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.binary()] * 2
+        names = ["group", "i", "j", "side", "id", "cluster", "size", "regs", "set"]
+        types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()] * 2
 
         def rows(out):
             cols = list(zip(*out)) if out else [()] * len(names)
@@ -190,26 +203,75 @@ def _sent(docs: DataFrame, k: int) -> DataFrame:
                 s = shingle_set(t, k)
                 if not len(s):
                     continue
-                data = s.tobytes(), registers(s).tobytes()
+                data = (registers(s).tobytes(), s.tobytes()) if whole else (registers(s).astype(np.uint8).tobytes(), None)
                 for ask in asks:
-                    for other in range(ask["others"]):
+                    for other in range(ask["from"], ask["till"]):
                         at = (ask["block"], other) if ask["side"] == 0 else (other, ask["block"])
-                        out.append((ask["group"], *at, ask["side"], doc, ask["cluster"], *data))
-                        held += len(data[0]) + 1000
+                        out.append((ask["group"], *at, ask["side"], doc, ask["cluster"], len(s), *data))
+                        held += len(data[1] or b"") + 1000
                         if held > 16 << 20:
                             yield rows(out)
                             out, held = [], 0
             yield rows(out)
 
-    return docs.select("doc_id", "text", "asks").mapInArrow(run, "group long, i long, j long, side int, id long, cluster long, set binary, regs binary")
+    return docs.select("doc_id", "text", "asks").mapInArrow(run, "group long, i long, j long, side int, id long, cluster long, size long, regs binary, set binary")
+
+
+def _by_tile(tiles: DataFrame, solve, result, schema: str) -> DataFrame:
+    """What solve(tile, rows) gives of each tile, put into batches by result; a row is (side, id, cluster, size, regs, set)."""
+    tiles = tiles.repartition(partitions(tiles.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j")
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            out = []
+            for at, *rest, r, s in zip(zip(*(b.column(i).to_pylist() for i in range(3))), *(b.column(i).to_pylist() for i in range(3, 7)), b.column(7), b.column(8)):
+                if at != key:
+                    out += solve(key, held)
+                    key, held = at, []
+                held.append((*rest, r.as_py(), s.as_py()))
+            yield result(out)
+        yield result(solve(key, held))
+
+    return tiles.mapInArrow(run, schema)
+
+
+def _apart(ids, clusters) -> np.ndarray:
+    return (ids[0][:, None] != ids[1][None, :]) & (clusters[0][:, None] != clusters[1][None, :])
+
+
+def _screened(tiles: DataFrame, percent: float) -> DataFrame:
+    """(doc_id, ask): the members of tiles that are in a pair which may reach the threshold, asked for again in that tile."""
+
+    def solve(key, rows):
+        sides = [[r for r in rows if r[0] == i] for i in (0, 1)]
+        if not sides[0] or not sides[1]:
+            return []
+        column = lambda j: [np.array([r[j] for r in x], dtype=np.int64) for x in sides]
+        ids, clusters, sizes = column(1), column(2), column(3)
+        regs = [np.stack([np.frombuffer(r[4], dtype=np.uint8) for r in x]) for x in sides]
+        maybe = candidates(sizes[0], regs[0], sizes[1], regs[1], percent, _apart(ids, clusters))
+        group, i, j = key
+        out = [(int(ids[0][n]), (group, 0, i, j, j + 1, int(clusters[0][n]))) for n in np.flatnonzero(maybe.any(axis=1))]
+        return out + [(int(ids[1][n]), (group, 1, j, i, i + 1, int(clusters[1][n]))) for n in np.flatnonzero(maybe.any(axis=0))]
+
+    names = ["group", "side", "block", "from", "till", "cluster"]
+
+    def result(out):
+        types = [pa.int64(), pa.int32()] + [pa.int64()] * 4
+        cols = list(zip(*(a for _, a in out))) if out else [()] * 6
+        asks = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), asks], ["doc_id", "ask"])
+
+    return _by_tile(tiles, solve, result, f"doc_id long, ask {_ASK}").distinct()
 
 
 def _tile_links(tiles: DataFrame, percent: float) -> DataFrame:
-    """Spanning-forest links of each tile's documents; tiles arrive sorted, one after another."""
+    """Spanning-forest links (a, b) of each tile's documents."""
 
-    def solve(rows):
+    def solve(_, rows):
         sides = ({}, {})
-        for side, i, cluster, s, r in rows:  # rows that share an id may differ in text
+        for side, i, cluster, _, r, s in rows:  # rows that share an id may differ in text
             sides[side].setdefault((i, s), (cluster, r))
         if not sides[0] or not sides[1]:
             return []
@@ -217,8 +279,7 @@ def _tile_links(tiles: DataFrame, percent: float) -> DataFrame:
         clusters = [np.array([c for c, _ in x.values()], dtype=np.int64) for x in sides]
         sets = [[np.frombuffer(s, dtype=U64) for _, s in x] for x in sides]
         regs = [np.stack([np.frombuffer(r, dtype=np.uint16) for _, r in x.values()]) for x in sides]
-        apart = (ids[0][:, None] != ids[1][None, :]) & (clusters[0][:, None] != clusters[1][None, :])
-        found = linked(sets[0], regs[0], sets[1], regs[1], percent, apart)
+        found = linked(sets[0], regs[0], sets[1], regs[1], percent, _apart(ids, clusters))
         if found.shape[1] == 1:
             return [(int(i), int(ids[1][0])) for i in ids[0][found[:, 0]]]
         n = len(ids[0])
@@ -226,34 +287,25 @@ def _tile_links(tiles: DataFrame, percent: float) -> DataFrame:
         link[:n, n:], link[n:, :n] = found, found.T
         return forest(np.concatenate(ids), link)
 
-    def pairs(out):
+    def result(out):
         a, b = zip(*out) if out else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def run(batches):
-        key, held = None, []
-        for b in batches:
-            out = []
-            for at, *rest, s, r in zip(zip(*(b.column(i).to_pylist() for i in range(3))), *(b.column(i).to_pylist() for i in (3, 4, 5)), b.column(6), b.column(7)):
-                if at != key:
-                    out += solve(held)
-                    key, held = at, []
-                held.append((*rest, s.as_py(), r.as_py()))
-            yield pairs(out)
-        yield pairs(solve(held))
+    return _by_tile(tiles, solve, result, "a long, b long")
 
-    return tiles.mapInArrow(run, "a long, b long")
 
-
-def _verified(docs: DataFrame, asks: DataFrame, k: int, percent: float) -> DataFrame:
-    """Links (a, b) among the documents (doc_id) asked for; asks holds (doc_id, ask)."""
-    asks = settle(asks.groupBy("doc_id").agg(F.collect_list("ask").alias("asks")), "nd-asks")  # a few for each band at most
+def _met(docs: DataFrame, asks: DataFrame) -> DataFrame:
+    """(doc_id, text, asks) of the documents that are asked for; asks holds (doc_id, ask)."""
+    asks = settle(asks.groupBy("doc_id").agg(F.collect_list("ask").alias("asks")), "nd-asks")  # some for each band at most
     size = asks.agg(F.sum(F.size("asks").cast("long") * ASK_BYTES + 2 * ASK_BYTES)).first()[0] or 0
     if size <= MOST_BROADCAST:  # texts stay where they are; beyond that, texts and asks meet in a shuffle
         asks = F.broadcast(asks)
-    tiles = _sent(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asks, "doc_id"), k)
-    tiles = tiles.repartition(partitions(docs.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j")
-    return settle(_tile_links(tiles, percent), "nd-found")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asks, "doc_id")
+
+
+def _verified(docs: DataFrame, asks: DataFrame, k: int, percent: float) -> DataFrame:
+    """Links (a, b) among the documents asked for."""
+    return settle(_tile_links(_sent(_met(docs, asks), k, True), percent), "nd-found")
 
 
 def _blocks(n: str, shingles: str) -> Column:
@@ -263,7 +315,7 @@ def _blocks(n: str, shingles: str) -> Column:
 
 def _ask(group: str, side: int, mine: str, others: str, cluster: str) -> Column:
     block = F.pmod(F.xxhash64("doc_id", F.lit(3 + side)), F.col(mine))
-    parts = [F.col(group).cast("long"), F.lit(side), block, F.col(others).cast("long"), F.col(cluster).cast("long")]
+    parts = [F.col(group).cast("long"), F.lit(side), block, F.lit(0).cast("long"), F.col(others).cast("long"), F.col(cluster).cast("long")]
     return F.struct(*parts).cast(_ASK).alias("ask")
 
 
@@ -316,7 +368,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     tied = settle(components(links), "nd-clusters")
     asks = _rest_asks(ties, tied)
     if asks is not None:
-        more = _verified(docs, asks, k, percent)
+        more = _verified(docs, _screened(_sent(_met(docs, asks), k, False), percent), k, percent)
         if not more.isEmpty():
             tied = components(tied.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = found.select("doc_id", "n_shingles").join(tied.withColumnRenamed("id", "doc_id"), "doc_id", "left")
