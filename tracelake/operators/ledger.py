@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions.rules import Rule
 from tracelake.operators import graph, redaction, scanning
+from tracelake.shared import exists
 from tracelake.sources.tables import problems
 
 #: Parts into which a ledger is laid out by its anchors.
@@ -25,14 +25,7 @@ def new_rows(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """The table at a path, None where nothing was written there yet."""
-    try:
-        found = spark.read.schema(schema).parquet(path)
-        found.limit(0).collect()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return found
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else None
 
 
 def part_of(anchor: Column) -> Column:

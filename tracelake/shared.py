@@ -62,9 +62,20 @@ def share(spark: SparkSession, value):
     return made
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _place(spark, path)
+    return files.exists(where)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, where = _place(spark, path)
+    files.delete(where, True)
 
 
 def drop(df: DataFrame) -> None:
