@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -519,18 +520,29 @@ def test_unigram_with_bytes_and_character_map(squeeze):
     assert codec.decode([ids.tolist() for ids, _ in got]) == [plain.decode(plain.encode(t)) for t in texts]
 
 
-def test_parity_of_every_text():
+def test_parity_of_every_text(monkeypatch):
     """Ids by stretches are those of whole texts; a text that the other library encodes otherwise is mended and told."""
     with open(pieces.MODEL, "rb") as f:
         codec = pieces.Codec(f.read(), 1)
     assert codec.by_stretch
     rng = random.Random(12)
     texts = [t for t in TEXTS if t is not None] + ["".join(rng.choices("ab \n\té日▁<>0x", k=rng.randint(1, 60))) for _ in range(500)]
-    assert [codec.right(t).tolist() for t in texts] == [codec.plain.encode(t) for t in texts]
-    assert all(same for _, same in codec.encode(texts)) and codec.encode([None]) == [(None, None)]
-    codec.known["▁word"] = [5]
-    ids, same = codec.encode(["word"])[0]
-    assert ids.tolist() == [5] and not same
+    got = codec.encode(texts)
+    assert [ids.tolist() for ids, _ in got] == [codec.plain.encode(t) for t in texts]
+    assert [ids.tolist() for ids, _ in got] == [e.ids for e in codec.fast.encode_batch_fast(texts, add_special_tokens=False)]
+    assert all(same for _, same in got) and codec.encode([None]) == [(None, None)]
+    monkeypatch.setattr(pieces, "REMEMBERED", 10)  # forgetting changes nothing
+    assert [ids.tolist() for x in texts for ids, _ in codec.encode([x])] == [ids.tolist() for ids, _ in got]
+    codec.known.clear()
+    real = codec.fast
+
+    class Wrong:
+        def encode_batch_fast(self, given, **more):
+            return [SimpleNamespace(ids=[i + 1 for i in e.ids] if "end" in t else e.ids) for t, e in zip(given, real.encode_batch_fast(given, **more))]
+
+    codec.fast = Wrong()
+    (ids, same), (_, other) = codec.encode(["in the end", "all is well"])
+    assert ids.tolist() == codec.plain.encode("in the end") and not same and other
 
 
 def test_pieces_edge_tables(spark):

@@ -11,8 +11,10 @@ words; a model with such pieces is not split.
 verified against the sentencepiece library for every text, and a text whose ids differ
 gets that library's ids and parity false.  Where a model encodes each stretch from one
 marker to the next by itself (no character map, no squeezing, a dummy prefix, no piece
-that crosses a marker) each distinct stretch is asked of that library once a task, and
-a text's ids are held against those of its stretches; else whole texts are asked.
+that crosses a marker) a batch is that of the stretches which a task has not met yet,
+so many to a line: both libraries encode the lines, which fall into their stretches at
+the pieces that begin with a marker, and a text's ids are those of its stretches, in a
+row.  Else whole texts are the batch.
 ``decode`` is the inverse.
 
 Null texts have null ids and parity; empty texts have no ids, and an empty list decodes
@@ -25,6 +27,7 @@ nulls in other columns and extra columns do not matter.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 import struct
@@ -44,7 +47,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 THREADS, CHUNK = 2, 64
 #: Characters of distinct stretches whose ids a task remembers; then it forgets them all.
-REMEMBERED = 8 << 20
+REMEMBERED = 4 << 20
+#: Stretches to a line of a batch.
+LINE = 256
 
 
 def fields(data: bytes):
@@ -148,37 +153,53 @@ class Codec:
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=data)
         m = self.model
         self.by_stretch = m.apart and m.dummy_prefix and not m.squeeze and not m.charsmap
-        self.lone = self.plain.encode("a" + MARK)[len(self.plain.encode("a")) :]  # a marker with nothing behind it
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
         self.known: dict[str, list[int]] = {}
+        self.bad: set[str] = set()  # stretches that the libraries encode otherwise
         self.held = 0
 
-    def right(self, text: str) -> np.ndarray:
-        """The ids that the sentencepiece library gives."""
-        if not self.by_stretch or not text:
-            return np.array(self.plain.encode(text), dtype=np.int32)
-        out, known = [], self.known
-        for x in _stretch.findall(MARK + text.replace(" ", MARK)):
-            ids = known.get(x)
-            if ids is None:
-                ids = self.plain.encode(x[1:]) if len(x) > 1 else self.lone  # the library sets the first marker itself
-                if len(x) < 1000:
-                    self.held += len(x)
-                    if self.held > REMEMBERED:
-                        known.clear()
-                        self.held = len(x)
-                    known[x] = ids
-            out += ids
-        return np.array(out, dtype=np.int32)
+    def _both(self, given: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of both libraries."""
+        return [e.ids for e in self.fast.encode_batch_fast(given, add_special_tokens=False)], self.plain.encode(given)
+
+    def _learn(self, stretches: set[str]) -> None:
+        """Have the ids of all these stretches at hand."""
+        new = [x for x in stretches if x not in self.known]
+        size = sum(map(len, new))
+        if self.held + size > REMEMBERED:
+            self.known.clear()
+            new, self.held = list(stretches), 0
+            size = sum(map(len, new))
+        self.held += size
+        plain_words = [x for x in new if len(x) > 1 and x[1] != MARK]
+        alone = [x for x in new if len(x) == 1 or x[1] == MARK]
+        groups = [plain_words[i : i + LINE] for i in range(0, len(plain_words), LINE)]
+        for words, f, p in zip(groups, *self._both([" ".join(x[1:] for x in words) for words in groups])):
+            f, p = np.array(f, dtype=np.int32), np.array(p, dtype=np.int32)
+            begin = np.flatnonzero(self.begins[p]).tolist()
+            if len(begin) != len(words) or not np.array_equal(f, p):  # told apart one by one
+                alone += words
+                continue
+            ids = p.tolist()
+            for x, i, j in zip(words, begin, [*begin[1:], len(ids)]):
+                self.known[x] = ids[i:j]
+        # the first marker is set by the libraries; one with nothing behind it is told by what it adds to a letter
+        skip = len(self.plain.encode("a"))
+        for x, f, p in zip(alone, *self._both([x[1:] if len(x) > 1 else "a" + MARK for x in alone])):
+            self.known[x] = p if len(x) > 1 else p[skip:]
+            if f != p:
+                self.bad.add(x)
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray | None, bool | None]]:
         """(ids, parity) of each text."""
         given = [t or "" for t in texts]
-        found = [np.array(e.ids, dtype=np.int32) for e in self.fast.encode_batch_fast(given, add_special_tokens=False)]
-        out = []
-        for t, g, ids in zip(texts, given, found):
-            right = self.right(g)
-            out.append((None, None) if t is None else (right, np.array_equal(right, ids)))
-        return out
+        if not self.by_stretch:
+            found = [(p, f == p) for f, p in zip(*self._both(given))]
+        else:
+            parts = [_stretch.findall(MARK + t.replace(" ", MARK)) if t else [] for t in given]
+            self._learn({x for every in parts for x in every})
+            found = [(list(itertools.chain.from_iterable(map(self.known.__getitem__, every))), not self.bad or self.bad.isdisjoint(every)) for every in parts]
+        return [(None, None) if t is None else (np.array(ids, dtype=np.int32), same) for t, (ids, same) in zip(texts, found)]
 
     def decode(self, ids: list[list[int] | None]) -> list[str | None]:
         out = []
