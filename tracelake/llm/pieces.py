@@ -47,7 +47,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 THREADS, CHUNK = 2, 64
 #: Characters of distinct stretches whose ids a task remembers; then it forgets them all.
-REMEMBERED = 4 << 20
+REMEMBERED = 2 << 20
 #: Stretches to a line of a batch.
 LINE = 256
 
