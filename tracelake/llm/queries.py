@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import fingerprints, labelled, minhash, mixing, pieces, quality, secrets, substrings, toxicity, vptrees, warc
+from tracelake.llm import alignment, audit, fingerprints, labelled, minhash, mixing, pieces, quality, secrets, sharding, substrings, toxicity, vptrees, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,19 @@ def op10_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptrees.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, factor=1.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_mix_pivotal, op3_secret_scan, op4_warc_dictionary, op5_hyperminhash, op6_sentencepiece, op7_toxicity_fm, op8_weighted_fingerprints, op9_substring_dedup, op10_vantage_points)}
+def op11_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_compression, op2_mix_pivotal, op3_secret_scan, op4_warc_dictionary, op5_hyperminhash, op6_sentencepiece, op7_toxicity_fm, op8_weighted_fingerprints, op9_substring_dedup, op10_vantage_points, op11_jump_hash, op12_filter_audit, op13_token_alignment)}
 
 ORACLES = {
     "op4_warc_dictionary": r"""
@@ -89,5 +101,39 @@ r AS (SELECT doc_id, list(DISTINCT i) AS gone FROM g GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
        sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+""",
+    "op11_jump_hash": r"""
+WITH RECURSIVE t AS (SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM t WHERE k < 8),
+c AS (SELECT list(v ORDER BY i) AS v FROM t WHERE k = 8),
+z AS (SELECT 18446744073709551616::UHUGEINT AS w),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT), lambda s, x: xor(s >> 8, c.v[(xor(s, x) & 255) + 1])), 4294967295) AS crc,
+             coalesce(doc_id, -1) AS key FROM documents, c),
+m0 AS (SELECT DISTINCT key, CASE WHEN key < 0 THEN (w - (-key)::UHUGEINT) ELSE key::UHUGEINT END AS x FROM d, z),
+m1 AS (SELECT key, xor(x, x >> 30) * 13787848793156543929 % w AS x FROM m0, z),
+m2 AS (SELECT key, xor(x, x >> 27) * 10723151780598845931 % w AS x FROM m1, z),
+m3 AS (SELECT key, xor(x, x >> 31) AS x FROM m2),
+j AS (SELECT key, n, x, -1::BIGINT AS b, 0::BIGINT AS nxt FROM m3, (VALUES (8), (9)) v(n)
+      UNION ALL SELECT key, n, y, nxt, floor((nxt + 1) * (2147483648.0::DOUBLE / ((y >> 33) + 1)::DOUBLE))::BIGINT FROM (SELECT key, n, nxt, (x * 2862933555777941757 + 1) % w AS y FROM j, z WHERE nxt < n)),
+s AS (SELECT key, max(b) FILTER (n = 8)::INTEGER AS shard, max(b) FILTER (n = 9)::INTEGER AS grown_shard FROM j GROUP BY key)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, crc) - 1 AS slot, grown_shard FROM d JOIN s ON d.key = s.key
+""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+f AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+k AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(d.text, '[^A-Z]+', '', 'g')) > 5 * length(d.text))::INT
+             + 8 * regexp_matches(d.text, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > first, false)::INT AS mask
+      FROM d JOIN f ON d.text = f.text LEFT JOIN k ON d.doc_id = k.doc_id),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, i::INTEGER AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INTEGER AS before FROM o, range(1, 6) r(i)),
+h AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+      FROM h, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
 """,
 }
