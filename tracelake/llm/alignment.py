@@ -4,9 +4,9 @@ A text (a space and the text, as both tokenizers see it) is encoded by a byte-le
 (side A) and by a SentencePiece model (side B).  Two tokens are linked where their byte
 ranges overlap; where tokens of both sides end, a group ends.
 
-1. ``code`` encodes.  Neither tokenizer joins anything across the place before a space
-   that follows a character other than white space, so texts fall into stretches there,
-   and a task looks each stretch up that it has met.  A row keeps its pairs of linked
+1. ``code`` encodes.  Neither tokenizer joins anything across the place before a space or
+   line break that follows a character other than white space, so texts fall into stretches
+   there, and a task looks each stretch up that it has met.  A row keeps its pairs of linked
    ids and how often each occurs, as packed numbers a * (size of B) + b.
 2. ``counted_pairs`` counts in how many documents each pair occurs.  A's ids are striped:
    id a is row a // stripes of stripe a % stripes, which spreads the frequent ids.  Tasks
@@ -30,6 +30,7 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -49,10 +50,12 @@ ROWS = 64
 #: Documents of a chunk, and the characters after which one ends sooner.
 CHUNK, CHUNK_CHARS = 1024, 8 << 20
 #: Stretches that a task remembers, and their characters; then it forgets them all.
-REMEMBERED, REMEMBERED_CHARS = 100_000, 4 << 20
+REMEMBERED, REMEMBERED_CHARS = 300_000, 8 << 20
+#: Stretches to a line of what is encoded at once.
+LINE = 512
 #: Pairs that a task adds up before it hands them on, links of a stripe to a task, bytes of sums that a task holds.
 HELD, LINKS, SUMS = 1 << 20, 1 << 26, 32 << 20
-_stretch = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
+_stretch = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -85,7 +88,7 @@ class Aligner:
         if not model.dummy_prefix:
             raise ValueError("the SentencePiece model must put a space before a text")
         #: whether texts fall into stretches; else they are encoded whole
-        self.by_stretch = regular and model.apart and not model.squeeze and not model.charsmap
+        self.by_stretch = regular and model.apart and not model.squeeze and not model.charsmap and not any("\n" in p for p, *_ in model.pieces)
         self.skip = len(self.b.encode("a"))
         self._forget()
 
@@ -93,57 +96,106 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.chars = 0
         self.said: list[str] = []  # groups of a stretch
-        self.pairs: list[np.ndarray] = []
-        self.sizes: list[tuple[int, int, int, int, bool]] = []  # tokens of A and B, groups, links, whether bytes agree
-
-    def encode(self, stretches: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids of A, ids of B) of stretches that each begin with a space."""
-        a = [np.array(e.ids, dtype=np.int64) for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
-        # the library puts the first space; a space with nothing behind it is told by what it adds to a letter
-        b = self.b.encode([s[1:] or "a " for s in stretches], num_threads=1)
-        return [(x, np.array(y[self.skip :] if s == " " else y, dtype=np.int64)) for s, x, y in zip(stretches, a, b)]
-
-    def _learn(self, new: list[str]) -> None:
-        for s, (a, b) in zip(new, self.encode(new)):
-            data = s.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data
-            self.known[s] = len(self.said)
-            if not same:
-                self.said.append("")
-                self.pairs.append(np.zeros(0, dtype=np.int64))
-                self.sizes.append((0, 0, 0, 0, False))
-                continue
-            end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-            # both sides tile the same bytes, so each piece between two ends of either is one link
-            ends, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b)
-            self.pairs.append(a[np.searchsorted(end_a, ends)] * len(self.bytes_b) + b[np.searchsorted(end_b, ends)])
-            cut_a, cut_b = np.searchsorted(end_a, both, "right").tolist(), np.searchsorted(end_b, both, "right").tolist()
-            a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            self.said.append(";".join(f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)))
-            self.sizes.append((len(a), len(b), len(both), len(ends), True))
-
-    def code(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray] | None:
-        """(tokens of A, of B, groups, links, digest of the groups, pairs in order, how often each) of a text; None where it has no tokens."""
-        if not text:
-            return None
-        parts = _stretch.findall(" " + text) if self.by_stretch else [" " + text]
+        self.pairs = np.zeros(1 << 16, dtype=np.int64)  # of all stretches, one behind the other
+        self.ends = np.zeros(1, dtype=np.int64)  # where a stretch's pairs end
+        self.sizes = np.zeros((0, 4), dtype=np.int64)  # tokens of A and B, groups, links
+        self.sound = np.zeros(0, dtype=bool)  # whether bytes agree
+
+    def encode(self, lines: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of A and of B of lines that begin with a space or a line break."""
+        a = [e.ids for e in self.a.encode_batch_fast(lines, add_special_tokens=False)]
+        # the library puts a space before a line: that is the line's own, or one too many;
+        # a space with nothing behind it is told by what it adds to a letter
+        b = self.b.encode(["a " if x == " " else x[1:] if x[0] == " " else x for x in lines], num_threads=1)
+        return a, [y[self.skip :] if x == " " else y if x[0] == " " else y[1:] for x, y in zip(lines, b)]
+
+    def _keep(self, new: list[str], sizes: np.ndarray, pairs: np.ndarray, said: list[str], sound: bool) -> None:
+        self.known.update(zip(new, range(len(self.said), len(self.said) + len(new))))
+        self.said += said
+        ends = self.ends[-1] + np.cumsum(sizes[:, 3])
+        while len(self.pairs) < ends[-1]:
+            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
+        self.pairs[self.ends[-1] : ends[-1]] = pairs
+        self.ends, self.sizes = np.concatenate([self.ends, ends]), np.concatenate([self.sizes, sizes])
+        self.sound = np.concatenate([self.sound, np.full(len(new), sound)])
+
+    def _learn(self, new: list[str], apart: bool = False) -> None:
+        """Have the links and groups of these stretches at hand.
+
+        Stretches that end in a character, not in white space, are tokenized alike one behind the
+        other, so many to a line; apart encodes each by itself.
+        """
+        if not apart and self.by_stretch:
+            alone = [x for x in new if x[-1].isspace()]
+            new = [x for x in new if not x[-1].isspace()]
+            lines = ["".join(new[i : i + LINE]) for i in range(0, len(new), LINE)]
+            if alone:
+                self._learn(alone, True)
+        else:
+            lines = new
+        if not new:
+            return
+        found_a, found_b = self.encode(lines)
+        a, b = (np.fromiter(itertools.chain.from_iterable(x), dtype=np.int64) for x in (found_a, found_b))
+        end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        stops = np.cumsum([len(x.encode()) for x in new])
+        data = "".join(lines).encode()
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != data or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != data or not (np.isin(stops, end_a).all() and np.isin(stops, end_b).all()):
+            if len(new) > 1:  # some stretch's bytes are not its tokens': it is found by halves
+                self._learn(new[: len(new) // 2], apart)
+                self._learn(new[len(new) // 2 :], apart)
+            elif not apart:
+                self._learn(new, True)
+            else:
+                self._keep(new, np.zeros((1, 4), dtype=np.int64), np.zeros(0, dtype=np.int64), [""], False)
+            return
+        # both sides tile the same bytes, so each piece between two ends of either is one link
+        ends, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b)
+        pairs = a[np.searchsorted(end_a, ends)] * len(self.bytes_b) + b[np.searchsorted(end_b, ends)]
+        cut_a, cut_b = np.searchsorted(end_a, both, "right").tolist(), np.searchsorted(end_b, both, "right").tolist()
+        a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        groups = [f"{a[i] if j - i == 1 else ','.join(a[i:j])}|{b[k] if m - k == 1 else ','.join(b[k:m])}" for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]
+        upto = np.stack([np.searchsorted(x, stops, "right") for x in (end_a, end_b, both, ends)], axis=1)
+        at = upto[:, 2].tolist()
+        said = [";".join(groups[i:j]) for i, j in zip([0, *at], at)]
+        self._keep(new, np.diff(upto, axis=0, prepend=0), pairs, said, True)
+
+    def code_all(self, texts: list[str | None]) -> list[tuple[int, int, int, int, str, np.ndarray, np.ndarray] | None]:
+        """(tokens of A, of B, groups, links, digest of the groups, pairs in order, how often each) of each text; None where it has no tokens."""
         if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
-        new = [s for s in dict.fromkeys(parts) if s not in self.known]
+        parts = [(_stretch.findall(" " + t) if self.by_stretch else [" " + t]) if t else [] for t in texts]
+        new = [s for s in dict.fromkeys(itertools.chain.from_iterable(parts)) if s not in self.known]
         self.chars += sum(map(len, new))
         self._learn(new)
-        at = list(map(self.known.__getitem__, parts))
-        kinds, times = np.unique(at, return_counts=True)
-        sizes = [self.sizes[i] for i in kinds.tolist()]
-        if not all(s[4] for s in sizes):
-            return None
-        total = (np.array([s[:4] for s in sizes], dtype=np.int64) * times[:, None]).sum(axis=0).tolist()
-        digest = hashlib.sha256(";".join(map(self.said.__getitem__, at)).encode()).hexdigest()
-        found = [self.pairs[i] for i in kinds.tolist()]
-        pairs, same = np.unique(np.concatenate(found), return_inverse=True)
-        often = np.zeros(len(pairs), dtype=np.int64)
-        np.add.at(often, same, times.repeat([len(x) for x in found]))
-        return (*total, digest, pairs, often)
+        at = [list(map(self.known.__getitem__, p)) for p in parts]
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in at])
+        every = np.fromiter(itertools.chain.from_iterable(at), dtype=np.int64, count=len(doc))
+        has = np.bincount(doc, minlength=len(texts)) > 0
+        has[doc[~self.sound[every]]] = False
+        doc, every = doc[has[doc]], every[has[doc]]
+        total = np.stack([np.bincount(doc, self.sizes[every, i], len(texts)) for i in range(4)], axis=1).astype(np.int64).tolist()
+        # the distinct stretches of each text, then the distinct pairs of these
+        kinds, often = np.unique(doc * len(self.said) + every, return_counts=True)
+        doc, every = np.divmod(kinds, max(1, len(self.said)))
+        n = self.sizes[every, 3]
+        place = np.repeat(self.ends[every] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        space = len(self.bytes_a) * len(self.bytes_b)
+        pairs, same = np.unique(np.repeat(doc, n) * space + self.pairs[place], return_inverse=True)
+        times = np.bincount(same, np.repeat(often, n), len(pairs)).astype(np.int64)
+        doc, pairs = np.divmod(pairs, space)
+        cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+        out = []
+        for i, stretches in enumerate(at):
+            if not has[i]:
+                out.append(None)
+                continue
+            digest = hashlib.sha256(";".join(map(self.said.__getitem__, stretches)).encode()).hexdigest()
+            out.append((*total[i], digest, pairs[cut[i] : cut[i + 1]], times[cut[i] : cut[i + 1]]))
+        return out
+
+    def code(self, text: str | None):
+        return self.code_all([text])[0]
 
 
 def _read(path: str) -> bytes:
@@ -165,10 +217,10 @@ def code(docs: DataFrame, bytes_model: str = BYTES_MODEL, pieces_model: str = MO
         for b in batches:
             for begin in range(0, b.num_rows, 64):
                 part, rows = b.slice(begin, 64), []
-                for text in part.column(1).to_pylist():
+                given = part.column(1).to_pylist()
+                for text, x in zip(given, aligner.code_all(given)):
                     if at and (at == CHUNK or chars >= CHUNK_CHARS):
                         chunk, at, chars = chunk + 1, 0, 0
-                    x = aligner.code(text)
                     rows.append((chunk, at, *x[:5], x[5].astype("<i8").tobytes(), x[6].astype("<u4").tobytes()) if x else (chunk, at, 0, 0, 0, 0, "", b"", b""))
                     at, chars = at + 1, chars + len(text or "")
                 c = list(zip(*rows))
@@ -192,20 +244,34 @@ def _by_stripe(pairs: np.ndarray, stripes: int, width: int):
 
 
 class _Block:
-    """The dense counts of the stripe that a task is at."""
+    """The dense counts of the stripe that a task is at; rows that nothing has touched are neither cleared nor searched."""
 
     def __init__(self, width: int):
-        self.stripe, self.cells = None, np.zeros(ROWS * width, dtype=np.int64)
-        self.width = width
+        self.stripe, self.cells = None, np.zeros((ROWS, width), dtype=np.int64)
+        self.width, self.touched = width, np.zeros(ROWS, dtype=bool)
 
-    def turn(self, stripe: int) -> None:
+    def turn(self, stripe) -> None:
+        """Go to a stripe: an empty block, if it is another than before."""
         if stripe != self.stripe:
-            self.cells[:] = 0
+            self.cells[self.touched] = 0
+            self.touched[:] = False
             self.stripe = stripe
 
+    def add(self, cells: np.ndarray, counts: np.ndarray) -> None:
+        np.add.at(self.cells.ravel(), cells, counts)
+        self.touched[cells // self.width] = True
+
+    def filled(self) -> tuple[np.ndarray, np.ndarray]:
+        """The cells that hold a count, and the counts."""
+        rows = np.flatnonzero(self.touched)
+        at, column = np.nonzero(self.cells[rows])
+        return rows[at] * self.width + column, self.cells[rows[at], column]
+
     def best(self) -> np.ndarray:
         """The highest count of each row."""
-        return self.cells.reshape(ROWS, self.width).max(axis=1)
+        top = np.zeros(ROWS, dtype=np.int64)
+        top[self.touched] = self.cells[self.touched].max(axis=1)
+        return top
 
 
 def counted_pairs(coded: DataFrame, width: int, stripes: int) -> DataFrame:
@@ -236,17 +302,17 @@ def counted_pairs(coded: DataFrame, width: int, stripes: int) -> DataFrame:
         block = _Block(width)
 
         def done():
-            cells = np.flatnonzero(block.cells)
+            cells, counts = block.filled()
             for i in range(0, len(cells), HELD):
-                x = cells[i : i + HELD]
-                yield pa.RecordBatch.from_arrays([pa.array([block.stripe], pa.int32()), pa.array([x.astype("<u4").tobytes()]), pa.array([block.cells[x].astype("<i8").tobytes()])], ["stripe", "cells", "counts"])
+                x, n = cells[i : i + HELD].astype("<u4").tobytes(), counts[i : i + HELD].astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block.stripe], pa.int32()), pa.array([x]), pa.array([n])], ["stripe", "cells", "counts"])
 
         for b in batches:
             for stripe, cells, counts in zip(*(c.to_pylist() for c in b.columns)):
                 if block.stripe not in (None, stripe):
                     yield from done()
                 block.turn(stripe)
-                np.add.at(block.cells, np.frombuffer(cells, dtype="<u4"), np.frombuffer(counts, dtype="<i8"))
+                block.add(np.frombuffer(cells, dtype="<u4"), np.frombuffer(counts, dtype="<i8"))
         if block.stripe is not None:
             yield from done()
 
@@ -298,7 +364,7 @@ def _scored(links: DataFrame, counts: DataFrame, width: int) -> DataFrame:
     dealt = known.unionByName(asked).repartition("stripe", "part").sortWithinPartitions("stripe", "part", "chunk")
 
     def score(batches):
-        block, at, best, sums = _Block(width), None, None, {}
+        block, best, sums = _Block(width), None, {}
 
         def hand_on():
             keys = list(sums)
@@ -310,15 +376,15 @@ def _scored(links: DataFrame, counts: DataFrame, width: int) -> DataFrame:
         for b in batches:
             for stripe, part, chunk, cells, counts, rows, times in zip(*(c.to_pylist() for c in b.columns)):
                 cells = np.frombuffer(cells, dtype="<u4")
-                if (stripe, part) != at:
-                    block.stripe, best, at = None, None, (stripe, part)
-                    block.turn(stripe)
+                if (stripe, part) != block.stripe:
+                    block.turn((stripe, part))
+                    best = None
                 if chunk < 0:  # the counts of a part come before its links
-                    block.cells[cells] = np.frombuffer(counts, dtype="<i8")
+                    block.add(cells, np.frombuffer(counts, dtype="<i8"))
                     continue
                 if best is None:
                     best = block.best()
-                n, rows, times = block.cells[cells], np.frombuffer(rows, dtype="<u2"), np.frombuffer(times, dtype="<u4").astype(np.int64)
+                n, rows, times = block.cells.ravel()[cells], np.frombuffer(rows, dtype="<u2"), np.frombuffer(times, dtype="<u4").astype(np.int64)
                 if chunk not in sums:
                     if len(sums) * CHUNK * 16 >= SUMS:
                         yield from hand_on()
