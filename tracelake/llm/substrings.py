@@ -16,6 +16,7 @@ a super-k-mer: one packed string of all their words, keyed by the minimiser.
 4. A bucket of more than ``CROWD`` windows (a passage quoted in very many
    documents) is dealt by window instead: windows are grouped by their words, and the
    smallest document of each is a minimum combined before the shuffle.
+   A row's ranges do not grow with the rows that repeat it.
 5. The windows found give each document the ranges of words to remove.
 
 A window's words are removed where some document with a smaller doc_id has the
@@ -96,12 +97,20 @@ def _noted(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _packed(wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the wanted super-k-mers: (mini, one, two, hi, crowd, doc_id, words), one row each."""
+    """The words of the wanted super-k-mers: (mini, one, two, hi, crowd, doc_id, words), one row each.
+
+    Of rows that repeat one (doc_id, h) those that follow the first are passed over; the join
+    brings them one behind the other, and where it does not, a string more does no harm.
+    """
 
     def run(batches):
+        last = None
         for b in batches:
             out = []
-            for doc, t, items in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist()):
+            for doc, h, t, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3).to_pylist()):
+                if (doc, h) == last:
+                    continue
+                last = doc, h
                 t, start, end = joined(t)
                 for x in items:
                     packed = t[start[x["start"]] : end[x["start"] + x["n"] + window - 2]]
@@ -198,7 +207,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     noted = settle(_noted(docs, window), "sub-noted")
     minis = noted.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("top"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("one", "two") for f in (F.min, F.max)])
     minis = settle(minis.where("lo < top").select("mini", "lo", ((F.col("one_min") != F.col("one_max")) | (F.col("two_min") != F.col("two_max"))).alias("many")), "sub-minis")
-    live = settle(noted.join(minis, "mini"), "sub-live")
+    # rows that repeat one (doc_id, text) count once from here on
+    live = settle(noted.join(minis, "mini").dropDuplicates(["doc_id", "h", "start"]), "sub-live")
     end = F.col("start") + F.col("n") + window - 1
     alone = live.where("not many and doc_id > lo").select("doc_id", "h", F.col("start").alias("begin"), end.alias("finish"))
     several = live.where("many")
@@ -208,7 +218,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     crowds = settle(crowds, "sub-crowds")  # a plain table again
     wanted = strings.join(crowds, "mini", "left").select("at.doc_id", "at.h", F.struct("mini", "one", "two", "at.start", "at.n", "hi", F.coalesce("crowd", F.lit(False)).alias("crowd")).alias("x"))
     wanted = wanted.groupBy("doc_id", "h").agg(F.collect_list("x").alias("items"))  # a document's own at most
-    packed = settle(_packed(docs.join(wanted, ["doc_id", "h"]).select("doc_id", "text", "items"), window), "sub-packed")
+    packed = settle(_packed(docs.join(wanted, ["doc_id", "h"]).select("doc_id", "h", "text", "items"), window), "sub-packed")
     buckets = packed.where("not crowd").repartition(partitions(spark), "mini").sortWithinPartitions("mini")
     found = _matched(buckets, window)
     each = _windows(packed.where("crowd"), window)
