@@ -5,11 +5,13 @@ more component sqrt(M^2 - |x|^2), and queries are scaled to M; the nearest point
 by Euclidean distance is then the one with the largest inner product, and the
 triangle inequality holds.
 
-1. Up to ``PIVOTS`` pivots are fitted on a sample of ``SAMPLE`` vectors of each length
-   (some rounds of k-means in one task); every vector is then put into the cell of its
-   nearest pivot, and a cell keeps the distances to its pivot between which it lies.
-2. A cell is dealt by a hash of the id into shards of about ``SHARD``, and each shard
-   builds one tree: a node splits its points at the median distance to a vantage point.
+1. Up to ``PIVOTS`` pivots, one for each shard's worth of vectors, are fitted on a sample
+   of ``SAMPLE`` vectors of each length (some rounds of k-means in one task); every vector is
+   then put into the cell of its nearest pivot, and a cell keeps the distances to its pivot
+   between which it lies.
+2. A cell is dealt by a hash of the id into shards, of a 16th of the vectors of a length but
+   256 to ``SHARD``, and each shard builds one tree: a node splits its points at the median
+   distance to a vantage point, down to leaves of ``LEAF``.
 3. A query first searches the cell of its own nearest pivot.  The k-th distance found
    there is its bound: it then goes only to cells, and in them only to subtrees, where
 
@@ -41,12 +43,13 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.textkit import settle, share
 
-SHARD, LEAF = 8192, 512
+#: Vectors of a shard at most (see shard_size), points of a leaf.
+SHARD, LEAF = 8192, 32
 #: Cells of a length of vectors at most, and the vectors that their pivots are fitted on.
 PIVOTS, SAMPLE, ROUNDS = 512, 8192, 8
 #: Queries that meet a shard in one task, about.
 QUERIES = 4096
-FACTOR = 1.6
+FACTOR = 1.3
 
 
 def rounding(dim: int, scale: float) -> float:
@@ -214,17 +217,28 @@ def usable(vector: Column) -> Column:
     return F.coalesce(sound & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _pivots(sound: DataFrame, sizes: DataFrame, shard: int) -> dict[int, tuple[float, np.ndarray]]:
-    """By length of vectors: the largest norm and the pivots, fitted on a bounded sample in a task a length."""
-    first = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id", "embedding"))
-    picked = sound.withColumn("_n", first).where(F.col("_n") <= SAMPLE).drop("_n").join(sizes, "dim")
+def shard_size(n: Column) -> Column:
+    """How many of n vectors of a length make a shard."""
+    return F.least(F.lit(SHARD), F.greatest(F.lit(256), F.ceil(n / 16))).cast("long")
+
+
+def _pivots(sound: DataFrame, sizes: DataFrame) -> dict[int, tuple[float, np.ndarray]]:
+    """By length of vectors: the largest norm and the pivots, fitted on a bounded sample in a task a length.
+
+    A length has a pivot for each shard, so there are no more than lengths and shards together.
+    """
+    # a share of the hashes, by the length's count, that leaves about twice the sample; the smallest of them are taken
+    draw = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 31))
+    some = sound.join(sizes, "dim").where(draw * F.col("n") <= 2.0 * SAMPLE * (1 << 31))
+    first = F.row_number().over(Window.partitionBy("dim").orderBy(draw, "vec_id"))
+    picked = some.withColumn("_n", first).where(F.col("_n") <= SAMPLE).drop("_n")
 
     def fit(key, table):
         top, n = table["top"][0].as_py(), table["n"][0].as_py()
-        made = fit_pivots(lifted(_matrix(table["embedding"], table.num_rows), top), min(PIVOTS, -(-n // shard)))
+        made = fit_pivots(lifted(_matrix(table["embedding"], table.num_rows), top), min(PIVOTS, -(-n // table["shard"][0].as_py())))
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "top": [top], "pivots": pa.array([pickle.dumps(made)], pa.binary())})
 
-    rows = picked.select("dim", "top", "n", "embedding").groupBy("dim").applyInArrow(fit, "dim int, top double, pivots binary").collect()
+    rows = picked.select("dim", "top", "n", "shard", "embedding").groupBy("dim").applyInArrow(fit, "dim int, top double, pivots binary").collect()
     return {r.dim: (r.top, pickle.loads(r.pivots)) for r in rows}
 
 
@@ -274,8 +288,8 @@ def _routed(asked: DataFrame, shared, reach, k: int, factor: float) -> DataFrame
     return asked.mapInArrow(run, "dim int, vec_id long, embedding array<double>, bound double, to array<int>")
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FACTOR, shard: int = SHARD) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows nearest to each row for which queries holds."""
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FACTOR, shard: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k rows nearest to each row for which queries holds; shard sets the size of shards."""
     spark = vectors.sparkSession
     sound = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     sound = sound.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks"))
@@ -286,12 +300,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, factor: float = FA
         sound = sound.join(again, ["dim", "vec_id"], "left_anti").unionByName(once)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     sizes = sound.groupBy("dim").agg(F.max(norm).alias("top"), F.count("*").alias("n"), F.count_if("asks").alias("asked"))
+    sizes = sizes.withColumn("shard", shard_size(F.col("n")) if shard is None else F.lit(shard).cast("long"))
     sizes = settle(sizes.where("asked > 0"), "nn-sizes")  # a row for each length of vectors
-    shared = share(spark, _pivots(sound, sizes, shard))
+    shared = share(spark, _pivots(sound, sizes))
     used = sound.join(sizes.select("dim"), "dim", "left_semi")
     placed = settle(_in_cells(used.select("dim", "vec_id", "embedding"), shared, False), "nn-placed")
     cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.min("away").alias("inner"), F.max("away").alias("outer"))
-    cells = settle(cells.withColumn("subs", F.ceil(F.col("n") / shard)), "nn-cells")  # PIVOTS rows a length at most
+    cells = cells.join(sizes.select("dim", "shard"), "dim").withColumn("subs", F.ceil(F.col("n") / F.col("shard")))
+    cells = settle(cells, "nn-cells")  # PIVOTS rows a length at most
     reach = {}
     for r in cells.orderBy("dim", "cell").collect():
         reach.setdefault(r.dim, []).append((r.cell, r.inner, r.outer))
