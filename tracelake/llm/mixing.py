@@ -17,7 +17,7 @@ All draws are seeded by the source, the level and the node, and rows are sorted
 inside a node, so reruns and lost executors give the same mix.
 
 Null and empty texts have size 0 and are taken as 0 words; a null source is a
-source of its own, last in order; repeated keys are rows of their own.
+source of its own, last in order; repeated keys and equal rows are rows of their own.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from tracelake.llm.textkit import partitions, settle
 
 NODE = 2048
+#: Bytes of source names and figures that are sent to all tasks; beyond them, sources meet documents in a shuffle.
+SENT = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -123,13 +125,18 @@ def _level(open_: DataFrame, level: int, seed: int) -> DataFrame:
 def copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 2024, node: int = NODE) -> DataFrame:
     """(doc_id, source, size, source_size, target, row, copies) of every document; row is a hash of all its columns."""
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    sized = settle(sized, "mix-sizes")  # texts are read once
+    # texts are read once; equal rows get a running number, so that any number of them is spread over the nodes
+    alike = sized.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("alike"))
+    stretch, most_alike = 4096, F.col("alike") - 1
+    alike = alike.withColumn("_of", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(most_alike / stretch))))
+    alike = alike.withColumn("nth", F.explode(F.sequence(F.col("_of") * stretch, F.least(most_alike, (F.col("_of") + 1) * stretch - 1))))
+    sized = settle(alike.drop("alike", "_of"), "mix-sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(per.select("source", "source_size"), share, cap, weights)
     per = settle(plan.alias("p").join(per.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source"))).select("p.*", "c.n"), "mix-sources")
-    most = per.agg(F.max("n")).first()[0] or 0
-    many = per.count()
-    if many <= 100_000:  # a row of a few words for each source: some MB at most
+    held = per.agg(F.max("n").alias("n"), F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64).alias("bytes")).first()
+    most = held["n"] or 0
+    if (held["bytes"] or 0) <= SENT:
         per = F.broadcast(per)
     rated = sized.join(per.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -137,7 +144,7 @@ def copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple
     rated = rated.withColumn("whole", F.floor(copies + 1e-12)).withColumn("part", F.greatest(copies - F.col("whole"), F.lit(0.0)))
     rated = rated.withColumn("part", F.when((F.col("part") < 1e-12) | (F.col("size") == 0), 0.0).otherwise(F.col("part")))
     nodes = F.ceil(F.col("n") / F.lit(float(node)))
-    rated = rated.withColumn("node", F.pmod(F.xxhash64("row", F.lit(seed)), F.greatest(nodes, F.lit(1))))
+    rated = rated.withColumn("node", F.pmod(F.xxhash64("row", "nth", F.lit(seed)), F.greatest(nodes, F.lit(1))))
     rated = rated.select("doc_id", "source", "size", "row", "source_size", "target", "whole", "part", "node")
     done, level, left = [rated.where("part = 0")], 0, -(-most // node)
     step = settle(_level(rated.where("part > 0"), level, seed), "mix-level")
@@ -158,7 +165,8 @@ def copies(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) of every document; settings are those of copies."""
-    return copies(docs.select("doc_id", "source", "text"), **settings).withColumn("taken", F.col("size") * F.col("copies")).drop("row", "copies")
+    taken = copies(docs.select("doc_id", "source", "text"), **settings).withColumn("taken", F.col("size") * F.col("copies"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def draw(docs: DataFrame, **settings) -> DataFrame:
