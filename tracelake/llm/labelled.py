@@ -20,6 +20,18 @@ def remainder(key: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def _known(labels: DataFrame, label: str, usable: Column) -> DataFrame:
+    """(doc_id, y) of the usable labels."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable)
+    return known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+
+
+def base_rate(labels: DataFrame, label: str, usable: Column) -> float:
+    """The share of label 1 among all usable labels, whatever sample is fitted on; 0.5 without any."""
+    rate = _known(labels, label, usable).agg(F.avg("y")).first()[0]
+    return 0.5 if rate is None else rate
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, usable: Column, seed: int = 7, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, y, text) of at most per_class documents and most_bytes of text of each class 0 and 1.
 
@@ -28,10 +40,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, usabl
     a bounded list of keys meets the documents, each where it lies.  A key with both
     labels counts as 1; null keys and labels, keys without a document and unusable
     ones are left out; of rows that share a key one stays, by a hash of its text.  A
-    text of more than a 16th of most_bytes is left out.
+    text of more than a 16th of most_bytes (3 MB) teaches nothing: it is left out of the
+    fit, and scored like any other.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable)
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = _known(labels, label, usable)
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
     keys = [known.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     keys = keys[0].unionByName(keys[1])  # at most 2 * per_class rows
@@ -62,11 +74,11 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
-def logistic(features, y, ridge: float = 1.0, steps: int = 50):
-    """Weights of a ridge logistic regression by Newton steps, both classes weighing the same."""
+def logistic(features, y, ridge: float = 1.0, steps: int = 50, share: float = 0.5):
+    """Weights of a ridge logistic regression by Newton steps; class 1 weighs that share of all, however many rows it has."""
     import numpy as np
 
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
     w = np.zeros(features.shape[1])
     for _ in range(steps):
         p = sigmoid(features @ w)

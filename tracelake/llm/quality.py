@@ -4,12 +4,13 @@ Two Zstandard dictionaries are trained, one on labelled good text and one on bad
 A text is cut into blocks of ``BLOCK`` bytes, so that a dictionary tells on all of
 a long text, and each block is compressed with both.  The normalised difference
 ``(bad - good) / (bad + good)`` of the summed sizes is positive where the good
-dictionary serves better; a logistic calibration, fitted on labelled texts that
-neither dictionary has seen, turns it into a probability.  The ratio of
-compressed to raw size enters the calibration too, as a text that repeats itself
-compresses as well with either dictionary.
+dictionary serves better.  The same difference is also normalised by the text's raw
+size, ``(bad - good) / bytes``: what a dictionary saves weighs less where the text
+repeats itself.  A logistic calibration of both, linear between the quartiles of labelled
+texts that neither dictionary has seen, turns them into a probability; its constant fits
+the share of label 1 among all usable labels, so that scores are shares of label 1.
 
-Null and empty texts have difference and ratio 0 and get the
+Null and empty texts have differences of 0 and get the
 calibration's value there.  Only the text enters a score; equal texts score
 alike.  With too few labels for both dictionaries every score is the share of
 label 1 among the usable labels (0.5 if there are none).
@@ -38,23 +39,30 @@ def blocks(data: bytes) -> list[bytes]:
     return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
 
 
-def features(x: np.ndarray) -> np.ndarray:
-    """Calibration terms from rows of (difference, ratio)."""
-    d, ratio = x.T
-    return np.stack([np.ones(len(d)), 10 * d, 5 * ratio, 25 * ratio * ratio, 20 * d * ratio], axis=1)
+class Calibration:
+    """Terms of a logistic calibration from rows of the two differences: constant, each difference with a bend at its quartiles, product."""
+
+    def __init__(self, x: np.ndarray):
+        self.bends, self.scale = np.quantile(x, [0.25, 0.5, 0.75], axis=0), x.std(axis=0) + 1e-9
+
+    def terms(self, x: np.ndarray) -> np.ndarray:
+        z, bends = x / self.scale, self.bends / self.scale
+        return np.concatenate([np.ones((len(x), 1)), z, *(np.maximum(0, z - b) for b in bends), z[:, :1] * z[:, 1:]], axis=1)
 
 
 class Scorer:
     """Both dictionaries and the calibration's weights; what is shipped to executors."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray | None, constant: float = 0.5):
-        self.good, self.bad, self.weights, self.constant = good, bad, weights, constant
+    def __init__(self, good: bytes, bad: bytes, constant: float = 0.5):
+        self.good, self.bad, self.constant = good, bad, constant
+        self.calibration, self.weights = None, None
         self._pair = None
 
     def __getstate__(self):
         return self.__dict__ | {"_pair": None}
 
     def measure(self, data: bytes) -> tuple[float, float]:
+        """The difference of the compressed sizes over their sum, and over the raw size."""
         if self._pair is None:
             made = [zstandard.ZstdCompressionDict(x) for x in (self.good, self.bad)]
             for x in made:
@@ -64,13 +72,13 @@ class Scorer:
             return 0.0, 0.0
         parts = blocks(data)
         good, bad = (sum(len(c.compress(p)) for p in parts) for c in self._pair)
-        return (bad - good) / (bad + good), min(good, bad) / len(data)
+        return (bad - good) / (bad + good), (bad - good) / len(data)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.weights is None:
             return np.full(len(column), self.constant)
         rows = np.array([self.measure(t) for t in texts(column)]).reshape(-1, 2)
-        return labelled.sigmoid(features(rows) @ self.weights)
+        return labelled.sigmoid(self.calibration.terms(rows) @ self.weights) if len(rows) else np.zeros(0)
 
 
 def _dictionary(texts_: list[bytes], most_blocks: int) -> bytes | None:
@@ -84,24 +92,25 @@ def _dictionary(texts_: list[bytes], most_blocks: int) -> bytes | None:
         return None
 
 
-def fit(rows: list[tuple[int, bytes]], most_blocks: int = MOST_BLOCKS) -> Scorer:
-    """Fit on (label, text) pairs; every other text of a class goes to its dictionary."""
+def fit(rows: list[tuple[int, bytes]], most_blocks: int = MOST_BLOCKS, rate: float | None = None) -> Scorer:
+    """Fit on (label, text) pairs; every other text of a class goes to its dictionary.  rate is the share of label 1, if not that of the pairs."""
     by = {y: [t for label, t in rows if label == y] for y in (0, 1)}
-    share = len(by[1]) / len(rows) if rows else 0.5
+    rate = rate if rate is not None else len(by[1]) / len(rows) if rows else 0.5
     good, bad = _dictionary(by[1][::2], most_blocks), _dictionary(by[0][::2], most_blocks)
     rest = [(y, t) for y in (0, 1) for t in by[y][1::2]]
     if good is None or bad is None or len({y for y, _ in rest}) < 2:
-        return Scorer(b"", b"", None, share)
-    scorer = Scorer(good, bad, None)
+        return Scorer(b"", b"", rate)
+    scorer = Scorer(good, bad)
     x = np.array([scorer.measure(t) for _, t in rest])
-    scorer.weights = labelled.logistic(features(x), np.array([y for y, _ in rest], dtype=float))
+    scorer.calibration = Calibration(x)
+    scorer.weights = labelled.logistic(scorer.calibration.terms(x), np.array([y for y, _ in rest], dtype=float), ridge=0.1, share=rate)
     return scorer
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", per_class: int = PER_CLASS, most_blocks: int = MOST_BLOCKS) -> Scorer:
     """Fit on a bounded sample of the labelled documents (see labelled.sample), in one task."""
-    rows = labelled.sample(docs, labels, label, per_class, usable)
-    return labelled.fitted(rows, lambda t: fit(list(zip(t["y"].to_pylist(), texts(t["text"]))), most_blocks)) or fit([])
+    rows, rate = labelled.sample(docs, labels, label, per_class, usable), labelled.base_rate(labels, label, usable)
+    return labelled.fitted(rows, lambda t: fit(list(zip(t["y"].to_pylist(), texts(t["text"]))), most_blocks, rate)) or fit([])
 
 
 def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id") -> DataFrame:
