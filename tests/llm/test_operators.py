@@ -10,6 +10,7 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,31 @@ def test_quality_holds_out(spark):
     assert set(got[got.held_out].doc_id) == {int(i) for i in got.doc_id if zlib.crc32(str(i).encode()) % 3 == 1}
 
 
+def test_quality_by_hand():
+    """The score of a fitted scorer, recomputed from its dictionaries and weights."""
+    import zstandard
+
+    r = random.Random(12)
+    words = ["".join(random.Random(i).choices("abcdefghij", k=6)) for i in range(300)]
+    good, bad = (lambda: " ".join(r.choices(words, k=60)).encode()), (lambda: " ".join("".join(r.choices("xyz$#", k=6)) for _ in range(60)).encode())
+    scorer = quality.fit([(y, (good if y else bad)()) for y in (0, 1, 1, 1) * 150])
+    packers = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_dict_id=False) for x in (scorer.good, scorer.bad)]
+    given = [good(), bad(), good() + bad(), b"x", good() * 40]
+    for t in given:
+        g, b = (sum(len(p.compress(t[i : i + 4096])) for i in range(0, len(t), 4096)) for p in packers)
+        assert scorer.measure(t) == ((b - g) / (b + g), (b - g) / len(t))
+        z = np.array(scorer.measure(t)) / scorer.calibration.scale
+        terms = [1, *z, *(max(0, z[i] - q[i] / scorer.calibration.scale[i]) for q in scorer.calibration.bends for i in (0, 1)), z[0] * z[1]]
+        assert scorer.scores(pa.array([t]))[0] == pytest.approx(1 / (1 + math.exp(-np.clip(np.dot(terms, scorer.weights), -40, 40))))
+    # the constant follows the share of label 1, whatever the sample's
+    rows = [(y, (good if r.random() < (0.7 if y else 0.3) else bad)()) for y in (0, 1) * 400]
+    for rate in (0.5, 0.8):
+        made = quality.fit(rows, rate=rate)
+        scores = made.scores(pa.array([t for _, t in rows]))
+        weight = np.array([rate if y else 1 - rate for y, _ in rows])
+        assert np.average(scores, weights=weight) == pytest.approx(rate, abs=0.04)
+
+
 def test_toxicity_learns_a_pair(spark):
     filler = ["w%d" % i for i in range(200)]
 
@@ -666,6 +692,41 @@ def brute_nearest(rows, k):
     return out
 
 
+def test_pivots_come_from_the_smallest_hashes(spark):
+    """A bounded share of a length meets in the task that fits its pivots, and a small table has inner nodes."""
+    df = spark.range(60_000).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"), F.lit(2).alias("dim"))
+    sizes = spark.createDataFrame([(2, 1.0, 60_000, 1, 8192)], "dim int, top double, n long, asked long, shard long")
+    assert [len(p) for _, p in vptrees._pivots(df, sizes).values()] == [8]
+    plan = [r.shard for r in spark.range(1).select(F.explode(F.lit([10, 500, 5000, 200_000, 10**9])).alias("n")).select(vptrees.shard_size(F.col("n")).alias("shard")).collect()]
+    assert plan == [256, 256, 313, 8192, 8192]
+    points = np.random.default_rng(0).normal(size=(250, 8))
+    assert sum(n[3] is not None for n in vptrees.Tree(points).nodes) >= 7
+
+
+def test_substrings_of_many_equal_rows(spark):
+    """Ranges and strings do not grow with the rows that repeat one document."""
+    r = random.Random(7)
+    text = lambda n: " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+    shared, other = text(300), text(80)
+    for times in (1, 2000):
+        rows = [(1, f"{shared} {other}"), *[(2, f"{text(3) if i < 0 else 'x y z'} {shared}") for i in range(times)], (3, f"{other} end")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("h"), "text")
+        found = {x.doc_id: len(x.ranges) for x in substrings.repeats(docs).collect()}
+        assert found.keys() == {2, 3} and max(found.values()) < 20
+        got = [tuple(x)[:3] for x in substrings.dedup_substrings(docs).collect()]
+        assert Counter(got) == Counter([(1, 380, 0), *[(2, 303, 300)] * times, (3, 81, 80)])
+
+
+def test_mix_deals_equal_rows_to_many_nodes(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 9000 + [(i, "a b", "t") for i in range(10, 500)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert got[0].__fields__ == ["doc_id", "size", "source_size", "target", "taken", "source"]
+    for s in "st":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3 and all(r.taken <= 2 * r.size for r in mine)
+    assert len(got) == 9490 and Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(7)).collect()))
+
+
 def test_vantage_points_exact_and_relaxed(spark):
     rows = list(enumerate(vectors()))
     rows += [(2000, None), (2020, [0.0] * 12), (2040, [float("nan")] * 12), (2060, [None] + [1.0] * 11), (None, [1.0] * 12), (2080, [1.0, 2.0]), (2081, [2.0, 2.0]), (2100, [])]

@@ -1,5 +1,7 @@
 """The corpus pipeline: each stage against its operator's brute-force result, and the whole run."""
 
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -36,10 +38,14 @@ def test_stages(spark, folder):
     assert safe.where("text like '%abcdefghijkl1%'").count() == 0 and safe.columns == columns
     assert {r.doc_id: r.text for r in safe.collect()} == {r.doc_id: r.text and secrets.redact_text(r.text, secrets.all_spans(r.text)[1]) for r in hidden.collect()}
     mixed = stages["mixing"](spark, safe, folder)
-    taken = {r.doc_id: r.taken for r in mixing.mix(safe).collect()}
-    sizes = {r.doc_id: len(WORD.findall(r.text or "")) for r in safe.collect()}
-    found = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
-    assert mixed.columns == columns and set(found) <= set(sizes) and sum(found.get(i, 0) * n for i, n in sizes.items()) == pytest.approx(sum(taken.values()), rel=0.2)
+    copies = Counter()
+    for r in mixing.copies(safe).collect():
+        copies[r.doc_id] += r.copies
+    assert mixed.columns == columns and Counter(r.doc_id for r in mixed.collect()) == +copies
+    sizes, source = {r.doc_id: len(WORD.findall(r.text or "")) for r in safe.collect()}, {r.doc_id: r.source for r in safe.collect()}
+    plan = {r.source: r.target for r in mixing.copies(safe).collect()}
+    for s, target in plan.items():
+        assert abs(sum(n * sizes[i] for i, n in copies.items() if source[i] == s) - target) <= max(sizes[i] for i in sizes if source[i] == s)
     coded = stages["pieces"](spark, mixed, folder)
     assert coded.count() == mixed.count() and coded.columns == [*columns, "ids", "parity"]
 
