@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+import pickle
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions.canonical import canonical_json, dumps, event_id, fingerprint
+from tracelake.functions.exact import Values, chosen, replaced
 from tracelake.functions.rules import Rule, compiled, has_sign, print_of, rules_for
 from tracelake.operators import scanning
+from tracelake.shared import settle, share
 
 RULESET = "v1"
 
@@ -22,25 +25,23 @@ def mark(rule: str, print_: Column) -> Column:
 
 
 class Redactor:
-    """Exact values and rules put to strings: values group by group, longest first, then the rules in order, each on what the one before it left.
+    """Exact values and rules put to strings: values first, by one automaton (see functions.exact), then the rules in order, each on what the one before it left.
 
     Entropy rules never redact.
     """
 
     def __init__(self, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None):
-        self.exact = [(group, v) for group, values in (exact or {}).items() for v in sorted(set(values), key=len, reverse=True) if v]
+        self.exact = Values(exact or {})
         self.rules = [r for r in (rules_for("capture") if rules is None else rules) if not r.gated]
 
     def __bool__(self) -> bool:
         return bool(self.exact or self.rules)
 
     def text(self, s: str) -> tuple[str, list[tuple[str, str]]]:
-        """A text redacted, and (rule, fingerprint) of what was replaced, in order."""
+        """A text redacted, and (rule, fingerprint) of what was replaced: of values by their place, then rule by rule."""
         done: list[tuple[str, str]] = []
-        for group, value in self.exact:
-            if value in s:
-                done += [(group, print_of(value))] * s.count(value)
-                s = s.replace(value, f"[REDACTED:{group}:{print_of(value)}]")
+        if self.exact and (found := self.exact.found(s)):
+            s, done = replaced(s, chosen(s, found), self.exact.names)
         low = s.lower()
         for rule in self.rules:
             if not has_sign(rule, low):
@@ -70,15 +71,33 @@ class Redactor:
         return value
 
 
+#: Bytes beyond which a redactor is sent to executors once, not with every task.
+LARGE = 256 << 10
+#: Bytes of values that one automaton holds; more are dealt to several.
+AUTOMATON = 16 << 20
+
+
+class _Sent:
+    """A redactor as tasks get it: within their function, or broadcast where it is large."""
+
+    def __init__(self, spark: SparkSession, by: Redactor):
+        size = len(pickle.dumps(by)) if by.exact else 0
+        self.by, self.shared = (by, None) if size <= LARGE else (None, share(spark, by))
+
+    def __call__(self) -> Redactor:
+        return self.by if self.shared is None else self.shared.value
+
+
 _PAIRS = pa.list_(pa.struct([("rule", pa.string()), ("fingerprint", pa.string())]))
 
 
 def redact(rows: DataFrame, text: str, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> DataFrame:
     """rows with the text redacted, and an array redacted of (rule, fingerprint) behind; see Redactor."""
-    by, at = Redactor(rules, exact), rows.columns.index(text)
+    sent, at = _Sent(rows.sparkSession, Redactor(rules, exact)), rows.columns.index(text)
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("redacted array<struct<rule:string,fingerprint:string>>").fields])
 
     def run(batches):
+        by = sent()
         for b in batches:
             made = [(None, []) if t is None else by.text(t) for t in b.column(at).to_pylist()]
             cols = [*b.columns, pa.array([[{"rule": r, "fingerprint": f} for r, f in d] for _, d in made], _PAIRS)]
@@ -88,6 +107,57 @@ def redact(rows: DataFrame, text: str, rules: list[Rule] | None = None, exact: d
     return rows.mapInArrow(run, schema)
 
 
+def scrub(rows: DataFrame, text: str, values: DataFrame, most: int = AUTOMATON) -> DataFrame:
+    """rows with every occurrence of the values (rule, value) in a text replaced, and an array redacted of (rule, fingerprint) behind.
+
+    For values that are a table, of any size.  Their bytes are summed first: up to ``most``
+    they make one automaton, which is broadcast; more are dealt by hash into automata of about
+    that size, which pass over the texts one after another, and the occurrences of all passes
+    are chosen among at the end.  So the time goes with the texts and the passes, not with the
+    number of values.  Null and empty values are none; a value of several rules belongs to
+    the first by name.  Rules come in the order of their names.
+    """
+    spark, at = rows.sparkSession, rows.columns.index(text)
+    values = values.where("value <> ''").groupBy("value").agg(F.min("rule").alias("rule"))
+    sizes = values.agg(F.sum(F.octet_length("value")).alias("bytes"), F.collect_set("rule").alias("rules")).first()
+    names = sorted(sizes["rules"])  # a few names
+    shards = max(1, -(-(sizes["bytes"] or 0) // most))
+    dealt = values.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(shards)))
+    kind = "array<struct<rule:int,start:int,finish:int>>"
+    spans = pa.list_(pa.struct([("rule", pa.int32()), ("start", pa.int32()), ("finish", pa.int32())]))
+    given = rows.withColumn("_found", F.array().cast(kind))
+
+    def finder(shard: int):
+        groups: dict[str, list[str]] = {name: [] for name in names}
+        for r in dealt.where(F.col("shard") == shard).select("rule", "value").toLocalIterator():  # most bytes, about
+            groups[r.rule].append(r.value)
+        shared = share(spark, Values(groups))
+
+        def run(batches):
+            for b in batches:
+                old = b.column(b.num_columns - 1).to_pylist()
+                new = [x + [{"rule": g, "start": i, "finish": j} for g, i, j in shared.value.found(t or "")] for x, t in zip(old, b.column(at).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, spans)], b.schema.names)
+
+        return run
+
+    for shard in range(shards):
+        given = given.mapInArrow(finder(shard), given.schema)
+        if shard + 1 < shards:
+            given = settle(given, "scrub")
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("redacted array<struct<rule:string,fingerprint:string>>").fields])
+
+    def put(batches):
+        for b in batches:
+            texts, found = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            made = [(t, []) if not x else replaced(t, chosen(t, [(y["rule"], y["start"], y["finish"]) for y in x]), names) for t, x in zip(texts, found)]
+            cols = [*b.columns[:-1], pa.array([[{"rule": r, "fingerprint": f} for r, f in d] for _, d in made], _PAIRS)]
+            cols[at] = pa.array([t for t, _ in made], b.column(at).type)
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "redacted"])
+
+    return given.mapInArrow(put, schema)
+
+
 def canonical_events(drafts: DataFrame, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> DataFrame:
     """Drafts with their JSON columns redacted leaf by leaf and in canonical form, each parsed once.
 
@@ -96,11 +166,12 @@ def canonical_events(drafts: DataFrame, rules: list[Rule] | None = None, exact:
     capture's, an empty list with no exact values leaves texts as they are.  Content that
     is no JSON becomes null.
     """
-    by = Redactor(rules, exact)
+    sent = _Sent(drafts.sparkSession, Redactor(rules, exact))
     parts = [(drafts.columns.index(c), path) for c, path in scanning.JSON_PARTS if c in drafts.columns]
     kind, old = drafts.columns.index("kind"), drafts.columns.index("redactions")
 
     def run(batches):
+        by = sent()
         for b in batches:
             cols, kinds = list(b.columns), b.column(kind).to_pylist()
             done = [[] for _ in kinds]

@@ -160,6 +160,18 @@ def scrub_exact_values(spark, sf_dir):
     return done.select("doc_id", known.alias("spans"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+@query(r"""WITH v AS (SELECT list(w ORDER BY length(w) DESC, w) AS v FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS w FROM benchmark)),
+t AS (SELECT doc_id, list_reduce([coalesce(text, '')] || v, lambda s, w: replace(s, w, '[REDACTED:known-secret:' || substr(sha256(w), 1, 12) || ']')) AS text FROM documents, v)
+SELECT doc_id, ((length(text) - length(replace(text, '[REDACTED:known-secret:', ''))) // 23)::INTEGER AS spans, sha256(text) AS text_sha256 FROM t""")
+def scrub_many_values(spark, sf_dir):
+    """Every word of eight letters and more of the benchmark as a secret, in all documents."""
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0)))
+    values = _read(spark, sf_dir, "benchmark").select(F.lit("known-secret").alias("rule"), words.alias("value"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    done = redaction.scrub(docs, "text", values)
+    return done.select("doc_id", F.size("redacted").alias("spans"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 @query("""SELECT page_id, url, strlen(html) AS bytes, sha256(html) AS digest FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, url, NULL, NULL FROM pages WHERE page_id % 2 = 1""")
 def backup_digests(spark, sf_dir):
     """Snapshot pointers meet the files they name; half of the files are gone."""

@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import weakref
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +33,44 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: What settle() and share() made and clear() has not taken back yet, oldest first.
-_folders: list[str] = []
-_broadcasts: list = []
+class Scope:
+    """What a job has written and broadcast on its way, oldest first."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+        self.broadcasts: list = []
+
+
+#: The scope that a job is in; without one of its own, that of the process, which clear() empties.
+_scope: ContextVar[Scope] = ContextVar("scope", default=Scope())
 _folder_of: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
+@contextmanager
+def scope(spark: SparkSession):
+    """A job whose results are written, or collected, before it ends: what it settles and shares in between is taken back then.
+
+    Scopes of other jobs, also in other threads, and what lies around this one stay as they are.
+    """
+    held = _scope.set(Scope())
+    try:
+        yield
+    finally:
+        mine = _scope.get()
+        _scope.reset(held)
+        for path in mine.folders:
+            _delete(spark, path)
+        for made in mine.broadcasts:
+            made.destroy()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _folders.append(path)
+    _scope.get().folders.append(path)
     _folder_of[out] = path
     return out
 
@@ -56,9 +83,9 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 
 def share(spark: SparkSession, value):
-    """A broadcast of a value of fixed size; clear() destroys it."""
+    """A broadcast of a value of bounded size; the scope, or clear(), destroys it."""
     made = spark.sparkContext.broadcast(value)
-    _broadcasts.append(made)
+    _scope.get().broadcasts.append(made)
     return made
 
 
@@ -80,23 +107,24 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def drop(df: DataFrame) -> None:
     """Delete the folder of a settled table that nothing will read again."""
-    path = _folder_of.pop(df, None)
-    if path in _folders:
-        _folders.remove(path)
+    path, mine = _folder_of.pop(df, None), _scope.get()
+    if path in mine.folders:
+        mine.folders.remove(path)
         _delete(df.sparkSession, path)
 
 
-def mark() -> tuple[int, int]:
-    """How much there is to clear now, for clear()."""
-    return len(_folders), len(_broadcasts)
+def mark() -> tuple[set[str], int]:
+    """What there is to clear now, for clear()."""
+    mine = _scope.get()
+    return set(mine.folders), len(mine.broadcasts)
 
 
-def clear(spark: SparkSession, since: tuple[int, int] = (0, 0), keep: DataFrame | None = None) -> None:
-    """Delete what was settled and shared since a mark, but for one table; for when the results are written."""
-    held = _folder_of.get(keep) if keep is not None else None
-    for path in [x for x in _folders[since[0] :] if x != held]:
-        _folders.remove(path)
+def clear(spark: SparkSession, since: tuple[set[str], int] = (frozenset(), 0), keep: DataFrame | None = None) -> None:
+    """Delete what this scope settled and shared since a mark, but for one table; for when the results are written."""
+    mine, held = _scope.get(), _folder_of.get(keep) if keep is not None else None
+    for path in [x for x in mine.folders if x not in since[0] and x != held]:
+        mine.folders.remove(path)
         _delete(spark, path)
-    for made in _broadcasts[since[1] :]:
+    for made in mine.broadcasts[since[1] :]:
         made.destroy()
-    del _broadcasts[since[1] :]
+    del mine.broadcasts[since[1] :]
