@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tracelake.functions.rules import Rule
 from tracelake.operators import graph, redaction, scanning
-from tracelake.shared import exists
+from tracelake.shared import exists, scope
 from tracelake.sources.tables import problems
 
 #: Parts into which a ledger is laid out by its anchors.
@@ -45,15 +45,16 @@ def append(batch: DataFrame, path: str, enabled: bool = True, rules: list[Rule]
     spark = batch.sparkSession
     if not enabled:
         return {"appended": 0, "deduped": 0}
-    batch = graph.cut(redaction.redact_events(batch, rules, exact).withColumn("part", part_of(F.col("anchor"))))
-    total = batch.agg(F.count("*").alias("n"), F.count_if(F.size(problems()) > 0).alias("bad"), F.collect_set("part").alias("parts")).first()  # PARTS numbers at most
-    if total["bad"]:
-        raise ValueError(f"{total['bad']} events are not sound")
-    existing = table(spark, path, batch.schema)
-    existing = batch.limit(0) if existing is None else existing.where(F.col("part").isin(total["parts"]))
-    seen = Observation()
-    new_rows(batch, existing).observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("part").parquet(path)
-    appended = seen.get["n"]
+    with scope(spark):
+        batch = graph.cut(redaction.redact_events(batch, rules, exact).withColumn("part", part_of(F.col("anchor"))))
+        total = batch.agg(F.count("*").alias("n"), F.count_if(F.size(problems()) > 0).alias("bad"), F.collect_set("part").alias("parts")).first()  # PARTS numbers at most
+        if total["bad"]:
+            raise ValueError(f"{total['bad']} events are not sound")
+        existing = table(spark, path, batch.schema)
+        existing = batch.limit(0) if existing is None else existing.where(F.col("part").isin(total["parts"]))
+        seen = Observation()
+        new_rows(batch, existing).observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("part").parquet(path)
+        appended = seen.get["n"]
     return {"appended": appended, "deduped": total["n"] - appended}
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tracelake.functions.canonical import canonical_json, event_id, fingerprint
 from tracelake.operators import drift, graph, ledger, redaction, scanning
 from tracelake.plans.catalogue import ACTIVITY, CHAT, FOUND, INJECTED, _activity, _anchored, _chat, _injected, _read, query
-from tracelake.sources import tables, transcripts
+from tracelake.shared import named_files, put_text, shared_dir
+from tracelake.sources import addressed, tables, transcripts
+from tracelake.streaming import capture
 
 TURNS = """turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"""
 
@@ -86,6 +88,48 @@ def settled_only(spark, sf_dir):
     return rows.where(ledger.settled(F.col("calls"))).select("conv_id", "seq")
 
 
+_LINE = "concat(conv_id, '|', turn, '|', role, '|', replace(coalesce(text, ''), chr(10), ' '))"  # for Spark and DuckDB
+
+
+@query(f"""WITH l AS (SELECT 'f' || (conv_id % 5) AS file, conv_id, turn, {_LINE} AS value FROM conversations)
+SELECT file, row_number() OVER w - 1 AS line, (sum(strlen(value) + 1) OVER w - strlen(value) - 1)::BIGINT AS "begin", (sum(strlen(value) + 1) OVER w)::BIGINT AS "end", sha256(value) AS value_sha256 FROM l WINDOW w AS (PARTITION BY file ORDER BY conv_id, turn, value)""")
+def line_offsets(spark, sf_dir):
+    """All turns as lines of five files, read by blocks of 64 KB: where each line lies."""
+    rows = _read(spark, sf_dir, "conversations").select(F.concat(F.lit("f"), F.col("conv_id") % 5).alias("name"), F.struct("conv_id", "turn", F.expr(_LINE).alias("value")).alias("place"), F.expr(_LINE).alias("value"))
+    folder, block = shared_dir(spark, "offsets"), "spark.sql.files.maxPartitionBytes"
+    named_files(rows, folder)
+    held = spark.conf.get(block)
+    spark.conf.set(block, "64k")
+    try:
+        found = addressed.lines(spark, folder)
+    finally:
+        spark.conf.set(block, held)
+    name = F.regexp_extract("file", "([^/]+)$", 1)
+    return found.select(name.alias("file"), F.col("seq").alias("line"), "begin", "end", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"))
+
+
+@query("""WITH t AS (SELECT conv_id % 9 AS f, conv_id, turn FROM conversations)
+SELECT 'f' || f || '.jsonl' AS file, CASE WHEN f % 3 = 0 THEN 'read' ELSE 'same' END AS state, count(*) AS events FROM t WHERE f % 3 = 0 OR turn % 4 <> 3 GROUP BY f
+UNION ALL SELECT 'broken.jsonl.gz', 'quarantined', 0""")
+def swept_files(spark, sf_dir):
+    """Nine transcripts are captured; a third of them grow, a broken one appears: a sweep reads those, and sets the broken one aside."""
+    rows = _read(spark, sf_dir, "conversations").withColumn("f", F.col("conv_id") % 9)
+    line = F.to_json(F.struct(F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("type"), F.concat(F.lit("s"), "f").alias("sessionId"), F.lit("2026-01-01T00:00:00.000Z").alias("timestamp"), F.struct("role", F.concat("conv_id", F.lit("|"), "turn", F.lit("|"), F.coalesce("text", F.lit(""))).alias("content")).alias("message")))
+    rows = rows.select("f", "turn", F.concat(F.lit("f"), "f", F.lit(".jsonl")).alias("name"), F.struct(F.col("turn") % 4 == 3, "conv_id", "turn").alias("place"), line.alias("value"))
+    folder = shared_dir(spark, "sweep")
+    run = lambda: capture.sweep(spark, f"{folder}/in", transcripts.claude, f"{folder}/ledger", f"{folder}/marks", f"{folder}/aside", adopt=True)
+    named_files(rows.where("turn % 4 <> 3"), f"{folder}/in")
+    run()
+    named_files(rows.where("f % 3 = 0"), f"{folder}/in")
+    put_text(spark, f"{folder}/in/broken.jsonl.gz", "no archive")
+    name = F.regexp_extract("file", "([^/]+)$", 1)
+    looked = run().select(name.alias("file"), "state")
+    held = spark.read.parquet(f"{folder}/ledger").groupBy(F.concat(F.substring("producer.session_id", 2, 9).alias("f"), F.lit(".jsonl")).alias("n")).agg(F.count("*").alias("events"))
+    there = transcripts.files(spark, f"{folder}/in").select(name.alias("file"))
+    out = there.join(looked, "file", "left").join(held.withColumn("file", F.concat(F.lit("f"), "n")).drop("n"), "file", "left")
+    return out.select("file", F.coalesce("state", F.lit("same")).alias("state"), F.coalesce("events", F.lit(0).cast("long")).alias("events"))
+
+
 @query("""SELECT 'f' || conv_id AS file, sum(length(text)) AS size FROM conversations GROUP BY conv_id HAVING conv_id % 3 = 1""")
 def stale_files(spark, sf_dir):
     """Files that grew: every third had no cursor, every third's cursor is at its end."""

@@ -105,6 +105,35 @@ def _delete(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a short text to a file."""
+    files, where = _place(spark, path)
+    out = files.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def named_files(lines: DataFrame, folder: str) -> None:
+    """Write lines (name, place, value) as a text file for each name below a folder, in the order of place; files of these names give way.
+
+    Executors write, a task all of some names; the driver renames, so names should be few.
+    """
+    spark, by = lines.sparkSession, lines.repartition("name").sortWithinPartitions("name", "place")
+    work = shared_dir(spark, "files")
+    by.select("name", "value").write.partitionBy("name").text(work)
+    files, where = _place(spark, work)
+    root = _place(spark, folder)[1]
+    files.mkdirs(root)
+    for part in [x.getPath() for x in files.listStatus(where) if x.isDirectory()]:
+        (made,) = [x.getPath() for x in files.listStatus(part) if x.getPath().getName().startswith("part-")]
+        to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, part.getName().removeprefix("name="))
+        files.delete(to, False)
+        files.rename(made, to)
+    files.delete(where, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the folder of a settled table that nothing will read again."""
     path, mine = _folder_of.pop(df, None), _scope.get()

@@ -1,7 +1,6 @@
 """Readers of coding assistants' transcripts: lines of JSON, write-ahead logs and exports become event drafts.
 
-A file is read whole, so that a line's number is its place in the file, which is
-its sequence in the conversation.  Routing and conversion are Spark expressions
+A line's number is its place in the file, which is its sequence in the conversation.  Routing and conversion are Spark expressions
 over the line's JSON; only the write-ahead log, whose records undo one another, is
 folded in Python, one session at a time.
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.canonical import json_object, quoted
 from tracelake.operators import graph
 from tracelake.operators.reading import carry_forward
-from tracelake.sources import tables
+from tracelake.sources import addressed, tables
 
 OBJECT, ARRAY = "map<string,variant>", "array<variant>"
 BASE_TIME = "1970-01-01T00:00:00.000Z"
@@ -41,10 +40,8 @@ GEMINI_HARNESS, GEMINI_NOTICES = ("<session_context>", "<hook_context>"), ("info
 
 
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file, seq, value, closed) of every line that is not blank; closed tells whether the file ends with a line break."""
-    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    rows = whole.select("file", F.col("value").endswith("\n").alias("closed"), F.posexplode(F.split("value", "\n")).alias("seq", "value"))
-    return rows.where(F.trim("value") != "").select("file", F.col("seq").cast("long").alias("seq"), "value", "closed")
+    """(file, seq, value, closed, begin, size) of every line that is not blank, from files of any size; see sources.addressed."""
+    return addressed.lines(spark, *paths).where(F.trim("value") != "").select("file", "seq", "value", "closed", "begin", "size")
 
 
 def files(spark: SparkSession, *paths: str, newest: int | None = None) -> DataFrame:
@@ -425,9 +422,10 @@ def gemini(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME
 
 
 def documents(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file, seq, value, closed) of files that are one JSON document each: a document is one line."""
-    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.lit(0).cast("long").alias("seq"), "value", F.lit(True).alias("closed"))
+    """(file, seq, value, closed, begin, size) of files that are one JSON document each: a document is one line."""
+    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
+    first = F.lit(0).cast("long")
+    return whole.select("file", first.alias("seq"), "value", F.lit(True).alias("closed"), first.alias("begin"), "size")
 
 
 def opencode(spark: SparkSession, *paths: str, human: str | None = None, base_time: str = BASE_TIME) -> DataFrame:
