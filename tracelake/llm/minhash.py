@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.components import components
-from tracelake.llm.textkit import U64, mix, partitions, settle, shingle_hashes, texts, word_hashes
+from tracelake.llm.textkit import U64, mix, padding, partitions, settle, shingle_hashes, texts, word_hashes
 
 BUCKETS, MANTISSA, MISS = 384, 10, 1e-6
 #: Members of a side of a tile, and their shingles (8 bytes each), on the average at most.
@@ -371,6 +371,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
         more = _verified(docs, _screened(_sent(_met(docs, asks), k, False), percent), k, percent)
         if not more.isEmpty():
             tied = components(tied.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    out = found.select("doc_id", "n_shingles").join(tied.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    tied = tied.select(F.col("id").alias("doc_id"), "component", F.lit(0).cast("long").alias("_pad"))
+    out = found.select("doc_id", "n_shingles", padding(docs.sparkSession, "doc_id").alias("_pad")).join(tied, ["doc_id", "_pad"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.shared import clear, drop, mark, settle, share  # noqa: F401  for the operators and the pipeline
 
@@ -94,3 +95,11 @@ def texts(column: pa.Array):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def padding(spark: SparkSession, key: str) -> Column:
+    """A second join key that spreads rows with a null key, which meet nothing, over all tasks; 0 for the others.
+
+    It hangs on where a row lies, so the rows should be a written table.
+    """
+    return F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(partitions(spark))) + 1).otherwise(0)
