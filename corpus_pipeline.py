@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import minhash, mixing, pieces, secrets, toxicity
-from tracelake.llm.textkit import clear, drop, mark, settle
+from tracelake.llm.textkit import clear, drop, mark, padding, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     all rows stay or go; rows with a null doc_id, and null, empty and blank texts, stay.
     """
     found = minhash.near_duplicates(docs, k=5, threshold=0.8)
-    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    # a plain table, so that a hot id can be split; null ids meet nothing, so they are spread
+    gone = settle(found.where("not kept").select("doc_id", F.lit(0).cast("long").alias("_pad")).distinct(), "pipeline-gone")
+    return docs.withColumn("_pad", padding(spark, "doc_id")).join(gone, ["doc_id", "_pad"], "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
