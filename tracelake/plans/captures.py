@@ -10,7 +10,7 @@ from tracelake.operators import drift, graph, ledger, redaction, scanning
 from tracelake.plans.catalogue import ACTIVITY, CHAT, FOUND, INJECTED, _activity, _anchored, _chat, _injected, _read, query
 from tracelake.shared import named_files, put_text, shared_dir
 from tracelake.sources import addressed, tables, transcripts
-from tracelake.streaming import capture
+from tracelake.streaming import capture, wal
 
 TURNS = """turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"""
 
@@ -70,17 +70,37 @@ def capture_qwen(spark, sf_dir):
     return _said(transcripts.qwen(_files(_turns(spark, sf_dir), F.when(F.col("role") == "system", system).otherwise(turn))))
 
 
-@query(f"""WITH {TURNS} SELECT 'f' || conv_id AS file, count(DISTINCT seq // 2) AS messages, 1::BIGINT AS mutations, CASE WHEN max(n) >= 5 THEN count(DISTINCT seq // 2) - 2 ELSE count(DISTINCT seq // 2) END AS rewound FROM turns GROUP BY conv_id""")
-def wal_replay(spark, sf_dir):
+_REPLAYED = f"""WITH {TURNS} SELECT 'f' || conv_id AS file, count(DISTINCT seq // 2) AS messages, 1::BIGINT AS mutations, CASE WHEN max(n) >= 5 THEN count(DISTINCT seq // 2) - 2 ELSE count(DISTINCT seq // 2) END AS rewound FROM turns GROUP BY conv_id"""
+
+
+def _logs(spark, sf_dir):
     """A log writes each message twice, then rewinds to its third message, or to one that is not there."""
     rows = _turns(spark, sf_dir)
     said = F.to_json(F.struct(F.concat(F.lit("m"), F.floor(F.col("seq") / 2)).alias("id"), F.lit("user").alias("type"), F.col("text").alias("content")))
     back = rows.where("seq = n - 1").select("conv_id", (F.col("n") + 1).alias("seq"), F.lit('{"$rewindTo":"m2"}').alias("value"))
     log = rows.select("conv_id", "seq", said.alias("value")).unionByName(back)
-    made = transcripts.gemini_log(log.select(F.concat(F.lit("f"), "conv_id").alias("file"), "seq", "value"))
+    return log.select(F.concat(F.lit("f"), "conv_id").alias("file"), "seq", "value")
+
+
+def _replayed(made):
     return made.groupBy("file").agg(F.count_if(F.col("what") == "message").alias("messages"), F.count_if(F.col("what") != "message").alias("mutations"), F.count_if("rewound").alias("rewound"))
 
 
+@query(_REPLAYED)
+def wal_replay(spark, sf_dir):
+    return _replayed(transcripts.gemini_log(_logs(spark, sf_dir)))
+
+
+@query(_REPLAYED)
+def stream_wal_replay(spark, sf_dir):
+    """The same logs, of which three micro-batches bring four lines, four more, and the rest."""
+    folder, rows = shared_dir(spark, "wal"), _logs(spark, sf_dir)
+    for batch in (F.col("seq") < 4, (F.col("seq") >= 4) & (F.col("seq") < 8), F.col("seq") >= 8):
+        rows.where(batch).write.mode("append").parquet(f"{folder}/in")
+        changed = wal.capture(spark, f"{folder}/in", f"{folder}/out", f"{folder}/marks")
+    return _replayed(wal.folded(changed))
+
+
 @query(f"""WITH {TURNS} SELECT conv_id, seq FROM turns WHERE NOT (role = 'assistant' AND (conv_id + seq) % 3 = 0)""")
 def settled_only(spark, sf_dir):
     status = F.when((F.col("role") == "assistant") & ((F.col("conv_id") + F.col("seq")) % 3 == 0), "running").otherwise("success")

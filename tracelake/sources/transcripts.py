@@ -291,72 +291,78 @@ def qwen(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME)
     return _drafts(rows.where("kind <> ''"), "qwen-code", content, human, parent)
 
 
-def replay(records: list[str]) -> dict:
-    """What a write-ahead log leaves: messages (seq, record) by first sighting, mutations (seq, kind, fields, record) in order, rewound ids, metadata.
+class Log:
+    """What a write-ahead log has come to: each message's place (by first sighting), the live ones in order, facts of its headers and patches.
 
     A record is, in this precedence, a rewind to a message, a message (its last version
     counts), a patch, or a header (it names its session and project).  A snapshot, the
     messages of a patch, withdraws live messages it lacks and gives the live ones its
-    order.  Records of mutations come without their lists of messages.
+    order.  Records of mutations are told without their lists of messages.
     """
-    place: dict[str, int] = {}
-    last: dict[str, dict] = {}
-    live: dict[str, None] = {}  # in order
-    mutations: list[tuple[int, str, dict, dict]] = []
-    facts: dict = {}
-    count = 0
-
-    def sight(message) -> None:
-        nonlocal count
-        if not (isinstance(message, dict) and isinstance(message.get("id"), str)):
-            return
-        name = message["id"]
-        if name not in place:
-            place[name], count = count, count + 1
-        last[name] = message
-        live.setdefault(name)
-
-    def note(kind: str, fields: dict, record: dict) -> None:
-        nonlocal count
-        mutations.append((count, kind, fields, record))
-        count += 1
-
-    bare = lambda x: {k: v for k, v in x.items() if k != "messages"}
-    for text in records:
+
+    def __init__(self, place: dict[str, int] | None = None, live: list[str] = (), count: int = 0):
+        self.place, self.live, self.count = dict(place or {}), dict.fromkeys(live), count
+        self.facts: dict = {}
+
+    def _sight(self, message):
+        if isinstance(message, dict) and isinstance(message.get("id"), str):
+            name = message["id"]
+            if name not in self.place:
+                self.place[name], self.count = self.count, self.count + 1
+            self.live.setdefault(name)
+            yield self.place[name], "message", message, message
+
+    def _note(self, kind: str, fields: dict, record: dict):
+        self.count += 1
+        yield self.count - 1, kind, fields, record
+
+    def take(self, text: str):
+        """(place, kind, fields, record) of each message that a record states, and of what else it does."""
         try:
             record = json.loads(text)
         except ValueError:
-            continue
+            return
         if not isinstance(record, dict):
-            continue
+            return
+        bare = lambda x: {k: v for k, v in x.items() if k != "messages"}
         target, patch = record.get("$rewindTo"), record.get("$set")
         if isinstance(target, str):
-            ids = list(live)
-            kept = ids[: ids.index(target)] if target in live else []
-            live = dict.fromkeys(kept)
-            note("rewind", {"rewind_to": target, "removed_messages": ids[len(kept) :], "resolved": len(kept) < len(ids) and ids[len(kept)] == target}, record)
+            ids = list(self.live)
+            kept = ids[: ids.index(target)] if target in self.live else []
+            self.live = dict.fromkeys(kept)
+            yield from self._note("rewind", {"rewind_to": target, "removed_messages": ids[len(kept) :], "resolved": len(kept) < len(ids) and ids[len(kept)] == target}, record)
         elif isinstance(record.get("id"), str):
-            sight(record)
+            yield from self._sight(record)
         elif isinstance(patch, dict):
             stored = record
             if isinstance(patch.get("messages"), list):
                 stored = record | {"$set": bare(patch)}
                 kept = {m["id"] for m in patch["messages"] if isinstance(m, dict) and isinstance(m.get("id"), str)}
-                if gone := [i for i in live if i not in kept]:
-                    note("snapshot_drop", {"removed_messages": gone, "kept_message_count": len(kept)}, stored)
-                live = {}
+                if gone := [i for i in self.live if i not in kept]:
+                    yield from self._note("snapshot_drop", {"removed_messages": gone, "kept_message_count": len(kept)}, stored)
+                self.live = {}
                 for m in patch["messages"]:
-                    sight(m)
-            facts.update(bare(patch))
+                    yield from self._sight(m)
+            self.facts.update(bare(patch))
             if bare(patch):
-                note("metadata", bare(patch), stored)
+                yield from self._note("metadata", bare(patch), stored)
         elif isinstance(record.get("sessionId"), str) and isinstance(record.get("projectHash"), str):
-            facts.update(bare(record))
+            self.facts.update(bare(record))
             for m in record["messages"] if isinstance(record.get("messages"), list) else []:
-                sight(m)
-            note("metadata", bare(record), bare(record))
-    messages = sorted((place[i], last[i]) for i in place)
-    return {"messages": messages, "mutations": mutations, "rewound": sorted(last.keys() - live.keys()), "facts": facts}
+                yield from self._sight(m)
+            yield from self._note("metadata", bare(record), bare(record))
+
+
+def replay(records: list[str]) -> dict:
+    """What a write-ahead log leaves: messages (seq, record) by first sighting, mutations (seq, kind, fields, record) in order, rewound ids, metadata."""
+    log, messages, mutations = Log(), {}, []
+    for text in records:
+        for seq, kind, fields, record in log.take(text):
+            if kind == "message":
+                messages[seq] = record
+            else:
+                mutations.append((seq, kind, fields, record))
+    return {"messages": sorted(messages.items()), "mutations": mutations, "rewound": sorted(log.place.keys() - log.live.keys()), "facts": log.facts}
 
 
 def gemini_log(rows: DataFrame) -> DataFrame:
