@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions.rules import Rule
-from tracelake.operators import graph, redaction, scanning
+from tracelake.operators import commits, graph, redaction, scanning
 from tracelake.shared import exists, scope
 from tracelake.sources.tables import problems
 
@@ -33,29 +33,35 @@ def part_of(anchor: Column) -> Column:
     return F.when(anchor.isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(anchor), F.lit(PARTS))).cast("int")
 
 
-def append(batch: DataFrame, path: str, enabled: bool = True, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> dict[str, int]:
+def append(batch: DataFrame, path: str, enabled: bool = True, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None, drain_to: str | None = None) -> dict[str, int]:
     """Append a batch of events to the ledger at a path; how many rows were added and how many were there already.
 
     Contents and raw lines are redacted by the rules (None: capture's, an empty list:
     none) and exact values before ids are made.  An event that is not sound is an error,
     and nothing is written.  The ledger is laid out by parts of its anchors, of which
     only the batch's are read; the rows to add are written beside the ledger's own
-    files by one job, so a batch that is sent again adds nothing.
+    files by one job, so a batch that is sent again adds nothing.  Writers of one ledger
+    take turns (see commits).  With drain_to, events that wait for an anchor get this one first.
     """
     spark = batch.sparkSession
     if not enabled:
         return {"appended": 0, "deduped": 0}
+    if drain_to is not None:
+        drain_stored(spark, path, drain_to)
     with scope(spark):
         batch = graph.cut(redaction.redact_events(batch, rules, exact).withColumn("part", part_of(F.col("anchor"))))
         total = batch.agg(F.count("*").alias("n"), F.count_if(F.size(problems()) > 0).alias("bad"), F.collect_set("part").alias("parts")).first()  # PARTS numbers at most
         if total["bad"]:
             raise ValueError(f"{total['bad']} events are not sound")
-        existing = table(spark, path, batch.schema)
-        existing = batch.limit(0) if existing is None else existing.where(F.col("part").isin(total["parts"]))
-        seen = Observation()
-        new_rows(batch, existing).observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("part").parquet(path)
-        appended = seen.get["n"]
-    return {"appended": appended, "deduped": total["n"] - appended}
+
+        def write() -> dict[str, int]:
+            existing = table(spark, path, batch.schema)
+            existing = batch.limit(0) if existing is None else existing.where(F.col("part").isin(total["parts"]))
+            seen = Observation()
+            new_rows(batch, existing).observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("part").parquet(path)
+            return {"appended": seen.get["n"], "deduped": total["n"] - seen.get["n"]}
+
+        return commits.appended(spark, path, write)
 
 
 def drain(ledger: DataFrame, anchor: str) -> DataFrame:
@@ -65,6 +71,34 @@ def drain(ledger: DataFrame, anchor: str) -> DataFrame:
     return held.unionByName(new_rows(pending, held))
 
 
+def parts_of(spark: SparkSession, *anchors: str | None) -> list[int]:
+    """The parts of these anchors."""
+    return sorted({r.part for r in spark.createDataFrame([(a,) for a in anchors], "anchor string").select(part_of(F.col("anchor")).alias("part")).collect()})
+
+
+def drain_stored(spark: SparkSession, path: str, anchor: str) -> None:
+    """Give the pending events of the ledger at a path to an anchor: its part is written anew, and that of pending events empties."""
+    if not exists(spark, f"{path}/part=-1"):
+        return
+    commits.rewritten(spark, path, parts_of(spark, None, anchor), lambda rows: drain(rows, anchor).withColumn("part", part_of(F.col("anchor"))))
+
+
+def redact_in_place(spark: SparkSession, path: str, ids: DataFrame, shared: DataFrame | None, pattern: str | None = None, reason: str | None = None) -> int:
+    """Redact events of the ledger at a path under their old ids, and add a redaction event each; how many events were.
+
+    See redaction.redact_stored for what is refused.  The parts that hold the events are
+    written anew; others are not read but for their ids.
+    """
+    with scope(spark):
+        targets = graph.cut(ids.select("id").distinct())
+        held = spark.read.parquet(path).select("id", "part").join(targets, "id", "left_semi")
+        where = {r.part: r.n for r in held.groupBy("part").agg(F.count("*").alias("n")).collect()}  # PARTS numbers at most
+        if where:
+            change = lambda rows: redaction.redact_stored(rows.drop("part"), targets, shared, pattern, reason)[0].withColumn("part", part_of(F.col("anchor")))
+            commits.rewritten(spark, path, sorted(where), change)
+    return sum(where.values())
+
+
 def union(*replicas: DataFrame) -> DataFrame:
     """Replicas merged: the distinct lines of each anchor, whatever the order of merging."""
     out = replicas[0]

@@ -197,17 +197,20 @@ def redact_events(events: DataFrame, rules: list[Rule] | None = None, exact: dic
     return done.withColumn("id", event_id()) if "id" in events.columns else done
 
 
-def redact_stored(events: DataFrame, ids: DataFrame, shared: DataFrame, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+def redact_stored(events: DataFrame, ids: DataFrame, shared: DataFrame | None, pattern: str | None = None, reason: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, companions): stored events redacted after the fact under their old ids, and a redaction event each.
 
-    Events that a replica already shares are refused, as is a pattern that matches
-    nothing.  Without a pattern the whole content gives way to one mark.
+    Events that a replica already shares are refused, and all where it is not known what is
+    shared (None; a ledger without replicas shares an empty table); so is a pattern that
+    matches nothing.  Without a pattern the whole content gives way to one mark.
     """
+    if shared is None:
+        raise ValueError("it is not known whether the events are shared already")
     targets = ids.select("id").distinct()
     if not targets.join(shared.select("id"), "id", "left_semi").isEmpty():
         raise ValueError("an event to redact is shared already")
-    hit = events.join(targets, "id", "left_semi")
-    before = F.coalesce(F.size("redactions"), F.lit(0))
+    before = F.greatest(F.coalesce(F.size("redactions"), F.lit(0)), F.lit(0))
+    hit = events.join(targets, "id", "left_semi").withColumn("_before", before)
     if pattern is None:
         whole = F.to_json(F.struct(mark("manual", fingerprint(F.col("content_json"))).alias("text")))
         new = F.struct(F.lit("manual").alias("rule"), F.lit(RULESET).alias("ruleset"), fingerprint(F.col("content_json")).alias("fingerprint"), F.lit("content").alias("path"))
@@ -216,12 +219,15 @@ def redact_stored(events: DataFrame, ids: DataFrame, shared: DataFrame, pattern:
         if "raw_json" in events.columns:
             changed = changed.withColumn("raw_json", F.lit(None).cast("string"))
     else:
-        changed = canonical_events(hit.withColumn("_before", F.greatest(before, F.lit(0))), [Rule("manual", "capture", pattern)])
-        if not changed.where(F.coalesce(F.size("redactions"), F.lit(0)) <= F.col("_before")).isEmpty():
+        changed = canonical_events(hit, [Rule("manual", "capture", pattern)])
+        if not changed.where(before <= F.col("_before")).isEmpty():
             raise ValueError("the pattern matches nothing in an event")
+    new = F.slice("redactions", F.col("_before") + 1, F.size("redactions"))
+    noted = changed.withColumn("_prints", new.getField("fingerprint"))
     changed = changed.select(events.columns)
-    note = F.to_json(F.struct(F.col("id").alias("redacted"), F.size("redactions").alias("spans")))
-    companions = changed.withColumns({"kind": F.lit("redaction"), "content_json": canonical_json(note), "links": F.array(F.struct(F.lit("redacts").alias("rel"), F.col("id").alias("target"))), "redactions": F.lit(None).cast(events.schema["redactions"].dataType)})
+    why = [] if reason is None else [F.lit(reason).alias("reason")]
+    note = F.to_json(F.struct(F.col("id").alias("target"), F.lit("all" if pattern is None else "pattern").alias("mode"), F.col("_prints").alias("fingerprints"), *why))
+    companions = noted.withColumns({"kind": F.lit("redaction"), "content_json": canonical_json(note), "links": F.array(F.struct(F.lit("redacts").alias("rel"), F.col("id").alias("target"))), "redactions": F.lit(None).cast(events.schema["redactions"].dataType)})
     companions = companions.withColumn("id", event_id()).select(events.columns)
     kept = events.join(targets, "id", "left_anti").select(events.columns)
     return kept.unionByName(changed).unionByName(companions), companions

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions import rules
-from tracelake.operators import drift, graph, reading, redaction, scanning
+from tracelake.operators import drift, graph, ledger, reading, redaction, scanning
 from tracelake.plans.captures import TURNS, _files, _said, _turns
 from tracelake.plans.catalogue import ACTIVITY, CHAT, _activity, _anchored, _chat, _log, _read, query
 from tracelake.shared import shared_dir
@@ -85,6 +85,29 @@ def redact_records(spark, sf_dir):
     return _redacted(spark, sf_dir).select(F.col("conversation.id").alias("conversation"), F.col("conversation.seq").alias("seq"), F.inline("redactions"))
 
 
+_HELD = "(conv_id + seq) % 4 = 0"
+
+
+@query(f"""WITH {CHAT}, r AS (SELECT *, 'a' || (conv_id % 5) AS anchor, {_HELD} AND contains(text, 'th') AS hit FROM chat)
+SELECT id, kind, anchor, seq, sha256(CASE WHEN hit THEN replace(text, 'th', '[REDACTED:manual:' || substr(sha256('th'), 1, 12) || ']') ELSE coalesce(text, '') END) AS text_sha256,
+  CASE WHEN hit THEN (length(text) - length(replace(text, 'th', ''))) // 2 ELSE 0 END::INTEGER AS spans FROM r
+UNION ALL SELECT id, 'redaction', anchor, seq, sha256(''), ((length(text) - length(replace(text, 'th', ''))) // 2)::INTEGER FROM r WHERE hit""")
+def redacted_in_place(spark, sf_dir):
+    """A ledger is written, with the events of one anchor waiting for it; they are drained, and a pattern is taken out of a quarter of all."""
+    path, rows = f"{shared_dir(spark, 'rewrite')}/ledger", _anchored(spark, sf_dir)
+    waits = F.col("anchor") == "a3"
+    ledger.append(rows.where(waits).withColumn("anchor", F.lit(None).cast("string")), path, rules=[])
+    ledger.append(rows.where(~waits), path, rules=[], drain_to="a3")
+    text = F.get_json_object("content_json", "$.text")
+    held = (F.substring("conversation.id", 6, 20).cast("long") + F.col("conversation.seq")) % 4 == 0
+    hit = spark.read.parquet(path).where(held & text.contains("th")).select("id")
+    ledger.redact_in_place(spark, path, hit, shared=spark.createDataFrame([], "id string"), pattern="th")
+    done = spark.read.parquet(path)
+    added = F.col("kind") == "redaction"
+    spans = F.when(added, F.size(F.from_json(F.get_json_object("content_json", "$.fingerprints"), "array<string>"))).otherwise(F.greatest(F.coalesce(F.size("redactions"), F.lit(0)), F.lit(0)))
+    return done.select(F.when(added, F.col("links")[0]["target"]).otherwise(F.col("id")).alias("id"), "kind", "anchor", F.col("conversation.seq").alias("seq"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("text_sha256"), spans.alias("spans"))
+
+
 @query(f"""WITH {CHAT} SELECT conversation, max(occurred_at) AS last_at FROM chat GROUP BY conversation ORDER BY last_at DESC, conversation DESC LIMIT 20""")
 def conv_last_active(spark, sf_dir):
     """The 20 conversations that were active last."""

@@ -59,7 +59,7 @@ def scope(spark: SparkSession):
         mine = _scope.get()
         _scope.reset(held)
         for path in mine.folders:
-            _delete(spark, path)
+            delete(spark, path)
         for made in mine.broadcasts:
             made.destroy()
 
@@ -89,25 +89,26 @@ def share(spark: SparkSession, value):
     return made
 
 
-def _place(spark: SparkSession, path: str):
+def place(spark: SparkSession, path: str):
     """The file system of a path, and the path in it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, where = _place(spark, path)
+    files, where = place(spark, path)
     return files.exists(where)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    files, where = _place(spark, path)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    files, where = place(spark, path)
     files.delete(where, True)
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a short text to a file."""
-    files, where = _place(spark, path)
+    files, where = place(spark, path)
     out = files.create(where, True)
     try:
         out.write(bytearray(text.encode()))
@@ -123,8 +124,8 @@ def named_files(lines: DataFrame, folder: str) -> None:
     spark, by = lines.sparkSession, lines.repartition("name").sortWithinPartitions("name", "place")
     work = shared_dir(spark, "files")
     by.select("name", "value").write.partitionBy("name").text(work)
-    files, where = _place(spark, work)
-    root = _place(spark, folder)[1]
+    files, where = place(spark, work)
+    root = place(spark, folder)[1]
     files.mkdirs(root)
     for part in [x.getPath() for x in files.listStatus(where) if x.isDirectory()]:
         (made,) = [x.getPath() for x in files.listStatus(part) if x.getPath().getName().startswith("part-")]
@@ -139,7 +140,7 @@ def drop(df: DataFrame) -> None:
     path, mine = _folder_of.pop(df, None), _scope.get()
     if path in mine.folders:
         mine.folders.remove(path)
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def mark() -> tuple[set[str], int]:
@@ -153,7 +154,7 @@ def clear(spark: SparkSession, since: tuple[set[str], int] = (frozenset(), 0), k
     mine, held = _scope.get(), _folder_of.get(keep) if keep is not None else None
     for path in [x for x in mine.folders if x not in since[0] and x != held]:
         mine.folders.remove(path)
-        _delete(spark, path)
+        delete(spark, path)
     for made in mine.broadcasts[since[1] :]:
         made.destroy()
     del mine.broadcasts[since[1] :]
