@@ -58,6 +58,49 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     return _together(found)
 
 
+#: Labels that one pass carries, a bit each.
+LABELS = 63
+
+
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, bits): which labels, a bit each, reach a node from start (node, bits) along edges (src, dst, mask), start included.
+
+    An edge passes on the bits of its mask.  A round follows, from the nodes that got new
+    bits in the round before, their edges and all their shortcuts: every node's first edge
+    taken 2, 4, 8 ... times, with the bits that all of them pass.  The shortcuts of a node are
+    one row, to which a round adds the next; that one starts from all nodes seen.  So a chain
+    takes rounds by the logarithm of its length, and cycles do no harm.
+    """
+    nth = F.col("nth") if "nth" in edges.columns else F.lit(0)
+    edges = edges.where("src is not null and dst is not null and mask <> 0").select("src", F.struct(nth.cast("int").alias("nth"), "dst", "mask").alias("way"))
+    # a node's edges, and its newest shortcut (the first edge, to begin with)
+    ways = settle(edges.groupBy("src").agg(F.array_sort(F.collect_set("way")).alias("ways")).withColumn("jump", F.col("ways")[0]), "ways")
+    seen = settle(start.groupBy("node").agg(F.bit_or("bits").alias("bits")), "seen")
+    new, growing = seen, True
+    step = lambda of, nodes: nodes.join(of, nodes["node"] == of["src"]).select(F.col("way.dst").alias("node"), F.col("bits").bitwiseAND(F.col("way.mask")).alias("bits"))
+    while True:
+        ahead = step(ways.select("src", F.explode("ways").alias("way")), new)
+        if growing:
+            ahead = ahead.unionByName(step(ways.where("jump is not null").select("src", F.col("jump").alias("way")), seen))
+        got = ahead.groupBy("node").agg(F.bit_or("bits").alias("bits"))
+        old = seen.select(F.col("node").alias("_n"), F.col("bits").alias("_b"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_b", F.lit(0).cast("long"))))
+        new, n = counted(got.join(old, F.col("node") == F.col("_n"), "left").select("node", fresh.alias("bits")).where("bits <> 0"), "new")
+        if not n:
+            drop(ways)
+            return seen
+        before, seen = seen, settle(seen.unionByName(new).groupBy("node").agg(F.bit_or("bits").alias("bits")), "seen")
+        drop(before)
+        if growing:
+            there = ways.where("jump is not null").select(F.col("src").alias("_s"), F.col("jump").alias("_j"))
+            mask = F.col("jump.mask").bitwiseAND(F.col("_j.mask"))
+            jump = F.when(mask != 0, F.struct(F.lit(0).alias("nth"), F.col("_j.dst").alias("dst"), mask.alias("mask")))
+            longer = ways.join(there, F.col("jump.dst") == F.col("_s"), "left").select("src", F.when(jump.isNotNull(), F.array_union("ways", F.array(jump))).otherwise(F.col("ways")).alias("ways"), jump.alias("jump"))
+            before, (ways, _) = ways, counted(longer, "ways")
+            drop(before)
+            growing = not ways.where("jump is not null").isEmpty()
+
+
 def parent_edges(commits: DataFrame, first_only: bool = False) -> DataFrame:
     """(src, dst) from commits (sha, parents)."""
     if first_only:
@@ -82,19 +125,51 @@ def reanchor(reachable: DataFrame, mappings: DataFrame) -> DataFrame:
     A mapping counts when the commit that holds it and its successor are both in
     view; it brings the superseded commits it lists, not their ancestors.
     """
-    rows = sound_mappings(mappings).select("anchor", "successor", F.explode("superseded").alias("sha"))
-    rows = cut(rows.distinct())
-    found = [cut(reachable.select("sha").distinct())]
+    return reanchored(reachable.select(F.col("sha").alias("node"), F.lit(1).cast("long").alias("bits")), mappings).select(F.col("node").alias("sha"))
+
+
+def reanchored(seen: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(node, bits) once mappings are followed to a fixpoint, for each label by itself, from (node, bits).
+
+    A mapping has two premises, its holder and its successor.  For the labels that one of them
+    has, it is an edge from the other, and where both are one commit it always is; so runs of
+    mappings are followed by reach(), in rounds by the logarithm of their length.  What is left
+    are mappings of which neither premise was in view: each time round the edges are made anew
+    from what came into view, until nothing does.
+    """
+    rows = sound_mappings(mappings).select("anchor", "successor", F.explode("superseded").alias("sha")).distinct()
+    rows = settle(rows, "mappings")
+    one = rows.where("anchor = successor").select(F.col("successor").alias("src"), F.col("sha").alias("dst"), F.lit(-1).cast("long").alias("mask"))
+    two = rows.where("anchor <> successor")
+    seen, n = counted(seen.groupBy("node").agg(F.bit_or("bits").alias("bits")), "view")
+    size = None
     while True:
-        seen = _together(found)
-        live = rows.join(seen.select(F.col("sha").alias("successor")), "successor", "left_semi")
-        live = live.join(seen.select(F.col("sha").alias("anchor")), "anchor", "left_semi")
-        new, n = counted(live.select("sha").distinct().join(seen, "sha", "left_anti"), "found")
-        if not n:
+        ways = [one]
+        for known, other in (("anchor", "successor"), ("successor", "anchor")):
+            of = two.join(seen.select(F.col("node").alias(known), F.col("bits").alias("mask")), known)
+            ways.append(of.select(F.col(other).alias("src"), F.col("sha").alias("dst"), "mask"))
+        edges = _together(ways).groupBy("src", "dst").agg(F.bit_or("mask").alias("mask"))
+        seen = reach(edges, seen)
+        before, size = size, seen.agg(F.count("*").alias("n"), F.sum(F.bit_count("bits")).alias("b")).first()
+        if size == before or two.isEmpty():
             return seen
-        found.append(new)
-        if len(found) > 24:
-            found = [cut(_together(found))]
+
+
+def scopes(commits: DataFrame, revisions: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(rev, sha): what is in view of each revision (rev, sha), its ancestors and what mappings bring, each for itself.
+
+    A mapping that one revision holds and whose successor another has in view brings neither
+    anything.  LABELS revisions are followed at a time, a bit each.
+    """
+    named = [r.rev for r in revisions.select("rev").distinct().orderBy("rev").collect()]  # what a push or a reader names
+    out = []
+    for i in range(0, len(named), LABELS):
+        number = revisions.sparkSession.createDataFrame([(r, 1 << j) for j, r in enumerate(named[i : i + LABELS])], "rev string, bits long")
+        start = revisions.join(F.broadcast(number), "rev").select(F.col("sha").alias("node"), "bits")
+        history = parent_edges(commits).withColumn("mask", F.lit(-1).cast("long"))
+        seen = reanchored(reach(history, start), mappings)
+        out.append(seen.join(F.broadcast(number.withColumnRenamed("bits", "bit")), F.col("bits").bitwiseAND(F.col("bit")) != 0).select("rev", F.col("node").alias("sha")))
+    return _together(out) if out else revisions.select("rev", "sha")
 
 
 def branch_commits(commits: DataFrame, base: DataFrame, tip: DataFrame) -> DataFrame:
@@ -120,13 +195,15 @@ def detect_squash(branches: DataFrame, candidates: DataFrame) -> DataFrame:
     branches has (branch, tree, patch_id), candidates (sha, tree, patch_id).  The two
     ways are joins of their own, and a match by tree hides those by patch.
     """
+    # candidates of a key first become one row, so that a common tree or patch makes no pairs
     ways = []
     for rank, (method, key) in enumerate((("tree", "tree"), ("patch-id", "patch_id"))):
-        c = candidates.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), "sha")
-        ways.append(branches.join(c, F.col(key) == F.col("_k")).select("branch", "sha", F.lit(method).alias("method"), F.lit(rank).alias("rank")))
+        c = candidates.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("sha").alias("least"), F.max("sha").alias("most"))
+        ways.append(branches.join(c, F.col(key) == F.col("_k")).select("branch", "least", "most", F.lit(method).alias("method"), F.lit(rank).alias("rank")))
     found = ways[0].unionByName(ways[1])
-    best = found.withColumn("least", F.min("rank").over(Window.partitionBy("branch"))).where("rank = least")
-    per = best.groupBy("branch").agg(F.count_distinct("sha").alias("n"), F.min("sha").alias("successor"), F.min("method").alias("method"))
+    best = found.groupBy("branch").agg(F.min(F.struct("rank", "method")).alias("by"), *[f(F.when(F.col("rank") == i, F.col(c))).alias(f"{c}{i}") for i in (0, 1) for c, f in (("least", F.min), ("most", F.max))])
+    of = lambda c: F.when(F.col("by.rank") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))
+    per = best.select("branch", F.when(of("least") == of("most"), 1).otherwise(2).alias("n"), of("least").alias("successor"), F.col("by.method").alias("method"))
     out = branches.select("branch").join(per, "branch", "left")
     outcome = F.when(F.col("n").isNull(), "unmatched").when(F.col("n") == 1, "detected").otherwise("ambiguous")
     one = F.col("n") == 1
@@ -135,9 +212,15 @@ def detect_squash(branches: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def detect_rebase(noted: DataFrame, candidates: DataFrame) -> DataFrame:
     """(sha, successor): noted commits (sha, patch_id) that one other candidate's patch alone equals."""
-    c = candidates.where(F.col("patch_id").isNotNull()).select("patch_id", F.col("sha").alias("successor"))
-    met = noted.join(c, "patch_id").where("sha <> successor")
-    return met.groupBy("sha").agg(F.min("successor").alias("successor"), F.count_distinct("successor").alias("n")).where("n = 1").drop("n")
+    # of a patch's candidates the two smallest tell whether there is just one besides the commit itself
+    c = candidates.where(F.col("patch_id").isNotNull()).select("patch_id", "sha").distinct()
+    ends = c.groupBy("patch_id").agg(F.count("*").alias("n"), F.min("sha").alias("least"), F.max("sha").alias("most"))
+    met = noted.select("sha", "patch_id").distinct().join(ends, "patch_id")
+    one = F.when(F.col("n") == 1, F.when(F.col("least") != F.col("sha"), F.col("least"))).when((F.col("n") == 2) & (F.col("least") == F.col("sha")), F.col("most")).when((F.col("n") == 2) & (F.col("most") == F.col("sha")), F.col("least"))
+    # a commit of several patches counts the candidates of all
+    many = F.when(one.isNull() & ((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("least") != F.col("sha")) & (F.col("most") != F.col("sha")))), True)
+    per = met.select("sha", one.alias("one"), many.alias("many")).groupBy("sha").agg(F.min("one").alias("successor"), F.max("one").alias("last"), F.count("many").alias("many"))
+    return per.where((F.col("many") == 0) & (F.col("successor") == F.col("last"))).select("sha", "successor")
 
 
 def file_overlap(left: DataFrame, right: DataFrame, top: int = 3) -> DataFrame:

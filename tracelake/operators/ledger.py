@@ -99,6 +99,24 @@ def redact_in_place(spark: SparkSession, path: str, ids: DataFrame, shared: Data
     return sum(where.values())
 
 
+def digests(events: DataFrame) -> DataFrame:
+    """(anchor, n, h): of each anchor its lines' number and four sums over halves of two hashes, whatever the lines' order.
+
+    One row an anchor and task is shuffled, no line.
+    """
+    one, two = (F.xxhash64(*events.columns, F.lit(seed)) for seed in (1, 2))
+    halves = [x.bitwiseAND(F.lit(0xFFFFFFFF)) for x in (one, two)] + [F.shiftright(x, 32) for x in (one, two)]
+    return events.groupBy("anchor").agg(F.count("*").alias("n"), F.struct(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(halves)]).alias("h"))
+
+
+def differing(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(anchor, local_lines, remote_lines) of the anchors that two replicas do not hold alike."""
+    mine, theirs = digests(local), digests(remote.select(local.columns)).toDF("_a", "_n", "_h")
+    met = mine.join(theirs, mine["anchor"].eqNullSafe(theirs["_a"]), "full")
+    none = F.lit(0).cast("long")
+    return met.where(~F.col("h").eqNullSafe(F.col("_h"))).select(F.coalesce("anchor", "_a").alias("anchor"), F.coalesce("n", none).alias("local_lines"), F.coalesce("_n", none).alias("remote_lines"))
+
+
 def union(*replicas: DataFrame) -> DataFrame:
     """Replicas merged: the distinct lines of each anchor, whatever the order of merging."""
     out = replicas[0]
@@ -107,9 +125,25 @@ def union(*replicas: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def merge(local: DataFrame, remote: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """The remote with the local lines of anchors in scope (None: all) merged in; only anchors that differ are touched.
+
+    Replicas hold a line once, so of anchors with equal digests nothing is moved, and the
+    lines of the others meet by anchor alone.
+    """
+    columns = remote.columns
+    local = local.select(columns)
+    if anchors is not None:
+        scope = anchors.select("anchor").distinct()
+        local = local.join(scope, local["anchor"].eqNullSafe(scope["anchor"]), "left_semi")
+    odd = graph.cut(differing(local, remote).where("local_lines > 0").select("anchor"))
+    of = lambda rows, how: rows.join(odd, rows["anchor"].eqNullSafe(odd["anchor"]), how)
+    return of(remote, "left_anti").unionByName(union(of(remote, "left_semi"), of(local, "left_semi")))
+
+
 def push(local: DataFrame, remote: DataFrame, anchors: DataFrame) -> DataFrame:
     """The remote after a push of the anchors in scope: theirs is the union, other anchors stay as they were."""
-    return union(remote, local.join(anchors.select("anchor").distinct(), "anchor", "left_semi").select(remote.columns))
+    return merge(local, remote, anchors)
 
 
 def unshared(local: DataFrame, remote: DataFrame) -> DataFrame:

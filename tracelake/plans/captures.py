@@ -252,6 +252,18 @@ def scoped_read(spark, sf_dir):
     return reading.in_scope(rows, rows.select("anchor").where("anchor in ('a1', 'a2')")).select("anchor", "id")
 
 
+@query(f"""WITH {CHAT}, t AS (SELECT conversation AS anchor, count(*) AS n, count(*) FILTER (conv_id % 3 = 0 AND seq = 1) AS gone, max(conv_id % 3) AS kind FROM chat GROUP BY conversation)
+SELECT anchor, n AS local_lines, n - gone AS remote_lines FROM t WHERE gone > 0 OR kind = 2 UNION ALL SELECT 'only-there', 0, count(*) FROM chat WHERE seq = 0""")
+def changed_anchors(spark, sf_dir):
+    """Of two replicas by conversation: a third lack a line at the remote, a third differ in one, and the remote has an anchor more."""
+    local = _chat(spark, sf_dir).withColumn("anchor", F.col("conversation.id"))
+    kind, first = F.substring("conversation.id", 6, 20).cast("long") % 3, F.col("conversation.seq") == 0
+    least = F.min("conversation.seq").over(Window.partitionBy("anchor"))
+    odd = local.withColumn("media_type", F.when((kind == 2) & (F.col("conversation.seq") == least), "text/x"))
+    remote = odd.where(~((kind == 0) & (F.col("conversation.seq") == 1))).unionByName(local.where(first).withColumn("anchor", F.lit("only-there")))
+    return ledger.differing(local, remote.repartition(3))
+
+
 @query(f"""WITH {CHAT} SELECT id, 'a9' AS anchor FROM chat WHERE conv_id % 5 = 0 UNION SELECT id, 'a' || (conv_id % 5) FROM chat WHERE conv_id % 5 <> 0""")
 def pending_drained(spark, sf_dir):
     rows = _anchored(spark, sf_dir).withColumn("anchor", F.nullif(F.col("anchor"), F.lit("a0")))

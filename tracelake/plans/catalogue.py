@@ -251,6 +251,33 @@ def reanchor_fixpoint(spark, sf_dir):
     return graph.reanchor(graph.ancestors(commits, commits.where("event_id % 997 = 5")), maps)
 
 
+_REVS = "(3, 40, 41, 500, 777, 900)"
+_MAPPED = "event_id % 11 IN (0, 5, 6)"
+
+
+@query(f"""WITH RECURSIVE {EDGES}, start AS (SELECT 'r' || event_id AS rev, {SHA.format('event_id')} AS sha FROM events WHERE event_id IN {_REVS}),
+view AS (SELECT rev, sha FROM start UNION SELECT rev, dst FROM view JOIN edges ON sha = src),
+maps AS (SELECT {SHA.format('event_id')} AS anchor, CASE event_id % 3 WHEN 0 THEN {SHA.format('event_id')} WHEN 1 THEN {SHA.format('event_id - 1')} ELSE {SHA.format('event_id + 1000011')} END AS successor, {SHA.format('event_id + 1000000')} AS superseded FROM events WHERE {_MAPPED}),
+open AS (SELECT rev, successor, superseded FROM maps JOIN view ON anchor = sha),
+seen AS (SELECT rev, sha FROM view UNION SELECT seen.rev, superseded FROM seen JOIN open ON sha = successor AND seen.rev = open.rev) SELECT rev, sha FROM seen""")
+def scope_by_rev(spark, sf_dir):
+    """Six revisions, each with its history and the mappings that it alone has both sides of; mappings hang on themselves, on the commit before, and on one another."""
+    commits, k = _commits(spark, sf_dir), F.col("event_id")
+    revisions = commits.where(k.isin(3, 40, 41, 500, 777, 900)).select(F.concat(F.lit("r"), k).alias("rev"), "sha")
+    successor = F.when(k % 3 == 0, F.col("sha")).when(k % 3 == 1, _sha(k - 1)).otherwise(_sha(k + 1000011))
+    maps = commits.where((k % 11).isin(0, 5, 6)).select(F.col("sha").alias("anchor"), F.array(_sha(k + 1000000)).alias("superseded"), successor.alias("successor"))
+    return graph.scopes(commits, revisions, maps)
+
+
+@query(f"""WITH top AS (SELECT min(event_id + 1) AS k FROM events WHERE event_id + 1 NOT IN (SELECT event_id FROM events)) SELECT {SHA.format('i')} AS sha FROM range(0, (SELECT k + 1 FROM top)) r(i)""")
+def reanchor_chain(spark, sf_dir):
+    """Each event is a mapping that brings the next commit; every other one is held by the first commit of all."""
+    events, k = _read(spark, sf_dir, "events"), F.col("event_id")
+    zero = F.lit(0).cast("long")
+    maps = events.select(_sha(F.when(k % 2 == 0, k).otherwise(zero)).alias("anchor"), F.array(_sha(k + 1)).alias("superseded"), _sha(k).alias("successor"))
+    return graph.reanchor(spark.range(1).select(_sha(F.col("id")).alias("sha")), maps)
+
+
 @query("""WITH b AS (SELECT 'b' || user_id AS branch, 't' || max(event_id) AS tree, 'p' || min(event_id) AS patch_id FROM events GROUP BY user_id),
 c AS (SELECT 'c' || event_id AS sha, 't' || (event_id - event_id % 3 * (event_id % 2)) AS tree, 'p' || (event_id - event_id % 3 * (event_id % 2)) AS patch_id FROM events),
 m AS (SELECT branch, sha, 'tree' AS method, 0 AS r FROM b JOIN c ON b.tree = c.tree UNION ALL SELECT branch, sha, 'patch-id', 1 FROM b JOIN c ON b.patch_id = c.patch_id),
