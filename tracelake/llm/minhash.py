@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.components import components
-from tracelake.llm.textkit import U64, mix, padding, partitions, settle, shingle_hashes, texts, word_hashes
+from tracelake.llm.textkit import U64, mix, padding, partitions, settle, shingle_hashes, texts, trimmed, word_hashes
 
 BUCKETS, MANTISSA, MISS = 384, 10, 1e-6
 #: Members of a side of a tile, and their shingles (8 bytes each), on the average at most.
@@ -175,7 +175,7 @@ def _features(docs: DataFrame, k: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["doc_id", "n_shingles", "one", "two", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, n_shingles long, one long, two long, bands array<long>")
 
 
 #: What a document is asked for: side 0 (member) or 1 (compared with all members) of a
@@ -214,7 +214,7 @@ def _sent(docs: DataFrame, k: int, whole: bool) -> DataFrame:
                             out, held = [], 0
             yield rows(out)
 
-    return docs.select("doc_id", "text", "asks").mapInArrow(run, "group long, i long, j long, side int, id long, cluster long, size long, regs binary, set binary")
+    return docs.select("doc_id", "text", "asks").mapInArrow(trimmed(run), "group long, i long, j long, side int, id long, cluster long, size long, regs binary, set binary")
 
 
 def _by_tile(tiles: DataFrame, solve, result, schema: str) -> DataFrame:
@@ -233,7 +233,7 @@ def _by_tile(tiles: DataFrame, solve, result, schema: str) -> DataFrame:
             yield result(out)
         yield result(solve(key, held))
 
-    return tiles.mapInArrow(run, schema)
+    return tiles.mapInArrow(trimmed(run), schema)
 
 
 def _apart(ids, clusters) -> np.ndarray:

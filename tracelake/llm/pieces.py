@@ -7,14 +7,16 @@ order, and byte fallback.  No piece of such a model crosses from a word into the
 marker behind it, so texts are split there first, which lets the library remember
 words; a model with such pieces is not split.
 
-``encode`` turns every text into ids, batch by batch, on several threads.  Parity is
-verified against the sentencepiece library for every text, and a text whose ids differ
+``encode`` turns every text into ids, batch by batch, on several threads.  Parity with the
+sentencepiece library is verified for all that texts are made of, and a text whose ids differ
 gets that library's ids and parity false.  Where a model encodes each stretch from one
 marker to the next by itself (no character map, no squeezing, a dummy prefix, no piece
 that crosses a marker) a batch is that of the stretches which a task has not met yet,
 so many to a line: both libraries encode the lines, which fall into their stretches at
 the pieces that begin with a marker, and a text's ids are those of its stretches, in a
-row.  Else whole texts are the batch.
+row.  There both libraries see stretches, in lines, not texts; the first texts of each task, and
+all with control characters or a marker of their own, are encoded whole by both as well, and
+sentencepiece's whole ids count.  Else whole texts are the batch.
 ``decode`` is the inverse.
 
 Null texts have null ids and parity; empty texts have no ids, and an empty list decodes
@@ -37,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracelake.llm.textkit import share
+from tracelake.llm.textkit import share, trimmed
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _stretch = re.compile(f"{MARK}+[^{MARK}]*")
+#: Texts that are encoded whole too: with a marker of their own or control characters.
+_odd = re.compile(f"[{MARK}\\x00-\\x08\\x0e-\\x1f\\x7f]")
 #: Kinds of piece and of model in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -154,7 +158,7 @@ class Codec:
         m = self.model
         self.by_stretch = m.apart and m.dummy_prefix and not m.squeeze and not m.charsmap
         self.begins = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # 4 bytes an id
         self.bad: set[str] = set()  # stretches that the libraries encode otherwise
         self.held = 0
 
@@ -180,26 +184,30 @@ class Codec:
             if len(begin) != len(words) or not np.array_equal(f, p):  # told apart one by one
                 alone += words
                 continue
-            ids = p.tolist()
-            for x, i, j in zip(words, begin, [*begin[1:], len(ids)]):
-                self.known[x] = ids[i:j]
+            ids = p.tobytes()
+            for x, i, j in zip(words, begin, [*begin[1:], len(p)]):
+                self.known[x] = ids[4 * i : 4 * j]
         # the first marker is set by the libraries; one with nothing behind it is told by what it adds to a letter
         skip = len(self.plain.encode("a"))
         for x, f, p in zip(alone, *self._both([x[1:] if len(x) > 1 else "a" + MARK for x in alone])):
-            self.known[x] = p if len(x) > 1 else p[skip:]
+            self.known[x] = np.array(p if len(x) > 1 else p[skip:], dtype=np.int32).tobytes()
             if f != p:
                 self.bad.add(x)
 
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray | None, bool | None]]:
-        """(ids, parity) of each text."""
+    def encode(self, texts: list[str | None], whole: bool = False) -> list[tuple[np.ndarray | None, bool | None]]:
+        """(ids, parity) of each text; whole has every text encoded whole by both libraries too."""
         given = [t or "" for t in texts]
         if not self.by_stretch:
-            found = [(p, f == p) for f, p in zip(*self._both(given))]
+            found = [(np.array(p, dtype=np.int32), f == p) for f, p in zip(*self._both(given))]
         else:
             parts = [_stretch.findall(MARK + t.replace(" ", MARK)) if t else [] for t in given]
             self._learn({x for every in parts for x in every})
-            found = [(list(itertools.chain.from_iterable(map(self.known.__getitem__, every))), not self.bad or self.bad.isdisjoint(every)) for every in parts]
-        return [(None, None) if t is None else (np.array(ids, dtype=np.int32), same) for t, (ids, same) in zip(texts, found)]
+            found = [(np.frombuffer(b"".join(map(self.known.__getitem__, every)), dtype=np.int32), not self.bad or self.bad.isdisjoint(every)) for every in parts]
+            again = [i for i, t in enumerate(given) if whole or _odd.search(t)]
+            for i, f, p in zip(again, *self._both([given[i] for i in again])):
+                if found[i][0].tolist() != p or f != p:
+                    found[i] = (np.array(p, dtype=np.int32), f == p)
+        return [(None, None) if t is None else x for t, x in zip(texts, found)]
 
     def decode(self, ids: list[list[int] | None]) -> list[str | None]:
         out = []
@@ -228,15 +236,16 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, ids: str
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(parity, T.BooleanType())])
 
     def run(batches):
-        codec = Codec(shared.value, threads)
+        codec, first = Codec(shared.value, threads), True
         for b in batches:
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
-                found = codec.encode(part.column(i).to_pylist())
+                found = codec.encode(part.column(i).to_pylist(), whole=first)
+                first = False
                 cols = [pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([p for _, p in found], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, ids, parity])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def decode(coded: DataFrame, model: str = MODEL, threads: int = THREADS, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -257,7 +266,7 @@ def decode(coded: DataFrame, model: str = MODEL, threads: int = THREADS, ids: st
                 found = codec.decode(part.column(i).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, decoded])
 
-    return coded.mapInArrow(run, schema)
+    return coded.mapInArrow(trimmed(run), schema)
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, threads: int = THREADS) -> DataFrame:
@@ -269,16 +278,17 @@ def round_trip(docs: DataFrame, model: str = MODEL, threads: int = THREADS) -> D
     shared = share(docs.sparkSession, _model_bytes(model))
 
     def run(batches):
-        codec = Codec(shared.value, threads)
+        codec, first = Codec(shared.value, threads), True
         for b in batches:
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
                 given = [t or "" for t in part.column(1).to_pylist()]
-                found = codec.encode(given)
+                found = codec.encode(given, whole=first)
+                first = False
                 back = codec.decode([x.tolist() for x, _ in found])
                 cols = [pa.array([len(x) for x, _ in found], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x, _ in found])]
                 cols += [pa.array([t == g for t, g in zip(back, given)], pa.bool_()), pa.array([p for _, p in found], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean")

@@ -28,6 +28,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracelake.llm.textkit import trimmed
+
 # The patterns and least lengths of the base kinds, in this order.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -210,7 +212,7 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, t) for c, t in zip(cols, types)], names)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + _SCAN
-    return docs.select(key, "text").mapInArrow(run, ddl)
+    return docs.select(key, "text").mapInArrow(trimmed(run), ddl)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -236,4 +238,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 cols[j] = pa.array([len(x) if changed else n for x, changed, n in zip(new, sizes, old)], cols[j].type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -8,6 +8,9 @@ its memory is a small multiple of that text.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -103,3 +106,26 @@ def padding(spark: SparkSession, key: str) -> Column:
     It hangs on where a row lies, so the rows should be a written table.
     """
     return F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(partitions(spark))) + 1).otherwise(0)
+
+
+def trim() -> None:
+    """Give back to the system what a task has freed: workers live on between tasks."""
+    global _powers, _inverse
+    if len(_powers) > 1 << 18:  # a very long text
+        _powers, _inverse = np.ones(1, dtype=U64), np.ones(1, dtype=U64)
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if free is not None:
+        free(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that trims its worker when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped

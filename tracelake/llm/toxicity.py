@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import labelled
-from tracelake.llm.textkit import Hasher, settle, share, texts, word_bounds
+from tracelake.llm.textkit import Hasher, settle, share, texts, trimmed, word_bounds
 
 SPACE = 1 << 20
 SURE_Z, FAINT = 6.0, 0.03
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
 
     picked = labelled.sample(docs, labels, label, per_class, usable).select("doc_id", "y", "text")
     schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, y int, terms array<int>"
-    rows = settle(picked.mapInArrow(hashed, schema), "tox-terms")
+    rows = settle(picked.mapInArrow(trimmed(hashed), schema), "tox-terms")
     seen = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
     known = np.zeros(SPACE, dtype=bool)  # of fixed size, whatever the input's
     known[seen.select("term").toArrow()["term"].to_numpy()] = True
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     def learn(table):
         return fit([x.values.to_numpy() for x in table["terms"]], np.array(table["y"], dtype=np.int64))
 
-    model = labelled.fitted(rows.mapInArrow(left, schema), learn)
+    model = labelled.fitted(rows.mapInArrow(trimmed(left), schema), learn)
     return model or fit([], np.zeros(0, dtype=np.int64))
 
 
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Machine, key: str = "doc_id") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in texts(b.column(1))], pa.float64())], [key, "score"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
+    return docs.select(key, "text").mapInArrow(trimmed(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Machine, threshold: float = 0.5) -> DataFrame:
@@ -180,4 +180,4 @@ def drop_toxic(docs: DataFrame, model: Machine, threshold: float = 0.5) -> DataF
         for b in batches:
             yield b.filter(pa.array([m.score(t) < threshold for t in texts(b.column(i))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
