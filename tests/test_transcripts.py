@@ -78,11 +78,41 @@ def test_codex(spark, tmp_path):
     assert body(got[2][0])["blocks"] == [{"type": "tool_use", "name": "run", "input": "{}", "id": "c"}]
     assert body(got[3][0]) == {"role": "tool_result", "blocks": [{"type": "tool_result", "tool_use_id": "c", "content": "done"}]}
     assert sorted((r.kind, json.dumps(body(r), sort_keys=True)) for r in got[5])[1][0] == "reasoning" and len(got[5]) == 2
-    assert body(got[6][0])["blocks"] == [{"type": "text", "text": "open"}] and got[6][0].actor.id == "a"
+    (why,) = [r for r in got[5] if r.kind == "conversation_turn"]
+    assert body(why) == {"role": "reasoning_summary", "blocks": [{"type": "text", "text": "why"}]} and why.raw_json is None and why.actor.type == "agent"
+    open_, sealed = sorted(got[6], key=lambda r: r.kind)
+    assert body(open_) == {"role": "agent_message", "author": "a", "recipient": "b", "blocks": [{"type": "text", "text": "open"}]} and (open_.actor.type, open_.actor.id) == ("agent", "a")
+    assert json.loads(open_.raw_json)["payload"]["content"] == [{"type": "text", "text": "open"}, {"type": "encrypted_content"}] and '"x"' not in open_.raw_json
+    assert (sealed.kind, body(sealed)) == ("reasoning", {"opaque": True})
+    assert json.loads(sealed.raw_json)["payload"]["content"] == [{"type": "encrypted_content", "data": "x"}] and json.loads(sealed.raw_json)["payload"]["author"] == "a"
     assert (got[8][0].actor.type, body(got[8][0])) == ("agent", {"activity_type": "event_msg/task_started", "blocks": [{"type": "text", "text": "go"}]})
     assert body(got[9][0]) == {"unrecognized_type": "response_item/web_search_call"}
 
 
+def test_codex_times_from_the_name(spark, tmp_path):
+    rows = [{"type": "response_item", "payload": {"type": "message", "role": "user", "content": []}}]
+    for name, at in (("rollout-2026-02-03T04-05-06-abc.jsonl", "2026-02-03T04:05:06.000Z"), ("rollout-2026-99-03T04-05-06-abc.jsonl", transcripts.BASE_TIME), ("x.jsonl", transcripts.BASE_TIME)):
+        (row,) = transcripts.codex(transcripts.lines(spark, write(tmp_path, name, rows))).collect()
+        assert row.occurred_at == at
+
+
+def test_snapshots_are_resolved(spark, tmp_path):
+    """What the cache holds of the versions that snapshots name, each once, in their order."""
+    saved = lambda *names: {f"/p/{i}": {"backupFileName": n, "version": i} for i, n in enumerate(names)}
+    rows = [
+        {"type": "file-history-snapshot", "messageId": "m", "snapshot": {"trackedFileBackups": saved("b@2", "a@1", "b@2", None, "gone@1")}},
+        {"type": "file-history-delta", "trackingPath": "q", "backup": {"backupFileName": "gone@1"}},
+        {"type": "user", "timestamp": T % 1, "message": {"role": "user", "content": "x"}},
+    ]
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "a@1").write_bytes(b"one")
+    (tmp_path / "cache" / "b@2").write_bytes(b"xx")
+    drafts = transcripts.claude(transcripts.lines(spark, write(tmp_path, "s.jsonl", rows)))
+    got = {r.conversation.seq: r for r in transcripts.resolved(drafts, transcripts.backup_digests(spark, str(tmp_path / "cache"))).collect()}
+    assert [(x.backup_file, x.bytes) for x in got[0].resolved] == [("b@2", 2), ("a@1", 3)] and got[0].resolved[1].sha256 == hashlib.sha256(b"one").hexdigest()
+    assert got[1].resolved is None and got[2].resolved is None and len(got) == 3
+
+
 def test_qwen(spark, tmp_path):
     base = lambda n, **x: {"sessionId": "q", "timestamp": T % n} | x
     rows = [

@@ -47,18 +47,23 @@ def capture_claude(spark, sf_dir):
     return _said(events, F.col("conversation.parent").alias("parent"))
 
 
-@query(f"""WITH {TURNS}, s AS (SELECT *, CASE WHEN role = 'system' THEN 'm' || turn END AS stated FROM turns)
-SELECT 'codex:x' || conv_id AS conversation, seq, CASE WHEN role = 'system' THEN 'session_state' ELSE 'conversation_turn' END AS kind,
-  CASE role WHEN 'assistant' THEN 'agent' WHEN 'user' THEN 'human' ELSE 'system' END AS actor,
-  coalesce(last_value(stated IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY seq ROWS UNBOUNDED PRECEDING), first_value(stated IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS model,
-  CASE WHEN role <> 'system' THEN text END AS text FROM s""")
+@query(f"""WITH {TURNS}, s AS (SELECT *, CASE WHEN role = 'system' THEN 'm' || turn END AS stated FROM turns),
+t AS (SELECT *, 'codex:x' || conv_id AS conversation, role = 'assistant' AND seq % 3 > 0 AS split,
+  coalesce(last_value(stated IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY seq ROWS UNBOUNDED PRECEDING), first_value(stated IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS model FROM s)
+SELECT conversation, seq, CASE WHEN role = 'system' THEN 'session_state' ELSE 'conversation_turn' END AS kind, CASE role WHEN 'assistant' THEN 'agent' WHEN 'user' THEN 'human' ELSE 'system' END AS actor, model, CASE WHEN role <> 'system' THEN text END AS text,
+  CASE WHEN role = 'system' THEN NULL WHEN NOT split THEN role WHEN seq % 3 = 1 THEN 'reasoning_summary' ELSE 'agent_message' END AS role FROM t
+UNION ALL SELECT conversation, seq, 'reasoning', 'agent', model, NULL, NULL FROM t WHERE split""")
 def capture_codex(spark, sf_dir):
+    """Rollouts of messages; a third of an agent's turns are summaries of sealed reasoning, a third messages to another agent with a sealed block."""
     context = F.to_json(F.struct(F.lit("turn_context").alias("type"), F.struct(F.concat(F.lit("m"), "turn").alias("model")).alias("payload")))
-    block = F.array(F.struct(F.lit("text").alias("type"), "text"))
-    item = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), "role", block.alias("content")).alias("payload")))
-    rows = _turns(spark, sf_dir)
-    lines = rows.select(F.concat(F.lit("/t/x"), "conv_id", F.lit(".jsonl")).alias("file"), "seq", F.when(F.col("role") == "system", context).otherwise(item).alias("value"), F.lit(True).alias("closed"))
-    return _said(transcripts.codex(lines))
+    block = F.struct(F.lit("text").alias("type"), "text", F.lit(None).cast("string").alias("data"))
+    hidden = F.struct(F.lit("encrypted_content").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("sealed").alias("data"))
+    item = lambda kind, *fields: F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit(kind).alias("type"), *fields).alias("payload")))
+    agent, third = F.col("role") == "assistant", F.col("seq") % 3
+    value = F.when(F.col("role") == "system", context).when(agent & (third == 1), item("reasoning", F.array(block).alias("summary"), F.lit("sealed").alias("encrypted_content")))
+    value = value.when(agent & (third == 2), item("agent_message", F.lit("a").alias("author"), F.array(block, hidden).alias("content"))).otherwise(item("message", "role", F.array(block).alias("content")))
+    lines = _turns(spark, sf_dir).select(F.concat(F.lit("/t/x"), "conv_id", F.lit(".jsonl")).alias("file"), "seq", value.alias("value"), F.lit(True).alias("closed"))
+    return _said(transcripts.codex(lines), F.get_json_object("content_json", "$.role").alias("role"))
 
 
 @query(f"""WITH {TURNS} SELECT 'qwen-code:f' || conv_id AS conversation, seq, CASE WHEN role = 'system' THEN 'activity' ELSE 'conversation_turn' END AS kind,
@@ -236,12 +241,16 @@ def scrub_many_values(spark, sf_dir):
     return done.select("doc_id", F.size("redacted").alias("spans"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-@query("""SELECT page_id, url, strlen(html) AS bytes, sha256(html) AS digest FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, url, NULL, NULL FROM pages WHERE page_id % 2 = 1""")
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN strlen(html) + 1 END AS bytes, CASE WHEN page_id % 2 = 0 THEN sha256(html || chr(10)) END AS digest FROM pages""")
 def backup_digests(spark, sf_dir):
-    """Snapshot pointers meet the files they name; half of the files are gone."""
-    pages = _read(spark, sf_dir, "pages")
-    files = pages.where("page_id % 2 = 0").select(F.col("page_id").alias("file"), F.octet_length("html").cast("long").alias("bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
-    return pages.select("page_id", "url").join(files, F.col("page_id") == F.col("file"), "left").drop("file")
+    """A snapshot of each page meets a cache of files, where every other page is."""
+    pages, folder = _read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("v"), "page_id").alias("name"), "html"), shared_dir(spark, "cache")
+    named_files(pages.where("page_id % 2 = 0").select("name", F.lit(0).alias("place"), F.col("html").alias("value")), folder)
+    backup = F.create_map(F.lit("page.html"), F.struct(F.col("name").alias("backupFileName")))
+    line = F.to_json(F.struct(F.lit("file-history-snapshot").alias("type"), F.struct(backup.alias("trackedFileBackups")).alias("snapshot")))
+    drafts = transcripts.claude(pages.select(F.lit("/t/pages.jsonl").alias("file"), F.col("page_id").alias("seq"), line.alias("value"), F.lit(True).alias("closed")))
+    one = F.col("resolved")[0]
+    return transcripts.resolved(drafts, transcripts.backup_digests(spark, folder)).select(F.col("conversation.seq").alias("page_id"), one["bytes"].alias("bytes"), one["sha256"].alias("digest"))
 
 
 @query(f"""WITH {CHAT}, r AS (SELECT 'a' || (conv_id % 5) AS anchor, id, conversation, seq FROM chat WHERE conv_id % 5 IN (1, 2)) SELECT anchor, id FROM r UNION ALL SELECT NULL, id FROM chat WHERE conv_id % 5 = 0""")

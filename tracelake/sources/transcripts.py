@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.canonical import json_object, quoted
 from tracelake.operators import graph
 from tracelake.operators.reading import carry_forward
+from tracelake.shared import settle
 from tracelake.sources import addressed, tables
 
 OBJECT, ARRAY = "map<string,variant>", "array<variant>"
@@ -53,11 +54,26 @@ def files(spark: SparkSession, *paths: str, newest: int | None = None) -> DataFr
 
 
 def backup_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(backup_file, sha256, bytes) of the files of a backup cache."""
+    """(backup_file, sha256, bytes) of the files of a backup cache; Spark passes over empty ones."""
     found = spark.read.format("binaryFile").load(folder)
     return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("backup_file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
+def resolved(drafts: DataFrame, digests: DataFrame) -> DataFrame:
+    """The drafts with a column resolved: of file snapshots, what a backup cache (backup_digests) holds of the versions they name.
+
+    An array of (backup_file, sha256, bytes), each backup once, in the order in which the
+    snapshot names them; null where none is there.  The drafts are written to the shared folder once.
+    """
+    rows = settle(drafts.withColumn("_row", F.monotonically_increasing_id()), "snapshots")
+    names = F.transform(F.from_json(F.get_json_object("content_json", "$.files"), "array<struct<backup_file:string>>"), lambda x: x["backup_file"])
+    named = rows.where("kind = 'file_snapshot'").select("_row", F.posexplode(F.array_distinct(F.array_compact(names))).alias("_at", "backup_file"))
+    known = digests.groupBy("backup_file").agg(F.min(F.struct("sha256", "bytes")).alias("d"))
+    found = named.join(known, "backup_file").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "backup_file", "d.sha256", "d.bytes"))).alias("_found"))
+    kept = F.transform("_found", lambda x: F.struct(x["backup_file"].alias("backup_file"), x["sha256"].alias("sha256"), x["bytes"].alias("bytes")))
+    return rows.join(found, "_row", "left").select(*drafts.columns, kept.alias("resolved"))
+
+
 def project_folder(cwd: str) -> str:
     """The name under which a project's transcripts are kept: its path with slashes and dots as dashes."""
     return cwd.replace("/", "-").replace(".", "-")
@@ -113,12 +129,19 @@ def _part(part: Column) -> Column:
     return F.when(get("$.functionCall").isNotNull(), call).when(get("$.functionResponse").isNotNull(), reply).when(_is_text(F.try_variant_get(part, "$.text", "variant")), text).otherwise(plain)
 
 
-def _timed(rows: DataFrame, path: str, base_time: str) -> DataFrame:
-    """occurred_at: the line's own time, else the first sound one of its file, else base_time."""
+def _named_time() -> Column:
+    """The time in the name of a rollout's file."""
+    parts = [F.regexp_extract("file", r"rollout-(\d{4}-\d{2}-\d{2})T(\d{2})-(\d{2})-(\d{2})[^/]*$", i) for i in range(1, 5)]
+    time = F.concat(parts[0], F.lit("T"), F.concat_ws(":", *parts[1:]), F.lit(".000Z"))
+    return F.when((parts[0] != "") & time.try_cast("timestamp").isNotNull(), time)
+
+
+def _timed(rows: DataFrame, path: str, base_time: str, named: Column | None = None) -> DataFrame:
+    """occurred_at: the line's own time, else that of its file's name, else the first sound one of its file, else base_time."""
     own = _get(path)
     sound = F.when(own.try_cast("timestamp").isNotNull(), own)
     first = F.first(sound, ignorenulls=True).over(Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.withColumn("occurred_at", F.coalesce(sound, first, F.lit(base_time)))
+    return rows.withColumn("occurred_at", F.coalesce(sound, *([] if named is None else [named]), first, F.lit(base_time)))
 
 
 def _stem() -> Column:
@@ -191,9 +214,11 @@ def codex(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME)
 
     The model in force at a line is the last one stated before it in its file, else
     the first stated after.  A reasoning item makes a turn of its summary and an
-    opaque event; lines that repeat a response item are left out.
+    opaque event; so does a message between agents with sealed blocks, whose turn keeps
+    a mark where they were, while the opaque event has them alone.  Lines that repeat a
+    response item are left out.
     """
-    rows = _timed(rows.where(F.try_parse_json("value").isNotNull()), "timestamp", base_time)
+    rows = _timed(rows.where(F.try_parse_json("value").isNotNull()), "timestamp", base_time, _named_time())
     kind, sub = _get("type"), F.coalesce(_get("payload.type"), F.lit("(untyped)"))
     first = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     head = lambda *paths: F.first(F.when(kind == "session_meta", F.coalesce(*map(_get, paths))), ignorenulls=True).over(first)
@@ -216,10 +241,14 @@ def codex(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME)
     note = kind == "event_msg"
     rows = rows.where(~(note & sub.isin(*CODEX_TWINS)))
     summary = F.array_join(F.transform(F.from_json(_get("payload.summary"), ARRAY), lambda x: F.try_variant_get(x, "$.text", "string")), "\n")
-    halves = F.when(reason, F.when(F.trim(summary) != "", F.array(F.lit("summary"), F.lit("sealed"))).otherwise(F.array(F.lit("sealed")))).otherwise(F.array(F.lit("whole")))
+    closed = lambda x: F.coalesce(F.try_variant_get(x, "$.type", "string") == "encrypted_content", F.lit(False))
+    parts = F.from_json(_get("payload.content"), ARRAY)
+    mixed = mail & F.coalesce(F.exists(parts, closed), F.lit(False))
+    halves = F.when(reason, F.when(F.trim(summary) != "", F.array(F.lit("summary"), F.lit("sealed"))).otherwise(F.array(F.lit("sealed"))))
+    halves = halves.when(mixed, F.array(F.lit("whole"), F.lit("sealed"))).otherwise(F.array(F.lit("whole")))
     rows = rows.withColumn("half", F.explode(halves))
     sealed, said = F.col("half") == "sealed", F.col("half") == "summary"
-    turn = message | mail | call | output | said
+    turn = ~sealed & (message | mail | call | output | said)
     role = F.coalesce(_get("payload.role"), F.lit("user"))
     rows = rows.withColumns({
         "kind": F.when(sealed, "reasoning").when(turn, "conversation_turn").when(kind.isin(*CODEX_STATE) | (note & sub.isin(*CODEX_STATE_MESSAGES)), "session_state").when(kind.isin(*CODEX_ACTIVITY) | note, "activity").otherwise("unrecognized"),
@@ -230,7 +259,7 @@ def codex(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME)
     obj = F.coalesce(without(F.from_json(_get("payload"), OBJECT), "type"), F.from_json(F.lit("{}"), OBJECT))
     text = lambda x: F.try_variant_get(x, "$.type", "string").isin("input_text", "output_text", "text")
     visible = lambda x: F.when(text(x), json_object([("type", F.lit('"text"')), ("text", F.to_json(F.try_variant_get(x, "$.text", "variant")))])).otherwise(F.to_json(x))
-    open_ = F.filter(F.from_json(_get("payload.content"), ARRAY), lambda x: F.coalesce(F.try_variant_get(x, "$.type", "string") != "encrypted_content", F.lit(True)))
+    open_ = F.filter(parts, lambda x: ~closed(x))
     mailed = F.concat(F.lit("["), F.array_join(F.transform(open_, visible), ","), F.lit("]"))
     raw = lambda path: F.to_json(F.try_variant_get(F.try_parse_json("value"), f"$.{path}", "variant"))
     use = json_object([("type", F.lit('"tool_use"')), ("name", raw("payload.name")), ("input", F.coalesce(raw("payload.arguments"), raw("payload.input"))), ("id", raw("payload.call_id"))])
@@ -238,7 +267,7 @@ def codex(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME)
     one = lambda role_, block: json_object([("role", F.lit(f'"{role_}"')), ("blocks", F.concat(F.lit("["), block, F.lit("]")))])
     content = (
         F.when(sealed, json_object([("opaque", F.lit("true"))]))
-        .when(said, one("assistant", json_object([("type", F.lit('"thinking"')), ("text", quoted(summary))])))
+        .when(said, one("reasoning_summary", json_object([("type", F.lit('"text"')), ("text", quoted(summary))])))
         .when(message, json_object([("role", quoted(role)), ("blocks", blocks("payload.content", visible))]))
         .when(mail, json_object([("role", F.lit('"agent_message"')), ("author", quoted(_get("payload.author"))), ("recipient", quoted(_get("payload.recipient"))), ("blocks", F.coalesce(mailed, F.lit("[]")))]))
         .when(call, one("assistant", use))
@@ -250,7 +279,13 @@ def codex(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME)
         .otherwise(json_object([("unrecognized_type", quoted(F.when(item, F.concat(F.lit("response_item/"), sub)).otherwise(F.coalesce(kind, F.lit("(untyped)")))))]))
     )
     parent = F.when(F.col("above").isNotNull() & (F.col("above") != F.col("session")), F.concat(F.lit("codex:"), "above"))
-    return _drafts(rows, "codex", content, human, parent)
+    # what is kept of the line: of a split message each half its own blocks, of a summary nothing, as its sealed half has the line
+    listed = lambda xs: F.concat(F.lit("["), F.array_join(xs, ","), F.lit("]"))
+    seen, hidden = listed(F.transform(parts, lambda x: F.when(closed(x), F.lit('{"type":"encrypted_content"}')).otherwise(F.to_json(x)))), listed(F.transform(F.filter(parts, closed), lambda x: F.to_json(x)))
+    payload = F.to_json(put(F.from_json(_get("payload"), OBJECT), [("content", F.when(sealed, hidden).otherwise(seen))]))
+    kept = F.when(said, F.lit(None).cast("string")).when(mixed, F.to_json(put(F.from_json("value", OBJECT), [("payload", payload)]))).otherwise(F.col("value"))
+    made = _drafts(rows.withColumn("raw", kept), "codex", content, human, parent)
+    return made.drop("raw_json").withColumnRenamed("raw", "raw_json")
 
 
 def qwen(rows: DataFrame, human: str | None = None, base_time: str = BASE_TIME) -> DataFrame:
