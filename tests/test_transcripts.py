@@ -1,5 +1,6 @@
 """Transcript readers on small files of each format."""
 
+import hashlib
 import json
 
 import pytest
