@@ -18,6 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracelake.operators.screens import Screen
 from tracelake.shared import delete, exists, place, scope, settle
 
 #: Seconds that a writer waits for another's commit before it finishes that itself, and between looks.
@@ -95,8 +96,8 @@ def put(copy: DataFrame, path: str, emptied: list[int]) -> None:
         delete(copy.sparkSession, f"{path}/part={part}")
 
 
-def appended(spark: SparkSession, path: str, write: Callable[[], dict]) -> dict:
-    """What write, which reads a ledger and appends to it, returns; made anew where another writer was first."""
+def appended(spark: SparkSession, path: str, write: Callable[[int], dict]) -> dict:
+    """What write, which gets the commit's number, reads a ledger and appends to it, returns; made anew where another writer was first."""
     commits = Commits(spark, path)
     for _ in range(ATTEMPTS):
         number = commits.ready() + 1
@@ -105,17 +106,18 @@ def appended(spark: SparkSession, path: str, write: Callable[[], dict]) -> dict:
         except Conflict:
             continue
         try:
-            return write()
+            return write(number)
         finally:
             commits.done(number)
     raise Conflict(f"{ATTEMPTS} times another writer of {path} was first")
 
 
-def rewritten(spark: SparkSession, path: str, parts: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
+def rewritten(spark: SparkSession, path: str, parts: list[int], change: Callable[[DataFrame], DataFrame], ids: bool = False) -> None:
     """Have parts of a ledger be what change makes of them; no other part is read or written.
 
     change gets the stored rows of the parts, and gives rows of these parts.  It is called
-    again with newer rows where another writer was first.
+    again with newer rows where another writer was first.  ids says that there may be new ids
+    among them, which the ledger's screen, if it has one, must know.
     """
     commits = Commits(spark, path)
     for _ in range(ATTEMPTS):
@@ -132,6 +134,9 @@ def rewritten(spark: SparkSession, path: str, parts: list[int], change: Callable
                 commits.claim(number, {"kind": "rewrite", "copy": copy.inputFiles()[0].rpartition("/")[0] if left else "", "emptied": emptied})
             except Conflict:
                 continue
+            screen = Screen(spark, path)
+            if ids and screen.filters():
+                screen.grow(copy, number, stored)
             put(copy, path, emptied)
             commits.done(number)
             return

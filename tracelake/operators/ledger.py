@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions.rules import Rule
-from tracelake.operators import commits, graph, redaction, scanning
-from tracelake.shared import exists, scope
+from tracelake.operators import commits, graph, redaction, scanning, screens
+from tracelake.shared import bytes_of, exists, scope
 from tracelake.sources.tables import problems
 
 #: Parts into which a ledger is laid out by its anchors.
 PARTS = 64
+#: Bytes of parts to read from which on an append asks a screen first.
+SCREEN_FROM = 64 << 20
 
 
 def new_rows(batch: DataFrame, existing: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def part_of(anchor: Column) -> Column:
     return F.when(anchor.isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(anchor), F.lit(PARTS))).cast("int")
 
 
-def append(batch: DataFrame, path: str, enabled: bool = True, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None, drain_to: str | None = None) -> dict[str, int]:
+def append(batch: DataFrame, path: str, enabled: bool = True, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None, drain_to: str | None = None, screen_from: int = SCREEN_FROM) -> dict[str, int]:
     """Append a batch of events to the ledger at a path; how many rows were added and how many were there already.
 
     Contents and raw lines are redacted by the rules (None: capture's, an empty list:
@@ -42,6 +44,9 @@ def append(batch: DataFrame, path: str, enabled: bool = True, rules: list[Rule]
     only the batch's are read; the rows to add are written beside the ledger's own
     files by one job, so a batch that is sent again adds nothing.  Writers of one ledger
     take turns (see commits).  With drain_to, events that wait for an anchor get this one first.
+
+    Once the parts to read take screen_from bytes, a screen of ids is kept beside the ledger
+    (see screens), and of the parts only those are read that may hold some of the batch's ids.
     """
     spark = batch.sparkSession
     if not enabled:
@@ -54,9 +59,15 @@ def append(batch: DataFrame, path: str, enabled: bool = True, rules: list[Rule]
         if total["bad"]:
             raise ValueError(f"{total['bad']} events are not sound")
 
-        def write() -> dict[str, int]:
-            existing = table(spark, path, batch.schema)
-            existing = batch.limit(0) if existing is None else existing.where(F.col("part").isin(total["parts"]))
+        def write(number: int) -> dict[str, int]:
+            existing, look = table(spark, path, batch.schema), total["parts"]
+            screen = screens.Screen(spark, path)
+            held = bool(screen.filters())
+            if held or sum(bytes_of(spark, f"{path}/part={p}") for p in look) >= screen_from:
+                if held:
+                    look = parts_known(batch, screen)
+                screen.grow(batch, number, existing)
+            existing = batch.limit(0) if existing is None or not look else existing.where(F.col("part").isin(look))
             seen = Observation()
             new_rows(batch, existing).observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("part").parquet(path)
             return {"appended": seen.get["n"], "deduped": total["n"] - seen.get["n"]}
@@ -64,6 +75,11 @@ def append(batch: DataFrame, path: str, enabled: bool = True, rules: list[Rule]
         return commits.appended(spark, path, write)
 
 
+def parts_known(batch: DataFrame, screen: screens.Screen) -> list[int]:
+    """The parts of a batch's rows whose ids a screen knows."""
+    return sorted(r.part for r in batch.join(screen.may_hold(batch), "id", "left_semi").select("part").distinct().collect())  # PARTS numbers at most
+
+
 def drain(ledger: DataFrame, anchor: str) -> DataFrame:
     """The ledger with its pending events given to an anchor, where that does not hold them."""
     pending = ledger.where(F.col("anchor").isNull()).withColumn("anchor", F.lit(anchor))
@@ -95,7 +111,7 @@ def redact_in_place(spark: SparkSession, path: str, ids: DataFrame, shared: Data
         where = {r.part: r.n for r in held.groupBy("part").agg(F.count("*").alias("n")).collect()}  # PARTS numbers at most
         if where:
             change = lambda rows: redaction.redact_stored(rows.drop("part"), targets, shared, pattern, reason)[0].withColumn("part", part_of(F.col("anchor")))
-            commits.rewritten(spark, path, sorted(where), change)
+            commits.rewritten(spark, path, sorted(where), change, ids=True)
     return sum(where.values())
 
 
