@@ -87,12 +87,12 @@ def redact_records(spark, sf_dir):
 
 @query(f"""WITH {CHAT} SELECT 'a' || (conv_id % 5) AS anchor, id, CASE WHEN seq = 0 THEN 2 ELSE 3 END AS batch FROM chat WHERE seq <= 1""")
 def append_screened(spark, sf_dir):
-    """Three batches under a screen: the first turns of half of the conversations, all first turns twice over, then first and second turns; who came with which is told by a mark."""
+    """Three batches under a screen: the first turns of half of the conversations, all first turns twice over, then first and second turns; which batch brought an event is told by the time at which it was recorded."""
     path, rows = f"{shared_dir(spark, 'screened')}/ledger", _anchored(spark, sf_dir).where("conversation.seq <= 1")
     first = rows.where("conversation.seq = 0")
     for number, batch in ((2, first.where(F.substring("id", -1, 1) < "8")), (2, first.unionByName(first)), (3, rows)):
-        ledger.append(batch.withColumn("media_type", F.lit(f"batch/{number}")), path, rules=[], screen_from=0)
-    return spark.read.parquet(path).select("anchor", "id", F.substring("media_type", 7, 1).cast("int").alias("batch"))
+        ledger.append(batch.withColumn("recorded_at", F.lit(f"2026-01-0{number}T00:00:00.000Z")), path, rules=[], screen_from=0)
+    return spark.read.parquet(path).select("anchor", "id", F.substring("recorded_at", 10, 1).cast("int").alias("batch"))
 
 
 _HELD = "(conv_id + seq) % 4 = 0"
