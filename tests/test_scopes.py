@@ -70,6 +70,42 @@ def test_chains_of_mappings_take_few_rounds(spark, monkeypatch):
     assert rounds.count("new") < 20
 
 
+def test_large_graphs_are_contracted(spark, monkeypatch):
+    """Chains, trees, cycles and labels that some edges stop, contracted down to a few edges: as followed edge by edge."""
+    rng, made, real = random.Random(3), [], graph.counted
+    monkeypatch.setattr(graph, "counted", lambda df, name: (made.append((name, *(out := real(df, name)))), out)[1])
+    monkeypatch.setattr(graph, "SMALL", 5)
+    monkeypatch.setattr(graph, "WALK", 2)
+    ways = [(k, k + 1, -1 if k % 9 else rng.randrange(1, 8)) for k in range(80)] + [(k, k // 2, 5) for k in range(101, 160)] + [(200, 201, 7), (201, 202, 6), (202, 200, 3), (40, 40, 1), (30, 31, 2), (17, 60, 4), (80, 200, 7), (400, 401, 7)]
+    ways += [(rng.randrange(300, 340), rng.randrange(300, 340), rng.randrange(8)) for _ in range(60)] + [(5, 310, 7)]
+    start = {0: 3, 12: 4, 150: 1, 79: 6, 500: 1}
+    want = dict(start)
+    while True:
+        before = dict(want)
+        for a, b, m in ways:
+            if want.get(a, 0) & m:
+                want[b] = want.get(b, 0) | want[a] & m
+        if want == before:
+            break
+    edges = spark.createDataFrame(ways, "src long, dst long, mask long")
+    got = [tuple(r) for r in graph.reach(edges, spark.createDataFrame([*start.items()], "node long, bits long")).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    sizes = [n for name, _, n in made if name == "links"]
+    assert len(sizes) > 3 and sizes[-1] < sizes[0] / 2
+    reached = {a for a, _ in graph.closure(edges.select("src", "dst"), spark.createDataFrame([(0,)], "node long")).select("node", "node").collect()}
+    assert set(range(81)) | {200, 201, 202} <= reached and not reached & {400, 401, 150}
+
+
+def test_mappings_in_view_ask_nothing(spark, monkeypatch):
+    """Half of a chain hangs on one commit: once all is in view no edges are made from it again."""
+    asked, real = [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda edges, start: (asked.append(edges.count()), real(edges, start))[1])
+    name, after = (F.lpad(F.lower(F.hex(F.col("id") + i)), 40, "0") for i in (0, 1))
+    maps = spark.range(200).select(F.when(F.col("id") % 2 == 0, name).otherwise(F.lit(sha(0))).alias("anchor"), F.array(after).alias("superseded"), name.alias("successor"))
+    assert graph.reanchor(spark.createDataFrame([(sha(0),)], "sha string"), maps).count() == 201
+    assert len(asked) == 1 and asked[0] <= 201
+
+
 def test_hot_trees_make_a_row_a_branch(spark):
     """However many candidates share a tree or patch, a branch and a commit meet one row of them."""
     branches = spark.createDataFrame([("hot", "t", None), ("one", "u", "p"), ("patch", "none", "q"), ("self", None, None), ("no", "x", "y")], "branch string, tree string, patch_id string")

@@ -31,10 +31,14 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     found in the round before.  Shortcuts are made by pointer doubling: every node's
     first edge (by nth, where edges have that column) taken 2, 4, 8 ... times, a table of
     a row a node for each; a new one starts from all nodes found.  A chain thus takes
-    rounds by the logarithm of its length.  Cycles do no harm.
+    rounds by the logarithm of its length.  Cycles do no harm.  More than SMALL edges are
+    contracted first (see _reach_large).
     """
     nth = F.col("nth") if "nth" in edges.columns else F.lit(0)
-    edges = settle(edges.select("src", "dst", nth.cast("int").alias("nth")).where("src is not null and dst is not null"), "edges")
+    edges, n = counted(edges.select("src", "dst", nth.cast("int").alias("nth")).where("src is not null and dst is not null"), "edges")
+    if n > SMALL:
+        one = F.lit(1).cast("long")
+        return _reach_large(edges.select("src", "dst", one.alias("mask")), settle(start.select("node", one.alias("bits")).where("node is not null").distinct(), "seen")).select("node")
     jump = edges.groupBy("src").agg(F.min(F.struct("nth", "dst"))["dst"].alias("dst"))
     ways, found, longest = [edges.select("src", "dst")], [settle(start.select("node").distinct(), "found")], None
     along = lambda way, nodes: way.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
@@ -60,22 +64,38 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 #: Labels that one pass carries, a bit each.
 LABELS = 63
+#: Edges up to which shortcuts are made of them; more are contracted first.
+SMALL = 100_000
+#: Steps along the edges alone before a large graph is contracted.
+WALK = 32
+#: Rows up to which a step's nodes are sent to all edges.
+SENT = 100_000
 
 
 def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node, bits): which labels, a bit each, reach a node from start (node, bits) along edges (src, dst, mask), start included.
 
-    An edge passes on the bits of its mask.  A round follows, from the nodes that got new
+    An edge passes on the bits of its mask.  Up to SMALL edges get shortcuts, more are
+    contracted first.
+    """
+    nth = F.col("nth") if "nth" in edges.columns else F.lit(0)
+    edges, n = counted(edges.where("src is not null and dst is not null and mask <> 0").select("src", "dst", "mask", nth.cast("int").alias("nth")), "edges")
+    seen = settle(start.groupBy("node").agg(F.bit_or("bits").alias("bits")), "seen")
+    return _reach_large(edges.drop("nth"), seen) if n > SMALL else _reach_small(edges, seen)
+
+
+def _reach_small(edges: DataFrame, seen: DataFrame) -> DataFrame:
+    """reach() of settled edges (src, dst, mask, nth) from settled nodes (node, bits), by shortcuts.
+
+    A round follows, from the nodes that got new
     bits in the round before, their edges and all their shortcuts: every node's first edge
     taken 2, 4, 8 ... times, with the bits that all of them pass.  The shortcuts of a node are
     one row, to which a round adds the next; that one starts from all nodes seen.  So a chain
     takes rounds by the logarithm of its length, and cycles do no harm.
     """
-    nth = F.col("nth") if "nth" in edges.columns else F.lit(0)
-    edges = edges.where("src is not null and dst is not null and mask <> 0").select("src", F.struct(nth.cast("int").alias("nth"), "dst", "mask").alias("way"))
+    edges = edges.select("src", F.struct("nth", "dst", "mask").alias("way"))
     # a node's edges, and its newest shortcut (the first edge, to begin with)
     ways = settle(edges.groupBy("src").agg(F.array_sort(F.collect_set("way")).alias("ways")).withColumn("jump", F.col("ways")[0]), "ways")
-    seen = settle(start.groupBy("node").agg(F.bit_or("bits").alias("bits")), "seen")
     new, growing = seen, True
     step = lambda of, nodes: nodes.join(of, nodes["node"] == of["src"]).select(F.col("way.dst").alias("node"), F.col("bits").bitwiseAND(F.col("way.mask")).alias("bits"))
     while True:
@@ -101,6 +121,80 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
             growing = not ways.where("jump is not null").isEmpty()
 
 
+def _or(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.bit_or("bits").alias("bits"))
+
+
+def _walk(edges: DataFrame, seen: DataFrame) -> tuple[DataFrame, bool]:
+    """What WALK steps along edges add to nodes seen, and whether no step adds more."""
+    found, new, n = [seen], seen, None
+    for _ in range(WALK):
+        of = new.select(F.col("node").alias("src"), "bits")
+        ahead = edges.join(F.broadcast(of) if n is not None and n <= SENT else of, "src").select(F.col("dst").alias("node"), F.col("bits").bitwiseAND(F.col("mask")).alias("bits"))
+        old = _or(_together(found), "node").select("node", F.col("bits").alias("_b"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_b", F.lit(0).cast("long"))))
+        new, n = counted(_or(ahead.where("bits <> 0"), "node").join(old, "node", "left").select("node", fresh.alias("bits")).where("bits <> 0"), "new")
+        if not n:
+            break
+        found.append(new)
+        if len(found) > 8:
+            found = [settle(_or(_together(found), "node"), "seen")]
+    return (settle(_or(_together(found), "node"), "seen") if len(found) > 1 else found[0]), not n
+
+
+def _reach_large(edges: DataFrame, seen: DataFrame) -> DataFrame:
+    """reach() of settled edges (src, dst, mask) from settled nodes (node, bits), in time by the number of edges.
+
+    Some steps are walked, which ends most histories.  Of what is left nodes are numbered, and
+    edges contracted: a node that one other alone leads to gives its edges to that one, where a
+    coin says so (of two in a row never both), and sources that nothing has reached go.  Each
+    round takes a quarter of a chain, so all of them together take the time of a few.  What is
+    left after all is small, or has no such nodes, and goes by shortcuts; then the contracted
+    nodes get the bits of those they went to, last ones first.
+    """
+    seen, done = _walk(edges, seen)
+    if done:
+        return seen
+    none = F.lit(0).cast("long")
+    open_ = edges.join(seen.select(F.col("node").alias("dst"), "bits"), "dst", "left").where((F.col("src") != F.col("dst")) & (F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("bits", none))) != 0)).select("src", "dst", "mask")
+    open_ = settle(open_, "edges")
+    names = settle(open_.select(F.col("src").alias("node")).unionByName(open_.select(F.col("dst").alias("node"))).distinct().withColumn("k", F.monotonically_increasing_id()), "names")
+    numbered = open_.join(names.select(F.col("node").alias("src"), F.col("k").alias("a")), "src").join(names.select(F.col("node").alias("dst"), F.col("k").alias("b")), "dst").select("a", "b", "mask")
+    links, n = counted(numbered, "links")
+    drop(open_)
+    bits = settle(seen.join(names, "node").select("k", "bits"), "bits")
+    layers, stored, turn, slow, peel = [], links, 0, 0, True
+    while n > SMALL and slow < 3:
+        turn += 1
+        coin = lambda c, turn=turn: F.xxhash64(c, F.lit(turn)).bitwiseAND(F.lit(1))
+        led = links.groupBy("b").agg(F.min("a").alias("u"), F.max("a").alias("_most"), F.bit_or("mask").alias("_mask"))
+        led = led.where((F.col("u") == F.col("_most")) & (coin("b") == 1) & (coin("u") == 0)).select(F.col("b").alias("k"), "u", "_mask")
+        gone = settle(led.join(bits, "k", "left").select("k", "u", "_mask", F.col("bits").alias("_bits")), "gone")
+        rest = links.join(gone.select(F.col("k").alias("b")), "b", "left_anti")
+        if peel:
+            rest = rest.join(links.select(F.col("b").alias("a")).unionByName(bits.select(F.col("k").alias("a"))), "a", "left_semi")
+        moved = rest.join(gone.withColumnRenamed("k", "a"), "a", "left")
+        to = F.coalesce("u", "a")
+        passed = F.when(to == F.col("b"), none).otherwise(F.col("mask").bitwiseAND(F.coalesce("_mask", F.lit(-1).cast("long"))))
+        moved = moved.select(to.alias("a"), "b", passed.alias("mask"), F.col("mask").bitwiseAND(F.coalesce("_bits", none)).alias("pushed")).where("mask <> 0 or pushed <> 0")
+        before, (stored, m) = stored, counted(moved, "links")
+        pushed = stored.where("pushed <> 0").select(F.col("b").alias("k"), F.col("pushed").alias("bits"))
+        held, bits = bits, settle(_or(bits.join(gone.select("k"), "k", "left_anti").unionByName(pushed), "k"), "bits")
+        drop(before)
+        drop(held)
+        links, slow = stored.where("mask <> 0").select("a", "b", "mask"), slow + 1 if m > 0.95 * n else 0
+        peel = turn % 4 == 0 or peel and m < 0.65 * n
+        layers.append(gone)
+        n = m
+    small = links.groupBy("a", "b").agg(F.bit_or("mask").alias("mask")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "mask", F.lit(0).alias("nth"))
+    known = [_reach_small(settle(small, "edges"), settle(bits.select(F.col("k").alias("node"), "bits"), "seen")).select(F.col("node").alias("u"), "bits")]
+    for gone in reversed(layers):
+        own = F.coalesce("_bits", none).bitwiseOR(F.coalesce("bits", none).bitwiseAND(F.col("_mask")))
+        known.append(settle(gone.join(_together(known), "u", "left").select(F.col("k").alias("u"), own.alias("bits")).where("bits <> 0"), "known"))
+    named = _together(known).withColumnRenamed("u", "k").join(names, "k").select("node", "bits")
+    return settle(_or(seen.unionByName(named), "node"), "seen")
+
+
 def parent_edges(commits: DataFrame, first_only: bool = False) -> DataFrame:
     """(src, dst) from commits (sha, parents)."""
     if first_only:
@@ -137,19 +231,23 @@ def reanchored(seen: DataFrame, mappings: DataFrame) -> DataFrame:
     are mappings of which neither premise was in view: each time round the edges are made anew
     from what came into view, until nothing does.
     """
-    rows = sound_mappings(mappings).select("anchor", "successor", F.explode("superseded").alias("sha")).distinct()
-    rows = settle(rows, "mappings")
-    one = rows.where("anchor = successor").select(F.col("successor").alias("src"), F.col("sha").alias("dst"), F.lit(-1).cast("long").alias("mask"))
-    two = rows.where("anchor <> successor")
-    seen, n = counted(seen.groupBy("node").agg(F.bit_or("bits").alias("bits")), "view")
+    rows = sound_mappings(mappings).select("anchor", "successor", F.explode("superseded").alias("sha"))
+    seen = settle(_or(seen, "node"), "view")
     size = None
     while True:
-        ways = [one]
+        # what every label has brings nothing more
+        every = seen.agg(F.bit_or("bits")).first()[0] or 0
+        full = seen.where(F.col("bits") == every).select(F.col("node").alias("sha"))
+        before, (rows, n) = rows, counted(rows.join(full, "sha", "left_anti"), "mappings")
+        drop(before)
+        if not n:
+            return seen
+        two = rows.where("anchor <> successor")
+        ways = [rows.where("anchor = successor").select(F.col("successor").alias("src"), F.col("sha").alias("dst"), F.lit(-1).cast("long").alias("mask"))]
         for known, other in (("anchor", "successor"), ("successor", "anchor")):
             of = two.join(seen.select(F.col("node").alias(known), F.col("bits").alias("mask")), known)
             ways.append(of.select(F.col(other).alias("src"), F.col("sha").alias("dst"), "mask"))
-        edges = _together(ways).groupBy("src", "dst").agg(F.bit_or("mask").alias("mask"))
-        seen = reach(edges, seen)
+        seen = reach(_together(ways), seen)
         before, size = size, seen.agg(F.count("*").alias("n"), F.sum(F.bit_count("bits")).alias("b")).first()
         if size == before or two.isEmpty():
             return seen
