@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions.rules import Rule
-from tracelake.operators import commits, graph, redaction, scanning, screens
-from tracelake.shared import bytes_of, exists, scope
+from tracelake.operators import commits, graph, reading, redaction, scanning, screens
+from tracelake.shared import bytes_of, counted, exists, scope
 from tracelake.sources.tables import problems
 
 #: Parts into which a ledger is laid out by its anchors.
@@ -150,9 +150,11 @@ def merge(local: DataFrame, remote: DataFrame, anchors: DataFrame | None = None)
     columns = remote.columns
     local = local.select(columns)
     if anchors is not None:
-        scope = anchors.select("anchor").distinct()
+        scope, n = counted(anchors.select("anchor").distinct(), "anchors")
+        scope = F.broadcast(scope) if n <= reading.SENT else scope
         local = local.join(scope, local["anchor"].eqNullSafe(scope["anchor"]), "left_semi")
-    odd = graph.cut(differing(local, remote).where("local_lines > 0").select("anchor"))
+    odd, n = counted(differing(local, remote).where("local_lines > 0").select("anchor"), "odd")
+    odd = F.broadcast(odd) if n <= reading.SENT else odd  # a hot anchor's lines stay spread
     of = lambda rows, how: rows.join(odd, rows["anchor"].eqNullSafe(odd["anchor"]), how)
     return of(remote, "left_anti").unionByName(union(of(remote, "left_semi"), of(local, "left_semi")))
 
@@ -169,7 +171,7 @@ def unshared(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 def gate(local: DataFrame, remote: DataFrame, anchors: DataFrame, allowed: DataFrame, tier: str = "standard") -> DataFrame:
     """Findings that block a push: in unshared events in scope, and on no allow list."""
-    candidates = unshared(local.join(anchors.select("anchor").distinct(), "anchor", "left_semi"), remote)
+    candidates = unshared(reading.of_anchors(local, anchors), remote)
     return scanning.outstanding(scanning.scan_events(candidates, tier), allowed)
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.canonical import canonical_json
 from tracelake.operators.graph import cut
+from tracelake.shared import counted
 
 #: Kinds that record how a session ran rather than what was said.
 MACHINERY = ("session_state", "activity", "context_injection", "file_snapshot")
+#: Anchors up to which a scope is sent to all tasks; each of more is dealt to SPREAD tasks.
+SENT, SPREAD = 100_000, 16
 
 
 def where(events: DataFrame, kind: str | None = None, source: str | None = None, model: str | None = None, conversation: str | None = None) -> DataFrame:
@@ -20,12 +23,22 @@ def where(events: DataFrame, kind: str | None = None, source: str | None = None,
     return events if conversation is None else events.where(F.col("conversation.id").startswith(conversation))
 
 
+def of_anchors(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows of these anchors; a few anchors may hold all rows, so no task is given an anchor's rows."""
+    scope, n = counted(anchors.select("anchor").where(F.col("anchor").isNotNull()).distinct(), "anchors")
+    if n <= SENT:
+        return rows.join(F.broadcast(scope), "anchor", "left_semi").select(rows.columns)
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if t in ("string", "bigint", "int")]), F.lit(SPREAD)))
+    scope = scope.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return dealt.join(scope, ["anchor", "_deal"], "left_semi").select(rows.columns)
+
+
 def in_scope(events: DataFrame, anchors: DataFrame | None) -> DataFrame:
     """Events whose anchor is in view, and pending ones; None as the scope keeps everything, an empty scope pending only."""
     if anchors is None:
         return events
     pending = events.where(F.col("anchor").isNull())
-    return events.where(F.col("anchor").isNotNull()).join(anchors.select("anchor").distinct(), "anchor", "left_semi").select(events.columns).unionByName(pending)
+    return of_anchors(events, anchors).unionByName(pending)
 
 
 def depth() -> Column:
