@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.canonical import canonical_json, event_id, fingerprint
 from tracelake.operators import drift, graph, ledger, redaction, scanning
 from tracelake.plans.catalogue import ACTIVITY, CHAT, FOUND, INJECTED, _activity, _anchored, _chat, _injected, _read, query
-from tracelake.shared import named_files, put_text, shared_dir
+from tracelake.shared import foldered_files, named_files, put_text, shared_dir
 from tracelake.sources import addressed, tables, transcripts
 from tracelake.streaming import capture, wal
 
@@ -245,12 +245,12 @@ def scrub_many_values(spark, sf_dir):
 def backup_digests(spark, sf_dir):
     """A snapshot of each page meets a cache of files, where every other page is."""
     pages, folder = _read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("v"), "page_id").alias("name"), "html"), shared_dir(spark, "cache")
-    named_files(pages.where("page_id % 2 = 0").select("name", F.lit(0).alias("place"), F.col("html").alias("value")), folder)
+    foldered_files(pages.where("page_id % 2 = 0").select("name", F.col("html").alias("value")), folder)
     backup = F.create_map(F.lit("page.html"), F.struct(F.col("name").alias("backupFileName")))
     line = F.to_json(F.struct(F.lit("file-history-snapshot").alias("type"), F.struct(backup.alias("trackedFileBackups")).alias("snapshot")))
     drafts = transcripts.claude(pages.select(F.lit("/t/pages.jsonl").alias("file"), F.col("page_id").alias("seq"), line.alias("value"), F.lit(True).alias("closed")))
     one = F.col("resolved")[0]
-    return transcripts.resolved(drafts, transcripts.backup_digests(spark, folder)).select(F.col("conversation.seq").alias("page_id"), one["bytes"].alias("bytes"), one["sha256"].alias("digest"))
+    return transcripts.resolved(drafts, transcripts.backup_digests(spark, folder, foldered=True)).select(F.col("conversation.seq").alias("page_id"), one["bytes"].alias("bytes"), one["sha256"].alias("digest"))
 
 
 @query(f"""WITH {CHAT}, r AS (SELECT 'a' || (conv_id % 5) AS anchor, id, conversation, seq FROM chat WHERE conv_id % 5 IN (1, 2)) SELECT anchor, id FROM r UNION ALL SELECT NULL, id FROM chat WHERE conv_id % 5 = 0""")

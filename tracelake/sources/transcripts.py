@@ -53,10 +53,26 @@ def files(spark: SparkSession, *paths: str, newest: int | None = None) -> DataFr
     return found if newest is None else found.limit(newest)
 
 
-def backup_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(backup_file, sha256, bytes) of the files of a backup cache; Spark passes over empty ones."""
-    found = spark.read.format("binaryFile").load(folder)
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("backup_file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+def backup_digests(spark: SparkSession, folder: str, foldered: bool = False) -> DataFrame:
+    """(backup_file, sha256, bytes) of the files of a backup cache; Spark passes over empty ones.
+
+    In a foldered cache (see shared.foldered_files) a file's folder has its name.  Files are read
+    once, and so many by a task as have its bytes: Spark counts 4 MB for opening each, which would
+    make a task of a few.
+    """
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    if foldered:
+        name = F.url_decode(F.replace(F.regexp_extract("path", "/name=([^/]+)/[^/]+$", 1), F.lit("+"), F.lit("%2B")))
+    tuned = {"spark.sql.files.openCostInBytes": "32k", "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200"}  # else folders are listed by a task each
+    held = {k: spark.conf.get(k) for k in tuned}
+    try:
+        for k, v in tuned.items():
+            spark.conf.set(k, v)
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", foldered).load(folder)
+        return settle(found.select(name.alias("backup_file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")), "digests")
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
 
 
 def resolved(drafts: DataFrame, digests: DataFrame) -> DataFrame:
