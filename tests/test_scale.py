@@ -2,9 +2,11 @@
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracelake import shared
+from tracelake.functions import canonical, workers
 from tracelake.operators import graph, ledger, reading
 from tracelake.sources import transcripts
 
@@ -39,3 +41,21 @@ def test_many_files_are_named_by_their_folders(spark, tmp_path, monkeypatch):
     want = {n: hashlib.sha256(f"text {n}\n".encode()).hexdigest() for n in names}
     assert {r.backup_file: r.sha256 for r in found.collect()} == want and found.count() == len(names)
     assert len(found.inputFiles()) <= 16  # a task wrote each; at 4 MB a file there were some 50
+
+
+def test_workers_take_slices_and_are_trimmed(monkeypatch):
+    """Functions see short slices of a batch, in order, and the worker is trimmed at the end, also of a failed task."""
+    trims = []
+    monkeypatch.setattr(workers, "trim", lambda: trims.append(1))
+    batch = pa.record_batch({"x": [f"{i:1000d}" for i in range(5000)], "y": list(range(5000))})
+    seen = list(workers.trimmed(lambda bs: bs)([batch, batch.slice(0, 0), batch.slice(7, 3)]))
+    assert max(b.nbytes for b in seen) <= 1.1 * workers.SLICE and len(trims) == 1
+    assert [y for b in seen for y in b.column("y").to_pylist()] == [*range(5000), 7, 8, 9]
+    try:
+        list(workers.trimmed(lambda bs: (1 / 0 for _ in bs))([batch]))
+    except ZeroDivisionError:
+        pass
+    assert len(trims) == 2
+    texts = pa.array(['{"b":1,"a":"%s"}' % ("x" * 5000), None, "no"] * 600 + [])
+    made = list(canonical._canonical(iter([texts, texts.slice(0, 0)])))
+    assert [len(m) for m in made] == [1800, 0] and made[0][1].as_py() is None and made[0][1797].as_py().startswith('{"a":"xxx')

@@ -10,10 +10,14 @@ from __future__ import annotations
 import json
 import math
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+
+from tracelake.functions.workers import slices, trim
 
 #: The schema that new events name; it is part of their identity, so events of another ledger keep theirs.
 SCHEMA = "tracelake/v1"
@@ -78,13 +82,18 @@ def canonical(text: str | None) -> str | None:
         return None
 
 
-def _canonical(texts: pd.Series) -> pd.Series:
-    return texts.map(canonical)
+def _canonical(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    try:
+        for texts in batches:
+            made = [pa.array([canonical(t) for t in s.to_pylist()], pa.string()) for s in slices(texts)]
+            yield pa.concat_arrays(made) if made else pa.array([], pa.string())
+    finally:
+        trim()
 
 
 def canonical_json(text: Column | str) -> Column:
     """The canonical form of a column of JSON texts, batch by batch; null for null and for what is no JSON."""
-    return pandas_udf(_canonical, "string")(text)
+    return arrow_udf(_canonical, "string")(text)
 
 
 def quoted(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tracelake.functions.canonical import canonical_json, dumps, event_id, fingerprint
 from tracelake.functions.exact import Values, chosen, replaced
 from tracelake.functions.rules import Rule, compiled, has_sign, print_of, rules_for
+from tracelake.functions.workers import trimmed
 from tracelake.operators import scanning
 from tracelake.shared import settle, share
 
@@ -104,7 +105,7 @@ def redact(rows: DataFrame, text: str, rules: list[Rule] | None = None, exact: d
             cols[at] = pa.array([t for t, _ in made], b.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "redacted"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def scrub(rows: DataFrame, text: str, values: DataFrame, most: int = AUTOMATON) -> DataFrame:
@@ -142,7 +143,7 @@ def scrub(rows: DataFrame, text: str, values: DataFrame, most: int = AUTOMATON)
         return run
 
     for shard in range(shards):
-        given = given.mapInArrow(finder(shard), given.schema)
+        given = given.mapInArrow(trimmed(finder(shard)), given.schema)
         if shard + 1 < shards:
             given = settle(given, "scrub")
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("redacted array<struct<rule:string,fingerprint:string>>").fields])
@@ -155,7 +156,7 @@ def scrub(rows: DataFrame, text: str, values: DataFrame, most: int = AUTOMATON)
             cols[at] = pa.array([t for t, _ in made], b.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "redacted"])
 
-    return given.mapInArrow(put, schema)
+    return given.mapInArrow(trimmed(put), schema)
 
 
 def canonical_events(drafts: DataFrame, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> DataFrame:
@@ -188,7 +189,7 @@ def canonical_events(drafts: DataFrame, rules: list[Rule] | None = None, exact:
                 cols[old] = pa.array(new, cols[old].type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return drafts.mapInArrow(run, drafts.schema)
+    return drafts.mapInArrow(trimmed(run), drafts.schema)
 
 
 def redact_events(events: DataFrame, rules: list[Rule] | None = None, exact: dict[str, list[str]] | None = None) -> DataFrame:

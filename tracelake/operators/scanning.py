@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tracelake.functions.rules import Rule, find, print_of, rules_for
+from tracelake.functions.workers import trimmed
 
 #: The columns of an event that hold JSON, and the path that their leaves start with.
 JSON_PARTS = (("content_json", "content"), ("raw_json", "raw/data"))
@@ -71,7 +72,7 @@ def scan(texts: DataFrame, text: str, tier: str = "standard", rules: list[Rule]
             yield _with_hits(b, keep, [(i, *hit) for i, t in enumerate(b.column(at).to_pylist()) if t for hit in find(t, rules)], [])
 
     schema = T.StructType([*(texts.schema[i] for i in keep), *T.StructType.fromDDL(_HIT).fields])
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(trimmed(run), schema)
 
 
 def scan_events(events: DataFrame, tier: str = "standard", rules: list[Rule] | None = None) -> DataFrame:
@@ -92,7 +93,7 @@ def scan_events(events: DataFrame, tier: str = "standard", rules: list[Rule] | N
             kinds, texts = b.column(3).to_pylist(), zip(*(b.column(4 + j).to_pylist() for j in range(len(parts))))
             yield _with_hits(b, [0, 1, 2], [h for i, (kind, t) in enumerate(zip(kinds, texts)) for h in hits(i, kind, t)], [("path", pa.string())])
 
-    return rows.mapInArrow(run, "event_id string, conversation string, occurred_at string, path string, " + _HIT)
+    return rows.mapInArrow(trimmed(run), "event_id string, conversation string, occurred_at string, path string, " + _HIT)
 
 
 def _first_events(findings: DataFrame, event: Column, most: int = 3) -> DataFrame:

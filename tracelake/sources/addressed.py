@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.workers import trimmed
 from tracelake.shared import settle
 
 _NUMBERED = ["file", "size", "block", "value", "nth", "at"]
@@ -51,7 +52,7 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
     meta = {"file": "file_path", "size": "file_size", "block": "file_block_start"}
     rows = spark.read.option("lineSep", "\n").text(list(paths)).select(*[F.col(f"_metadata.{m}").alias(n) for n, m in meta.items()], "value")
     rows = rows.withColumn("bytes", F.octet_length("value"))
-    rows = settle(rows.mapInArrow(_numbered, "file string, size long, block long, value string, nth long, at long"), "lines")
+    rows = settle(rows.mapInArrow(trimmed(_numbered), "file string, size long, block long, value string, nth long, at long"), "lines")
     blocks = rows.groupBy("file", "size", "block").agg(F.count("*").alias("n"), F.max(F.col("at") + F.octet_length("value") + 1).alias("bytes"))
     ahead, whole = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file")
     blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("bytes_before"), F.sum("bytes").over(whole).alias("total"))
