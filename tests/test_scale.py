@@ -1,14 +1,17 @@
 """What large tables need: no task with all rows of a key, no work by file on the driver."""
 
 import hashlib
+import json
 
 import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tracelake import shared
 from tracelake.functions import canonical, workers
 from tracelake.operators import graph, ledger, reading
 from tracelake.sources import transcripts
+from tracelake.streaming import wal
 
 
 def test_rows_of_few_anchors_stay_spread(spark, monkeypatch):
@@ -59,3 +62,26 @@ def test_workers_take_slices_and_are_trimmed(monkeypatch):
     texts = pa.array(['{"b":1,"a":"%s"}' % ("x" * 5000), None, "no"] * 600 + [])
     made = list(canonical._canonical(iter([texts, texts.slice(0, 0)])))
     assert [len(m) for m in made] == [1800, 0] and made[0][1].as_py() is None and made[0][1797].as_py().startswith('{"a":"xxx')
+
+
+def test_a_batch_of_a_log_asks_the_state_store_twice():
+    """However many messages a log has, a batch reads its state once and writes it once."""
+    calls, held = [], [None]
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return held[0]
+
+        def update(self, x):
+            calls.append("update")
+            held[0] = x
+
+    log = wal.Replay()
+    log.init(type("Handle", (), {"getValueState": lambda self, *x: Value()})())
+    said = lambda i: json.dumps({"id": f"m{i}", "type": "user", "content": "x"})
+    first = [tuple(r) for r in log.handleInputRows(("f",), iter([Row(seq=i, value=said(i)) for i in reversed(range(50))]), None)]
+    assert [r[1] for r in first] == list(range(50)) and calls == ["get", "update"]
+    more = [tuple(r) for r in log.handleInputRows(("f",), iter([Row(seq=51, value='{"$rewindTo":"m48"}'), Row(seq=50, value=said(50))]), None)]
+    assert [(r[1], r[2], r[5]) for r in more] == [(48, "message", True), (49, "message", True), (50, "message", True), (51, "rewind", False)]
+    assert calls == ["get", "update"] * 2
