@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.sieves import sieve
 from tracelake.shared import counted, drop, settle
 
 
@@ -68,7 +69,7 @@ LABELS = 63
 SMALL = 100_000
 #: Steps along the edges alone before a large graph is contracted.
 WALK = 32
-#: Rows up to which a step's nodes are sent to all edges.
+#: Rows up to which a step's nodes are sent to all edges; of more a sieve is sent.
 SENT = 100_000
 
 
@@ -125,12 +126,27 @@ def _or(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.bit_or("bits").alias("bits"))
 
 
+def _meet(rows: DataFrame, of: DataFrame, n: int, key: str) -> DataFrame:
+    """Rows joined by a key with the n rows of a small settled table; what has no match there is not shuffled."""
+    if n <= SENT:
+        return rows.join(F.broadcast(of), key)
+    return rows.where(sieve(of.select(key), n)(key)).join(of, key)
+
+
+def _without(rows: DataFrame, of: DataFrame, n: int, key: str) -> DataFrame:
+    """Rows whose key is none of a settled table's n; only those that may be are shuffled."""
+    if n <= SENT:
+        return rows.join(F.broadcast(of), key, "left_anti").select(rows.columns)
+    rows = rows.withColumn("_may", sieve(of.select(key), n)(key))
+    return rows.where("not _may").unionByName(rows.where("_may").join(of, key, "left_anti").select(rows.columns)).drop("_may")
+
+
 def _walk(edges: DataFrame, seen: DataFrame) -> tuple[DataFrame, bool]:
     """What WALK steps along edges add to nodes seen, and whether no step adds more."""
-    found, new, n = [seen], seen, None
+    found, new, n = [seen], seen, seen.count()
     for _ in range(WALK):
         of = new.select(F.col("node").alias("src"), "bits")
-        ahead = edges.join(F.broadcast(of) if n is not None and n <= SENT else of, "src").select(F.col("dst").alias("node"), F.col("bits").bitwiseAND(F.col("mask")).alias("bits"))
+        ahead = _meet(edges, of, n, "src").select(F.col("dst").alias("node"), F.col("bits").bitwiseAND(F.col("mask")).alias("bits"))
         old = _or(_together(found), "node").select("node", F.col("bits").alias("_b"))
         fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_b", F.lit(0).cast("long"))))
         new, n = counted(_or(ahead.where("bits <> 0"), "node").join(old, "node", "left").select("node", fresh.alias("bits")).where("bits <> 0"), "new")
@@ -238,14 +254,14 @@ def reanchored(seen: DataFrame, mappings: DataFrame) -> DataFrame:
         # what every label has brings nothing more
         every = seen.agg(F.bit_or("bits")).first()[0] or 0
         full = seen.where(F.col("bits") == every).select(F.col("node").alias("sha"))
-        before, (rows, n) = rows, counted(rows.join(full, "sha", "left_anti"), "mappings")
+        before, (rows, n) = rows, counted(_without(rows, full, full.count(), "sha"), "mappings")
         drop(before)
         if not n:
             return seen
-        two = rows.where("anchor <> successor")
+        two, held = rows.where("anchor <> successor"), seen.count()
         ways = [rows.where("anchor = successor").select(F.col("successor").alias("src"), F.col("sha").alias("dst"), F.lit(-1).cast("long").alias("mask"))]
         for known, other in (("anchor", "successor"), ("successor", "anchor")):
-            of = two.join(seen.select(F.col("node").alias(known), F.col("bits").alias("mask")), known)
+            of = _meet(two, seen.select(F.col("node").alias(known), F.col("bits").alias("mask")), held, known)
             ways.append(of.select(F.col(other).alias("src"), F.col("sha").alias("dst"), "mask"))
         seen = reach(_together(ways), seen)
         before, size = size, seen.agg(F.count("*").alias("n"), F.sum(F.bit_count("bits")).alias("b")).first()
