@@ -466,6 +466,35 @@ def test_near_duplicates_boilerplate(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("pairs,tile", [(4, 256), (0, 256), (4, 8), (0, 8)])
+def test_near_pairs_meet_once(spark, monkeypatch, pairs, tile):
+    """Whichever way tiles tell their near pairs, the answer is whole; no tile gets a set twice, and bands of one document are not grouped."""
+    rng, real, settled, sent = random.Random(7), minhash.settle, {}, []
+    monkeypatch.setattr(minhash, "PAIRS", pairs)
+    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "settle", lambda df, name: settled.setdefault(name, real(df, name)))
+    links = minhash._tile_links
+    monkeypatch.setattr(minhash, "_tile_links", lambda tiles, percent: (sent.append(tiles), links(tiles, percent))[1])
+    common, rows = [f"c{i}" for i in range(240)], []
+    for f in range(5):
+        words = common + [f"f{f}x{i}" for i in range(60)]
+        for _ in range(9):
+            words = list(words)
+            for _ in range(4):
+                words[rng.randrange(300)] = f"n{rng.random()}"
+            rows.append((rng.randrange(10**6), " ".join(words), "en", "s", 1))
+    rows += [(10**6 + i, " ".join(f"o{i}x{rng.random()}" for _ in range(200)), "en", "s", 1) for i in range(100)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 5, 0.8).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_near(rows, 5, 80)
+    assert settled["nd-keyed"].where("doc_id >= 1000000").count() < 100  # of some 5000 bands
+    assert len(sent) == 2
+    times = sent[1].groupBy("group", "i", "j", "id").count().agg(F.max("count")).first()[0]
+    assert times == 1
+    if pairs:  # each near pair is asked for once
+        near = real(sent[1].select("id", "group", "i", "j").distinct(), "seen")
+        assert near.count() <= 2 * settled["nd-near"].where("b is not null").select("a", "b").distinct().count()
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 1150), (7, 7), (-5, 300)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

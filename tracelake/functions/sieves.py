@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from tracelake.shared import share
 
@@ -40,8 +41,8 @@ def sieve(keys: DataFrame, n: int) -> Callable[[str], Column]:
         table[block * _BLOCK // 8 : (block + 1) * _BLOCK // 8] = np.frombuffer(part, dtype=np.uint8)
     sent = share(keys.sparkSession, table)
 
-    @F.pandas_udf("boolean")
-    def may_hold(hashes: pd.Series) -> pd.Series:
-        return pd.Series(_has(sent.value, hashes.to_numpy()))
+    @arrow_udf("boolean")
+    def may_hold(hashes: pa.Array) -> pa.Array:
+        return pa.array(_has(sent.value, hashes.to_numpy(zero_copy_only=False)))
 
     return lambda name: may_hold(hashed(name))

@@ -23,6 +23,9 @@ sets reaches the threshold; the answer gives each document's connected component
 Comparisons are dealt into tiles of about ``TILE`` members on each side, so a hot group
 makes tiles, not pairs; of each tile only the links of a spanning forest leave.  A
 group of near copies costs each member's set once and its first member's once a tile.
+A pair that several tiles find near goes to the one that finds most, and a set that a tile
+needs on both sides is sent to it once.  Bands of one document alone are told by a count, and
+sieved out before ids and sums are grouped.
 In step 5, where few pairs are near, the tiles first meet with a byte of each register
 (whose agreement never falls short of the registers' own), and only the members of pairs
 that may reach the threshold bring their sets.
@@ -37,8 +40,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.sieves import sieve
 from tracelake.llm.components import components
 from tracelake.llm.textkit import U64, mix, padding, partitions, settle, shingle_hashes, texts, trimmed, word_hashes
+from tracelake.shared import counted
 
 BUCKETS, MANTISSA, MISS = 384, 10, 1e-6
 #: Members of a side of a tile, and their shingles (8 bytes each), on the average at most.
@@ -53,6 +58,8 @@ ASK_BYTES, MOST_BROADCAST = 48, 16 << 20
 #: Estimates this far below the threshold (over 7 standard errors of 384
 #: registers) rule a pair out; sets under LEAST_SET are always compared.
 SLACK, LEAST_SET = 0.2, 128
+#: Near pairs a member of a tile up to which they are told apart; of more all the tile's near members meet there.
+PAIRS = 4
 
 
 def shingle_set(data: bytes, k: int) -> np.ndarray:
@@ -180,6 +187,7 @@ def _features(docs: DataFrame, k: int, rows: int) -> DataFrame:
 
 #: What a document is asked for: side 0 (member) or 1 (compared with all members) of a
 #: group, its block of that side, the blocks from..till of the other side, its cluster so far.
+#: Side 2 is both sides of one tile, with the block of side 0.
 _ASK = "struct<group:long,side:int,block:long,from:long,till:long,cluster:long>"
 
 
@@ -206,7 +214,7 @@ def _sent(docs: DataFrame, k: int, whole: bool) -> DataFrame:
                 data = (registers(s).tobytes(), s.tobytes()) if whole else (registers(s).astype(np.uint8).tobytes(), None)
                 for ask in asks:
                     for other in range(ask["from"], ask["till"]):
-                        at = (ask["block"], other) if ask["side"] == 0 else (other, ask["block"])
+                        at = (ask["block"], other) if ask["side"] != 1 else (other, ask["block"])
                         out.append((ask["group"], *at, ask["side"], doc, ask["cluster"], len(s), *data))
                         held += len(data[1] or b"") + 1000
                         if held > 16 << 20:
@@ -241,7 +249,11 @@ def _apart(ids, clusters) -> np.ndarray:
 
 
 def _screened(tiles: DataFrame, percent: float) -> DataFrame:
-    """(doc_id, ask): the members of tiles that are in a pair which may reach the threshold, asked for again in that tile."""
+    """(doc_id, ask): members of tiles that are in a pair which may reach the threshold, asked for again.
+
+    Each such pair is asked for in one tile, that with the most of them.
+    """
+    names = ["a", "b", "pairs", "group", "i", "j", "side", "mine", "other"]  # a's side and cluster, b's cluster; without b a alone is asked for
 
     def solve(key, rows):
         sides = [[r for r in rows if r[0] == i] for i in (0, 1)]
@@ -251,19 +263,33 @@ def _screened(tiles: DataFrame, percent: float) -> DataFrame:
         ids, clusters, sizes = column(1), column(2), column(3)
         regs = [np.stack([np.frombuffer(r[4], dtype=np.uint8) for r in x]) for x in sides]
         maybe = candidates(sizes[0], regs[0], sizes[1], regs[1], percent, _apart(ids, clusters))
-        group, i, j = key
-        out = [(int(ids[0][n]), (group, 0, i, j, j + 1, int(clusters[0][n]))) for n in np.flatnonzero(maybe.any(axis=1))]
-        return out + [(int(ids[1][n]), (group, 1, j, i, i + 1, int(clusters[1][n]))) for n in np.flatnonzero(maybe.any(axis=0))]
-
-    names = ["group", "side", "block", "from", "till", "cluster"]
+        x, y = np.nonzero(maybe)
+        pairs: dict = {}
+        for left, right, one, two in zip(ids[0][x].tolist(), ids[1][y].tolist(), clusters[0][x].tolist(), clusters[1][y].tolist()):
+            if left < right:
+                pairs[left, right] = (0, one, two)
+            else:
+                pairs.setdefault((right, left), (1, two, one))
+        members = {i for pair in pairs for i in pair}
+        if len(pairs) <= PAIRS * len(members):
+            return [(*pair, len(pairs), *key, *how) for pair, how in pairs.items()]
+        near = [dict(zip(i[n].tolist(), c[n].tolist())) for i, c, n in zip(ids, clusters, (maybe.any(axis=1), maybe.any(axis=0)))]
+        return [(i, None, len(pairs), *key, 2 if i in near[0] and i in near[1] else int(i in near[1]), (near[0] | near[1])[i], None) for i in near[0] | near[1]]
 
     def result(out):
-        types = [pa.int64(), pa.int32()] + [pa.int64()] * 4
-        cols = list(zip(*(a for _, a in out))) if out else [()] * 6
-        asks = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), asks], ["doc_id", "ask"])
+        cols = list(zip(*out)) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    return _by_tile(tiles, solve, result, f"doc_id long, ask {_ASK}").distinct()
+    found = settle(_by_tile(tiles, solve, result, ", ".join(f"{n} long" for n in names)), "nd-near")
+    owned = found.where("b is not null").groupBy("a", "b").agg(F.max(F.struct(*names[2:])).alias("best")).select("a", "b", "best.*")
+    tile = ["group", "i", "j"]
+    asked = found.where("b is null").select(F.col("a").alias("doc_id"), *tile, "side", F.col("mine").alias("cluster"))
+    asked = asked.unionByName(owned.select(F.col("a").alias("doc_id"), *tile, "side", F.col("mine").alias("cluster")))
+    asked = asked.unionByName(owned.select(F.col("b").alias("doc_id"), *tile, (1 - F.col("side")).alias("side"), F.col("other").alias("cluster")))
+    asked = asked.groupBy("doc_id", *tile, "cluster").agg(F.min("side").alias("least"), F.max("side").alias("side"))
+    side = F.when(F.col("least") < F.col("side"), 2).otherwise(F.col("side").cast("int"))
+    mine, other = (F.when(side == 1, F.col(x)).otherwise(F.col(y)) for x, y in (("j", "i"), ("i", "j")))
+    return asked.select("doc_id", F.struct("group", side, mine, other, other + 1, "cluster").cast(_ASK).alias("ask"))
 
 
 def _tile_links(tiles: DataFrame, percent: float) -> DataFrame:
@@ -272,7 +298,8 @@ def _tile_links(tiles: DataFrame, percent: float) -> DataFrame:
     def solve(_, rows):
         sides = ({}, {})
         for side, i, cluster, _, r, s in rows:  # rows that share an id may differ in text
-            sides[side].setdefault((i, s), (cluster, r))
+            for n in (0, 1) if side == 2 else (side,):
+                sides[n].setdefault((i, s), (cluster, r))
         if not sides[0] or not sides[1]:
             return []
         ids = [np.array([i for i, _ in x], dtype=np.int64) for x in sides]
@@ -355,6 +382,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     led = real.join(classes, ["n_shingles", "one", "two"]).select("doc_id", "n_shingles", "leader", "bands")
     led = settle(led.withColumn("bands", F.when(F.col("doc_id") == F.col("leader"), F.col("bands"))), "nd-led")
     keyed = led.where("doc_id = leader").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    # most bands are of one document: a count, without ids and sums, tells the others
+    bands, n = counted(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "nd-bands")
+    keyed = settle(keyed.where(sieve(bands, n)("band")), "nd-keyed")
     # groups of the same members, told by two sums without carry of their ids' hashes, count once
     same = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     groups = keyed.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("n"), *same).where("leader < last")
