@@ -6,7 +6,7 @@ join itself follows.  A sieve has MOST bits (16 MB) at most; of more keys it pas
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tracelake.functions.workers import trim
 from tracelake.shared import share
 
 BITS, MOST = 32, 1 << 27
@@ -42,7 +43,11 @@ def sieve(keys: DataFrame, n: int) -> Callable[[str], Column]:
     sent = share(keys.sparkSession, table)
 
     @arrow_udf("boolean")
-    def may_hold(hashes: pa.Array) -> pa.Array:
-        return pa.array(_has(sent.value, hashes.to_numpy(zero_copy_only=False)))
+    def may_hold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for hashes in batches:
+                yield pa.array(_has(sent.value, hashes.to_numpy(zero_copy_only=False)))
+        finally:
+            trim()
 
     return lambda name: may_hold(hashed(name))
